@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, language_id, mixing, secrets, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,14 +18,41 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, folder))
 
 
+def op4_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_documents(spark, folder))
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_id.identify_documents(_documents(spark, folder))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "runner_up", "ambiguous")
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_documents(spark, folder))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _of(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_documents(spark, folder))
+    counts = [F.size(_of("spans", kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base = _joined(_of("spans", "assign", "access", "hex"))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_balanced_shards": op4_balanced_shards,
+        "op6_language_id": op6_language_id,
         "op7_source_mix": op7_source_mix,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 

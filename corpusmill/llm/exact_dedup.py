@@ -24,7 +24,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def groups(facts: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """(doc_id, digest) rows with the group's keep_id and group_size.
+    """Rows with doc_id and digest, and the group's keep_id and group_size.
 
     Misra-Gries summaries name the digests that may be frequent. Their
     smallest doc_id and exact count are verified by one aggregation, the few
@@ -38,11 +38,11 @@ def groups(facts: DataFrame, counters: int = COUNTERS) -> DataFrame:
         facts.join(named, "digest").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
         "winners",
     )
-    settled = facts.join(F.broadcast(winners), "digest").select("doc_id", "digest", "keep_id", "group_size")
+    settled = facts.join(F.broadcast(winners), "digest").select(*facts.columns, "keep_id", "group_size")
     rest = facts.join(F.broadcast(winners), "digest", "left_anti")
     same = Window.partitionBy("digest")
     shuffled = rest.select(
-        "doc_id", "digest", F.min("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size")
+        *facts.columns, F.min("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size")
     )
     return settled.unionByName(shuffled)
 

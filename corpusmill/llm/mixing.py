@@ -99,9 +99,15 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_
 
 
 def mixed_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
-    """The documents of which the mix takes at least one word, all columns.
+    """The mix itself: documents of which words are taken, with all columns.
 
-    Documents without words are no part of a mix by words: they are kept.
+    A document that is taken in k epochs, the last one perhaps in part, occurs
+    k times; one of which nothing is taken goes. Documents without words are
+    no part of a mix by words: they stay once.
     """
-    out = mix(docs, cycle, seed).where((F.col("taken") == 0) & (F.col("size") > 0)).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti")
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    taken = mix(docs, cycle, seed).select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.max("times").alias("times"))
+    renamed = taken.select(F.col("doc_id").alias("_mix_id"), F.col("times").alias("_mix_times"))
+    joined = docs.join(renamed, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    copies = joined.where(F.col("_mix_times") > 0).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    return copies.select(*docs.columns)

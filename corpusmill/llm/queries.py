@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, ngram_join, secrets, sharding
+from . import exact_dedup, language_id, mixing, ngram_join, packing, secrets, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_documents(spark, folder))
 
 
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder))
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar(_documents(spark, folder), n=3, percent=90)
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_balanced_shards": op4_balanced_shards,
         "op6_language_id": op6_language_id,
         "op7_source_mix": op7_source_mix,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_ngram_join": op9_ngram_join,
         "op10_secret_scan": op10_secret_scan,
     }

@@ -9,5 +9,16 @@ select doc_id, min(doc_id) over (partition by text_sha256) as keep_id,
        count(*) over (partition by text_sha256) as group_size,
        doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256
 from t
+""",
+    "op5_bit_sliced_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 20
 """,
 }

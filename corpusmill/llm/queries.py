@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, exact_dedup, language_id, mixing, ngram_join, packing, pii, secrets, sharding
+from . import bit_sliced, exact_dedup, language_id, mixing, ngram_join, packing, pii, secrets, sharding, suffixes
 
 
 def _joined(spans: Column) -> Column:
@@ -38,6 +38,11 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, folder))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(_documents(spark, folder))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_documents(spark, folder))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_disclosure": op1_pii_disclosure,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_balanced_shards": op4_balanced_shards,
         "op5_bit_sliced_top_k": op5_bit_sliced_top_k,
         "op6_language_id": op6_language_id,

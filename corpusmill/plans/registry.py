@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources.views import duckdb_views
 
-from . import corpus, evaluation
+from . import analysis, corpus, evaluation, texts
 
-MODULES = (evaluation, corpus)
+MODULES = (evaluation, corpus, analysis, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

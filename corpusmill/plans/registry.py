@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources.views import duckdb_views
 
-from . import analysis, corpus, evaluation, texts
+from . import analysis, corpus, datasets, evaluation, texts
 
-MODULES = (evaluation, corpus, analysis, texts)
+MODULES = (evaluation, corpus, analysis, datasets, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -89,7 +89,7 @@ def section_interaction(rows: DataFrame) -> DataFrame:
         rounded(share(_ok())).alias("ok_rate"),
         rounded(F.avg(_off())).alias("mean_abs_dev"),
         rounded(F.avg("clap_score")).alias("mean_clap"),
-        rounded(F.when(varied, F.corr(bpm, off))).alias("bpm_dev_corr"),
+        rounded(F.when(varied, F.covar_pop(bpm, off) / F.nullif(F.stddev_pop(bpm) * F.stddev_pop(off), F.lit(0.0)))).alias("bpm_dev_corr"),
     )
 
 

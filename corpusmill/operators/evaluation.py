@@ -188,11 +188,11 @@ def metrics_lab(rows: DataFrame) -> DataFrame:
 
 
 def z_scores(rows: DataFrame) -> DataFrame:
-    """Each clap's z-score in its section; null where it has none."""
-    w = Window.partitionBy("section")
-    z = (F.col("clap_score") - F.avg("clap_score").over(w)) / F.nullif(F.stddev_pop("clap_score").over(w), F.lit(0.0))
-    kept = rows.withColumn("section", or_else("section", "?")).withColumn("z", z)
-    return kept.select("event_id", "prompt", "section", "clap_score", rounded("z").alias("clap_z"), (F.col("z") > 0).alias("above_mean"))
+    """Each clap's z-score in its section; null where it has none. Sections are aggregated, not gathered."""
+    kept = rows.withColumn("section", or_else("section", "?"))
+    stats = kept.groupBy("section").agg(F.avg("clap_score").alias("m"), F.nullif(F.stddev_pop("clap_score"), F.lit(0.0)).alias("s"))
+    z = kept.join(stats, "section").withColumn("z", (F.col("clap_score") - F.col("m")) / F.col("s"))
+    return z.select("event_id", "prompt", "section", "clap_score", rounded("z").alias("clap_z"), (F.col("z") > 0).alias("above_mean"))
 
 
 def global_z(rows: DataFrame, value: str) -> DataFrame:

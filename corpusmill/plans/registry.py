@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources.views import duckdb_views
 
-from . import analysis, corpus, datasets, evaluation, extras, texts
+from . import analysis, catalog, corpus, datasets, evaluation, extras, texts
 
-MODULES = (evaluation, corpus, analysis, datasets, extras, texts)
+MODULES = (evaluation, corpus, analysis, datasets, extras, catalog, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

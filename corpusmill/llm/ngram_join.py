@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .exact_dedup import groups
 from .heavy import frequent
-from .shared import stored
+from .shared import joined_few, stored
 from .shingles import mixed, shingle_set
 from .utf8 import rows
 
@@ -21,9 +21,17 @@ from .utf8 import rows
 SECOND = 3
 #: Rounds that test each signature's documents against one of them.
 STAR_ROUNDS = 3
+#: Most cells of a sketch.
+CELLS = 1 << 14
+#: Documents of one signature that are compared with each other at a time.
+BLOCK = 512
 
 
-@lru_cache(maxsize=8)
+#: For each partition left out, the first, second, ... of those kept.
+_KEPT = np.array([[j for j in range(SECOND) if j != skip] for skip in range(SECOND)]).T
+
+
+@lru_cache(maxsize=64)
 def bands(percent: int, most: int) -> tuple[tuple[int, int], ...]:
     """(largest size, first-level partitions) of each size band.
 
@@ -52,18 +60,15 @@ def signatures(sets: np.ndarray, percent: int) -> np.ndarray:
     for band in () if own is None else (own - 1, own):
         if band < 0 or not (first := every[band][1]):
             continue
-        salt = mixed(np.array([band + 1], dtype=np.uint64))
-        cell = (mixed(sets ^ salt) % np.uint64(first * SECOND)).astype(np.int64)
+        cell = (sets % np.uint64(first * SECOND)).astype(np.int64)
         part = np.zeros(first * SECOND, dtype=np.uint64)
-        np.add.at(part, cell, mixed(sets + salt))
+        np.add.at(part, cell, sets)
         part = part.reshape(first, SECOND)
         place = (np.arange(first, dtype=np.uint64) << np.uint64(8)) + (np.uint64(band) << np.uint64(40))
-        for skip in range(SECOND):  # every subset of all but one
-            h = place + np.uint64(skip)
-            for j in range(SECOND):
-                if j != skip:
-                    h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + part[:, j])
-            out.append(h)
+        h = place[:, None] + np.arange(SECOND, dtype=np.uint64)
+        for kept in _KEPT:  # every subset of all but one
+            h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + part[:, kept])
+        out.append(h.ravel())
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
@@ -102,6 +107,75 @@ def _signed(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return sign
 
 
+def sketch(sets: np.ndarray) -> np.ndarray:
+    """Sums of element hashes by cell, one byte each: sets that differ in a cell differ in an element of it.
+
+    Cells are the low bits of a hash, somewhat more than elements, so that
+    sketches of different lengths compare after folding.
+    """
+    cells = min(CELLS, 1 << max(6, len(sets).bit_length()))
+    h = mixed(sets ^ np.uint64(0x5851F42D4C957F2D))
+    return np.bincount((h & np.uint64(cells - 1)).astype(np.int64), (h >> np.uint64(56)).astype(np.float64), cells).astype(np.int64).astype(np.uint8)
+
+
+def _fold(one: np.ndarray, cells: int) -> np.ndarray:
+    return one.reshape(-1, cells).sum(axis=0, dtype=np.uint8)
+
+
+def differ_at_most(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements linked sets of these sizes may differ."""
+    return (na + nb) * (100 - percent) // (100 + percent)
+
+
+def _near(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (a, b, na, nb, sa, sb), the pairs whose sketches allow a link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = differ_at_most(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            keep = []
+            for x, y, m in zip(batch.column(4), batch.column(5), most, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                cells = min(len(x), len(y))
+                keep.append(np.count_nonzero(_fold(x, cells) != _fold(y, cells)) <= m)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return check
+
+
+def _near_in_block(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of two blocks of one signature, the pairs in different components whose sketches allow a link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs: list[tuple] = []
+            for lo, hi, every in zip(*(batch.column(k) for k in range(3)), strict=True):
+                lo, hi, every = lo.as_py(), hi.as_py(), every.as_py()
+                cells = min(len(m["sketch"]) for m in every)
+                one, two = ([m for m in every if m["block"] == k] for k in (lo, hi))
+                y = np.stack([_fold(np.frombuffer(m["sketch"], np.uint8), cells) for m in two])
+                sizes, labels = np.array([m["size"] for m in two]), [m["label"] for m in two]
+                for m in one:
+                    on = [j for j, o in enumerate(two) if labels[j] != m["label"] and (lo != hi or o["rep"] > m["rep"])]
+                    if on:
+                        differ = np.count_nonzero(y[on] != _fold(np.frombuffer(m["sketch"], np.uint8), cells), axis=1)
+                        near = differ <= differ_at_most(sizes[on], m["size"], percent)
+                        pairs += [(m["rep"], two[j]["rep"]) for j, ok in zip(on, near, strict=True) if ok]
+            kind = batch.schema.field(2).type.value_type.field("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], kind) for k in range(2)], ["a", "b"])
+
+    return check
+
+
+def _sketched(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(shingle_set(raw, n)).tobytes() for raw in rows(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "sketch"])
+
+    return make
+
+
 def _linked(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,26 +195,34 @@ class _Links:
     def __init__(self, texts: DataFrame, live: DataFrame, n: int, percent: int):
         self.texts, self.n, self.percent = texts, n, percent
         self.labels = stored(live.select("rep").distinct().withColumn("label", F.col("rep")), "labels")
+        self.kind = dict(live.dtypes)["rep"]
+        self.sketches = stored(texts.mapInArrow(_sketched(n), f"rep {self.kind}, sketch binary"), "sketches")
         self.tested: list[DataFrame] = []
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Verify (a, b, na, nb) pairs and join what links; False if there was none to test."""
-        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of (a, b, na, nb) pairs, those whose sizes and sketches allow a link."""
+        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).distinct()
+        one = self.sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
+        two = self.sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+        return both.mapInArrow(_near(self.percent), f"a {self.kind}, b {self.kind}")
+
+    def join(self, pairs: DataFrame) -> None:
+        """Verify (a, b) pairs on their texts and join the components that links connect."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for old in self.tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            return False
+            return
         self.tested.append(pairs)
         one = self.texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
         two = self.texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-        kind = dict(pairs.dtypes)["a"]
         links = (
             pairs.join(one, "a")
             .join(two, "b")
             .select("a", "b", "x", "y")
-            .mapInArrow(_linked(self.n, self.percent), f"a {kind}, b {kind}")
+            .mapInArrow(_linked(self.n, self.percent), f"a {self.kind}, b {self.kind}")
         )
         labels = self.labels
         edges = (
@@ -153,7 +235,6 @@ class _Links:
             labels.join(found.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("least", "label").alias("label")),
             "labels",
         )
-        return True
 
     def open(self, live: DataFrame) -> DataFrame:
         """Rows of the signatures whose documents are in several components."""
@@ -162,7 +243,7 @@ class _Links:
         return labelled.withColumn("lo", F.min("label").over(sig)).withColumn("hi", F.max("label").over(sig)).where(F.col("lo") != F.col("hi"))
 
 
-def similar(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id: documents that links connect.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. A document's set
@@ -201,22 +282,26 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds: int = S
     members = live.groupBy("sig").agg(
         F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("g"), F.count("*").alias("n")
     )
-    once = members.where(F.col("n") > 1).groupBy("h", "g", "n").agg(F.min("sig").alias("sig")).select("sig")
+    once = members.where(F.col("n") > 1).groupBy("h", "g", "n").agg(F.min("sig").alias("sig")).select("sig", "n")
     live = stored(live.join(once, "sig"), "live")
-    texts = stored(read.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = stored(joined_few(read, live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "texts")
     links = _Links(texts, live, n, percent)
-    for turn in range(star_rounds):
-        by = F.struct(F.xxhash64(F.lit(turn), "rep") if turn else F.lit(0), "rep", "size", "label")
-        hub = links.open(live).withColumn("hub", F.min(by).over(Window.partitionBy("sig")))
+    for turn in range(STAR_ROUNDS):
+        share = F.count("*").over(Window.partitionBy("sig", "label"))
+        first = F.struct("share", F.xxhash64(F.lit(turn), "rep"), "rep", "size", "label")  # one of the largest component
+        hub = links.open(live).withColumn("share", share).withColumn("hub", F.max(first).over(Window.partitionBy("sig")))
         pairs = hub.where(F.col("label") != F.col("hub.label")).select(
             F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("na"), F.col("size").alias("nb")
         )
-        if not links.test(pairs):
-            break
-    rest = stored(links.open(live).select("sig", "rep", "size", "label"), "rest")
-    left = rest.select("sig", F.col("rep").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"))
-    right = rest.select("sig", F.col("rep").alias("b"), F.col("size").alias("nb"), F.col("label").alias("lb"))
-    links.test(left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))))
+        links.join(links.near(pairs))
+        if turn == 0:  # the one pair of a signature of two documents is tested now
+            live = stored(live.where(F.col("n") > 2), "live")
+    rest = links.open(live).select("sig", "rep", "size", "label").withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    rest = rest.withColumn("block", F.expr(f"(row_number() over (partition by sig order by rep) - 1) div {BLOCK}"))
+    rest = rest.join(links.sketches, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))))
+    member = F.struct("block", "rep", "size", "label", "sketch")
+    met = rest.groupBy("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(member).alias("every"))  # two blocks at most
+    links.join(met.select("lo", "hi", "every").mapInArrow(_near_in_block(percent), f"a {kind}, b {kind}"))
     found = nodes.join(links.labels.withColumnRenamed("rep", "keep_id"), "keep_id", "left")
     return found.select(
         "doc_id",

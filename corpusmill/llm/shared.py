@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Whitespace that separates words, as a Java character class body (fixed values).
 SPACE = r"\x20\x09-\x0D"
@@ -46,3 +49,51 @@ def whole_text(name: str = "text") -> Column:
 def cells_for(rows: int, per_cell: int, least: int = 1) -> int:
     """How many cells hold ``rows`` rows at about ``per_cell`` each."""
     return max(least, -(-rows // per_cell))
+
+
+#: Most bits of a membership filter: what is ever broadcast of one, 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = hashes.view(np.uint64)
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bitmap(bits: int):
+    def collect(batches):
+        held = np.zeros(bits, dtype=bool)
+        for pdf in batches:
+            for slot in _slots(pdf["h"].to_numpy(), bits):
+                held[slot] = True
+        words = np.packbits(held, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pd.DataFrame({"at": at, "word": words[at]})
+
+    return collect
+
+
+def joined_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``df`` left semi join ``ids`` on ``key``, for wide rows of which few are wanted.
+
+    Rows whose key a Bloom filter of the ids rules out are dropped before the
+    shuffle; the join that follows is exact. The filter has a fixed most size:
+    with more ids than it can tell apart it drops less, and only that.
+    """
+    n = ids.count()
+    bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+    found = ids.select(F.xxhash64(key).alias("h")).mapInPandas(_bitmap(bits), "at long, word long")
+    words = found.groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()  # FILTER_BITS / 64 rows at most
+    held = np.zeros(bits // 64, dtype=np.int64)
+    held[words["at"].to_numpy()] = words["word"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(held)
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(h: pd.Series) -> pd.Series:
+        mask = shared.value.view(np.uint64)
+        out = np.ones(len(h), dtype=bool)
+        for slot in _slots(h.to_numpy(), bits):
+            out &= (mask[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
+
+    return df.where(maybe(F.xxhash64(key))).join(ids, key, "left_semi")

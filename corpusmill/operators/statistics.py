@@ -165,3 +165,23 @@ def bootstrap(rows: DataFrame, by: str, value: str, draws: int = 2000, seed: int
     return out.select(
         by, "n", rounded("mean").alias("mean"), rounded(F.when(F.col("n") > most, F.col("mean") - wide).otherwise(F.col("low"))).alias("low"), rounded(F.when(F.col("n") > most, F.col("mean") + wide).otherwise(F.col("high"))).alias("high")
     )
+
+
+def comparison(both: DataFrame, metrics: dict[str, bool], alpha: float = 0.05) -> DataFrame:
+    """One row a metric of paired results: mean change, signed-rank p, chance of being better, verdict.
+
+    ``metrics``: name -> whether higher is better; columns are name_a, name_b.
+    Lower-is-better metrics compare absolute values.
+    """
+    out = None
+    for name, higher in metrics.items():
+        a, b = (F.col(f"{name}_{x}") if higher else F.abs(f"{name}_{x}") for x in "ab")
+        d = both.select((b - a).alias("d")).where("d is not null")
+        test, bayes = wilcoxon(d).select("n", "p"), bayesian_ab(d).select("posterior_mean", "p_better")
+        mean = d.agg(rounded(F.avg("d")).alias("delta"))
+        better = F.col("p_better") if higher else 1.0 - F.col("p_better")
+        good = (F.col("delta") > 0) if higher else (F.col("delta") < 0)
+        verdict = F.when(F.col("p").isNull() | (F.col("p") >= alpha), "no significant difference").when(good, "improved").otherwise("worse")
+        row = test.join(bayes).join(mean).select(F.lit(name).alias("metric"), "n", "delta", rounded("p", 6).alias("p"), rounded(better).alias("p_better"), verdict.alias("verdict"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -181,3 +181,27 @@ def shift_similarity(a: Column, b: Column, shifts: int = 12) -> Column:
     """The best cosine of a with any circular shift of b."""
     sims = [dot(a, F.concat(F.slice(b, i + 1, shifts - i), F.slice(b, 1, i)) if i else b) for i in range(shifts)]
     return F.greatest(*sims) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+
+
+def principal_axes(rows: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
+    """Coordinates of each vector on the k axes of most variance; an axis' first sizable weight is positive."""
+    _, mean, cov = moments(rows, vector)
+    _, axes = np.linalg.eigh(cov)
+    axes = axes[:, ::-1][:, :k]
+    axes *= np.where(axes[np.abs(axes).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+    v = F.transform(vector, lambda x: x.cast("double"))
+    coords = [rounded(dot(v, F.array(*[F.lit(float(x)) for x in axes[:, i]])) - F.lit(float(mean @ axes[:, i]))).alias(f"x{i + 1}") for i in range(k)]
+    return rows.select(key, *coords)
+
+
+def labelling_priority(unlabelled: DataFrame, labelled: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
+    """What to label next: z-scores of uncertainty (how split the neighbours' votes are) and diversity (how far they are), added."""
+    near = nearest(unlabelled, labelled, key, vector, 5)
+    votes = near.join(labelled.select(F.col(key).alias("id"), label), "id").groupBy("query", label).agg(F.count("*").alias("n"))
+    split = votes.groupBy("query").agg((1.0 - F.max("n") / F.sum("n")).alias("uncertainty"))
+    far = near.groupBy("query").agg((1.0 - F.max("similarity")).alias("diversity"))
+    both = split.join(far, "query")
+    stats = both.agg(*[f(c).alias(f"{n}_{c}") for c in ("uncertainty", "diversity") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda c: F.when(F.col(f"s_{c}") < 1e-12, 0.0).otherwise((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))
+    scored = both.join(F.broadcast(stats)).select(F.col("query").alias("id"), rounded(z("uncertainty") + z("diversity")).alias("priority"))  # one row
+    return scored.orderBy(F.desc("priority"), "id").limit(k)

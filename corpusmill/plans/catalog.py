@@ -96,3 +96,48 @@ QUERIES = {
         "select coalesce(nullif(song_id, ''), source_id) as song, count(*) as n, min(track_id) as first from tracks group by 1",
     ),
 }
+
+
+def onsets(s, d):
+    """Spacing of events: rate, mean gap and its variation."""
+    from pyspark.sql import Window
+
+    gap = F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    by = table(s, d, "events").select("user_id", gap.alias("g")).where("g is not null").groupBy("user_id")
+    return by.agg(F.count("*").alias("n"), rounded(F.avg("g")).alias("mean_gap"), rounded(F.stddev_pop("g") / F.avg("g")).alias("cv"))
+
+
+def compared(s, d):
+    from corpusmill.operators import statistics as st
+    from corpusmill.plans.analysis import paired
+
+    return st.comparison(paired(s, d), {"clap_score": True, "deviation": False})
+
+
+def labelling(s, d):
+    from corpusmill.operators import vectors as ve
+    from corpusmill.plans.analysis import vectors
+
+    return ve.labelling_priority(vectors(s, d).where("vec_id % 5 = 0"), vectors(s, d).where("vec_id % 5 <> 0"), "vec_id", "embedding", "label", 20)
+
+
+def axes(s, d):
+    from corpusmill.operators import vectors as ve
+    from corpusmill.plans.analysis import vectors
+
+    return ve.principal_axes(vectors(s, d), "vec_id", "embedding")
+
+
+QUERIES |= {
+    "onset_gaps": (
+        onsets,
+        f"""a as (select user_id, event_id - lag(event_id) over (partition by user_id order by event_id) as g from events) select user_id, count(*) as n, {r('avg(g)')} as mean_gap, {r('stddev_pop(g) / avg(g)')} as cv from a where g is not null group by user_id""",
+    ),
+    "midi_notes": (
+        lambda s, d: evaluation(s, d).select("event_id", F.bround(69.0 + 12.0 * F.log2((F.col("value") + 27.5) / 440.0)).cast("int").alias("note")),
+        "select event_id, cast(round_even(69 + 12 * log2((value + 27.5e0) / 440e0), 0) as int) as note from ev",
+    ),
+    "comparison_report": (compared, None),
+    "labelling_priority": (labelling, None),
+    "principal_axes": (axes, None),
+}

@@ -284,3 +284,18 @@ def test_early_stop_keeps_state(spark, tmp_path):
     stream = spark.readStream.schema("k string, at long, v double").parquet(f"{tmp_path}/x")
     got = {r.k: r for r in logs.drained(logs.early_stop(stream, "k", "v", "at"), "early_stop_test", "update").collect()}
     assert (got["a"].best, got["a"].since_best, got["a"].stop) == (0.5, 3, True) and not got["b"].stop
+
+
+def test_comparison_verdicts(spark):
+    rows = [(0.40 + 0.001 * i, 0.60 + 0.0011 * i, 0.05 + 0.0001 * i, -0.02) for i in range(12)]
+    both = spark.createDataFrame(rows, "clap_a double, clap_b double, dev_a double, dev_b double")
+    got = {r.metric: r for r in statistics.comparison(both, {"clap": True, "dev": False}).collect()}
+    assert all(r.verdict == "improved" and r.p < 0.05 and r.n == 12 and r.p_better > 0.99 for r in got.values())
+    same = spark.createDataFrame([(0.5, 0.5)] * 10, "clap_a double, clap_b double")
+    assert statistics.comparison(same, {"clap": True}).first().verdict == "no significant difference"
+
+
+def test_principal_axes(spark):
+    v = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.1 * (i % 2)]) for i in range(20)], "id long, v array<double>")
+    got = {r.id: r for r in vectors.principal_axes(v, "id", "v").collect()}
+    assert got[19].x1 - got[0].x1 == pytest.approx(19 * 5**0.5, abs=0.01) and abs(got[5].x2) < 0.1

@@ -12,6 +12,8 @@ from .shared import SPACE, cells_for, stored, whole_text
 MOST_EPOCHS = 3
 #: Rows of a source that one sorted cell holds, about.
 PER_CELL = 20_000
+#: Most sources whose rows are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def words(name: str = "text"):
@@ -44,26 +46,13 @@ def targets(sizes: list[tuple[str | None, int]], cycle: tuple[int, ...] = (1, 2,
     return [(s, n, t) for (s, n), t in zip(ordered, target, strict=True)]
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_cell: int = PER_CELL) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    Takes ``doc_id``, ``text`` and ``source``; other columns are ignored. Each
-    row gets a random key by hash. The keys' ranges cut every source, however
-    large, into cells; sums per cell give each cell's offset, and a running
-    sum inside the cell each row's place in its source. Whole epochs of the
-    source are taken first, then rows in key order up to the exact budget, the
-    row at the cut in part.
-
-    A null source is a source of its own; null and empty texts have no words
-    and give none. Rows that repeat a doc_id are rows like others. Reruns
-    agree. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, cycle: tuple[int, ...], seed: int, per_cell: int) -> DataFrame:
+    """Rows with their source's figures, whole epochs, and what is left of the budget before them."""
     cells = cells_for(docs.count(), per_cell, 256)
-    key = F.xxhash64(F.lit(seed), "doc_id")
     facts = stored(
         docs.select("doc_id", "source", words().alias("size"))
-        .withColumn("key", key)
-        .withColumn("cell", (F.shiftrightunsigned("key", 33) * cells / F.lit(float(2**31))).cast("int")),
+        .withColumn("key", _key(seed))
+        .withColumn("cell", (F.shiftright("key", 32) * cells / F.lit(float(2**31))).cast("int")),
         "mixing",
     )
     by_cell = stored(facts.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "mixing-cells")
@@ -87,27 +76,55 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_
     inside = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = facts.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at")))
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("run")
-    return joined.withColumn("epochs", whole).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"),
+    joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at"))).withColumn("epochs", whole)
+    return joined.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("run"))
+
+
+def _key(seed: int):
+    """A random number of 63 bits, so that cells by its first bits are ranges of it."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
+
+
+def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_cell: int = PER_CELL) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    Takes ``doc_id``, ``text`` and ``source``; other columns are ignored. Each
+    row gets a random key by hash. The keys' ranges cut every source, however
+    large, into cells; sums per cell give each cell's offset, and a running
+    sum inside the cell each row's place in its source. Whole epochs of the
+    source are taken first, then rows in key order up to the exact budget, the
+    row at the cut in part.
+
+    A null source is a source of its own; null and empty texts have no words
+    and give none. Rows that repeat a doc_id are rows like others. Reruns
+    agree. An empty table gives an empty result.
+    """
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest")))
+    return _placed(docs, cycle, seed, per_cell).select(
+        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+def mixed_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_cell: int = PER_CELL) -> DataFrame:
     """The mix itself: documents of which words are taken, with all columns.
 
     A document that is taken in k epochs, the last one perhaps in part, occurs
     k times; one of which nothing is taken goes. Documents without words are
-    no part of a mix by words: they stay once.
+    no part of a mix by words: they stay once. Rows that repeat the doc_id at
+    the cut are all taken once more.
+
+    What the mix decides is one row a source: its whole epochs, and the key
+    and doc_id at the cut. Documents are compared with that where they are,
+    and their texts are not shuffled.
     """
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
-    taken = mix(docs, cycle, seed).select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.max("times").alias("times"))
-    renamed = taken.select(F.col("doc_id").alias("_mix_id"), F.col("times").alias("_mix_times"))
-    joined = docs.join(renamed, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    copies = joined.where(F.col("_mix_times") > 0).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    return copies.select(*docs.columns)
+    placed = _placed(docs, cycle, seed, per_cell)
+    last = F.max(F.when((F.col("rest") > 0) & (F.col("size") > 0), F.struct("key", "doc_id")))
+    cuts = stored(placed.groupBy("source").agg(F.first("epochs").alias("_epochs"), last.alias("_last")), "cuts")
+    if cuts.count() <= MOST_BROADCAST:
+        cuts = F.broadcast(cuts)
+    cuts = cuts.withColumnRenamed("source", "_source")
+    here = F.struct(_key(seed).alias("key"), F.col("doc_id"))
+    times = F.col("_epochs") + F.when(here <= F.col("_last"), 1).otherwise(0)
+    times = F.when(~whole_text().rlike(rf"[^{SPACE}]"), F.lit(1)).otherwise(times).cast("int")
+    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", times).where(F.col("_times") > 0)
+    return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

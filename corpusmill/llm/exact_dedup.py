@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .heavy import COUNTERS, frequent
-from .shared import SPACE, stored, whole_text
+from .shared import SPACE, stored, whole_text, without_few
 
 
 def normalised(name: str = "text"):
@@ -73,4 +73,4 @@ def keep_first(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     Only the ids of the dropped rows are shuffled against the documents.
     """
     out = exact_dedup(docs, counters).where(~F.col("kept")).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti")
+    return without_few(docs, out, "doc_id")

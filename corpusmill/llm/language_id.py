@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import without_few
 from .utf8 import rows
 
 #: Documents of one language that training reads, about: the bound of the sample.
@@ -185,4 +186,4 @@ def keep_identified(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFram
     """
     found = identify_documents(docs, per_language)
     out = found.where((F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti")
+    return without_few(docs, out, "doc_id")

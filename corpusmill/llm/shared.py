@@ -73,12 +73,10 @@ def _bitmap(bits: int):
     return collect
 
 
-def joined_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``df`` left semi join ``ids`` on ``key``, for wide rows of which few are wanted.
+def _maybe_in(ids: DataFrame, key: str) -> Column:
+    """Whether a row's key may be among the ids: a Bloom filter of a fixed most size.
 
-    Rows whose key a Bloom filter of the ids rules out are dropped before the
-    shuffle; the join that follows is exact. The filter has a fixed most size:
-    with more ids than it can tell apart it drops less, and only that.
+    With more ids than it can tell apart it holds for more rows, and only that.
     """
     n = ids.count()
     bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
@@ -86,7 +84,7 @@ def joined_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     words = found.groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()  # FILTER_BITS / 64 rows at most
     held = np.zeros(bits // 64, dtype=np.int64)
     held[words["at"].to_numpy()] = words["word"].to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(held)
+    shared = ids.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf(T.BooleanType())
     def maybe(h: pd.Series) -> pd.Series:
@@ -96,4 +94,25 @@ def joined_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             out &= (mask[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return pd.Series(out)
 
-    return df.where(maybe(F.xxhash64(key))).join(ids, key, "left_semi")
+    return maybe(F.xxhash64(key))
+
+
+def joined_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``df`` left semi join ``ids`` on ``key``, for wide rows of which few are wanted.
+
+    Only rows that a filter of the ids lets through are shuffled; the join that
+    follows is exact.
+    """
+    ids = stored(ids, "ids")
+    return df.where(_maybe_in(ids, key)).join(ids, key, "left_semi")
+
+
+def without_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``df`` left anti join ``ids`` on ``key``, for wide rows of which few go.
+
+    Rows that a filter of the ids rules out stay where they are; the others
+    are joined.
+    """
+    ids = stored(ids, "ids")
+    maybe = _maybe_in(ids, key)
+    return df.where(~maybe).unionByName(df.where(maybe).join(ids, key, "left_anti").select(*df.columns))

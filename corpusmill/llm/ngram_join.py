@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .exact_dedup import groups
 from .heavy import frequent
-from .shared import joined_few, stored
+from .shared import joined_few, stored, without_few
 from .shingles import mixed, shingle_set
 from .utf8 import rows
 
@@ -22,7 +22,7 @@ SECOND = 3
 #: Rounds that test each signature's documents against one of them.
 STAR_ROUNDS = 3
 #: Most cells of a sketch.
-CELLS = 1 << 14
+CELLS = 1 << 17
 #: Documents of one signature that are compared with each other at a time.
 BLOCK = 512
 
@@ -108,18 +108,20 @@ def _signed(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def sketch(sets: np.ndarray) -> np.ndarray:
-    """Sums of element hashes by cell, one byte each: sets that differ in a cell differ in an element of it.
+    """Parities of the numbers of elements by cell: cells in which sets differ hold elements in which they differ.
 
-    Cells are the low bits of a hash, somewhat more than elements, so that
-    sketches of different lengths compare after folding.
+    Cells are the low bits of a hash, about twice as many as elements, packed
+    into 64-bit words, so that sketches of different lengths compare after
+    folding.
     """
-    cells = min(CELLS, 1 << max(6, len(sets).bit_length()))
+    cells = min(CELLS, 1 << max(6, (2 * len(sets)).bit_length()))
     h = mixed(sets ^ np.uint64(0x5851F42D4C957F2D))
-    return np.bincount((h & np.uint64(cells - 1)).astype(np.int64), (h >> np.uint64(56)).astype(np.float64), cells).astype(np.int64).astype(np.uint8)
+    odd = np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _fold(one: np.ndarray, cells: int) -> np.ndarray:
-    return one.reshape(-1, cells).sum(axis=0, dtype=np.uint8)
+def _fold(one: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(one.reshape(-1, words), axis=0)
 
 
 def differ_at_most(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -135,9 +137,9 @@ def _near(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             most = differ_at_most(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
             keep = []
             for x, y, m in zip(batch.column(4), batch.column(5), most, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-                cells = min(len(x), len(y))
-                keep.append(np.count_nonzero(_fold(x, cells) != _fold(y, cells)) <= m)
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                keep.append(np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum() <= m)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return check
@@ -151,14 +153,14 @@ def _near_in_block(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             pairs: list[tuple] = []
             for lo, hi, every in zip(*(batch.column(k) for k in range(3)), strict=True):
                 lo, hi, every = lo.as_py(), hi.as_py(), every.as_py()
-                cells = min(len(m["sketch"]) for m in every)
+                words = min(len(m["sketch"]) for m in every) // 8
                 one, two = ([m for m in every if m["block"] == k] for k in (lo, hi))
-                y = np.stack([_fold(np.frombuffer(m["sketch"], np.uint8), cells) for m in two])
+                y = np.stack([_fold(np.frombuffer(m["sketch"], np.uint64), words) for m in two])
                 sizes, labels = np.array([m["size"] for m in two]), [m["label"] for m in two]
                 for m in one:
                     on = [j for j, o in enumerate(two) if labels[j] != m["label"] and (lo != hi or o["rep"] > m["rep"])]
                     if on:
-                        differ = np.count_nonzero(y[on] != _fold(np.frombuffer(m["sketch"], np.uint8), cells), axis=1)
+                        differ = np.bitwise_count(y[on] ^ _fold(np.frombuffer(m["sketch"], np.uint64), words)).sum(axis=1)
                         near = differ <= differ_at_most(sizes[on], m["size"], percent)
                         pairs += [(m["rep"], two[j]["rep"]) for j, ok in zip(on, near, strict=True) if ok]
             kind = batch.schema.field(2).type.value_type.field("rep").type
@@ -290,6 +292,8 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         share = F.count("*").over(Window.partitionBy("sig", "label"))
         first = F.struct("share", F.xxhash64(F.lit(turn), "rep"), "rep", "size", "label")  # one of the largest component
         hub = links.open(live).withColumn("share", share).withColumn("hub", F.max(first).over(Window.partitionBy("sig")))
+        if turn:  # where nothing has linked yet, another hub would not tell more than the blocks below
+            hub = hub.where(F.col("hub.share") > 1)
         pairs = hub.where(F.col("label") != F.col("hub.label")).select(
             F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("na"), F.col("size").alias("nb")
         )
@@ -313,7 +317,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one of the smallest doc_id, with all columns."""
     out = similar(docs, n, percent).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti")
+    return without_few(docs, out, "doc_id")
 
 
 def brute_force(texts: dict[int, str | None], n: int, percent: int) -> dict[int, tuple[int, int]]:

@@ -13,6 +13,7 @@ from corpusmill.llm import bit_sliced, components, exact_dedup, heavy, language_
 from corpusmill.llm.automaton import Automaton, Rule
 from corpusmill.llm.loser_tree import front_code, merge
 from corpusmill.llm.queries import _span_columns
+from corpusmill.llm.shared import joined_few, without_few
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, row string, sig string, label string, n int, key string, cell int, kind string, keep_id long"
 
@@ -205,6 +206,22 @@ def test_mixing(spark, corpus):
     assert again == {i: r.taken for i, r in rows.items()}
 
 
+def test_mixed_documents_follow_the_mix(spark, corpus):
+    docs = table(spark, corpus)
+    taken = {r.doc_id: (r.size, r.taken) for r in mixing.mix(docs, per_cell=5).collect()}
+    times = {}
+    for r in mixing.mixed_documents(docs, per_cell=5).collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert times == {i: -(-t // n) if n else 1 for i, (n, t) in taken.items() if t or not n}
+
+
+def test_joined_few_is_a_semi_join(spark):
+    wide, ids = spark.range(2000).withColumn("x", F.lit("t")), spark.range(0, 4000, 7)
+    assert {r.id for r in joined_few(wide, ids, "id").collect()} == set(range(0, 2000, 7))
+    assert joined_few(wide, ids.limit(0), "id").count() == 0
+    assert {r.id for r in without_few(wide, ids, "id").collect()} == set(range(2000)) - set(range(0, 2000, 7))
+
+
 def test_targets_reshare_the_excess():
     found = mixing.targets([("a", 100), ("b", 1), (None, 10), ("c", 0)])
     assert [s for s, _, _ in found] == ["a", "b", "c", None]
@@ -265,8 +282,8 @@ def test_sketches_never_overstate_the_difference():
         a = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
         b = np.concatenate([a[: rng.integers(1, 300)], rng.integers(0, 2**63, 40).astype(np.uint64)])
         x, y = ngram_join.sketch(a), ngram_join.sketch(b)
-        cells = min(len(x), len(y))
-        assert (ngram_join._fold(x, cells) != ngram_join._fold(y, cells)).sum() <= len(np.setxor1d(a, b))
+        words = min(len(x), len(y))
+        assert np.bitwise_count(ngram_join._fold(x, words) ^ ngram_join._fold(y, words)).sum() <= len(np.setxor1d(a, b))
 
 
 def test_components(spark):

@@ -188,11 +188,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, per_block: int =
 
     index = stored(blocks(vectors, per_block), "index")
     asked = blocks(queries, per_batch)
-    # every batch of queries meets every block: a stated query set, in blocks
+    # every batch of queries meets every block, two batches to a task: a stated query set, in blocks
+    groups = cells_for(cells_for(queries.count(), per_batch), 2)
     parts = index.groupBy("dims").agg(F.collect_list("part").alias("parts"))  # one number a block
-    asked = asked.join(parts, "dims").select(
-        "dims", F.explode("parts").alias("part"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body")
-    )
-    met = index.join(asked, ["dims", "part"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    asked = asked.withColumn("turn", F.expr("part div 2")).join(parts, "dims")
+    asked = asked.select("dims", F.explode("parts").alias("part"), "turn", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
+    met = index.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    keys, spread = ["dims", "part", "turn"], 2 * groups * cells_for(vectors.count(), per_block)
+    met = met.repartition(spread, *keys).join(asked.repartition(spread, *keys), keys)
+    met = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

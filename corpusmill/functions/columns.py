@@ -73,16 +73,14 @@ def any_separator(c: Column | str) -> Column:
 
 
 def syllables(c: Column | str) -> Column:
-    """Syllables of a line: vowel groups of each word, one at least; a final e does not count."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(col(c)), "[^a-z' ]", " "), " +"), lambda w: F.length(F.replace(w, F.lit("'"), F.lit(""))) > 0)
-
-    def of(word: Column) -> Column:
-        bare = F.replace(word, F.lit("'"), F.lit(""))
-        bare = F.when((F.length(bare) > 2) & F.endswith(bare, F.lit("e")), F.expr("1")).otherwise(F.lit(0)), bare
-        cut = F.when(bare[0] == 1, F.left(bare[1], F.length(bare[1]) - 1)).otherwise(bare[1])
-        return F.greatest(F.lit(1), F.size(F.regexp_extract_all(cut, F.lit("[aeiouy]+"), F.lit(0))))
-
-    return F.aggregate(words, F.lit(0), lambda a, w: a + of(w))
+    """Syllables of a line: vowel groups of each word, one at least; a final e of words over two letters does not count.
+
+    Words are counted on the whole line at once: final e's are cut, then
+    vowel groups and words without any vowel are added up.
+    """
+    plain = F.replace(F.regexp_replace(F.lower(col(c)), "[^a-z' ]", " "), F.lit("'"), F.lit(""))
+    cut = F.regexp_replace(plain, r"\b([a-z]{2,})e\b", "$1")
+    return F.regexp_count(cut, F.lit("[aeiouy]+")) + F.regexp_count(cut, F.lit(r"\b[b-df-hj-np-tv-xz]+\b"))
 
 
 #: Lines that are no lyrics (fixed values).

@@ -20,5 +20,31 @@ s as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 20
+""",
+    "op9_ngram_join": r"""
+with recursive words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (
+    select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents where text is not null)),
+runs as (
+  select doc_id, i, count(*) over (partition by doc_id) as n,
+         concat_ws(' ', word, lead(word) over o, lead(word, 2) over o) as gram
+  from words window o as (partition by doc_id order by i)),
+grams as (select distinct doc_id, gram from runs where i <= greatest(1, n - 2)),
+sizes as (select doc_id, count(gram) as n_shingles from documents left join grams using (doc_id) group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id
+  where 100 * c >= 90 * (x.n_shingles + y.n_shingles - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as node, doc_id as least from documents
+  union
+  select l.b, r.least from reach r join both_ways l on l.a = r.node)
+select doc_id, n_shingles, min(least) as component_id
+from sizes join reach on doc_id = node group by doc_id, n_shingles
 """,
 }

@@ -356,3 +356,20 @@ def test_pipeline(spark, tmp_path):
     two = spark.read.parquet(f"{folder}/2")
     want = ngram_join.brute_force({r.doc_id: r.text for r in spark.read.parquet(f"{folder}/1").collect()}, 5, 80)
     assert {r.doc_id for r in two.collect()} == {i for i, (_, c) in want.items() if c == i}
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op5_bit_sliced_top_k", "op9_ngram_join"])
+def test_rows_equal_sql(spark, name):
+    """Queries that SQL expresses give its rows over whole tables."""
+    import duckdb
+
+    from corpusmill.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, folder).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources.views import duckdb_views
 
-from . import analysis, catalog, corpus, datasets, evaluation, extras, texts
+from . import analysis, catalog, corpus, datasets, evaluation, extras, studio, texts
 
-MODULES = (evaluation, corpus, analysis, datasets, extras, catalog, texts)
+MODULES = (evaluation, corpus, analysis, datasets, extras, catalog, texts, studio)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,3 +26,11 @@ def oracle_sql() -> dict[str, str]:
                 sql = sql.strip()
                 found[name] = duckdb_views() + ("\n" if sql.startswith(("select", "(")) else ",\n") + sql
     return found
+
+
+def run(task: str, spark: SparkSession, folder: str) -> DataFrame:
+    """The query of this name; an unknown name says which there are."""
+    known = queries()
+    if task not in known:
+        raise ValueError(f"no query {task!r}; there are {', '.join(sorted(known))}")
+    return known[task](spark, folder)

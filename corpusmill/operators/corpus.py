@@ -244,10 +244,18 @@ def ratio_split(groups: DataFrame, key: str, ratios: tuple[float, float, float],
 
 
 def folds(groups: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Contiguous slices of the hash order, sizes one apart at most."""
-    w = Window.orderBy(by_hash(seed, key), key)  # groups are songs: few beside rows
-    nth, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy())
-    return groups.withColumn("fold", F.floor(((nth + 1) * k - 1) / n).cast("int"))
+    """Contiguous slices of the hash order, sizes one apart at most.
+
+    Ranges of the hash are numbered each by itself, behind the counts of the
+    1,023 others at most.
+    """
+    h = by_hash(seed, key)
+    rows = groups.withColumn("_cell", F.shiftright(h, 54))
+    counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(h, key))
+    return rows.join(F.broadcast(placed), "_cell").withColumn("fold", F.floor((nth * k - 1) / F.col("_all")).cast("int")).drop("_cell", "_before", "_all")
 
 
 def balanced(rows: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:

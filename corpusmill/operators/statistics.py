@@ -28,13 +28,25 @@ def pairs(one: DataFrame, two: DataFrame, keys: list[str], metrics: list[str], o
     return left.join(right, same).drop(*[f"{k}_r" for k in keys])
 
 
+def cells(rows: DataFrame, value: str, n: int = 256) -> Column:
+    """Which of up to n about equally full ranges a value lies in, so that no single task orders all values.
+
+    The limits are n numbers at most; equal values share a range.
+    """
+    marks = rows.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0]
+    limits = F.array(*[F.lit(m) for m in sorted(set(marks or []))]).cast("array<double>")
+    return F.size(F.filter(limits, lambda m: m < F.col(value)))
+
+
 def signed_ranks(diffs: DataFrame, value: str = "d") -> DataFrame:
     """One row: n non-zero differences, rank sums W+ and W-, tie term; equal sizes share a mean rank."""
     real = diffs.where(F.abs(value) > 1e-12).select(F.abs(value).alias("size"), (F.col(value) > 0).alias("up"))
     by = real.groupBy("size").agg(F.count("*").alias("t"), F.count_if("up").alias("u"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # distinct sizes, pre-aggregated
-    rank = below + (F.col("t") + 1) / 2.0
-    ranked = by.withColumn("rank", rank)
+    ranged = by.withColumn("cell", cells(by, "size"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("cell").agg(F.sum("t").alias("held")).select("cell", F.coalesce(F.sum("held").over(before.orderBy("cell")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("t").over(before.partitionBy("cell").orderBy("size")), F.lit(0))
+    ranked = ranged.join(F.broadcast(base), "cell").withColumn("rank", F.col("base") + inside + (F.col("t") + 1) / 2.0)  # a row a cell
     return ranked.agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("rank") * F.col("u")), F.lit(0.0)).alias("w_plus"),
@@ -129,13 +141,13 @@ def _stability(by: DataFrame, bins: int | None, floor: float) -> DataFrame:
 def ks(rows: DataFrame, value: str, current: Column) -> DataFrame:
     """Kolmogorov-Smirnov distance of current rows and the others; values are counted before they are ordered."""
     by = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(current).alias("c"), F.count_if(~current).alias("r"))
-    cells = by.withColumn("cell", F.floor(F.col("v") / 5.0))  # ranges, so that no single task orders all values
-    sums = cells.groupBy("cell").agg(F.sum("c").alias("sc"), F.sum("r").alias("sr"))
+    ranged = by.withColumn("cell", cells(by, "v"))
+    sums = ranged.groupBy("cell").agg(F.sum("c").alias("sc"), F.sum("r").alias("sr"))
     upto = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("cell", F.coalesce(F.sum("sc").over(upto), F.lit(0)).alias("bc"), F.coalesce(F.sum("sr").over(upto), F.lit(0)).alias("br"))
     inside = Window.partitionBy("cell").orderBy("v")
     total = by.agg(F.sum("c").alias("n"), F.sum("r").alias("m"))
-    run = cells.join(base, "cell").withColumn("fc", F.col("bc") + F.sum("c").over(inside)).withColumn("fr", F.col("br") + F.sum("r").over(inside))
+    run = ranged.join(F.broadcast(base), "cell").withColumn("fc", F.col("bc") + F.sum("c").over(inside)).withColumn("fr", F.col("br") + F.sum("r").over(inside))
     gap = F.max(F.abs(F.col("fc") / F.col("n") - F.col("fr") / F.col("m")))
     return run.join(F.broadcast(total)).groupBy("n", "m").agg(rounded(gap, 6).alias("distance"))  # one row
 

@@ -37,7 +37,7 @@ def dedup(s, d):
 
 
 def shifted(s, d):
-    v = vectors(s, d).where("vec_id < 40").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 12).alias("v"))
+    v = vectors(s, d).select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 12).alias("v"))
     one = v.where("vec_id = 0").select(F.col("v").alias("w"))
     return v.join(F.broadcast(one)).select("vec_id", rounded(ve.shift_similarity(F.col("v"), F.col("w"))).alias("similarity"))
 

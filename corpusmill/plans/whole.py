@@ -1,0 +1,48 @@
+"""Queries over whole tables whose namesakes without ``_all`` cover a range of ids, as their SQL does."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusmill.functions.columns import rounded
+from corpusmill.operators import catalog, corpus, datasets, extras
+from corpusmill.operators import vectors as ve
+from corpusmill.sources.views import evaluation, table, tracks
+
+from .analysis import vectors
+
+
+def manifests(s, d):
+    """Each run of 200 events against the one before it."""
+    run = F.floor(F.col("event_id") / 200).cast("long")
+    rows = lambda shift: evaluation(s, d).select(F.concat_ws("/", run + shift, "prompt").alias("at"), "status", "section")
+    return corpus.unified(rows(1), rows(0), "at", ["status", "section"])
+
+
+def costs(s, d):
+    kinds = F.array(*[F.lit(x) for x in ("large", "medium", "small", "tiny")])
+    c = extras.energy_cost(F.concat(F.lit("gen-"), F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int"))), F.col("seed_no") + 1)
+    return evaluation(s, d).select("event_id", c.alias("c")).select("event_id", "c.params", rounded(F.col("c.kwh") * 1e9, 4).alias("nkwh"))
+
+
+def merged(s, d):
+    t = table(s, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("checkpoint"), F.floor(F.col("vec_id") / 3).cast("int").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
+    weights = s.createDataFrame([(0, 1.0), (1, 2.0), (2, 1.0)], "checkpoint int, w double")
+    return datasets.weighted_merge(t, weights)
+
+
+def sides(s, d):
+    return vectors(s, d).withColumn("side", (F.col("label") % 2).cast("long"))
+
+
+QUERIES = {
+    "fixed_windows_all": (lambda s, d: corpus.fixed_windows(tracks(s, d), "source_id", 30.0, 10.0, 8.0), None),
+    "section_filter_all": (lambda s, d: evaluation(s, d).where(F.col("section").isin("click", "view")).select("event_id", "section"), None),
+    "energy_costs_all": (costs, None),
+    "run_manifest_diff_all": (manifests, None),
+    "kernel_discrepancy_all": (lambda s, d: extras.kernel_discrepancy(sides(s, d).where("side = 0"), sides(s, d).where("side = 1"), "vec_id", "embedding", 1.0), None),
+    "one_nn_accuracy_all": (lambda s, d: extras.one_nn_accuracy(sides(s, d), "vec_id", "embedding", "side"), None),
+    "vocabulary_tags_all": (lambda s, d: catalog.tags_for(vectors(s, d).where("vec_id >= 20"), vectors(s, d).where("vec_id < 20"), "vec_id", "embedding", 3, 0.1), None),
+    "nearest_tracks_all": (lambda s, d: ve.nearest(vectors(s, d), vectors(s, d), "vec_id", "embedding", 5).select("query", "rank", "id"), None),
+    "merged_weights_all": (merged, None),
+}

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .loser_tree import front_code, merge
@@ -36,6 +36,8 @@ RUN_BYTES = 2 << 20
 PER_BUCKET = 400_000
 #: Suffix records that one task merges at a time, about.
 PER_MERGE = 150_000
+#: A run tells how often it has a kind of anchor from this number on.
+FEW = 4
 #: Stands for a null doc_id, which is larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -158,7 +160,7 @@ def _runs(run_bytes: int):
 
 
 def _kinds(buckets: int):
-    """Each run's kinds of anchors, by bucket; several: seen in two documents of the run."""
+    """Each run's kinds of anchors, by bucket; several: seen in two documents of the run; often, times: which it has FEW times or more, and how often."""
 
     def list_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +172,12 @@ def _kinds(buckets: int):
                 np.minimum.at(lo, run.kind, run.doc)
                 np.maximum.at(hi, run.kind, run.doc)
                 several = lo < hi
+                times = np.bincount(run.kind, minlength=len(run.kinds)).astype(np.uint32)
                 bucket = _bucket(run.kinds, buckets)
                 have, first = np.unique(bucket, return_index=True)
                 cut = [*first, len(bucket)]
                 parts = [slice(cut[i], cut[i + 1]) for i in range(len(have))]
+                often = [np.flatnonzero(times[p] >= FEW) for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(have, pa.int64()),
@@ -181,40 +185,114 @@ def _kinds(buckets: int):
                         pa.array([run.kinds[p].astype(np.uint32).tobytes() for p in parts], pa.binary()),
                         pa.array([(run.kinds[p] >> np.uint64(32)).astype(np.uint8).tobytes() for p in parts], pa.binary()),
                         pa.array([np.packbits(several[p]).tobytes() for p in parts], pa.binary()),
+                        pa.array([o.astype(np.uint32).tobytes() for o in often], pa.binary()),
+                        pa.array([times[p][o].tobytes() for p, o in zip(parts, often, strict=True)], pa.binary()),
                     ],
-                    ["bucket", "run", "low", "high", "several"],
+                    ["bucket", "run", "low", "high", "several", "often", "times"],
                 )
 
     return list_kinds
 
 
-def _find_repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each run's kinds in a bucket, which ones any two documents have.
+def _find_repeated(per_merge: int):
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each run's kinds in a bucket, which ones any two documents have.
 
-    Kinds are compared by 40 bits besides the bucket's: two may be taken for
-    one, which adds candidates and changes no result.
-    """
-    low = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
-    kinds = np.concatenate(low).astype(np.uint64) | (np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(pdf["several"], low, strict=True)]) > 0
-    by = np.argsort(kinds, kind="stable")
-    ordered = kinds[by]
-    start = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]) != 0)
-    size = np.diff(np.append(start, len(ordered)))
-    yes = (size > 1) | np.logical_or.reduceat(several[by], start)
-    repeated = np.empty(len(kinds), dtype=bool)
-    repeated[by] = np.repeat(yes, size)
-    cut = np.cumsum([len(x) for x in low])[:-1]
-    parts = np.split(repeated, cut)
-    return pd.DataFrame({"run": pdf["run"], "bucket": pdf["bucket"], "size": [len(p) for p in parts], "found": [int(p.sum()) for p in parts], "bits": [np.packbits(p).tobytes() for p in parts]})
-
-
-def _repeated(run: Run, marks: list[dict] | None) -> np.ndarray:
-    """Which of a run's kinds are repeated."""
-    parts = [np.unpackbits(np.frombuffer(m["bits"], np.uint8))[: m["size"]] for m in sorted(marks or [], key=lambda m: m["bucket"])]
+        hot has those of which there may be over ``per_merge`` records, bits the
+        others. Kinds are compared by 40 bits besides the bucket's: two may be
+        taken for one, which adds candidates and changes no result.
+        """
+        low = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
+        kinds = np.concatenate(low).astype(np.uint64) | (np.frombuffer(b"".join(pdf["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(pdf["several"], low, strict=True)]) > 0
+        begin = np.cumsum([0, *(len(x) for x in low)])
+        times = np.ones(len(kinds), dtype=np.int64)
+        for at, often, n in zip(begin, pdf["often"], pdf["times"], strict=False):
+            times[at + np.frombuffer(often, np.uint32).astype(np.int64)] = np.frombuffer(n, np.uint32)
+        most = np.where(times < FEW, FEW - 1, times)  # of records
+        by = np.argsort(kinds, kind="stable")
+        ordered = kinds[by]
+        start = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]) != 0)
+        size = np.diff(np.append(start, len(ordered)))
+        yes = (size > 1) | np.logical_or.reduceat(several[by], start)
+        many = np.add.reduceat(most[by], start) > per_merge
+        repeated, hot = np.empty(len(kinds), dtype=bool), np.empty(len(kinds), dtype=bool)
+        repeated[by] = np.repeat(yes & ~many, size)
+        hot[by] = np.repeat(yes & many, size)
+        parts, hots = np.split(repeated, begin[1:-1]), np.split(hot, begin[1:-1])
+        found = [int(x[p].sum()) for x, p in zip(np.split(times, begin[1:-1]), parts, strict=True)]
+        return pd.DataFrame(
+            {
+                "run": pdf["run"],
+                "bucket": pdf["bucket"],
+                "size": [len(p) for p in parts],
+                "found": found,
+                "bits": [np.packbits(p).tobytes() for p in parts],
+                "hot": [np.packbits(h).tobytes() if h.any() else None for h in hots],
+            }
+        )
+
+    return find
+
+
+def _repeated(run: Run, marks: list[dict] | None, name: str = "bits") -> np.ndarray:
+    """Which of a run's kinds are repeated, or hot."""
+    parts = [np.unpackbits(np.frombuffer(m[name] or bytes(-(-m["size"] // 8)), np.uint8))[: m["size"]] for m in sorted(marks or [], key=lambda m: m["bucket"])]
     return np.concatenate([*parts, np.zeros(0, np.uint8)]).astype(bool) if parts else np.zeros(len(run.kinds), dtype=bool)
 
 
+def _hot_passages(run: Run, marks: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The passages around a run's hot anchors: (start, owner, number among the different ones) of each, and where to find each different one."""
+    use = np.flatnonzero(_repeated(run, marks, "hot")[run.kind])
+    start = run.at[use, None] - np.arange(BEFORE + 1)
+    inside = (start >= run.begin[use, None]) & (start + SPAN <= run.end[use, None])
+    start, first = np.unique(start[inside], return_index=True)
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    owner = run.ids[np.broadcast_to(run.doc[use, None], inside.shape)[inside][first]]
+    rows = np.lib.stride_tricks.sliding_window_view(run.body, SPAN)[start]
+    _, one, nth = np.unique(np.ascontiguousarray(rows).view(f"S{SPAN}").ravel(), return_index=True, return_inverse=True)
+    return start, owner, nth, start[one]
+
+
+def _least_owners(owner: np.ndarray, nth: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, NO_ID)
+    np.minimum.at(least, nth, owner)
+    return least
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run's different passages around hot anchors, with the smallest doc_id."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            run = Run.read(row)
+            run.anchors()
+            _, owner, nth, one = _hot_passages(run, row["marks"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["run"]] * len(one), pa.int64()),
+                    pa.array(np.arange(len(one)), pa.int64()),
+                    pa.array([run.body[p : p + SPAN].tobytes() for p in one], pa.binary()),
+                    pa.array(_least_owners(owner, nth, len(one)), pa.int64()),
+                ],
+                ["run", "nth", "passage", "owner"],
+            )
+
+
+def _hot_covered(run: Run, marks: list[dict] | None, found: list[dict] | None) -> np.ndarray:
+    """Which bytes of the run are removed as parts of passages around hot anchors."""
+    start, owner, nth, one = _hot_passages(run, marks)
+    least = _least_owners(owner, nth, len(one))
+    if found:
+        least[[x["nth"] for x in found]] = [x["least"] for x in found]
+    edge = np.zeros(len(run.body) + 1, dtype=np.int64)
+    gone = start[least[nth] < owner] if len(start) else start
+    np.add.at(edge, gone, 1)
+    np.add.at(edge, gone + SPAN, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _front_coded(buckets: int):
     """Each run's sorted records, front-coded, with their owners, by bucket."""
 
@@ -327,7 +405,7 @@ def _remove(buckets: int, texts: bool):
                 run = Run.read(row)
                 run.anchors()
                 run.suffixes(_repeated(run, row["marks"]), buckets)
-                gone = _covered(run, row["found"])
+                gone = _covered(run, row["found"]) | _hot_covered(run, row["marks"], row["passages"])
                 out = []
                 for i, end in enumerate(run.ends):
                     begin = run.ends[i - 1] if i else 0
@@ -345,7 +423,7 @@ def _remove(buckets: int, texts: bool):
     return remove
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False, run_bytes: int = RUN_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, run_bytes: int = RUN_BYTES, per_merge: int = PER_MERGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every document.
 
     Takes ``doc_id`` (an integer) and ``text``; other columns are ignored. A
@@ -361,6 +439,9 @@ def remove_repeats(docs: DataFrame, texts: bool = False, run_bytes: int = RUN_BY
     bytes from the anchor on, 26 before it), front-codes them and sends them
     by ranges of the anchor's hash; each range is merged by a loser tree over
     the runs. The merge's order and shared prefixes tell which passages agree.
+    Anchors that may have over ``per_merge`` records are not merged: each run
+    sends the different passages around them with the smallest doc_id of each,
+    so that a passage is one row a run at most wherever it is common.
     Documents are written once, bucketed by run, and joined with what comes
     back without being shuffled.
     """
@@ -378,18 +459,23 @@ def remove_repeats(docs: DataFrame, texts: bool = False, run_bytes: int = RUN_BY
     runs = spark.table(name)
     size = runs.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
     kinds = cells_for(size // 12, PER_BUCKET, parts)
-    listed = runs.mapInArrow(_kinds(kinds), "bucket long, run long, low binary, high binary, several binary")
+    listed = runs.mapInArrow(_kinds(kinds), "bucket long, run long, low binary, high binary, several binary, often binary, times binary")
     repeated = stored(
-        listed.groupBy("bucket").applyInPandas(_find_repeated, "run long, bucket long, size long, found long, bits binary"), "repeated"
+        listed.groupBy("bucket").applyInPandas(_find_repeated(per_merge), "run long, bucket long, size long, found long, bits binary, hot binary"), "repeated"
     )
-    buckets = cells_for(repeated.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0], PER_MERGE, parts)
-    marks = repeated.groupBy("run").agg(F.collect_list(F.struct("bucket", "size", "bits")).alias("marks"))  # a run's own anchors
+    buckets = cells_for(repeated.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0], per_merge, parts)
+    marks = repeated.groupBy("run").agg(F.collect_list(F.struct("bucket", "size", "bits", "hot")).alias("marks"))  # a run's own anchors
     marked = runs.join(marks, "run", "left")
     coded = marked.mapInArrow(_front_coded(buckets), "bucket long, run long, shared binary, tails binary, owners binary")
     merged = stored(coded.groupBy("bucket").applyInPandas(_merge_bucket, "run long, bucket long, least binary, mask binary"), "merged")
     found = merged.groupBy("run").agg(F.collect_list(F.struct("bucket", "least", "mask")).alias("found"))  # a run's own records
+    told = spark.createDataFrame([], "run long, passages array<struct<nth: long, least: long>>")
+    if not repeated.where("hot is not null").isEmpty():
+        each = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull())).mapInArrow(_passages, "run long, nth long, passage binary, owner long")
+        least = each.withColumn("least", F.min("owner").over(Window.partitionBy("passage"))).where("least < owner")  # one row a run
+        told = stored(least.groupBy("run").agg(F.collect_list(F.struct("nth", "least")).alias("passages")), "passages")  # a run's own passages
     out = stored(
-        marked.join(found, "run", "left").mapInArrow(
+        marked.join(found, "run", "left").join(told, "run", "left").mapInArrow(
             _remove(buckets, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
         ),
         "kept",

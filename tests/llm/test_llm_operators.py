@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,23 @@ def test_suffixes(spark, corpus):
     assert found == suffixes.brute_force(texts(corpus))
 
 
+def test_suffixes_hot_anchor(spark):
+    """A phrase of which nearly each document has another record goes by its passages, with the same result."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    phrase = "licensed to everyone under the terms of the common licence of all documents"
+    ends = [" ".join(word() for _ in range(8)) for _ in range(6)]
+    rows = [(rng.randrange(10**6), f"{word()} {word()} {rng.choice(ends)} {phrase[: rng.choice((30, 60, 75))]} {rng.choice(ends)} {word()}", "s") for _ in range(150)]
+    want = suffixes.brute_force({i: t for i, t, _ in rows})
+    rows = list({i: (i, t, s) for i, t, s in rows}.values())
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(table(spark, rows), run_bytes=2000, per_merge=40).collect()}
+    assert found == want and sum(x[2] for x in found.values()) > 100
+    kinds = np.array([7, 9], np.uint32).tobytes()
+    runs = pd.DataFrame({"bucket": [0] * 3, "run": range(3), "low": [kinds] * 3, "high": [bytes(2)] * 3, "several": [bytes(1)] * 3, "often": [np.array([1], np.uint32).tobytes()] * 3, "times": [np.array([20], np.uint32).tobytes()] * 3})
+    out = suffixes._find_repeated(40)(runs)
+    assert set(out["bits"]) == {b"\x80"} and set(out["hot"]) == {b"\x40"} and set(out["found"]) == {1}
+
+
 def test_suffixes_short_alphabet(spark):
     """Many ties of anchors, and windows that only partly agree."""
     rng = random.Random(9)

@@ -19,9 +19,11 @@ PATTERNS = {
 KINDS = (*PATTERNS, "generalise", "remove")
 #: What a text must contain for a pattern to match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Characters on each side of a span that count as its context.
-CONTEXT = 80
 TERM = r"\p{L}{3,}"
+#: Most words of a broadcast bitmap, of 64 bits each.
+SLOTS = 1 << 17
+#: Most common terms that are broadcast; any other is in under 1 / HOT of all pairs of a document and a term.
+HOT = 1024
 #: A term must be seen with an entity in so many documents.
 SUPPORT = 2
 #: Share of an entity's information that a term discloses, from which on it is
@@ -57,12 +59,8 @@ def _counts(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(docs: DataFrame, context: int) -> DataFrame:
-    """A row for each match, and one without a kind for each document.
-
-    Texts are read once. A match carries the length of the text between it and
-    the last match of its kind, and the text next to it.
-    """
+def _matches(rows: DataFrame) -> DataFrame:
+    """A row for each match, with the length of the text between it and the last match of its kind."""
     text = F.col("text")
     found = [
         F.when(F.contains(text, F.lit(NEEDS[k])), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(k)
@@ -71,130 +69,133 @@ def _matches(docs: DataFrame, context: int) -> DataFrame:
     each = [
         F.struct(F.lit(k).alias("kind"), F.col(k).alias("m"), F.when(F.size(k) > 0, F.split(text, p)).alias("p")) for k, p in PATTERNS.items()
     ]
-    none = F.struct(F.lit(None).cast("string").alias("kind"), F.array(F.lit("")).alias("m"), F.array(F.lit(""), F.lit("")).alias("p"))
     n = F.size("x.m")
-    zipped = F.arrays_zip(F.col("x.m").alias("m"), F.slice("x.p", 1, n).alias("before"), F.slice("x.p", 2, n).alias("after"))
+    gaps = F.transform(F.slice("x.p", 1, n), F.length)
     return (
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text().alias("text"))
-        .select("row", "doc_id", "text", *found)
-        .select("row", "doc_id", F.explode(F.array(*each, none)).alias("x"))
+        rows.select("row", "text", *found)
+        .select("row", F.explode(F.array(*each)).alias("x"))
         .where(n > 0)
-        .select("row", "doc_id", F.col("x.kind").alias("kind"), F.posexplode(zipped).alias("i", "z"))
-        .select(
-            "row",
-            "doc_id",
-            "kind",
-            "i",
-            F.length("z.before").cast("long").alias("gap"),
-            F.col("z.m").alias("match"),
-            F.right("z.before", F.lit(context)).alias("left"),
-            F.left("z.after", F.lit(context)).alias("right"),
-            F.length("z.after").alias("after"),
-        )
+        .select("row", F.col("x.kind").alias("kind"), F.posexplode(F.arrays_zip(F.col("x.m").alias("m"), gaps.alias("gap"))).alias("i", "z"))
+        .select("row", "kind", "i", F.col("z.gap").cast("long").alias("gap"), F.col("z.m").alias("match"))
     )
 
 
-def base_spans(docs: DataFrame, context: int = CONTEXT) -> tuple[DataFrame, DataFrame]:
-    """(matches that count, rows): (row, doc_id, kind, start, end, match, contexts), and every (row, doc_id)."""
-    matches = stored(_matches(docs, context), "matches")
+def base_spans(rows: DataFrame) -> DataFrame:
+    """The matches that count in (row, text): (row, kind, start, end, match)."""
+    real = stored(_matches(rows), "matches")
     same = Window.partitionBy("row", "kind").orderBy("i")
     before = same.rowsBetween(Window.unboundedPreceding, -1)
-    real = matches.where(F.col("kind").isNotNull())
     placed = real.withColumn(
         "start", F.sum("gap").over(same) + F.coalesce(F.sum(F.length("match")).over(before), F.lit(0))
     ).withColumn("end", F.col("start") + F.length("match"))
     ok = F.lit(False)
     for k in PATTERNS:
         ok = F.when(F.col("kind") == k, _counts(k, F.col("match"))).otherwise(ok)
-    return placed.where(ok), matches.where(F.col("kind").isNull()).select("row", "doc_id")
+    return placed.where(ok).select("row", "kind", "start", "end", "match")
 
 
-def _terms(side: str, at: Column) -> Column:
-    """The words of one context, with start and end; at: where the context starts."""
+def _bare() -> Column:
+    """The text with blanks for its addresses, the only entities that have letters."""
+    text = F.col("text")
+    pairs = F.arrays_zip(F.split(text, PATTERNS["email"]).alias("p"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)).alias("m"))
+    blank = F.transform(pairs, lambda x: F.concat(x["p"], F.coalesce(F.repeat(F.lit(" "), F.length(x["m"])), F.lit(""))))
+    return F.when(F.contains(text, F.lit(NEEDS["email"])), F.array_join(blank, "")).otherwise(text)
 
-    def add(held: Column, x: Column) -> Column:
-        start = held["at"] + F.length(x["gap"])
-        word = F.struct(F.lower(x["word"]).alias("term"), start.alias("start"), (start + F.length(x["word"])).alias("end"))
-        return F.struct((start + F.length(x["word"])).alias("at"), F.array_append(held["out"], word).alias("out"))
 
-    words, gaps = F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), F.split(side, TERM)
-    zipped = F.arrays_zip(words.alias("word"), F.slice(gaps, F.lit(1), F.size(words)).alias("gap"))
-    empty = F.array().cast("array<struct<term:string,start:bigint,end:bigint>>")
-    return F.aggregate(zipped, F.struct(at.cast("long").alias("at"), empty.alias("out")), add, lambda held: held["out"])
+def _lowered(words: Column) -> Column:
+    return F.when(F.size(words) > 0, F.split(F.lower(F.array_join(words, " ")), " ")).otherwise(F.array().cast("array<string>"))
 
 
-def contexts(spans: DataFrame) -> DataFrame:
-    """(row, entity, term, start, end): the words next to each span.
+def _words() -> Column:
+    """The different terms of a text, outside of entities."""
+    return F.array_distinct(_lowered(F.regexp_extract_all(_bare(), F.lit(TERM), F.lit(0))))
 
-    A context ends at the next span, and words that its far edge cuts are left
-    out.
-    """
-    by = Window.partitionBy("row").orderBy("start", "end", "kind")
-    since = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    until = F.coalesce(F.lead("start").over(by), F.lit(2**62))
-    near = spans.withColumn("since", since).withColumn("until", until)
-    left = F.right("left", F.greatest(F.lit(0), F.least(F.length("left"), F.col("start") - F.col("since"))).cast("int"))
-    right = F.left("right", F.greatest(F.lit(0), F.least(F.length("right"), F.col("until") - F.col("end"))).cast("int"))
-    value = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
-    near = near.select(
-        "row", F.concat_ws(":", "kind", value).alias("entity"), "start", "end", "gap", "after", left.alias("left"), right.alias("right")
-    ).where((F.length("left") > 0) | (F.length("right") > 0))
-    both = near.select(
-        "row",
-        "entity",
-        F.filter(
-            _terms("left", F.col("start") - F.length("left")),
-            lambda t: (t["start"] > F.col("start") - F.length("left")) | (F.col("gap") <= F.length("left")),
-        ).alias("a"),
-        F.filter(
-            _terms("right", F.col("end")), lambda t: (t["end"] < F.col("end") + F.length("right")) | (F.col("after") <= F.length("right"))
-        ).alias("b"),
-    )
-    return both.select("row", "entity", F.explode(F.concat("a", "b")).alias("t")).select("row", "entity", "t.*")
 
+def _maybe_among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among the keys, by a bitmap of SLOTS words."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({key}), 32), 64) as int))")
+    bitmap = keys.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    met = df.withColumn("_slot", slot).join(F.broadcast(bitmap), "_slot")  # SLOTS rows at most
+    return met.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
 
-def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, rows: int, support: int, least: float) -> DataFrame:
-    """(entity, term, share): terms that disclose at least ``least`` of an entity's information.
+
+def _by_term(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """``df`` join ``terms`` (with t, the documents of each) on term; the most common terms are not shuffled."""
+    hot = stored(terms.orderBy(F.desc("t"), "term").limit(HOT), "hot")
+    rare = terms.join(F.broadcast(hot.select("term")), "term", "left_anti")  # HOT rows
+    once = df.join(F.broadcast(hot), "term")
+    return once.unionByName(df.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare, "term"))
+
+
+def disclosing(rows: DataFrame, spans: DataFrame, n: int, support: int, generalise_at: float) -> DataFrame:
+    """(term, share, t): terms that disclose at least ``generalise_at`` of an entity's information, and the most they disclose.
 
     With N documents, an entity in d of them carries log2(N / d) bits; a term
-    in t documents that is next to it in c of them discloses log2(c N / (d t))
-    bits, their pointwise mutual information. All documents are counted.
+    in t documents that is with it in c of them discloses log2(c N / (d t))
+    bits, their pointwise mutual information. All documents are counted. As c
+    is d at most, a term in more than d (N / d)^(1 - share) documents stays
+    below the share and need not be paired with the entity.
     """
-    entity = F.concat_ws(
-        ":", "kind", F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
-    )
-    d = spans.select("row", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("d")).where(F.col("d") >= support)
-    c = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= support)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(TERM), F.lit(0)))
-    t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
-    share = F.log2(F.col("c") * float(rows) / (F.col("d") * F.col("t"))) / F.log2(float(rows) / F.col("d"))
-    return (
-        c.join(d, "entity").where(F.col("d") < rows).join(t, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= least)
-    )
+    value = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
+    of = stored(spans.select("row", F.concat_ws(":", "kind", value).alias("entity")).distinct(), "entities")
+    d = of.groupBy("entity").agg(F.count("*").alias("d")).where((F.col("d") >= support) & (F.col("d") < n))
+    of = stored(of.join(d, "entity"), "entities")
+    most = lambda d: d * F.pow(float(n) / d, F.lit(1.0 - generalise_at)) * (1 + 1e-9)
+    t = rows.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count("*").alias("t")).where(F.col("t") >= support)
+    bound = of.agg(F.coalesce(F.max(most(F.col("d"))), F.lit(0.0))).first()[0]
+    t = stored(t.where(F.col("t") <= bound), "terms")
+    holders = of.groupBy("row").agg(F.collect_list(F.struct("entity", "d")).alias("entities"))  # a document's own
+    words = _maybe_among(rows.select("row", "text"), of, "row").join(holders, "row").select("entities", F.explode(_words()).alias("term"))
+    pairs = _by_term(_maybe_among(words, t, "term"), t).select("term", "t", F.explode("entities").alias("e")).where(F.col("t") <= most(F.col("e.d")))
+    c = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e.d").alias("d")).where(F.col("c") >= support)
+    share = F.log2(F.col("c") * float(n) / (F.col("d") * F.col("t"))) / F.log2(float(n) / F.col("d"))
+    return c.select("term", "t", share.alias("share")).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"), F.first("t").alias("t"))
+
+
+def occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
+    """(row, kind, start, end) wherever (term, kind, t) occurs outside of entities."""
+    words = rows.select("row", F.explode(_words()).alias("term"))
+    met = _by_term(_maybe_among(words, telling, "term"), telling)
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("term")))
+    held = stored(met.groupBy("row").agg(of("generalise").alias("some"), of("remove").alias("gone")), "held")  # a document's own terms
+    found = F.regexp_extract_all("bare", F.lit(TERM), F.lit(0))
+
+    def add(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["gap"])
+        end = start + F.length(x["word"])
+        kind = F.when(F.array_contains(F.col("gone"), x["term"]), "remove").when(F.array_contains(F.col("some"), x["term"]), "generalise")
+        span = F.struct(kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"))
+        return F.struct(end.alias("at"), F.when(kind.isNotNull(), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    texts = _maybe_among(rows.select("row", "text"), held, "row").join(held, "row").select("row", "some", "gone", _bare().alias("bare"))
+    each = texts.select("row", "some", "gone", found.alias("words"), F.split("bare", TERM).alias("gaps"))
+    zipped = F.arrays_zip(F.col("words").alias("word"), _lowered(F.col("words")).alias("term"), F.slice("gaps", F.lit(1), F.size("words")).alias("gap"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"])
+    return each.select("row", F.explode(spans).alias("s")).select("row", "s.*")
 
 
 def find_personal(
-    docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT
+    docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT
 ) -> DataFrame:
     """doc_id and spans (kind, start, end; code points, by kind as in KINDS, then start).
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Spans of the
     base kinds are leftmost, do not overlap within their kind, and count only
-    if address parts, check digits and lengths are right. Words within
-    ``context`` characters of an entity that occur with it in at least
-    ``support`` documents are scored by the share of the entity's information
-    that they disclose over all documents; from ``generalise_at`` on, those
-    next to the entity become ``generalise`` spans, from ``remove_at`` on
-    ``remove`` spans. Documents without base spans get none. Null and empty
-    texts have no spans; repeated rows are rows. An empty table gives an empty
-    result.
+    if address parts, check digits and lengths are right. Words that occur in
+    at least ``support`` of an entity's documents, wherever in them but not in
+    an address, are scored by the share of the entity's information that they
+    disclose over all documents; from ``generalise_at`` on, all their
+    occurrences in all documents become ``generalise`` spans, from
+    ``remove_at`` on ``remove`` spans. Null and empty texts have no spans;
+    repeated rows are rows. An empty table gives an empty result.
     """
-    spans, rows = base_spans(docs, context)
-    spans = stored(spans, "spans")
-    near = stored(contexts(spans), "contexts")
-    telling = disclosing(docs, spans, near, rows.count(), support, generalise_at)
-    kind = F.when(F.max("share") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    added = near.join(telling, ["entity", "term"]).groupBy("row", "start", "end").agg(kind.alias("kind"))
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text().alias("text")), "rows")
+    spans = stored(base_spans(rows.select("row", "text")), "spans")
+    told = disclosing(rows, spans, rows.count(), support, generalise_at)
+    kind = F.when(F.col("share") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
+    added = occurrences(rows, stored(told.select("term", kind.alias("kind"), "t"), "telling"))
     every = (
         rows.select("row", "doc_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
         .unionByName(spans.select("row", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "kind", "start", "end"))

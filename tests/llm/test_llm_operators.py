@@ -359,6 +359,21 @@ def test_disclosing_terms(spark):
     assert "zed@" not in clean[0] and "Zanzibar" not in clean[0] and clean[10] == rows[4][1]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A disclosing word counts wherever it is in the entity's documents, and is marked wherever it occurs."""
+    common = " ".join(["the common word"] * 40)
+    rows = [(i, f"Zanzibar {common} mail zed@corp.org, zed@corp.org {common} ZANZIBAR", "s") for i in range(6)]
+    rows += [(10, f"only {common} zanzibar here", "s")]
+    rows += [(20 + i, f"{common} number and more", "s") for i in range(3000)]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_personal(table(spark, rows)).collect()}
+    text = rows[0][1]
+    assert ("remove", 0, 8) in found[0] and ("remove", text.index("ZANZIBAR"), len(text)) in found[0]
+    assert [text[a:b] for k, a, b in found[0] if k == "email"] == ["zed@corp.org"] * 2
+    assert [rows[6][1][a:b] for _, a, b in found[10]] == ["zanzibar"] and found[20] == []
+    clean = {r.doc_id: r.text for r in pii.sanitised(table(spark, rows)).collect()}
+    assert "zanzibar" not in (clean[0] + clean[10]).lower()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -41,8 +41,10 @@ def curated(s, d):
     return op.curation(tracks(s, d).select("track_id", F.col("quality").cast("double").alias("quality"), "lufs").join(penalty, "track_id", "left").withColumn("novelty", F.lit(None).cast("double")))
 
 
-def beats(s, d):
-    n = F.least(F.floor(F.col("duration") / 2).cast("int"), F.lit(40))
+def beats(s, d, most=None):
+    """Windows over boundaries every two seconds; at most ``most`` of a track, where given."""
+    n = F.floor(F.col("duration") / 2).cast("int")
+    n = n if most is None else F.least(n, F.lit(most))
     rows = tracks(s, d).where("duration >= 4").select("source_id", "duration", F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda i: i * 2.0)).alias("pos", "at"))
     return op.boundary_windows(rows, "source_id", 8)
 
@@ -111,7 +113,7 @@ QUERIES = {
         select prompt, min(checkpoint) as one, max(checkpoint) as two from n where i <= 2 group by prompt having count(*) = 2""",
     ),
     "boundary_windows": (
-        beats,
+        lambda s, d: beats(s, d, 40),
         """b as (select source_id, duration, least(cast(floor(duration / 2) as int), 40) as n from tracks where duration >= 4), p as (select source_id, duration, n, unnest(range(0, n + 1)) as pos from b)
         select source_id, pos * 2e0 as start, case when pos + 8 <= n then (pos + 8) * 2e0 else duration end as "end" from p where pos % 8 = 0 and pos < n""",
     ),

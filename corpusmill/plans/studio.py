@@ -70,7 +70,7 @@ def contexts(s, d):
 
 
 def sheets(s, d):
-    lines = F.transform(F.slice(F.split("text", r"\n"), 1, 4), lambda x: F.left(x, F.lit(60)))
+    lines = F.split("text", r"\n")
     none = F.lit(None).cast("string")
     part = F.struct(F.coalesce("section", F.lit("verse")).alias("role"), F.lit(8).alias("bars"), F.lit("steady").alias("flow"), F.lit("medium").alias("cadence"), none.alias("artist"), F.lit("AABB").alias("rhyme"), F.array(F.lit("yeah")).alias("ad_libs"), lines.alias("lines"))
     song = F.struct(F.col("song_id").alias("artist"), F.lit("dark").alias("mood"), F.lit("roads").alias("topic"), F.col("bpm"), F.col("musical_key").alias("key"), F.lit("straight").alias("swing"), F.col("track_id").alias("seed"), F.array(part).alias("sections"))

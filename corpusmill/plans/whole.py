@@ -10,6 +10,7 @@ from corpusmill.operators import vectors as ve
 from corpusmill.sources.views import evaluation, table, tracks
 
 from .analysis import vectors
+from .datasets import beats
 
 
 def manifests(s, d):
@@ -36,6 +37,7 @@ def sides(s, d):
 
 
 QUERIES = {
+    "boundary_windows_all": (beats, None),
     "fixed_windows_all": (lambda s, d: corpus.fixed_windows(tracks(s, d), "source_id", 30.0, 10.0, 8.0), None),
     "section_filter_all": (lambda s, d: evaluation(s, d).where(F.col("section").isin("click", "view")).select("event_id", "section"), None),
     "energy_costs_all": (costs, None),

@@ -7,6 +7,7 @@ from corpusmill.plans import registry
 
 #: What is left out of the SQL, and what stands for it.
 RANGES = {
+    "boundary_windows": [("least(cast(floor(duration / 2) as int), 40)", "cast(floor(duration / 2) as int)")],
     "fixed_windows": [("track_id % 50 = 3 and ", "")],
     "section_filter": [(" and event_id < 500", "")],
     "energy_costs": [(" where event_id < 300", "")],
@@ -40,3 +41,11 @@ def test_whole_run_manifests(spark, sql):  # noqa: F811
 
 def test_shift_similarity_covers_all_vectors(spark):
     assert registry.queries()["shift_similarity"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_song_sheets_have_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()}
+    found = {r.track_id: r.sheet for r in registry.queries()["song_sheets"](spark, SF).collect()}
+    assert set(found) == set(texts) and any(len(t) > 1000 for t in texts.values())
+    for i, t in texts.items():
+        assert all(f"- {x}  _(" in found[i] for x in t.split("\n"))

@@ -232,19 +232,22 @@ def by_hash(seed: int, *keys: str) -> Column:
 
 def ratio_split(groups: DataFrame, key: str, ratios: tuple[float, float, float], seed: int, stratum: Column | None = None) -> DataFrame:
     """train, val or test for each group, by hash order in its stratum; val and test get one from three groups on."""
-    part = F.lit(1) if stratum is None else stratum
-    w = Window.partitionBy("stratum")
-    rows = groups.withColumn("stratum", part)
-    n = F.count("*").over(w)
-    nth = F.row_number().over(w.orderBy(by_hash(seed, key), key)) - 1
+    if stratum is None:
+        rows = _numbered(groups, key, seed).withColumn("stratum", F.lit(1))
+        n, nth = F.col("_all"), F.col("_nth") - 1
+    else:
+        w = Window.partitionBy("stratum")
+        rows = groups.withColumn("stratum", stratum)
+        n = F.count("*").over(w)
+        nth = F.row_number().over(w.orderBy(by_hash(seed, key), key)) - 1
     val = F.when(n < 3, 0).otherwise(F.greatest(F.lit(1), F.bround(n * ratios[1])))
     test = F.when(n < 3, 0).otherwise(F.greatest(F.lit(1), F.bround(n * ratios[2])))
     which = F.when(nth < val, "val").when(nth < val + test, "test").otherwise("train")
-    return rows.withColumn("split", which)
+    return rows.withColumn("split", which).drop("_nth", "_all")
 
 
-def folds(groups: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Contiguous slices of the hash order, sizes one apart at most.
+def _numbered(groups: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with _nth, from 1 on in hash order, and _all.
 
     Ranges of the hash are numbered each by itself, behind the counts of the
     1,023 others at most.
@@ -255,7 +258,12 @@ def folds(groups: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     placed = counts.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     nth = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(h, key))
-    return rows.join(F.broadcast(placed), "_cell").withColumn("fold", F.floor((nth * k - 1) / F.col("_all")).cast("int")).drop("_cell", "_before", "_all")
+    return rows.join(F.broadcast(placed), "_cell").withColumn("_nth", nth).drop("_cell", "_before")
+
+
+def folds(groups: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """Contiguous slices of the hash order, sizes one apart at most."""
+    return _numbered(groups, key, seed).withColumn("fold", F.floor((F.col("_nth") * k - 1) / F.col("_all")).cast("int")).drop("_nth", "_all")
 
 
 def balanced(rows: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries over whole tables: their rows are those of their namesakes' SQL without its range of ids."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, canonical, sql  # noqa: F401
 
+from corpusmill.operators import corpus
 from corpusmill.plans import registry
 
 #: What is left out of the SQL, and what stands for it.
@@ -49,3 +51,12 @@ def test_song_sheets_have_whole_texts(spark):
     assert set(found) == set(texts) and any(len(t) > 1000 for t in texts.values())
     for i, t in texts.items():
         assert all(f"- {x}  _(" in found[i] for x in t.split("\n"))
+
+
+def test_unstratified_split_numbers_cells(spark):
+    """In the order of one window over all rows, which the plan does not have."""
+    rows = spark.range(500).select(F.col("id").alias("g"))
+    got = corpus.ratio_split(rows, "g", (0.8, 0.1, 0.1), 7)
+    want = corpus.ratio_split(rows, "g", (0.8, 0.1, 0.1), 7, F.lit("x"))
+    assert {(r.g, r.split) for r in got.collect()} == {(r.g, r.split) for r in want.collect()}
+    assert "_cell" in got._jdf.queryExecution().optimizedPlan().toString()

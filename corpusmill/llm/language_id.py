@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import without_few
+from .shared import keyed, scoped, without_few
 from .utf8 import rows
 
 #: Documents of one language that training reads, about: the bound of the sample.
@@ -21,13 +21,14 @@ FEATURES = 1 << 15
 CLEAR = 0.5
 UNDETERMINED = "und"
 
-_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x30000)), dtype=bool, count=0x30000)
+#: Which code points are letters, of all there are.
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def letters(text: str) -> np.ndarray:
     """Lower-case letters as code points, each run of anything else as one space."""
     points = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    points = np.where(_LETTER[np.minimum(points, 0x2FFFF)], points, 32).astype(np.uint32)
+    points = np.where(_LETTER[points], points, 32).astype(np.uint32)
     same = np.empty(len(points), dtype=bool)
     same[0] = False
     same[1:] = (points[1:] == 32) & (points[:-1] == 32)
@@ -179,11 +180,17 @@ def identify_documents(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataF
     return identify(docs, model).withColumn("held_out", F.coalesce(fold() == 2, F.lit(False)))
 
 
+@scoped
 def keep_identified(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
     """The documents whose language was determined, with all their columns.
 
-    Rejected are those without a letter and those flagged as ambiguous.
+    Rejected are those without a letter, null texts among them, and those
+    flagged as ambiguous. The verdict is a row's own: a row stays, whatever
+    becomes of others of its doc_id, and rows without a doc_id are judged like
+    all. Repeated rows stay or go together. An empty table stays one.
     """
-    found = identify_documents(docs, per_language)
-    out = found.where((F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")).select("doc_id")
-    return without_few(docs, out, "doc_id")
+    named, key = keyed(docs)
+    model = train(named.where(fold() != 2).select("doc_id", "lang", "text"), per_language)
+    found = identify(named.select(F.col(key).alias("doc_id"), "text"), model)
+    out = found.where((F.col("lang_pred") == UNDETERMINED) | F.col("ambiguous")).select(F.col("doc_id").alias(key))
+    return without_few(named, out, key).select(*docs.columns)

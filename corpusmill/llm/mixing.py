@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import SPACE, cells_for, stored, whole_text
+from .shared import SPACE, cells_for, scoped, stored, whole_text
 
 #: A source gives at most this many times its words.
 MOST_EPOCHS = 3
@@ -21,52 +20,62 @@ def words(name: str = "text"):
     return F.regexp_count(whole_text(name), F.lit(rf"[^{SPACE}]+")).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> list[tuple[str | None, int, float]]:
-    """Each source's target in words: (source, its words, target).
+def targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
+    """Each source's target in words: source, source_size, target, for (source, n) rows.
 
     Sources, by code point and null last, weigh as ``cycle`` says. They share
     all words by weight; one above ``most`` times its own words stops there,
     and the excess is shared again by weight among the others.
+
+    Sources are numbered by ranges, each range by itself behind the ranges
+    before it. The level, words for a weight of one, is raised until no other
+    source stops; each step is one sum over the sources, of which only totals
+    reach the driver.
     """
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = [cycle[i % len(cycle)] for i in range(len(ordered))]
-    left, open_ = float(sum(n for _, n in ordered)), set(range(len(ordered)))
-    target = [0.0] * len(ordered)
-    while open_:
-        level = left / sum(weight[i] for i in open_)
-        full = {i for i in open_ if level * weight[i] > most * ordered[i][1]}
-        if not full:
-            for i in open_:
-                target[i] = level * weight[i]
-            break
-        for i in sorted(full):
-            target[i] = float(most * ordered[i][1])
-            left -= target[i]
-        open_ -= full
-    return [(s, n, t) for (s, n), t in zip(ordered, target, strict=True)]
+    spark = sizes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sizes.repartitionByRange(parts, F.col("source").asc_nulls_last()).select("source", "n", F.spark_partition_id().alias("part"))
+    ranged = stored(ranged, "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    firsts = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    nth = F.col("first") + F.row_number().over(inside) - 1
+    weights = F.array(*[F.lit(w) for w in cycle])
+    weighed = ranged.join(F.broadcast(firsts), "part").select(
+        "source", F.col("n").alias("source_size"), F.element_at(weights, (nth % len(cycle) + 1).cast("int")).cast("double").alias("weight")
+    )
+    weighed = stored(weighed, "weights", keep=True)
+    level, full = -1.0, most * F.col("source_size").cast("double")
+    while True:
+        stops = F.lit(level) * F.col("weight") > full
+        total, held, left = weighed.agg(
+            F.sum("source_size"), F.sum(F.when(stops, most * F.col("source_size")).otherwise(0)), F.sum(F.when(stops, 0.0).otherwise(F.col("weight")))
+        ).first()
+        raised = (total - held) / left if left else level
+        if raised <= level:
+            return weighed.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), full).alias("target"))
+        level = raised
+
+
+def _key(seed: int):
+    """A random number of 63 bits, so that cells by its first bits are ranges of it."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", whole_text()), 1)
 
 
 def _placed(docs: DataFrame, cycle: tuple[int, ...], seed: int, per_cell: int) -> DataFrame:
     """Rows with their source's figures, whole epochs, and what is left of the budget before them."""
     cells = cells_for(docs.count(), per_cell, 256)
     facts = stored(
-        docs.select("doc_id", "source", words().alias("size"))
-        .withColumn("key", _key(seed))
-        .withColumn("cell", (F.shiftright("key", 32) * cells / F.lit(float(2**31))).cast("int")),
+        docs.select("doc_id", "source", words().alias("size"), _key(seed).alias("key")).withColumn(
+            "cell", (F.shiftright("key", 32) * cells / F.lit(float(2**31))).cast("int")
+        ),
         "mixing",
+        keep=True,
     )
-    by_cell = stored(facts.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "mixing-cells")
-    totals = by_cell.groupBy("source").agg(F.sum("cell_size").alias("n")).collect()  # one number a source
-    plan = docs.sparkSession.createDataFrame(
-        [(s, n, t, min(round(t), MOST_EPOCHS * n)) for s, n, t in targets([(r["source"], r["n"]) for r in totals], cycle)],
-        T.StructType(
-            [
-                T.StructField("of", T.StringType()),
-                T.StructField("source_size", T.LongType()),
-                T.StructField("target", T.DoubleType()),
-                T.StructField("budget", T.LongType()),
-            ]
-        ),
+    by_cell = stored(facts.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "mixing-cells", keep=True)
+    plan = targets(by_cell.groupBy("source").agg(F.sum("cell_size").alias("n")), cycle)
+    plan = plan.select(
+        F.col("source").alias("of"), "source_size", "target", F.least(F.rint("target").cast("long"), MOST_EPOCHS * F.col("source_size")).alias("budget")
     )
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_cell.withColumn("offset", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
@@ -80,20 +89,16 @@ def _placed(docs: DataFrame, cycle: tuple[int, ...], seed: int, per_cell: int) -
     return joined.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("run"))
 
 
-def _key(seed: int):
-    """A random number of 63 bits, so that cells by its first bits are ranges of it."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
-
-
+@scoped
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_cell: int = PER_CELL) -> DataFrame:
     """How many words of each document the mix takes.
 
     Takes ``doc_id``, ``text`` and ``source``; other columns are ignored. Each
-    row gets a random key by hash. The keys' ranges cut every source, however
-    large, into cells; sums per cell give each cell's offset, and a running
-    sum inside the cell each row's place in its source. Whole epochs of the
-    source are taken first, then rows in key order up to the exact budget, the
-    row at the cut in part.
+    row gets a random key by hash of doc_id and text. The keys' ranges cut
+    every source, however large, into cells; sums per cell give each cell's
+    offset, and a running sum inside the cell each row's place in its source.
+    Whole epochs of the source are taken first, then rows in key order up to
+    the exact budget, the row at the cut in part.
 
     A null source is a source of its own; null and empty texts have no words
     and give none. Rows that repeat a doc_id are rows like others. Reruns
@@ -105,26 +110,34 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_
     )
 
 
+@scoped
 def mixed_documents(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_cell: int = PER_CELL) -> DataFrame:
     """The mix itself: documents of which words are taken, with all columns.
 
     A document that is taken in k epochs, the last one perhaps in part, occurs
-    k times; one of which nothing is taken goes. Documents without words are
-    no part of a mix by words: they stay once. Rows that repeat the doc_id at
-    the cut are all taken once more.
+    k times; one of which nothing is taken goes. Documents without words, null
+    texts among them, are no part of a mix by words: they stay once. A null
+    source is a source. Rows that repeat both the doc_id and the text at the
+    cut are all taken once more. An empty table stays one.
 
     What the mix decides is one row a source: its whole epochs, and the key
     and doc_id at the cut. Documents are compared with that where they are,
     and their texts are not shuffled.
     """
     placed = _placed(docs, cycle, seed, per_cell)
-    last = F.max(F.when((F.col("rest") > 0) & (F.col("size") > 0), F.struct("key", "doc_id")))
-    cuts = stored(placed.groupBy("source").agg(F.first("epochs").alias("_epochs"), last.alias("_last")), "cuts")
+    none = F.col("doc_id").isNull()
+    last = F.max(F.when((F.col("rest") > 0) & (F.col("size") > 0), F.struct("key", ~none, "doc_id")))  # nulls are first in a cell
+    cuts = stored(placed.groupBy("source").agg(F.first("epochs").alias("epochs"), last.alias("last")), "cuts", keep=True)
     if cuts.count() <= MOST_BROADCAST:
         cuts = F.broadcast(cuts)
-    cuts = cuts.withColumnRenamed("source", "_source")
-    here = F.struct(_key(seed).alias("key"), F.col("doc_id"))
-    times = F.col("_epochs") + F.when(here <= F.col("_last"), 1).otherwise(0)
-    times = F.when(~whole_text().rlike(rf"[^{SPACE}]"), F.lit(1)).otherwise(times).cast("int")
-    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", times).where(F.col("_times") > 0)
-    return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    here = F.struct(_key(seed).alias("key"), ~none, F.col("doc_id"))
+    row = docs.select(  # the document's own columns as one, so that no name of theirs is in the way
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("source").alias("of"),
+        here.alias("here"),
+        whole_text().rlike(rf"[^{SPACE}]").alias("has_words"),
+    )
+    times = F.col("epochs") + F.when(F.col("here") <= F.col("last"), 1).otherwise(0)
+    joined = row.join(cuts, F.col("of").eqNullSafe(F.col("source")))
+    taken = joined.withColumn("times", F.when(F.col("has_words"), times).otherwise(1).cast("int")).where(F.col("times") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

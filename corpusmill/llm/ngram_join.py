@@ -13,63 +13,92 @@ from pyspark.sql import functions as F
 from .components import components
 from .exact_dedup import groups
 from .heavy import frequent
-from .shared import joined_few, stored, without_few
+from .shared import MOST_HOT, joined_few, joined_hot, keyed, scoped, stored, without_few
 from .shingles import mixed, shingle_set
 from .utf8 import rows
 
-#: Second-level partitions of a first-level one; one of them may differ.
-SECOND = 3
 #: Rounds that test each signature's documents against one of them.
 STAR_ROUNDS = 3
 #: Most cells of a sketch.
 CELLS = 1 << 17
-#: Documents of one signature that are compared with each other at a time.
+#: Documents of one signature that are compared with each other at a time, about.
 BLOCK = 512
-
-
-#: For each partition left out, the first, second, ... of those kept.
-_KEPT = np.array([[j for j in range(SECOND) if j != skip] for skip in range(SECOND)]).T
+#: A signature of so few elements or fewer also tells what is in the part left out.
+WEAK = 1
+#: Elements of a first-level partition, about, from which on two second-level parts do.
+LARGE = 14
+#: Counters of the summaries of frequent signatures.
+HOT_SIGNATURES = 8_192
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=64)
-def bands(percent: int, most: int) -> tuple[tuple[int, int], ...]:
-    """(largest size, first-level partitions) of each size band.
+def bands(percent: int, most: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(largest size, first-level partitions, second-level parts of one, partitions a set may drop) of each size band.
 
     A band's pairs have the smaller set in the band, the larger one there or
     in the next. Linked sets of sizes s <= t have t <= 100 s / percent and
-    differ in at most (s + t)(100 - percent) / (100 + percent) elements. With
-    more than half as many first-level partitions as that, one of them differs
-    in at most one element, and so all but one of its second-level partitions
-    are equal. No partitions: only equal sets link.
+    differ in at most (s + t)(100 - percent) / (100 + percent) elements. A
+    partition is good if they differ in at most one element there: then all
+    but one of its second-level parts are equal. At most half as many
+    partitions as elements differ are not good. With 1 + 2 d partitions more
+    than that half, 1 + 2 d are good, and one of them is left if each set
+    drops d partitions, which are its emptiest. No partitions: only equal sets
+    link.
     """
     found, low = [], 1
     while low <= most:
         high = low * 100 // percent
         differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
-        found.append((high, differ // 2 + 1 if differ else 0))
+        first, drop, second = differ // 2 + 1 if differ else 0, 0, 3
+        if first and high // first >= LARGE:
+            second = 2
+        elif first:
+            drop = (first + 8) // 16
+        found.append((high, first + 2 * drop, second, drop))
         low = high + 1
     return tuple(found)
 
 
 def signatures(sets: np.ndarray, percent: int) -> np.ndarray:
-    """The PartEnum signatures of one sorted set of 64-bit elements."""
+    """The PartEnum signatures of one sorted set of 64-bit elements.
+
+    For each partition, every choice of all second-level parts but one is a
+    signature. Where those parts hold ``WEAK`` elements at most, the signature
+    would be that of many sets; as good partitions differ in one element at
+    most and their chosen parts are equal, it is replaced by signatures that
+    add the part left out, once whole and once without each of its elements:
+    of two that differ in one element, the larger one without it is the other.
+    """
     size = len(sets)
     every = bands(percent, 1 << max(4, size.bit_length()))
-    own = next((i for i, (high, _) in enumerate(every) if size <= high), None) if size else None
+    own = next((i for i, x in enumerate(every) if size <= x[0]), None) if size else None
     out = []
     for band in () if own is None else (own - 1, own):
-        if band < 0 or not (first := every[band][1]):
+        if band < 0 or not every[band][1]:
             continue
-        cell = (sets % np.uint64(first * SECOND)).astype(np.int64)
-        part = np.zeros(first * SECOND, dtype=np.uint64)
+        _, first, second, drop = every[band]
+        cell = (sets % np.uint64(first * second)).astype(np.int64)
+        part = np.zeros(first * second, dtype=np.uint64)
         np.add.at(part, cell, sets)
-        part = part.reshape(first, SECOND)
+        held = np.bincount(cell, minlength=first * second).reshape(first, second)
+        part = part.reshape(first, second)
         place = (np.arange(first, dtype=np.uint64) << np.uint64(8)) + (np.uint64(band) << np.uint64(40))
-        h = place[:, None] + np.arange(SECOND, dtype=np.uint64)
-        for kept in _KEPT:  # every subset of all but one
-            h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + part[:, kept])
-        out.append(h.ravel())
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+        h = place[:, None] + np.arange(second, dtype=np.uint64)  # [partition, part left out]
+        for kept in np.array([[j for j in range(second) if j != skip] for skip in range(second)]).T:
+            h = mixed(h * _STEP + part[:, kept])
+        total = held.sum(axis=1)
+        used = np.ones((first, second), dtype=bool)
+        if drop:
+            used[np.argsort(total, kind="stable")[:drop]] = False
+        weak = used & (total[:, None] - held <= WEAK)
+        out.append(h[used & ~weak])
+        if weak.any():
+            out.append(mixed(h[weak] * _STEP + mixed(part[weak])))
+            on = weak.ravel()[cell]
+            at = cell[on]
+            out.append(mixed(h.ravel()[at] * _STEP + mixed(part.ravel()[at] - sets[on])))
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
 def _class(sets: np.ndarray) -> bytes:
@@ -78,14 +107,32 @@ def _class(sets: np.ndarray) -> bytes:
     return int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big")
 
 
-def _profile(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _profile(n: int, percent: int, counters: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's set size and class; behind them, in rows without a class, a Misra-Gries summary of the task's signatures and how many there were."""
+
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, total, kind = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, pa.int64()
+        names = ["doc_id", "n_shingles", "digest", "sig", "seen"]
         for batch in batches:
-            sets = [shingle_set(raw, n) for raw in rows(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.binary())],
-                ["doc_id", "n_shingles", "digest"],
-            )
+            kind = batch.schema.field(0).type
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
+                sets = [shingle_set(raw, n) for raw in rows(part.column(1))]
+                classes, sizes = [_class(s) for s in sets], [len(s) for s in sets]
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), none, none], names)
+                signed = [signatures(s, percent) for s in dict(zip(classes, sets, strict=True)).values()]  # copies get one representative
+                found, times = np.unique(np.concatenate([*signed, np.zeros(0, np.int64)]), return_counts=True)
+                total += int(times.sum())
+                held, nth = np.unique(np.concatenate([held, found]), return_inverse=True)
+                seen = np.bincount(nth, np.concatenate([seen, times]), len(held)).astype(np.int64)
+                if len(held) > counters:
+                    seen = seen - np.partition(seen, len(seen) - counters - 1)[len(seen) - counters - 1]
+                    held, seen = held[seen > 0], seen[seen > 0]
+        of = len(held) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(of, kind), pa.nulls(of, pa.int64()), pa.nulls(of, pa.binary()), pa.array([*held.tolist(), None], pa.int64()), pa.array([*seen.tolist(), total], pa.int64())], names
+        )
 
     return profile
 
@@ -155,6 +202,8 @@ def _near_in_block(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 lo, hi, every = lo.as_py(), hi.as_py(), every.as_py()
                 words = min(len(m["sketch"]) for m in every) // 8
                 one, two = ([m for m in every if m["block"] == k] for k in (lo, hi))
+                if not one or not two:
+                    continue
                 y = np.stack([_fold(np.frombuffer(m["sketch"], np.uint64), words) for m in two])
                 sizes, labels = np.array([m["size"] for m in two]), [m["label"] for m in two]
                 for m in one:
@@ -196,55 +245,60 @@ class _Links:
 
     def __init__(self, texts: DataFrame, live: DataFrame, n: int, percent: int):
         self.texts, self.n, self.percent = texts, n, percent
-        self.labels = stored(live.select("rep").distinct().withColumn("label", F.col("rep")), "labels")
+        self.labels = stored(live.select("rep").distinct().withColumn("label", F.col("rep")), "labels", keep=True)
         self.kind = dict(live.dtypes)["rep"]
         self.sketches = stored(texts.mapInArrow(_sketched(n), f"rep {self.kind}, sketch binary"), "sketches")
         self.tested: list[DataFrame] = []
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Of (a, b, na, nb) pairs, those whose sizes and sketches allow a link."""
-        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).distinct()
+        """Of (a, b, na, nb) pairs, those whose sizes and sketches allow a link; many pairs may have an a in common."""
+        pairs = stored(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).distinct(), "met")
         one = self.sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
         two = self.sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
+        both = joined_hot(pairs, one, "a", wide=True).join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
         return both.mapInArrow(_near(self.percent), f"a {self.kind}, b {self.kind}")
 
     def join(self, pairs: DataFrame) -> None:
         """Verify (a, b) pairs on their texts and join the components that links connect."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        once = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.struct("a", "b")).alias("pair"))
         for old in self.tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
+            once = once.join(old, ["lo", "hi"], "left_anti")
+        once = stored(once.select("lo", "hi", "pair.*"), "pairs")
+        if once.isEmpty():
             return
-        self.tested.append(pairs)
+        self.tested.append(once.select("lo", "hi"))
         one = self.texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
         two = self.texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-        links = (
-            pairs.join(one, "a")
-            .join(two, "b")
-            .select("a", "b", "x", "y")
-            .mapInArrow(_linked(self.n, self.percent), f"a {self.kind}, b {self.kind}")
-        )
+        both = joined_hot(once.select("a", "b"), one, "a", wide=True).join(two, "b").select("a", "b", "x", "y")
+        links = stored(both.mapInArrow(_linked(self.n, self.percent), f"a {self.kind}, b {self.kind}"), "links")
+        if links.isEmpty():
+            return
         labels = self.labels
         edges = (
-            links.join(labels.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a")
+            joined_hot(links, labels.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a")
             .join(labels.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
             .select(F.col("la").alias("a"), F.col("lb").alias("b"))
         )
-        found = components(edges)
-        self.labels = stored(
-            labels.join(found.withColumnRenamed("node", "label"), "label", "left").select("rep", F.coalesce("least", "label").alias("label")),
-            "labels",
-        )
-
-    def open(self, live: DataFrame) -> DataFrame:
-        """Rows of the signatures whose documents are in several components."""
-        sig = Window.partitionBy("sig")
-        labelled = live.join(self.labels, "rep")
-        return labelled.withColumn("lo", F.min("label").over(sig)).withColumn("hi", F.max("label").over(sig)).where(F.col("lo") != F.col("hi"))
-
-
+        found = stored(components(edges).withColumnRenamed("node", "label"), "joined")
+        told = joined_hot(labels, found, "label", how="left")
+        self.labels = stored(told.select("rep", F.coalesce("least", "label").alias("label")), "labels", keep=True)
+
+    def open(self, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with their labels, and (sig, hub, n) of the signatures whose documents are in several components.
+
+        The hub is a document of the component that most of them are in; n
+        counts them all. Both come from sums by component, which are
+        pre-aggregated, so that a signature of many documents is no large group.
+        """
+        labelled = stored(live.select("sig", "rep", "size").join(self.labels, "rep"), "labelled")
+        member = F.struct(F.xxhash64(F.lit(len(self.tested)), "rep").alias("h"), F.col("rep"), F.col("size"))
+        by = labelled.groupBy("sig", "label").agg(F.count("*").alias("share"), F.max(member).alias("m"))
+        first = F.struct("share", F.col("m.h").alias("h"), F.col("m.rep").alias("rep"), F.col("m.size").alias("size"), "label")
+        hubs = by.groupBy("sig").agg(F.max(first).alias("hub"), F.count("*").alias("of"), F.sum("share").alias("n"))
+        return labelled, stored(hubs.where(F.col("of") > 1).select("sig", "hub", "n"), "hubs")
+
+
+@scoped
 def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id: documents that links connect.
 
@@ -257,56 +311,83 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Documents of equal sets are one class, by the heavy-hitter split of exact
     dedup, and only a class's first document goes on. It gets PartEnum
     signatures for its size band and the one below; linked sets share at least
-    one. The documents of a signature are tested against one of them, another
-    one each round, until they are one component; pairs of documents of a
-    signature that are still in different components are then all tested, so
-    no link is lost, and groups of copies never expand into all their pairs.
-
-    Rows that share a doc_id are one document; rows without one are in the
-    component of their class, or in none. Repeated rows are rows. An empty
-    table gives an empty result.
+    one. Frequent signatures, told by Misra-Gries summaries, are not shuffled
+    to one task. The documents of a signature are tested against one of them,
+    another one each round, until they are one component; pairs of documents
+    of a signature that are still in different components are then all tested,
+    so no link is lost, and groups of copies never expand into all their pairs.
+
+    Each row is a document of its own, also where rows share a doc_id or have
+    none: they are then numbered first, and a component's id is the smallest
+    doc_id in it, null if it has none. Null and empty texts have no words.
+    Repeated rows are rows, of one class. An empty table gives an empty result.
     """
+    named, key = keyed(docs)
+    if key == "doc_id":
+        return _similar(docs, n, percent)
+    found = _by_row(named, key, n, percent)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+    told = joined_hot(found, least, "component")
+    return told.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _by_row(named: DataFrame, key: str, n: int, percent: int) -> DataFrame:
+    """(row, doc_id, n_shingles, component) of documents that ``key`` numbers."""
+    found = _similar(named.select(F.col(key).alias("doc_id"), "text"), n, percent)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component"))
+    return stored(found.join(named.select(F.col(key).alias("row"), "doc_id"), "row"), "rows", keep=True)
+
+
+def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The same for rows of which each has a doc_id of its own."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text")
-    facts = stored(read.mapInArrow(_profile(n), f"doc_id {kind}, n_shingles long, digest binary"), "profiles")
-    nodes = stored(groups(facts), "classes")
+    profiles = stored(
+        read.mapInArrow(_profile(n, percent, HOT_SIGNATURES), f"doc_id {kind}, n_shingles long, digest binary, sig long, seen long"), "profiles", keep=True
+    )
+    facts = profiles.where("digest is not null").select("doc_id", "n_shingles", "digest")
+    counted = profiles.where("digest is null")
+    most = counted.where("sig is null").agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0] / (HOT_SIGNATURES + 1)
+    frequent_sigs = counted.where("sig is not null").groupBy("sig").agg(F.sum("seen").alias("seen")).where(F.col("seen") > most).select("sig")
+    frequent_sigs = F.broadcast(stored(frequent_sigs, "frequent"))  # HOT_SIGNATURES rows at most
+    nodes = stored(groups(facts), "classes", keep=True)
     hot = F.broadcast(frequent(facts, "digest", facts.count()))
     winners = stored(nodes.join(hot, "digest").groupBy("digest").agg(F.min("doc_id").alias("keeper")), "winners")  # as bounded as hot
-    signed = read.where(F.col("doc_id").isNotNull()).mapInArrow(
-        _signed(n, percent), f"doc_id {kind}, digest binary, signatures array<long>"
-    )
+    signed = read.mapInArrow(_signed(n, percent), f"doc_id {kind}, digest binary, signatures array<long>")
     signed = signed.join(F.broadcast(winners), "digest", "left").where(F.col("keeper").isNull() | (F.col("keeper") == F.col("doc_id")))
     signed = signed.select("doc_id", F.explode("signatures").alias("sig"))
-    shared = signed.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where(F.col("n") > 1).select("sig", "doc_id")
+    signed = signed.join(frequent_sigs.withColumn("often", F.lit(True)), "sig", "left")
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(MOST_HOT))).otherwise(0)
+    signed = signed.withColumn("salt", salt).withColumn("n", F.count("*").over(Window.partitionBy("sig", "salt")))
+    shared = signed.where((F.col("n") > 1) | F.col("often")).select("sig", "doc_id")
     heads = nodes.where(F.col("doc_id") == F.col("keep_id")).select("doc_id", "n_shingles")
-    live = stored(shared.join(heads, "doc_id").select("sig", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size")).distinct(), "shared")
+    live = stored(shared.join(heads, "doc_id").select("sig", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size")), "shared")
     # of signatures with the same documents, one is enough
     members = live.groupBy("sig").agg(
         F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("g"), F.count("*").alias("n")
     )
     once = members.where(F.col("n") > 1).groupBy("h", "g", "n").agg(F.min("sig").alias("sig")).select("sig", "n")
-    live = stored(live.join(once, "sig"), "live")
+    live = stored(joined_hot(live, stored(once, "once"), "sig"), "live")
     texts = stored(joined_few(read, live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "texts")
     links = _Links(texts, live, n, percent)
     for turn in range(STAR_ROUNDS):
-        share = F.count("*").over(Window.partitionBy("sig", "label"))
-        first = F.struct("share", F.xxhash64(F.lit(turn), "rep"), "rep", "size", "label")  # one of the largest component
-        hub = links.open(live).withColumn("share", share).withColumn("hub", F.max(first).over(Window.partitionBy("sig")))
+        labelled, hubs = links.open(live)
         if turn:  # where nothing has linked yet, another hub would not tell more than the blocks below
-            hub = hub.where(F.col("hub.share") > 1)
-        pairs = hub.where(F.col("label") != F.col("hub.label")).select(
-            F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("na"), F.col("size").alias("nb")
-        )
+            hubs = hubs.where(F.col("hub.share") > 1)
+        if hubs.isEmpty():
+            break
+        pairs = joined_hot(labelled, hubs.select("sig", "hub"), "sig").where(F.col("label") != F.col("hub.label"))
+        pairs = pairs.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("na"), F.col("size").alias("nb"))
         links.join(links.near(pairs))
-        if turn == 0:  # the one pair of a signature of two documents is tested now
-            live = stored(live.where(F.col("n") > 2), "live")
-    rest = links.open(live).select("sig", "rep", "size", "label").withColumn("n", F.count("*").over(Window.partitionBy("sig")))
-    rest = rest.withColumn("block", F.expr(f"(row_number() over (partition by sig order by rep) - 1) div {BLOCK}"))
-    rest = rest.join(links.sketches, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))))
+        live = live.where(F.col("n") > 2)  # the one pair of a signature of two documents is tested now
+    labelled, hubs = links.open(live.where(F.col("n") > 2))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rest = joined_hot(labelled, hubs.select("sig", "n"), "sig").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    rest = rest.join(links.sketches, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     member = F.struct("block", "rep", "size", "label", "sketch")
-    met = rest.groupBy("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(member).alias("every"))  # two blocks at most
+    met = rest.groupBy("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(member).alias("every"))  # two blocks, about
     links.join(met.select("lo", "hi", "every").mapInArrow(_near_in_block(percent), f"a {kind}, b {kind}"))
-    found = nodes.join(links.labels.withColumnRenamed("rep", "keep_id"), "keep_id", "left")
+    found = joined_hot(nodes, links.labels.withColumnRenamed("rep", "keep_id"), "keep_id", how="left")
     return found.select(
         "doc_id",
         "n_shingles",
@@ -314,10 +395,24 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     )
 
 
+@scoped
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one of the smallest doc_id, with all columns."""
-    out = similar(docs, n, percent).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return without_few(docs, out, "doc_id")
+    """One document of each component, with all its columns.
+
+    That is a row of the smallest doc_id; where rows share a doc_id or have
+    none, the verdict is a row's own, and of a component one row stays, first
+    of all one that has a doc_id. Documents without words, null texts among
+    them, stay. An empty table stays one.
+    """
+    named, key = keyed(docs)
+    if key == "doc_id":
+        out = _similar(docs, n, percent).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    else:
+        found = _by_row(named, key, n, percent)
+        first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first")
+        told = joined_hot(found, found.groupBy("component").agg(first), "component")
+        out = told.where(F.col("row") != F.col("first.row")).select(F.col("row").alias(key))
+    return without_few(named, out, key).select(*docs.columns)
 
 
 def brute_force(texts: dict[int, str | None], n: int, percent: int) -> dict[int, tuple[int, int]]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -18,29 +21,82 @@ SPACE = r"\x20\x09-\x0D"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Where a session names none (tests, one machine), a folder below the
-    warehouse is set and used.
+    Where a session names none (tests, one machine), a folder in the
+    warehouse, which is shared as well, is set and used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="corpusmill-")
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/corpusmill-scratch"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Paths written in each open scope, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what ``stored`` wrote in it.
+
+    Tables that the result is still computed from are stored with ``keep``:
+    they belong to the scope around this one, or to the session's owner.
+    """
+    written: list[str] = []
+    token = _scopes.set((*_scopes.get(), written))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in written:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a table, run in a scope of its own."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        with scope(docs.sparkSession):
+            return operator(docs, *args, **kwargs)
+
+    return run
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table cuts the lineage: what follows can be recomputed from
-    files that every executor sees, however many executors are lost.
+    files that every executor sees, however many executors are lost. It goes
+    at the end of the innermost open ``scope``, with ``keep`` of the one
+    around that; outside of scopes it stays.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, and a column that tells each row from all others.
+
+    That is ``doc_id`` where no row lacks it and no two rows share it. Else
+    the rows are written once with a number each, and what is decided about a
+    row never falls on another one of the same doc_id.
+    """
+    if docs.where(F.col("doc_id").isNull()).isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, "doc_id"
+    name = "row"
+    while name in docs.columns:
+        name = f"_{name}"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", keep=True), name
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -103,7 +159,7 @@ def joined_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     Only rows that a filter of the ids lets through are shuffled; the join that
     follows is exact.
     """
-    ids = stored(ids, "ids")
+    ids = stored(ids, "ids", keep=True)
     return df.where(_maybe_in(ids, key)).join(ids, key, "left_semi")
 
 
@@ -113,6 +169,32 @@ def without_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     Rows that a filter of the ids rules out stay where they are; the others
     are joined.
     """
-    ids = stored(ids, "ids")
+    ids = stored(ids, "ids", keep=True)
     maybe = _maybe_in(ids, key)
     return df.where(~maybe).unionByName(df.where(maybe).join(ids, key, "left_anti").select(*df.columns))
+
+
+#: A key counts as hot from this share of all rows on, so that at most as many are.
+MOST_HOT = 1_024
+
+
+def joined_hot(many: DataFrame, one: DataFrame, key: str, wide: bool = False, how: str = "inner") -> DataFrame:
+    """``many`` join ``one`` on ``key``, which a large share of ``many`` may have in common (``how``: inner or left).
+
+    ``one`` has a key once at most. Keys of over 1 / MOST_HOT of the rows of
+    ``many``, and so under MOST_HOT of them, are counted out (the counts are
+    pre-aggregated): their rows of ``one`` are broadcast if they are narrow,
+    else (inner joins only) dealt to as many copies as the key has such shares, and the rows of
+    ``many`` over the copies by a hash of their other columns. All other keys
+    are joined as usual. ``many`` is read three times and should be a stored table.
+    """
+    shares = F.ceil(F.col("count") * MOST_HOT / F.lit(max(1, many.count()))).cast("int")
+    hot = many.groupBy(key).count().select(key, shares.alias("_shares")).where(F.col("_shares") > 1)
+    hot = F.broadcast(stored(hot, "hot", keep=True))  # MOST_HOT rows of two numbers
+    cold = many.join(hot.drop("_shares"), key, "left_anti").join(one, key, how)
+    if not wide:
+        return cold.unionByName(many.join(F.broadcast(hot.drop("_shares").join(one, key, how)), key))
+    others = [c for c in many.columns if c != key]
+    dealt = many.join(hot, key).withColumn("_share", F.pmod(F.xxhash64(*others), F.col("_shares"))).drop("_shares")
+    copies = one.join(hot, key).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares")
+    return cold.unionByName(dealt.join(copies, [key, "_share"]).select(*cold.columns))

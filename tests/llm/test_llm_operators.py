@@ -240,12 +240,31 @@ def test_joined_few_is_a_semi_join(spark):
     assert {r.id for r in without_few(wide, ids, "id").collect()} == set(range(2000)) - set(range(0, 2000, 7))
 
 
-def test_targets_reshare_the_excess():
-    found = mixing.targets([("a", 100), ("b", 1), (None, 10), ("c", 0)])
+def test_targets_reshare_the_excess(spark):
+    rows = [("a", 100), ("b", 1), (None, 10), ("c", 0)]
+    found = [tuple(r) for r in mixing.targets(spark.createDataFrame(rows, "source string, n long")).collect()]
+    found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     assert [s for s, _, _ in found] == ["a", "b", "c", None]
     assert [t for _, _, t in found][1:3] == [3.0, 0.0]
     assert sum(t for _, _, t in found) == pytest.approx(111)
     assert all(t <= 3 * n for _, n, t in found)
+    assert mixing.targets(spark.createDataFrame([], "source string, n long")).count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    """The same as raising the level one source at a time."""
+    rng = random.Random(12)
+    sizes = {f"s{k:03d}" if k else None: rng.choice((0, 1, 5, 40, 900)) for k in range(200)}
+    ordered = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(ordered)}
+    want, left, open_ = {}, float(sum(sizes.values())), set(ordered)
+    while full := [s for s in open_ if left / sum(weight[x] for x in open_) * weight[s] > 3 * sizes[s]]:
+        want |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(want[s] for s in full)
+        open_ -= set(full)
+    want |= {s: left / sum(weight[x] for x in open_) * weight[s] for s in open_}
+    found = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, n long")).collect()}
+    assert found == pytest.approx(want)
 
 
 def test_packing(spark, corpus):
@@ -283,15 +302,28 @@ def test_ngram_join(spark, corpus, n, percent, monkeypatch):
 
 
 def test_linked_sets_share_a_signature():
+    """Also where all that differs falls into few partitions, or spreads as evenly as it can."""
     rng = np.random.default_rng(5)
-    for size in (10, 37, 200, 900):
-        for _ in range(30):
-            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-            drop = rng.integers(0, size // 10 + 1)
-            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64)]))
-            common = len(np.intersect1d(a, b))
-            if 100 * common >= 90 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
-                assert set(ngram_join.signatures(a, 90)) & set(ngram_join.signatures(b, 90))
+    for percent in (50, 80, 90, 95):
+        for size in (1, 2, 3, 5, 8, 10, 17, 37, 90, 200, 450, 900):
+            for turn in range(40):
+                a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+                most = len(a) * (100 - percent) // 100
+                drop = int(rng.integers(0, most + 1)) if turn % 2 else most
+                keep = np.sort(np.argsort(a % np.uint64(rng.integers(3, 60)), kind="stable")[drop:]) if turn % 3 else np.arange(drop, len(a))
+                b = a[keep]
+                for add in range(0, most + 2, max(1, most // 2)):
+                    c = np.unique(np.concatenate([b, rng.integers(0, 2**63, add).astype(np.uint64)]))
+                    common = len(np.intersect1d(a, c))
+                    if common and 100 * common >= percent * (len(a) + len(c) - common) and not np.array_equal(a, c):
+                        assert set(ngram_join.signatures(a, percent)) & set(ngram_join.signatures(c, percent)), (percent, size, turn)
+
+
+def test_few_unrelated_sets_share_a_signature():
+    rng = np.random.default_rng(7)
+    met = np.concatenate([ngram_join.signatures(np.unique(rng.integers(0, 2**63, int(rng.integers(30, 400))).astype(np.uint64)), 80) for _ in range(600)])
+    _, times = np.unique(met, return_counts=True)
+    assert (times > 1).sum() < 100 and times.max() < 20
 
 
 def test_sketches_never_overstate_the_difference():

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
-from re import _constants as C
-from re import _parser as P
 
 import numpy as np
 
 
+#: Texts that are worth reading side by side.
+LANES = 48
+
+
 @dataclass(frozen=True)
 class Rule:
     """A kind of match: its regex, and what a match must have to count.
@@ -26,68 +28,112 @@ class Rule:
 
 
 class _Net:
-    """A nondeterministic automaton; earlier empty moves take precedence."""
+    """A nondeterministic automaton; earlier empty moves take precedence.
+
+    Rules are ASCII literals, ``\\`` before a character or ``\\xHH``, classes
+    of characters and ranges, groups ``(?:...)`` and ``(?i:...)``, ``|`` and
+    the greedy ``?``, ``*``, ``+``, ``{n}``, ``{n,}``, ``{n,m}``.
+    """
 
     def __init__(self, regex: str, backwards: bool = False):
         self.empty: list[list[int]] = []
         self.byte: list[tuple[frozenset[int], int] | None] = []
-        self.backwards = backwards
+        self.text, self.at, self.backwards = regex, 0, backwards
         self.last = self._state()
-        self.first = self._sequence(P.parse(regex), self.last, 0)
+        self.first = self._choice(False)(self.last)
+        if self.at < len(regex):
+            raise ValueError(f"a rule may not go on with {regex[self.at :]!r}")
 
     def _state(self, empty=(), byte=None) -> int:
         self.empty.append(list(empty))
         self.byte.append(byte)
         return len(self.empty) - 1
 
-    def _sequence(self, items, then: int, flags: int) -> int:
-        items = list(items)
-        for op, arg in items if self.backwards else reversed(items):
-            then = self._item(op, arg, then, flags)
-        return then
-
-    def _item(self, op, arg, then: int, flags: int) -> int:
-        if op is C.LITERAL:
-            return self._state(byte=(self._cased({arg}, flags), then))
-        if op is C.IN:
-            return self._state(byte=(self._cased(self._members(arg), flags), then))
-        if op is C.SUBPATTERN:
-            return self._sequence(arg[3], then, (flags | arg[1]) & ~arg[2])
-        if op is C.BRANCH:
-            return self._state(empty=[self._sequence(x, then, flags) for x in arg[1]])
-        if op is C.MAX_REPEAT:
-            low, high, inner = arg
-            if high == C.MAXREPEAT:
+    def _take(self, *tokens: str) -> str | None:
+        for t in tokens:
+            if self.text.startswith(t, self.at):
+                self.at += len(t)
+                return t
+        return None
+
+    # each part of a rule becomes a function: the state that follows -> the state that begins
+
+    def _choice(self, cased: bool) -> Callable[[int], int]:
+        ways = [self._sequence(cased)]
+        while self._take("|"):
+            ways.append(self._sequence(cased))
+        return ways[0] if len(ways) == 1 else lambda then: self._state(empty=[w(then) for w in ways])
+
+    def _sequence(self, cased: bool) -> Callable[[int], int]:
+        parts = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            parts.append(self._repeated(self._atom(cased)))
+        ordered = parts if self.backwards else parts[::-1]
+
+        def build(then: int) -> int:
+            for part in ordered:
+                then = part(then)
+            return then
+
+        return build
+
+    def _atom(self, cased: bool) -> Callable[[int], int]:
+        if group := self._take("(?:", "(?i:"):
+            inner = self._choice(cased or group == "(?i:")
+            if not self._take(")"):
+                raise ValueError("a group of a rule has no end")
+            return inner
+        if self._take("["):
+            members: set[int] = set()
+            while not self._take("]"):
+                low = high = self._character()
+                if self.text[self.at : self.at + 1] == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+                    self.at += 1
+                    high = self._character()
+                members |= set(range(low, high + 1))
+        elif self.text[self.at] in "(.*+?{^$":
+            raise ValueError(f"a rule may not use {self.text[self.at]!r} there")
+        else:
+            members = {self._character()}
+        if cased:
+            members |= {ord(y) for x in members for y in (chr(x).lower(), chr(x).upper())}
+        if max(members) > 127:
+            raise ValueError("rules are over ASCII bytes")
+        return lambda then: self._state(byte=(frozenset(members), then))
+
+    def _character(self) -> int:
+        if self._take("\\x"):
+            self.at += 2
+            return int(self.text[self.at - 2 : self.at], 16)
+        if self._take("\\") and self.text[self.at].isalnum():
+            raise ValueError(f"a rule may not use \\{self.text[self.at]}")
+        self.at += 1
+        return ord(self.text[self.at - 1])
+
+    def _repeated(self, part: Callable[[int], int]) -> Callable[[int], int]:
+        if mark := self._take("?", "*", "+"):
+            low, high = {"?": (0, 1), "*": (0, None), "+": (1, None)}[mark]
+        elif self._take("{"):
+            end = self.text.index("}", self.at)
+            least, comma, most = self.text[self.at : end].partition(",")
+            low, high = int(least), int(most) if most else None if comma else int(least)
+            self.at = end + 1
+        else:
+            return part
+
+        def build(then: int) -> int:
+            if high is None:
                 loop = self._state()
-                self.empty[loop] += [self._sequence(inner, loop, flags), then]
+                self.empty[loop] += [part(loop), then]
                 then = loop
             else:
                 for _ in range(high - low):
-                    then = self._state(empty=[self._sequence(inner, then, flags), then])
+                    then = self._state(empty=[part(then), then])
             for _ in range(low):
-                then = self._sequence(inner, then, flags)
+                then = part(then)
             return then
-        raise ValueError(f"a rule may not use {op}")
-
-    @staticmethod
-    def _members(arg) -> set[int]:
-        found: set[int] = set()
-        for op, x in arg:
-            if op is C.LITERAL:
-                found.add(x)
-            elif op is C.RANGE:
-                found.update(range(x[0], x[1] + 1))
-            else:
-                raise ValueError(f"a class may not use {op}")
-        return found
 
-    @staticmethod
-    def _cased(members: set[int], flags: int) -> frozenset[int]:
-        if flags & re.IGNORECASE:
-            members = members | {ord(y) for x in members for y in (chr(x).lower(), chr(x).upper())}
-        if max(members) > 127:
-            raise ValueError("rules are over ASCII bytes")
-        return frozenset(members)
+        return build
 
     def closure(self, states) -> tuple[int, ...]:
         """What empty moves reach, by precedence; nothing after a match."""
@@ -134,12 +180,16 @@ class Automaton:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         nets = [_Net(r.regex) for r in rules]
+        sets = {members for n in nets for x in n.byte if x for members in x[:1]}
+        kinds: dict[tuple[bool, ...], int] = {}  # bytes that no rule tells apart move alike
+        kind = [kinds.setdefault(tuple(b in m for m in sets), len(kinds)) for b in range(256)]
+        sample = [kind.index(k) for k in range(len(kinds))]
         first = tuple(n.closure([n.first]) for n in nets)
         number, queue, moves = {first: 0}, [first], []
         steps: list[dict] = [{} for _ in nets]
         for state in queue:
             row = []
-            for b in range(256):
+            for b in sample:
                 then = []
                 for n, s, memo in zip(nets, state, steps, strict=True):
                     if (s, b) not in memo:
@@ -151,7 +201,7 @@ class Automaton:
                     queue.append(key)
                 row.append(number[key])
             moves.append(row)
-        table = np.array(moves)
+        table = np.array(moves)  # state x kind of byte
         mask = np.array([sum(1 << k for k, (n, s) in enumerate(zip(nets, x, strict=True)) if n.last in s) for x in queue])
         self.subsets = len(queue)
         _, block = np.unique(mask, return_inverse=True)
@@ -160,18 +210,23 @@ class Automaton:
             if finer.max() == block.max():
                 break
             block = finer
-        member = np.array([np.flatnonzero(block == k)[0] for k in range(block.max() + 1)])
+        _, member = np.unique(block, return_index=True)
         rank = np.argsort(mask[member] > 0, kind="stable")  # matching states last
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
-        small = place[block[table[member[rank]]]]
         self.states = len(rank)
-        shared = [k << 8 for k in range(self.states)]
-        self.table = [shared[k] for k in small.ravel()]
+        self.moves = place[block[table[member[rank]]]].astype(np.int32)
+        self.kind = np.array(kind)
         self.mask = [int(x) for x in mask[member[rank]]]
         self.start = int(place[block[0]]) << 8
         self.flagged = int((mask[member] == 0).sum()) << 8
 
+    @cached_property
+    def table(self) -> list[int]:
+        """The transition array; made where it is used, the moves by kind of byte are much smaller."""
+        shared = [k << 8 for k in range(self.states)]
+        return [shared[k] for k in self.moves[:, self.kind].ravel().tolist()]
+
     @cached_property
     def _reversed(self) -> list[_Net]:
         return [_Net(r.regex, backwards=True) for r in self.rules]
@@ -199,27 +254,58 @@ class Automaton:
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) of all matches that count, by start, then rule."""
-        table, flagged, s, open_ = self.table, self.flagged, self.start, 0
-        since, done, found = [0] * len(self.rules), [0] * len(self.rules), []
+        return self._matches(data, self._changes(data))
 
-        def ended(k: int, end: int) -> None:
-            begin = self._begin(k, data, end, done[k])
-            done[k] = end
-            if end - begin >= self.rules[k].least and end - since[k] >= self.rules[k].least_tail:
-                found.append((begin, k, end))
+    def scan_all(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """The same for many texts, as arrays of bytes, that are read side by side.
 
-        for i, b in enumerate(data):
+        Each step takes the next byte of all texts that have one; when fewer
+        than ``LANES`` are left, each of these goes on by itself.
+        """
+        order = sorted(range(len(texts)), key=lambda j: -len(texts[j]))
+        sizes = np.array([len(texts[j]) for j in order], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        kinds = self.kind.astype(np.int32)[np.concatenate([*(texts[j] for j in order), np.zeros(0, np.uint8)])]
+        moves, masks, width = self.moves.ravel(), np.array(self.mask), self.moves.shape[1]
+        state = np.full(len(order), self.start >> 8, dtype=np.int32)
+        open_ = np.zeros(len(order), dtype=masks.dtype)
+        changes: list[list[tuple[int, int]]] = [[] for _ in texts]
+        i, live = 0, int((sizes > 0).sum())
+        while live >= LANES:
+            state = moves[state[:live] * width + kinds[starts[:live] + i]]
+            now = masks[state]
+            for j in np.flatnonzero(now != open_[:live]).tolist():
+                changes[order[j]].append((i, int(now[j])))
+            open_, i = now, i + 1
+            live = int(np.searchsorted(-sizes[:live], -i, side="left"))
+        for j in range(live):
+            changes[order[j]] += self._changes(texts[order[j]].tobytes(), i, int(state[j]) << 8, int(open_[j]))
+        return [self._matches(t.tobytes(), c) if c else [] for t, c in zip(texts, changes, strict=True)]
+
+    def _changes(self, data: bytes, begin: int = 0, s: int | None = None, open_: int = 0) -> list[tuple[int, int]]:
+        """(position, rules that match up to there) wherever the latter change."""
+        table, flagged, mask, found = self.table, self.flagged, self.mask, []
+        s = self.start if s is None else s
+        for i, b in enumerate(data[begin:] if begin else data, begin):
             s = table[s + b]
             if s >= flagged or open_:
-                now = self.mask[s >> 8]
+                now = mask[s >> 8]
                 if now != open_:
-                    for k in range(len(self.rules)):
-                        if open_ & ~now & (1 << k):
-                            ended(k, i)
-                        elif now & ~open_ & (1 << k):
-                            since[k] = i
+                    found.append((i, now))
                     open_ = now
-        for k in range(len(self.rules)):
-            if open_ & (1 << k):
-                ended(k, len(data))
+        return found
+
+    def _matches(self, data: bytes, changes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """The matches that count, from where rules begin and cease to match."""
+        since, done, found, open_ = [0] * len(self.rules), [0] * len(self.rules), [], 0
+        for i, now in [*changes, (len(data), 0)]:
+            for k, rule in enumerate(self.rules):
+                if open_ & ~now & (1 << k):
+                    begin = self._begin(k, data, i, done[k])
+                    done[k] = i
+                    if i - begin >= rule.least and i - since[k] >= rule.least_tail:
+                        found.append((begin, k, i))
+                elif now & ~open_ & (1 << k):
+                    since[k] = i
+            open_ = now
         return sorted(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cells_for, stored
+from .shared import cells_for, scoped, scratch_dir, stored, written
 
 #: Rows of one index block, about.
-PER_BLOCK = 24_000
+PER_BLOCK = 8_192
 #: Queries of one batch, about.
 PER_BATCH = 512
+#: Bytes of queries that are broadcast at a time, about.
+TURN_BYTES = 8 << 20
 #: A component x becomes floor(SCALE * x).
 SCALE = 64
 
@@ -161,7 +164,8 @@ def _search(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return search
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, per_block: int = PER_BLOCK, per_batch: int = PER_BATCH) -> DataFrame:
+@scoped
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, per_block: int = PER_BLOCK, per_batch: int = PER_BATCH, per_turn: int = TURN_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows but itself.
 
     Both tables have ``vec_id`` and ``embedding``; other columns are ignored.
@@ -169,33 +173,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, per_block: int =
     ties go to the smaller vec_id. Vectors that are null or empty or hold a
     null or non-finite component take no part; vectors of different lengths
     are never compared. Rows are dealt to blocks by hash, each block becomes a
-    bit-sliced index, queries meet every block in batches, and each block
-    gives a query k rows at most, exact ones. Rows that repeat a vec_id are
-    candidates each. Fewer rows than k: all of them. Empty tables give an
-    empty result. Scores must fit 62 bits.
+    bit-sliced index and is written once; it is never shuffled again. Queries
+    come in turns of at most ``per_turn`` bytes, which are broadcast: every
+    task reads its blocks from the files and gives a query k rows a block at
+    most, exact ones. Rows that repeat a vec_id are candidates each; a vec_id
+    that queries repeat asks once, with the least of its vectors. Fewer rows
+    than k: all of them. Empty tables give an empty result. Scores must fit 62
+    bits.
     """
 
-    def blocks(df: DataFrame, per: int) -> DataFrame:
+    def blocks(df: DataFrame, per: int, label: str) -> DataFrame:
         ready = df.where(_valid("embedding") & F.col("vec_id").isNotNull())
         ready = ready.select(F.col("vec_id").cast("long").alias("vec_id"), _attributes("embedding").alias("v"))
         parts = cells_for(df.count(), per)
-        return (
-            ready.withColumn("dims", F.size("v"))
-            .withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-            .groupBy("dims", "part")
-            .applyInPandas(_pack_rows, "dims int, part long, ids binary, body binary")
-        )
-
-    index = stored(blocks(vectors, per_block), "index")
-    asked = blocks(queries, per_batch)
-    # every batch of queries meets every block, two batches to a task: a stated query set, in blocks
-    groups = cells_for(cells_for(queries.count(), per_batch), 2)
-    parts = index.groupBy("dims").agg(F.collect_list("part").alias("parts"))  # one number a block
-    asked = asked.withColumn("turn", F.expr("part div 2")).join(parts, "dims")
-    asked = asked.select("dims", F.explode("parts").alias("part"), "turn", F.col("ids").alias("q_ids"), F.col("body").alias("q_body"))
-    met = index.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    keys, spread = ["dims", "part", "turn"], 2 * groups * cells_for(vectors.count(), per_block)
-    met = met.repartition(spread, *keys).join(asked.repartition(spread, *keys), keys)
-    met = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+        dealt = ready.withColumn("dims", F.size("v")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+        packed = dealt.repartition(parts, "dims", "part").groupBy("dims", "part").applyInPandas(_pack_rows, "dims int, part long, ids binary, body binary")
+        return stored(packed, label)
+
+    once = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    index, asked = blocks(vectors, per_block, "index"), blocks(once, per_batch, "asked")
+    upto = F.sum(F.length("ids") + F.length("body")).over(Window.orderBy("dims", "part"))  # a row a batch
+    turns = stored(asked.select("dims", "part", F.floor(upto / per_turn).alias("turn")), "turns")
+    found = scratch_dir(vectors.sparkSession) + f"/found-{uuid.uuid4().hex}"
+    written(found, keep=True)
+    schema = "query_id long, vec_id long, score long"
+    for (turn,) in turns.select("turn").distinct().orderBy("turn").toLocalIterator():
+        now = asked.join(turns.where(F.col("turn") == turn), ["dims", "part"])
+        now = F.broadcast(now.select("dims", F.col("ids").alias("q_ids"), F.col("body").alias("q_body")))  # per_turn bytes and one batch
+        index.select("dims", "ids", "body").join(now, "dims").mapInArrow(_search(k), schema).write.parquet(f"{found}/turn={turn}")
+    if turns.isEmpty():
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = vectors.sparkSession.read.schema(schema).parquet(f"{found}/turn=*")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -80,9 +80,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_block: int = PER_BLOCK)
     text of more words than ``capacity`` is cut into pieces of that many words
     and a rest; no word is dropped. A bin holds no two pieces of one source
     and no two of one duplicate cluster (equal texts); null is a source too.
-    Pieces are dealt to blocks by a hash of doc_id and piece, so that a source
-    or a cluster, however large, spreads over all blocks, and each block is
-    packed best-fit by itself; the blocks' last bins are all that this costs.
+    So there are at least as many bins as the largest source has pieces: where
+    one source dominates, most bins hold a piece of it and what fits beside it.
+    Pieces are dealt to blocks by a hash of doc_id, text and piece, so that a
+    source or a cluster of many documents, however large, spreads over all
+    blocks, and each block is packed best-fit by itself; the blocks' last bins
+    are all that this costs.
 
     Columns: doc_id, piece (from 0), first_word, n_words, bin, offset. A text
     without words has one piece of none, with null bin and offset. Repeated
@@ -90,7 +93,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_block: int = PER_BLOCK)
     table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sized = stored(docs.select("doc_id", "source", words().alias("size"), F.xxhash64(whole_text()).alias("cluster")), "packing")
+    sized = stored(docs.select("doc_id", "source", words().alias("size"), F.xxhash64(whole_text()).alias("cluster")), "packing", keep=True)
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int")
     n_pieces = sized.agg(F.sum(last + 1)).first()[0] or 0
     pieces = sized.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
@@ -107,7 +110,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_block: int = PER_BLOCK)
     blocks = cells_for(n_pieces, per_block)
     placed = (
         pieces.where(F.col("n_words") > 0)
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc_id", "piece"), F.lit(blocks)))
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc_id", "cluster", "piece"), F.lit(blocks)))
         .groupBy("block")
         .applyInPandas(_pack(capacity), f"doc_id {kind}, piece int, first_word long, n_words long, bin string, offset long")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored, whole_text
+from .shared import scoped, stored, whole_text
 
 #: The base patterns, without backtracking (fixed values). An e-mail address
 #: starts where its run of local characters does, or where the last one ended.
@@ -24,8 +24,10 @@ TERM = r"\p{L}{3,}"
 SLOTS = 1 << 17
 #: Most common terms that are broadcast; any other is in under 1 / HOT of all pairs of a document and a term.
 HOT = 1024
-#: A term must be seen with an entity in so many documents.
+#: A term must be seen with an entity in so many documents, or in all that the entity has.
 SUPPORT = 2
+#: What a count is lowered by before it is taken for evidence.
+DISCOUNT = 0.5
 #: Share of an entity's information that a term discloses, from which on it is
 #: generalised, and from which on it is removed.
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
@@ -133,23 +135,26 @@ def disclosing(rows: DataFrame, spans: DataFrame, n: int, support: int, generali
 
     With N documents, an entity in d of them carries log2(N / d) bits; a term
     in t documents that is with it in c of them discloses log2(c N / (d t))
-    bits, their pointwise mutual information. All documents are counted. As c
-    is d at most, a term in more than d (N / d)^(1 - share) documents stays
-    below the share and need not be paired with the entity.
+    bits, their pointwise mutual information, with c lowered by ``DISCOUNT``:
+    having been seen together once is little evidence, so that terms of an
+    entity's only document are generalised if rare, and never removed. All
+    documents are counted, and c must be ``support`` or d. As c is d at most,
+    a term in more than d (N / d)^(1 - share) documents stays below the share
+    and need not be paired with the entity.
     """
     value = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
     of = stored(spans.select("row", F.concat_ws(":", "kind", value).alias("entity")).distinct(), "entities")
-    d = of.groupBy("entity").agg(F.count("*").alias("d")).where((F.col("d") >= support) & (F.col("d") < n))
+    d = of.groupBy("entity").agg(F.count("*").alias("d")).where(F.col("d") < n)
     of = stored(of.join(d, "entity"), "entities")
     most = lambda d: d * F.pow(float(n) / d, F.lit(1.0 - generalise_at)) * (1 + 1e-9)
-    t = rows.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count("*").alias("t")).where(F.col("t") >= support)
+    t = rows.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
     bound = of.agg(F.coalesce(F.max(most(F.col("d"))), F.lit(0.0))).first()[0]
     t = stored(t.where(F.col("t") <= bound), "terms")
     holders = of.groupBy("row").agg(F.collect_list(F.struct("entity", "d")).alias("entities"))  # a document's own
     words = _maybe_among(rows.select("row", "text"), of, "row").join(holders, "row").select("entities", F.explode(_words()).alias("term"))
     pairs = _by_term(_maybe_among(words, t, "term"), t).select("term", "t", F.explode("entities").alias("e")).where(F.col("t") <= most(F.col("e.d")))
-    c = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e.d").alias("d")).where(F.col("c") >= support)
-    share = F.log2(F.col("c") * float(n) / (F.col("d") * F.col("t"))) / F.log2(float(n) / F.col("d"))
+    c = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e.d").alias("d")).where(F.col("c") >= F.least(F.lit(support), F.col("d")))
+    share = F.log2((F.col("c") - DISCOUNT) * float(n) / (F.col("d") * F.col("t"))) / F.log2(float(n) / F.col("d"))
     return c.select("term", "t", share.alias("share")).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"), F.first("t").alias("t"))
 
 
@@ -176,6 +181,7 @@ def occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
     return each.select("row", F.explode(spans).alias("s")).select("row", "s.*")
 
 
+@scoped
 def find_personal(
     docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT
 ) -> DataFrame:
@@ -184,18 +190,18 @@ def find_personal(
     Takes ``doc_id`` and ``text``; other columns are ignored. Spans of the
     base kinds are leftmost, do not overlap within their kind, and count only
     if address parts, check digits and lengths are right. Words that occur in
-    at least ``support`` of an entity's documents, wherever in them but not in
-    an address, are scored by the share of the entity's information that they
+    at least ``support`` of an entity's documents, or in its only one, wherever
+    in them but not in an address, are scored by the share of the entity's information that they
     disclose over all documents; from ``generalise_at`` on, all their
     occurrences in all documents become ``generalise`` spans, from
     ``remove_at`` on ``remove`` spans. Null and empty texts have no spans;
     repeated rows are rows. An empty table gives an empty result.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text().alias("text")), "rows")
-    spans = stored(base_spans(rows.select("row", "text")), "spans")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text().alias("text")), "rows", keep=True)
+    spans = stored(base_spans(rows.select("row", "text")), "spans", keep=True)
     told = disclosing(rows, spans, rows.count(), support, generalise_at)
     kind = F.when(F.col("share") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    added = occurrences(rows, stored(told.select("term", kind.alias("kind"), "t"), "telling"))
+    added = stored(occurrences(rows, stored(told.select("term", kind.alias("kind"), "t"), "telling")), "added", keep=True)
     every = (
         rows.select("row", "doc_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
         .unionByName(spans.select("row", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "kind", "start", "end"))
@@ -254,3 +260,33 @@ def brute_force(text: str | None) -> list[tuple[str, int, int]]:
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
     )
     return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
+
+
+def brute_force_terms(texts: list[str | None], support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> dict[str, float]:
+    """term -> the largest share of an entity's information that it discloses, by counting all pairs, for tests."""
+    import math
+    import re
+
+    n, entities, terms = len(texts), {}, {}
+    for i, text in enumerate(texts):
+        spans = brute_force(text)
+        for kind, a, b in spans:
+            m = text[a:b]
+            value = m.lower() if kind == "email" else m if kind == "ip" else re.sub("[^0-9]", "", m)
+            entities.setdefault((kind, value), set()).add(i)
+        bare = list(text or "")
+        for kind, a, b in spans:
+            if kind == "email":
+                bare[a:b] = " " * (b - a)
+        for term in re.findall(r"[^\W\d_]{3,}", "".join(bare)):
+            terms.setdefault(term.lower(), set()).add(i)
+    found: dict[str, float] = {}
+    for docs in entities.values():
+        d = len(docs)
+        for term, held in terms.items():
+            c = len(docs & held)
+            if d < n and c >= min(support, d) and c:
+                share = math.log2((c - DISCOUNT) * n / (d * len(held))) / math.log2(n / d)
+                if share >= generalise_at:
+                    found[term] = max(found.get(term, 0.0), share)
+    return found

@@ -14,30 +14,36 @@ from .automaton import Automaton, Rule
 from .utf8 import rows
 
 #: The base rules (fixed values).
-RULES = (
+BASE = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", least_tail=8),
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
-    Rule("hex", r"[0-9a-f]{32,}"),
+    Rule("hex", r"[0-9a-f]{8,}", least=32),  # as many states as it takes to have few false starts
 )
+#: Public formats of other tokens and keys, which add spans (fixed values).
+FORMATS = (
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=20),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
+    Rule("stripe", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]+", least=24),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x0A\x0D]*-----END [A-Z ]*PRIVATE KEY-----"),
+)
+RULES = BASE + FORMATS
 
 
 @lru_cache(maxsize=4)
 def automaton(rules: tuple[Rule, ...]) -> Automaton:
-    """Compiled once in each Python worker."""
+    """Compiled once, in the driver."""
     return Automaton(rules)
 
 
-def _spans(rules: tuple[Rule, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kinds = [r.kind for r in rules]
-
+def _spans(shared, kinds: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(rules)
+        machine = shared.value
         for batch in batches:
-            out = []
-            for raw in rows(batch.column(1)):
-                data = raw.tobytes()
-                found = machine.scan(data)
-                if found and not data.isascii():  # bytes to code points
+            out, texts = [], list(rows(batch.column(1)))
+            for raw, found in zip(texts, machine.scan_all(texts), strict=True):
+                if found and not raw.max() < 128:  # bytes to code points
                     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                     found = [(int(points[a]), k, int(points[b])) for a, k, b in found]
                 out.append([{"kind": kinds[k], "start": a, "end": b} for a, k, b in found])
@@ -53,14 +59,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every document's secrets: doc_id, spans (kind, start, end; code points).
 
     Takes ``doc_id`` and ``text``; other columns are ignored. All rules'
-    regexes are one automaton that reads each byte of the whole text once.
-    Matches of a kind are leftmost and do not overlap; spans are by start, then
+    regexes are one automaton that reads each byte of the whole text once; it
+    tells where matches end, and only the bytes of a match are read again,
+    backwards, for where it begins. Matches of a kind are leftmost and do not overlap; spans are by start, then
     rule. Null and empty texts have none. Repeated rows are scanned as rows.
     An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(automaton(tuple(rules)))  # as large as the rules make it
     return docs.select("doc_id", "text").mapInArrow(
-        _spans(tuple(rules)), f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>"
+        _spans(shared, [r.kind for r in rules]), f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>"
     )
 
 
@@ -75,8 +83,8 @@ def redacted(text: str | None, spans: list[dict], mark: str = "[{kind}]") -> str
     return "".join([*out, text[at:]])
 
 
-def brute_force(text: str | None) -> list[tuple[int, str, int]]:
-    """The base spans by Python's regex engine, for tests."""
+def brute_force(text: str | None, formats: bool = False) -> list[tuple[int, str, int]]:
+    """The spans by Python's regex engine, for tests: base kinds, or with ``formats`` all."""
     import re
 
     text, out = text or "", []
@@ -86,7 +94,9 @@ def brute_force(text: str | None) -> list[tuple[int, str, int]]:
             out.append((m.start(), 0, m.end()))
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
-    return [(a, ("assign", "access", "hex")[k], b) for a, k, b in sorted(out)]
+    for k, rule in enumerate(FORMATS if formats else (), 3):
+        out += [(m.start(), k, m.end()) for m in re.finditer(rule.regex, text) if len(m[0]) >= rule.least]
+    return [(a, RULES[k].kind, b) for a, k, b in sorted(out)]
 
 
 def digest(spans: list[tuple[int, str, int]]) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .heavy import frequent
-from .shared import cells_for, stored, whole_text
+from .shared import cells_for, scoped, stored, whole_text
 
 #: Groups that one task differences at a time, about.
 PER_CELL = 2_000
@@ -119,7 +119,7 @@ def numbered(rows: DataFrame, group: str, by: list[Column | str], per_run: int =
     """
     runs = cells_for(rows.count(), per_run, 64)
     rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
-    before = Window.partitionBy(group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row a run
     firsts = rows.groupBy(group, "run").agg(F.count("*").alias("n"))
     firsts = firsts.select(group, "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy(group, "run").orderBy(*by)
@@ -127,14 +127,16 @@ def numbered(rows: DataFrame, group: str, by: list[Column | str], per_run: int =
     return counted.join(firsts, [group, "run"]).withColumn("slot", (F.col("first") + F.col("nth")).cast("long"))
 
 
-def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: int = FAN_IN) -> DataFrame:
+@scoped
+def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: int = FAN_IN, cut_large: bool = True) -> DataFrame:
     """All documents in ``shards`` shards of near equal bytes.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. A row's size is
     the UTF-8 bytes of its text plus 1 (null: 1, as an empty text). Equal texts
-    form one indivisible group and share a shard; only a group with more bytes
-    than one shard's fair share, of which there are fewer than ``shards``, is
-    cut into pieces by a hash of doc_id, since no balance exists otherwise.
+    form one indivisible group and share a shard. With ``cut_large``, a group
+    with more bytes than one shard's fair share, of which there are fewer than
+    ``shards``, is cut into pieces by a hash of doc_id, since no balance exists
+    otherwise; ``group_cut`` marks its rows. Without, no group is ever cut.
     Rows that repeat a doc_id and a text stay together. Slots run from 0
     without gaps in each shard. An empty table gives an empty result.
     """
@@ -149,13 +151,13 @@ def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: in
         "sharding",
     )
     n, total = facts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    fair = max(1, total // shards)
+    fair = max(1, total // shards) if cut_large else total
     by_text = facts.groupBy("digest").agg(F.sum("size").alias("weight"))
     large = by_text.where(F.col("weight") > fair).select("digest", F.ceil(F.col("weight") * 8 / fair).alias("pieces"))
     facts = facts.join(F.broadcast(large), "digest", "left")
     piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1)))
     facts = stored(
-        facts.withColumn("unit", F.concat("digest", F.when(F.col("pieces").isNotNull(), F.encode(piece.cast("string"), "UTF-8")).otherwise(F.lit(b"")))).drop("pieces", "digest"),
+        facts.withColumn("unit", F.concat("digest", F.when(F.col("pieces").isNotNull(), F.encode(piece.cast("string"), "UTF-8")).otherwise(F.lit(b"")))).withColumn("group_cut", F.col("pieces").isNotNull()).drop("pieces", "digest"),
         "sharding-units",
     )
     units = facts.groupBy("unit").agg(F.sum("size").alias("weight"))
@@ -165,7 +167,7 @@ def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: in
     rows = facts.join(F.broadcast(settled), "unit").unionByName(
         facts.join(F.broadcast(settled.select("unit")), "unit", "left_anti").join(assigned, "unit")
     )
-    rows = stored(rows.select("doc_id", "size", "text_crc32", "shard"), "sharded")
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "shard", "group_cut"), "sharded", keep=True)
     return numbered(rows, "shard", ["doc_id", "text_crc32"]).select(
         "doc_id",
         "size",
@@ -174,4 +176,5 @@ def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: in
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
+        "group_cut",
     )

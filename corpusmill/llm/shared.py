@@ -54,6 +54,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written(path: str, keep: bool = False) -> None:
+    """Have the innermost open scope, or the one around it, delete this path at its end."""
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
+
+
 def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator on a table, run in a scope of its own."""
 
@@ -75,9 +82,7 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    scopes = _scopes.get()[:-1] if keep else _scopes.get()
-    if scopes:
-        scopes[-1].append(path)
+    written(path, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -174,8 +179,10 @@ def without_few(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.where(~maybe).unionByName(df.where(maybe).join(ids, key, "left_anti").select(*df.columns))
 
 
-#: A key counts as hot from this share of all rows on, so that at most as many are.
+#: A key is hot from this share of all rows on, so that there are at most as many hot keys.
 MOST_HOT = 1_024
+#: Rows of one key that are never too many.
+FEW = 256
 
 
 def joined_hot(many: DataFrame, one: DataFrame, key: str, wide: bool = False, how: str = "inner") -> DataFrame:
@@ -184,13 +191,17 @@ def joined_hot(many: DataFrame, one: DataFrame, key: str, wide: bool = False, ho
     ``one`` has a key once at most. Keys of over 1 / MOST_HOT of the rows of
     ``many``, and so under MOST_HOT of them, are counted out (the counts are
     pre-aggregated): their rows of ``one`` are broadcast if they are narrow,
-    else (inner joins only) dealt to as many copies as the key has such shares, and the rows of
-    ``many`` over the copies by a hash of their other columns. All other keys
-    are joined as usual. ``many`` is read three times and should be a stored table.
+    else (inner joins only) dealt to as many copies as the key has such
+    shares, and the rows of ``many`` over the copies by a hash of their other
+    columns. All other keys are joined as usual. ``many`` is read several
+    times and should be a stored table.
     """
-    shares = F.ceil(F.col("count") * MOST_HOT / F.lit(max(1, many.count()))).cast("int")
-    hot = many.groupBy(key).count().select(key, shares.alias("_shares")).where(F.col("_shares") > 1)
-    hot = F.broadcast(stored(hot, "hot", keep=True))  # MOST_HOT rows of two numbers
+    least = max(FEW, many.count() / MOST_HOT)
+    found = many.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).alias("_shares"))
+    held = found.collect()  # MOST_HOT keys at most
+    if not held:
+        return many.join(one, key, how)
+    hot = F.broadcast(many.sparkSession.createDataFrame(held, found.schema))
     cold = many.join(hot.drop("_shares"), key, "left_anti").join(one, key, how)
     if not wide:
         return cold.unionByName(many.join(F.broadcast(hot.drop("_shares").join(one, key, how)), key))

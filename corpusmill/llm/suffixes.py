@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .loser_tree import front_code, merge
-from .shared import cells_for, scratch_dir, stored
+from .shared import cells_for, scoped, scratch_dir, stored, written
 from .shingles import _grown, mixed
 from .utf8 import utf8
 
@@ -38,6 +38,8 @@ PER_BUCKET = 400_000
 PER_MERGE = 150_000
 #: A run tells how often it has a kind of anchor from this number on.
 FEW = 4
+#: Bytes of text that one task holds runs of, about.
+PER_TASK = 64 << 20
 #: Stands for a null doc_id, which is larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -343,12 +345,13 @@ def resolve(shared: np.ndarray, rows: np.ndarray, owners: np.ndarray) -> tuple[n
         after = (unique[:, :SPAN] != PAD).sum(axis=1)
         left = unique[:, SPAN:]
         before = (left != PAD).sum(axis=1)
-        power = _grown(BEFORE + 1)[0][:BEFORE]
-        prefix = np.cumsum((left.astype(np.uint64) + np.uint64(1)) * power, axis=1)
+        same = np.zeros(len(many), dtype=np.int64)  # a number for each different string of the o bytes before the anchor
         for o in range(BEFORE + 1):
+            if o:
+                same = np.unique(same * 256 + left[:, o - 1], return_inverse=True)[1]
             near = np.cumsum(gap < SPAN - o)
             whole = (after >= SPAN - o) & (before >= o)
-            key = np.where(whole, mixed(prefix[:, o - 1]) if o else np.uint64(0), np.arange(len(many), dtype=np.uint64))
+            key = np.where(whole, same, np.arange(len(many)))
             by = np.lexsort((key, whole, near))
             new = np.ones(len(by), dtype=bool)
             new[1:] = (near[by][1:] != near[by][:-1]) | (whole[by][1:] != whole[by][:-1]) | (key[by][1:] != key[by][:-1])
@@ -423,6 +426,7 @@ def _remove(buckets: int, texts: bool):
     return remove
 
 
+@scoped
 def remove_repeats(docs: DataFrame, texts: bool = False, run_bytes: int = RUN_BYTES, per_merge: int = PER_MERGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every document.
 
@@ -448,40 +452,49 @@ def remove_repeats(docs: DataFrame, texts: bool = False, run_bytes: int = RUN_BY
     spark = docs.sparkSession
     name = f"corpusmill_runs_{uuid.uuid4().hex}"
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        read.mapInArrow(_runs(run_bytes), "run long, ids binary, sizes binary, body binary")
-        .write.option("path", f"{scratch_dir(spark)}/{name}")
-        .bucketBy(parts, "run")
-        .sortBy("run")
-        .saveAsTable(name)
-    )
-    runs = spark.table(name)
-    size = runs.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    size = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = cells_for(size, PER_TASK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{scratch_dir(spark)}/{name}"
+    written(path)
+    try:
+        (
+            read.mapInArrow(_runs(run_bytes), "run long, ids binary, sizes binary, body binary")
+            .write.option("path", path)
+            .bucketBy(parts, "run")
+            .sortBy("run")
+            .saveAsTable(name)
+        )
+        return _without_repeats(spark.table(name), size, parts, texts, per_merge)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def _without_repeats(runs: DataFrame, size: int, parts: int, texts: bool, per_merge: int) -> DataFrame:
+    """The same for a table of runs in ``parts`` buckets."""
+    spark = runs.sparkSession
     kinds = cells_for(size // 12, PER_BUCKET, parts)
     listed = runs.mapInArrow(_kinds(kinds), "bucket long, run long, low binary, high binary, several binary, often binary, times binary")
     repeated = stored(
-        listed.groupBy("bucket").applyInPandas(_find_repeated(per_merge), "run long, bucket long, size long, found long, bits binary, hot binary"), "repeated"
+        listed.repartition(cells_for(kinds, 8, parts), "bucket").groupBy("bucket").applyInPandas(_find_repeated(per_merge), "run long, bucket long, size long, found long, bits binary, hot binary"), "repeated"
     )
     buckets = cells_for(repeated.agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0], per_merge, parts)
-    marks = repeated.groupBy("run").agg(F.collect_list(F.struct("bucket", "size", "bits", "hot")).alias("marks"))  # a run's own anchors
+    marks = repeated.repartition(parts, "run").groupBy("run").agg(F.collect_list(F.struct("bucket", "size", "bits", "hot")).alias("marks"))  # a run's own anchors
     marked = runs.join(marks, "run", "left")
     coded = marked.mapInArrow(_front_coded(buckets), "bucket long, run long, shared binary, tails binary, owners binary")
-    merged = stored(coded.groupBy("bucket").applyInPandas(_merge_bucket, "run long, bucket long, least binary, mask binary"), "merged")
-    found = merged.groupBy("run").agg(F.collect_list(F.struct("bucket", "least", "mask")).alias("found"))  # a run's own records
+    merged = stored(coded.repartition(cells_for(buckets, 4, parts), "bucket").groupBy("bucket").applyInPandas(_merge_bucket, "run long, bucket long, least binary, mask binary"), "merged")
+    found = merged.repartition(parts, "run").groupBy("run").agg(F.collect_list(F.struct("bucket", "least", "mask")).alias("found"))  # a run's own records
     told = spark.createDataFrame([], "run long, passages array<struct<nth: long, least: long>>")
     if not repeated.where("hot is not null").isEmpty():
         each = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull())).mapInArrow(_passages, "run long, nth long, passage binary, owner long")
         least = each.withColumn("least", F.min("owner").over(Window.partitionBy("passage"))).where("least < owner")  # one row a run
-        told = stored(least.groupBy("run").agg(F.collect_list(F.struct("nth", "least")).alias("passages")), "passages")  # a run's own passages
-    out = stored(
+        told = stored(least.repartition(parts, "run").groupBy("run").agg(F.collect_list(F.struct("nth", "least")).alias("passages")), "passages")  # a run's own passages
+    return stored(
         marked.join(found, "run", "left").join(told, "run", "left").mapInArrow(
             _remove(buckets, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
         ),
         "kept",
+        keep=True,
     )
-    spark.sql(f"drop table {name}")
-    return out
 
 
 def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int, int, str]]:

@@ -151,3 +151,17 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     """0 where a norm is 0."""
     n = norm(a) * norm(b)
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
+
+
+#: What stands for a missing number.
+DASH = "—"
+
+
+def percent(c: Column | str) -> Column:
+    """A signed share in percent with one place, as text."""
+    return F.when(col(c).isNull(), DASH).otherwise(F.format_string("%+.1f%%", rounded(F.lit(100.0) * col(c).cast("double"), 1)))
+
+
+def number(c: Column | str, places: int = 2) -> Column:
+    """A number with so many places, as text."""
+    return F.when(col(c).isNull(), DASH).otherwise(F.format_string(f"%.{places}f", rounded(col(c).cast("double"), places)))

@@ -16,7 +16,7 @@ def normal_below(z: float) -> float:
 
 
 def sign_test(wins: int, losses: int) -> float:
-    """Two-sided exact binomial p of wins against losses; 1 without any."""
+    """Two-sided exact binomial p of wins against losses, over 1,000 of them by the normal tail; 1 without any."""
     n = wins + losses
     if n == 0:
         return 1.0
@@ -34,9 +34,12 @@ def wilson_lower(wins: int, n: int, z: float = 1.96) -> float:
 
 
 def wilcoxon_p(n: int, w_plus: float, ties: float) -> float | None:
-    """Two-sided p of the signed-rank sum; ties: sum of t^3 - t over tied groups. None under 5."""
+    """Two-sided p of the signed-rank sum; ties: sum of t^3 - t over tied groups. 1 without any difference, None under 5.
+
+    Exact up to 50 differences of which no two are equal, else by the normal tail.
+    """
     if n < 5:
-        return None
+        return None if n else 1.0
     if n <= 50 and ties == 0:  # exact: ways to reach each rank sum
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1

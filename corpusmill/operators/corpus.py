@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.columns import multi, or_else, reasons, rounded
@@ -271,3 +271,41 @@ def balanced(rows: DataFrame, label: str, key: str, n: int, seed: int) -> DataFr
     nth = F.row_number().over(Window.partitionBy(label).orderBy(by_hash(seed, key), key))
     size = F.count("*").over(Window.partitionBy(label))
     return rows.withColumn("round", nth).withColumn("class_size", size).orderBy("round", F.desc("class_size"), label).limit(n)
+
+
+#: Sections of the evaluation grid with what their prompts say (fixed values).
+SECTION_PROMPTS = (
+    ("intro", "dark piano loop, atmospheric pads", "low energy"),
+    ("verse", "restrained snare, deep 808 bass", "narrative mood, medium energy"),
+    ("pre-chorus", "building strings, driving snare, trap hi-hats", "building tension"),
+    ("chorus", "heavy 808 bass, autotune vocals, trap hi-hats", "memorable melodic hook, high energy"),
+    ("bridge", "stripped-back piano, soft strings", "reflective mood"),
+    ("outro", "fading piano, reduced drums", "fading out, reflective mood"),
+)
+#: Tempos of the grid and the keys that its tempos cycle through (fixed values).
+GRID_TEMPOS = (72, 78, 84, 96, 130, 140, 155)
+GRID_KEYS = ("A minor", "C minor", "F minor", "E minor", "D minor")
+#: Prompts outside of the grid's domain: id, section, genre, tempo, key, text (fixed values).
+OTHER_PROMPTS = (
+    ("ood_ambient_060", "full-song", "ambient", 60, "G minor", "ambient full-song, 60 BPM, G minor, slow pads, airy flute, dreamy calm atmosphere"),
+    ("ood_orchestral_100", "full-song", "orchestral", 100, "D major", "orchestral full-song, 100 BPM, D major, sweeping strings, heroic brass, epic choir"),
+)
+
+
+def prompt_grid(spark: SparkSession, first_seed: int = 42) -> DataFrame:
+    """The fixed evaluation prompts: every section at every tempo, keys cycling with the tempos, then the two outside of the domain."""
+    sections = spark.createDataFrame([(i, *x) for i, x in enumerate(SECTION_PROMPTS)], "k int, section string, phrasing string, tail string")
+    tempos = spark.createDataFrame([(j, b, GRID_KEYS[j % len(GRID_KEYS)]) for j, b in enumerate(GRID_TEMPOS)], "j int, bpm int, key string")
+    every = sections.join(F.broadcast(tempos))  # 6 by 7 rows
+    grid = every.select(
+        F.concat_ws("_", "section", F.lpad(F.col("bpm").cast("string"), 3, "0"), F.replace(F.lower("key"), F.lit(" "), F.lit(""))).alias("id"),
+        "section",
+        F.lit("melodic trap").alias("genre"),
+        "bpm",
+        "key",
+        (F.col("k") * len(GRID_TEMPOS) + F.col("j") + first_seed).alias("seed"),
+        F.concat_ws(", ", "section", F.concat("bpm", F.lit(" BPM")), "key", "phrasing", "tail").alias("description"),
+    )
+    n = len(SECTION_PROMPTS) * len(GRID_TEMPOS)
+    others = spark.createDataFrame([(*x[:5], first_seed + n + i, x[5]) for i, x in enumerate(OTHER_PROMPTS)], "id string, section string, genre string, bpm int, key string, seed int, description string")
+    return grid.unionByName(others)

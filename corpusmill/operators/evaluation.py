@@ -230,9 +230,24 @@ def best_candidate(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(best.alias("event_id"), rounded(F.max(F.coalesce("clap_score", F.lit(0.0)))).alias("clap"))
 
 
+def _hardness() -> Column:
+    return 0.5 * F.coalesce(1.0 - F.col("clap_score"), F.lit(1.0)) + 0.5 * F.coalesce(F.least(_off() / 0.5, F.lit(1.0)), F.lit(1.0))
+
+
+def reliability_fit(rows: DataFrame) -> DataFrame:
+    """One row: the least-squares line of being ok over difficulty, and how much it explains."""
+    ok = F.coalesce(_ok().cast("double"), F.lit(0.0))
+    one = rows.select(_hardness().alias("x"), ok.alias("y")).agg(
+        F.count("*").alias("n"), F.regr_slope("y", "x").alias("k"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy")
+    )
+    k = F.coalesce("k", F.lit(0.0))
+    r2 = F.when(F.col("syy") > 1e-12, k * k * F.col("sxx") / F.col("syy")).otherwise(0.0)
+    return one.select("n", rounded(k).alias("slope"), rounded(F.col("my") - k * F.col("mx")).alias("intercept"), rounded(r2).alias("r_squared"), (r2 >= 0.5).alias("reliable"))
+
+
 def reliability_curve(rows: DataFrame, bins: int = 4) -> DataFrame:
     """Ok share by equal-width bins of difficulty; empty bins are left out."""
-    d = rows.withColumn("d", 0.5 * F.coalesce(1.0 - F.col("clap_score"), F.lit(1.0)) + 0.5 * F.coalesce(F.least(_off() / 0.5, F.lit(1.0)), F.lit(1.0)))
+    d = rows.withColumn("d", _hardness())
     edge = d.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_ = F.when(F.col("hi") - F.col("lo") < 1e-9, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("d") - F.col("lo")) / width)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import tails
 from corpusmill.functions.columns import dot, norm, rounded
+from corpusmill.functions.lineage import saved
 
 #: Vectors of one block.
 BLOCK = 2_000
@@ -88,18 +89,13 @@ def greedy_clusters(edges: DataFrame, key: str = "id") -> DataFrame:
     becomes one. An id is decided once all its smaller neighbours are, so each
     round decides many ids at once instead of one after the other.
     """
-    spark = edges.sparkSession
     state = edges.select(F.col("a").alias(key)).union(edges.select(F.col("b"))).distinct().withColumn("rep", F.lit(None).cast("boolean"))
     down = edges.select(F.col("b").alias(key), F.col("a").alias("small"))
     while True:
         known = state.select(F.col(key).alias("small"), F.col("rep").alias("small_rep"))
         seen = down.join(known, "small").groupBy(key).agg(F.bool_or(F.coalesce("small_rep", F.lit(False))).alias("claimed"), F.bool_or(F.col("small_rep").isNull()).alias("waits"))
         now = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.coalesce("claimed", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
-        if spark.sparkContext.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-        state = state.join(seen, key, "left").select(key, now.alias("rep")).checkpoint()
+        state = saved(state.join(seen, key, "left").select(key, now.alias("rep")))
         if state.where("rep is null").isEmpty():
             break
     reps = state.where("rep").select(F.col(key).alias("a"))

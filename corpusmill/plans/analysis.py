@@ -14,9 +14,9 @@ from .evaluation import r
 KEYS = ["prompt", "bpm_target", "seed_no"]
 
 
-def paired(s, d):
+def paired(s, d, *others):
     rows = evaluation(s, d)
-    return st.pairs(rows.where("checkpoint = 'ck0'"), rows.where("checkpoint = 'ck1'").withColumn("seed_no", F.col("seed_no")), ["prompt", "bpm_target"], ["clap_score", "deviation"], "event_id")
+    return st.pairs(rows.where("checkpoint = 'ck0'"), rows.where("checkpoint = 'ck1'"), ["prompt", "bpm_target"], ["clap_score", "deviation"], "event_id", list(others))
 
 
 def by_checkpoints(s, d):
@@ -68,8 +68,8 @@ QUERIES = {
     "bayesian_comparison": (lambda s, d: st.bayesian_ab(by_checkpoints(s, d)), None),
     "bayesian_posterior": (
         lambda s, d: st.bayesian_ab(by_checkpoints(s, d)).select("n", "posterior_mean", "posterior_sd"),
-        _DIFFS + """, o as (select count(d) as n, avg(d) as m, coalesce(var_samp(d), 0) as v from x), q as (select *, 1e-3 + case when v > 0 then n / v else 0 end as pr from o)
-        select n, round((pr - 1e-3) * m / pr, 4) + 0e0 as posterior_mean, round(sqrt(1 / pr), 6) + 0e0 as posterior_sd from q""",
+        _DIFFS + """, o as (select count(d) as n, avg(d) as m, var_samp(d) as v from x), q as (select *, case when n > 1 then n / greatest(v, 1e-12) end as w from o)
+        select n, round(w * m / (w + 1e-3), 4) + 0e0 as posterior_mean, round(sqrt(1 / (w + 1e-3)), 6) + 0e0 as posterior_sd from q""",
     ),
     "meta_analysis": (
         lambda s, d: st.meta_analysis(evaluation(s, d).where("clap_score is not null").groupBy("section").agg(F.avg(F.col("clap_score") - 0.5).alias("delta"), (F.stddev_samp("clap_score") / F.sqrt(F.count("*"))).alias("se"))),
@@ -103,15 +103,21 @@ QUERIES = {
         select (select count(*) from ev where checkpoint = 'ck0') as n, (select count(*) from ev where checkpoint <> 'ck0') as m, round(max(abs(fc - fr)), 6) + 0e0 as distance from f""",
     ),
     "ks_test": (lambda s, d: st.ks(evaluation(s, d), "value", F.col("checkpoint") == "ck0").withColumn("p", rounded(st.ks_p("distance", "n", "m"), 6)), None),
-    "bootstrap_intervals": (lambda s, d: st.bootstrap(evaluation(s, d), "checkpoint", "clap_score", 500), None),
+    "bootstrap_intervals": (lambda s, d: st.bootstrap(evaluation(s, d), "checkpoint", "event_id", "clap_score"), None),
+    "difference_interval": (lambda s, d: st.difference_interval(paired(s, d, "event_id"), "event_id", "clap_score_a", "clap_score_b"), None),
+    "score_intervals": (lambda s, d: st.score_interval(evaluation(s, d), "checkpoint", "event_id"), None),
+    "checkpoint_scores": (
+        lambda s, d: st.score_interval(evaluation(s, d), "checkpoint", "event_id", draws=2).select("checkpoint", "n", "score"),
+        """select checkpoint, count(*) as n, round(0.4e0 * avg(case when status = 'ok' then 1e0 else 0e0 end) + 0.3e0 * coalesce(avg(clap_score), 0) + 0.3e0 * greatest(0e0, 1e0 - coalesce(avg(abs(deviation)), 0) / 0.2e0), 4) + 0e0 as score from ev group by checkpoint""",
+    ),
     "sign_test": (lambda s, d: st.win_rate(paired(s, d), "clap_score_a", "clap_score_b").withColumn("p", st.sign_p("wins", "losses")), None),
     "cosine_to_first": (
         lambda s, d: vectors(s, d).join(F.broadcast(vectors(s, d).where("vec_id = 0").select(F.col("embedding").alias("first"))), how="cross").select("vec_id", rounded(cosine("embedding", "first")).alias("cosine")),
         f"select e.vec_id, {r(_COS.format(a='e.embedding', b='f.embedding'))} as cosine from embeddings e, embeddings f where f.vec_id = 0",
     ),
     "nearest_tracks": (
-        lambda s, d: ve.nearest(vectors(s, d).where("vec_id < 50"), vectors(s, d), "vec_id", "embedding", 5).select("query", "rank", "id"),
-        f"""p as (select q.vec_id as query, e.vec_id as id, round({_COS.format(a='q.embedding', b='e.embedding')}, 6) as sim from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id < 50),
+        lambda s, d: ve.nearest(vectors(s, d).where("vec_id % 100 = 0"), vectors(s, d), "vec_id", "embedding", 5).select("query", "rank", "id"),
+        f"""p as (select q.vec_id as query, e.vec_id as id, round({_COS.format(a='q.embedding', b='e.embedding')}, 6) as sim from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0),
         k as (select *, row_number() over (partition by query order by sim desc, id) as rank from p) select query, rank, id from k where rank <= 5""",
     ),
     "similar_pairs": (

@@ -58,9 +58,9 @@ QUERIES = {
         """a as (select event_id, len(list_filter([1, 2, 3, 5], lambda k: (event_id * k) % 6 in (1, 4, 5))) / 4e0 as s from ev) select event_id, case when s >= 0.5 then 'dark' when s >= 0.25 then 'bittersweet' else 'bright' end as mood from a""",
     ),
     "structure_order": (
-        lambda s, d: evaluation(s, d).groupBy("prompt").agg(F.array_sort(F.collect_list(F.struct("event_id", "section"))).alias("l")).select("prompt", op.order_score(F.transform("l", lambda x: F.when(x["section"] == "click", "intro").when(x["section"] == "view", "outro").otherwise("verse")), F.lit("intro")).alias("score")),
-        """a as (select prompt, list(case section when 'click' then 'intro' when 'view' then 'outro' else 'verse' end order by event_id) as l from ev group by prompt)
-        select prompt, case when not list_contains(l, 'intro') then 0e0 when l[1] = 'intro' then 1e0 else 0.5e0 end as score from a""",
+        lambda s, d: evaluation(s, d).groupBy(F.floor(F.col("event_id") / 20).alias("song")).agg(F.array_sort(F.collect_list(F.struct("event_id", "section"))).alias("l")).select("song", op.order_score(F.transform("l", lambda x: F.when(x["section"] == "click", "intro").when(x["section"] == "view", "outro").otherwise("verse")), F.lit("intro")).alias("score")),
+        """a as (select event_id // 20 as song, list(case section when 'click' then 'intro' when 'view' then 'outro' else 'verse' end order by event_id) as l from ev group by 1)
+        select song, case when not list_contains(l, 'intro') then 0e0 when l[1] = 'intro' then 1e0 else 0.5e0 end as score from a""",
     ),
     "batch_plans": (
         lambda s, d: table(s, d, "part").select("p_partkey", op.batch_plan(F.col("p_retailprice") * 10, F.lit(8000.0), F.col("p_size").cast("double") + 1).alias("x")).select("p_partkey", "x.format", "x.batch"),
@@ -78,8 +78,8 @@ QUERIES = {
     ),
     "perturbed_prompts": (lambda s, d: evaluation(s, d).select("event_id", op.perturbed(F.col("genre"), F.col("event_id"), 3, "trap", "house").alias("p")), None),
     "vocabulary_tags": (
-        lambda s, d: op.tags_for(table(s, d, "embeddings").where("vec_id >= 20 and vec_id < 200").withColumn("vec_id", F.col("vec_id").cast("long")), table(s, d, "embeddings").where("vec_id < 20").withColumn("vec_id", F.col("vec_id").cast("long")), "vec_id", "embedding", 3, 0.1),
-        f"""p as (select cast(e.vec_id as bigint) as id, cast(v.vec_id as bigint) as term, round({_COS.format(a='e.embedding', b='v.embedding')}, 6) as sim from embeddings e, embeddings v where e.vec_id >= 20 and e.vec_id < 200 and v.vec_id < 20),
+        lambda s, d: op.tags_for(table(s, d, "embeddings").where("vec_id >= 20").withColumn("vec_id", F.col("vec_id").cast("long")), table(s, d, "embeddings").where("vec_id < 20").withColumn("vec_id", F.col("vec_id").cast("long")), "vec_id", "embedding", 3, 0.1),
+        f"""p as (select cast(e.vec_id as bigint) as id, cast(v.vec_id as bigint) as term, round({_COS.format(a='e.embedding', b='v.embedding')}, 6) as sim from embeddings e, embeddings v where e.vec_id >= 20 and v.vec_id < 20),
         k as (select *, row_number() over (partition by id order by sim desc, term) as i from p) select id, term from k where i <= 3 and sim >= 0.1""",
     ),
     "drift_report": (lambda s, d: op.drift_report(tracks(s, d), F.col("split") == "train", ["bpm", "duration", "lufs"], ["genre", "mood", "section"]), None),
@@ -111,7 +111,7 @@ def compared(s, d):
     from corpusmill.operators import statistics as st
     from corpusmill.plans.analysis import paired
 
-    return st.comparison(paired(s, d), {"clap_score": True, "deviation": False})
+    return st.comparison(paired(s, d, "event_id"), "event_id", {"clap_score": True, "deviation": False})
 
 
 def labelling(s, d):

@@ -55,6 +55,13 @@ _PC = """case regexp_extract(coalesce({k}, ''), '^([A-G][#b]?)', 1) when 'C' the
 _CAM = "((case when contains(lower({k}), 'minor') then (" + _PC + " + 3) % 12 else " + _PC + " end) * 7 + 7) % 12 + 1"
 
 
+def manifests(s, d):
+    """Each run of 200 events against the one before it."""
+    run = F.floor(F.col("event_id") / 200).cast("long")
+    rows = lambda shift: evaluation(s, d).select(F.concat_ws("/", run + shift, "prompt").alias("at"), "status", "section")
+    return op.unified(rows(1), rows(0), "at", ["status", "section"])
+
+
 QUERIES = {
     "out_of_domain": (
         lambda s, d: op.out_of_domain(tracks(s, d), 70, 160, ["es", "calm"]).select("source_id", "bpm", F.array_join("ood_reasons", "; ").alias("why")),
@@ -164,13 +171,9 @@ QUERIES = {
         "select distinct sha256(text) as h from documents where doc_id % 2 = 1 and sha256(text) not in (select sha256(text) from documents where doc_id % 2 = 0)",
     ),
     "run_manifest_diff": (
-        lambda s, d: op.unified(
-            evaluation(s, d).where("event_id < 200").select("prompt", "status", "clap_score", "section"),
-            evaluation(s, d).where("event_id between 200 and 399").select("prompt", "status", "clap_score", "section"), "prompt", ["status", "section"],
-        ),
-        """o as (select * from ev where event_id < 200), n as (select * from ev where event_id between 200 and 399)
-        select prompt, 'status' as field, o.status as a, n.status as b from o join n using (prompt) where o.status is distinct from n.status
-        union all select prompt, 'section', o.section, n.section from o join n using (prompt) where o.section is distinct from n.section""",
+        manifests,
+        """q as (select *, event_id // 200 as run from ev), p as (select concat(n.run, '/', n.prompt) as "at", o.status as s, n.status as t, o.section as x, n.section as y from q o join q n on n.run = o.run + 1 and n.prompt = o.prompt)
+        select "at", 'status' as field, s as a, t as b from p where s is distinct from t union all select "at", 'section', x, y from p where x is distinct from y""",
     ),
     "renamed_terms": (
         lambda s, d: tracks(s, d).select("source_id", op.renamed_terms(F.col("mood"), {"dark": "gloomy", "calm": "mellow"}).alias("mood")),
@@ -195,8 +198,8 @@ QUERIES = {
         select point_id, song_id, "at", case when "at" < 10 then 'intro' when "at" < 30 then 'verse' when "at" < 45 then 'chorus' else 'unknown' end as role from p""",
     ),
     "fixed_windows": (
-        lambda s, d: op.fixed_windows(tracks(s, d).where("track_id % 50 = 3"), "source_id", 30.0, 10.0, 8.0),
-        f"""a as (select source_id, duration, unnest(range(0, cast(greatest(ceil((duration - 10) / 20), 1) as bigint))) * 20e0 as st from tracks where track_id % 50 = 3 and duration > 0)
+        lambda s, d: op.fixed_windows(tracks(s, d), "source_id", 30.0, 10.0, 8.0),
+        f"""a as (select source_id, duration, unnest(range(0, cast(greatest(ceil((duration - 10) / 20), 1) as bigint))) * 20e0 as st from tracks where duration > 0)
         select source_id, {r('st')} as start, {r('least(st + 30, duration)')} as "end" from a where round(least(st + 30, duration), 4) - round(st, 4) >= 8 and st < duration""",
     ),
     "bar_aligned_length": (
@@ -244,7 +247,11 @@ QUERIES = {
         concat(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][(pc + 3) % 12 + 1], ' ', regexp_extract(musical_key, ' (major|minor)$', 1)) as up3 from a""",
     ),
     "prompt_grid": (
-        lambda s, d: s.range(42).select(F.col("id").alias("i"), F.element_at(F.array(*[F.lit(x) for x in ("intro", "verse", "chorus", "bridge", "drop", "outro")]), (F.floor(F.col("id") / 7) + 1).cast("int")).alias("section"), (F.lit(70) + F.col("id") % 7 * 10).alias("bpm"), (F.lit(42) + F.col("id")).alias("seed")),
-        """select i, ['intro', 'verse', 'chorus', 'bridge', 'drop', 'outro'][i // 7 + 1] as section, 70 + i % 7 * 10 as bpm, 42 + i as seed from range(42) t(i)""",
+        lambda s, d: op.prompt_grid(s),
+        f"""p as (select * from (values {', '.join(f"({i}, '{x[0]}', '{x[1]}', '{x[2]}')" for i, x in enumerate(op.SECTION_PROMPTS))}) t(k, section, phrasing, tail)),
+        g as (select k * 7 + j as i, section, phrasing, tail, {list(op.GRID_TEMPOS)}[j + 1] as bpm, {list(op.GRID_KEYS)}[j % 5 + 1] as key from p, range(7) t(j))
+        select concat(section, '_', lpad(cast(bpm as varchar), 3, '0'), '_', replace(lower(key), ' ', '')) as id, section, 'melodic trap' as genre, bpm, key, cast(42 + i as int) as seed,
+        concat(section, ', ', bpm, ' BPM, ', key, ', ', phrasing, ', ', tail) as description from g
+        union all values {', '.join(repr((*x[:5], 84 + i, x[5])) for i, x in enumerate(op.OTHER_PROMPTS))}""",
     ),
 }

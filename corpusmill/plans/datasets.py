@@ -41,10 +41,9 @@ def curated(s, d):
     return op.curation(tracks(s, d).select("track_id", F.col("quality").cast("double").alias("quality"), "lufs").join(penalty, "track_id", "left").withColumn("novelty", F.lit(None).cast("double")))
 
 
-def beats(s, d, most=None):
-    """Windows over boundaries every two seconds; at most ``most`` of a track, where given."""
+def beats(s, d):
+    """Windows over boundaries every two seconds."""
     n = F.floor(F.col("duration") / 2).cast("int")
-    n = n if most is None else F.least(n, F.lit(most))
     rows = tracks(s, d).where("duration >= 4").select("source_id", "duration", F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda i: i * 2.0)).alias("pos", "at"))
     return op.boundary_windows(rows, "source_id", 8)
 
@@ -54,7 +53,7 @@ def parts(s, d):
 
 
 def merged(s, d):
-    t = table(s, d, "embeddings").where("vec_id < 30").select((F.col("vec_id") % 3).cast("int").alias("checkpoint"), F.floor(F.col("vec_id") / 3).cast("int").alias("name"), F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("values"))
+    t = table(s, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("checkpoint"), F.floor(F.col("vec_id") / 3).cast("int").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
     weights = s.createDataFrame([(0, 1.0), (1, 2.0), (2, 1.0)], "checkpoint int, w double")
     return op.weighted_merge(t, weights)
 
@@ -113,8 +112,8 @@ QUERIES = {
         select prompt, min(checkpoint) as one, max(checkpoint) as two from n where i <= 2 group by prompt having count(*) = 2""",
     ),
     "boundary_windows": (
-        lambda s, d: beats(s, d, 40),
-        """b as (select source_id, duration, least(cast(floor(duration / 2) as int), 40) as n from tracks where duration >= 4), p as (select source_id, duration, n, unnest(range(0, n + 1)) as pos from b)
+        beats,
+        """b as (select source_id, duration, cast(floor(duration / 2) as int) as n from tracks where duration >= 4), p as (select source_id, duration, n, unnest(range(0, n + 1)) as pos from b)
         select source_id, pos * 2e0 as start, case when pos + 8 <= n then (pos + 8) * 2e0 else duration end as "end" from p where pos % 8 = 0 and pos < n""",
     ),
     "event_density": (
@@ -159,7 +158,7 @@ QUERIES = {
     ),
     "merged_weights": (
         merged,
-        """t as (select cast(vec_id % 3 as int) as c, cast(vec_id // 3 as int) as name, unnest(range(8)) as i, unnest(embedding[1:8]::double[]) as x from embeddings where vec_id < 30)
+        """t as (select cast(vec_id % 3 as int) as c, cast(vec_id // 3 as int) as name, unnest(range(64)) as i, unnest(embedding::double[]) as x from embeddings where vec_id < 3 * ((select count(*) from embeddings) // 3))
         select name, cast(i as int) as i, round(sum(x * case c when 1 then 2e0 else 1e0 end) / 4e0, 6) + 0e0 as value from t group by name, i""",
     ),
     "largest_changes": (

@@ -182,6 +182,11 @@ QUERIES = {
         b as (select *, min(d) over () as lo, max(d) over () as hi from a)
         select cast(least(3, floor((d - lo) / ((hi - lo) / 4))) as int) as bin, {r('avg(d)')} as mean_difficulty, count(*) as n, {r(OK)} as ok_rate from b group by 1""",
     ),
+    "reliability_fit": (
+        lambda s, d: op.reliability_fit(ev(s, d)),
+        f"""a as (select 0.5e0 * coalesce(1e0 - clap_score, 1e0) + 0.5e0 * coalesce(case when deviation is not null then least(abs(deviation) / 0.5e0, 1e0) end, 1e0) as x, case when status = 'ok' then 1e0 else 0e0 end as y from ev)
+        select count(*) as n, {r('regr_slope(y, x)')} as slope, {r('regr_intercept(y, x)')} as intercept, {r('regr_r2(y, x)')} as r_squared, regr_r2(y, x) >= 0.5 as reliable from a""",
+    ),
     "calibrated_thresholds": (
         lambda s, d: op.thresholds(ev(s, d)),
         f"""t as (select count(*) as n_prompts, {r('quantile_cont(abs(deviation), 0.9)')} as dv, {r('quantile_cont(clap_score, 0.1)')} as cl from ev where status = 'ok')
@@ -196,8 +201,8 @@ QUERIES = {
         from a where status <> 'ok' or abs(det - bpm_target) > 8""",
     ),
     "section_filter": (
-        lambda s, d: ev(s, d).where(F.col("section").isin("click", "view")).select("event_id", "section").where("event_id < 500"),
-        "select event_id, section from ev where section in ('click', 'view') and event_id < 500",
+        lambda s, d: ev(s, d).where(F.col("section").isin("click", "view")).select("event_id", "section"),
+        "select event_id, section from ev where section in ('click', 'view')",
     ),
     "run_costs": (
         cost,

@@ -50,7 +50,7 @@ def files(s, d):
 
 _Q = "greatest(0e0, 100e0 - 400e0 * clip - 50e0 * sil - 2e0 * greatest(0e0, abs(lufs + 14e0) - 2e0))"
 _DIST = "round(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v), 6)"
-_V = "v as (select cast(vec_id as bigint) as id, label % 2 as side, embedding::double[] as v from embeddings where vec_id < 500)"
+_V = "v as (select cast(vec_id as bigint) as id, label % 2 as side, embedding::double[] as v from embeddings)"
 
 QUERIES = {
     "quality_scores": (
@@ -60,8 +60,8 @@ QUERIES = {
         concat_ws(',', case when clip > 0.01 then 'clipping' end, case when sil > 0.3 then 'silence' end, case when lufs < -20 then 'quiet' end) as flags from b""",
     ),
     "energy_costs": (
-        lambda s, d: evaluation(s, d).where("event_id < 300").select("event_id", op.energy_cost(F.concat(F.lit("gen-"), F.element_at(F.array(*[F.lit(x) for x in ("large", "medium", "small", "tiny")]), (F.col("event_id") % 4 + 1).cast("int"))), F.col("seed_no") + 1).alias("c")).select("event_id", "c.params", rounded(F.col("c.kwh") * 1e9, 4).alias("nkwh")),
-        f"""a as (select event_id, case event_id % 4 when 0 then 3.3e9 when 1 then 1.5e9 when 2 then 3e8 else 1e9 end as params, seed_no + 1 as n from ev where event_id < 300)
+        lambda s, d: evaluation(s, d).select("event_id", op.energy_cost(F.concat(F.lit("gen-"), F.element_at(F.array(*[F.lit(x) for x in ("large", "medium", "small", "tiny")]), (F.col("event_id") % 4 + 1).cast("int"))), F.col("seed_no") + 1).alias("c")).select("event_id", "c.params", rounded(F.col("c.kwh") * 1e9, 4).alias("nkwh")),
+        f"""a as (select event_id, case event_id % 4 when 0 then 3.3e9 when 1 then 1.5e9 when 2 then 3e8 else 1e9 end as params, seed_no + 1 as n from ev)
         select event_id, params, {r('params * 2e0 * 256 * n * 1e-12 / 3.6e6 * 1e9')} as nkwh from a""",
     ),
     "learning_rate_schedule": (
@@ -135,14 +135,16 @@ QUERIES = {
         "select case musical_key when 'C major' then 'A# major' when 'A minor' then 'G minor' when 'F# minor' then 'E minor' when 'Eb major' then 'C# major' end as key, count(*) as n from tracks where musical_key <> '' group by 1",
     ),
     "kernel_discrepancy": (
-        lambda s, d: op.kernel_discrepancy(table(s, d, "embeddings").where("vec_id < 500 and label % 2 = 0"), table(s, d, "embeddings").where("vec_id < 500 and label % 2 = 1"), "vec_id", "embedding", 1.0),
-        _V + """, k as (select a.side as x, b.side as y, avg(exp(-greatest(0, list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v)) / 2)) as m from v a, v b group by 1, 2)
+        lambda s, d: op.kernel_discrepancy(table(s, d, "embeddings").where("label % 2 = 0"), table(s, d, "embeddings").where("label % 2 = 1"), "vec_id", "embedding"),
+        _V + """, d as (select a.side as x, b.side as y, greatest(0, list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v)) as d from v a, v b),
+        w as (select median(sqrt(d)) as w from d where x = 0 and y = 1), k as (select x, y, avg(exp(-d / (2 * w * w))) as m from d, w group by 1, 2)
         select round(max(m) filter (x = 0 and y = 0) + max(m) filter (x = 1 and y = 1) - 2 * max(m) filter (x = 0 and y = 1), 6) + 0e0 as mmd from k""",
     ),
     "one_nn_accuracy": (
-        lambda s, d: op.one_nn_accuracy(table(s, d, "embeddings").where("vec_id < 500").select("vec_id", "embedding", (F.col("label") % 2).cast("long").alias("side")), "vec_id", "embedding", "side"),
-        _V + f""", p as (select a.id, a.side, b.side as its, row_number() over (partition by a.id order by {_DIST}, b.id) as i from v a join v b on a.id <> b.id)
-        select count(*) as n, {r('avg(case when side = its then 1e0 else 0e0 end)')} as accuracy from p where i = 1""",
+        lambda s, d: op.one_nn_accuracy(table(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).cast("long").alias("side")), "vec_id", "embedding", "side"),
+        _V + f""", p as (select a.id, a.side, b.side as its, row_number() over (partition by a.id order by {_DIST}, b.id) as i from v a join v b on a.id <> b.id),
+        t as (select count(*) as twins from v a join v b on a.side < b.side where list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(a.v, b.v) < 1e-12)
+        select count(*) as n, case when max(twins) > 0 then 0.5e0 else {r('avg(case when side = its then 1e0 else 0e0 end)')} end as accuracy from p, t where i = 1""",
     ),
     "checksum_check": (
         lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).exceptAll(table(s, d, "documents").select("doc_id", F.sha2(F.when(F.col("doc_id") % 100 == 7, F.reverse("text")).otherwise(F.col("text")), 256).alias("h"))).select("doc_id"),

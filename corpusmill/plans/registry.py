@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources.views import duckdb_views
 
-from . import analysis, catalog, corpus, datasets, evaluation, extras, studio, texts, whole
+from . import analysis, catalog, corpus, datasets, evaluation, extras, roundtrips, studio, texts
 
-MODULES = (evaluation, corpus, analysis, datasets, extras, catalog, texts, studio, whole)
+MODULES = (evaluation, corpus, analysis, datasets, extras, catalog, texts, studio, roundtrips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

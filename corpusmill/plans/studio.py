@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.lineage import ranged
 from corpusmill.operators import frames as fr
+from corpusmill.operators import signals as sg
 from corpusmill.operators import studio as st
 from corpusmill.sources.views import evaluation, table, tracks
 
 from .evaluation import r
 
-#: Events as frames of a sound a user.
+#: Events as frames of sounds: each user's of 5,000 events in a row are one, so that no sound grows with the table.
 FRAMES = """select user_id, event_id, cast(row_number() over (partition by user_id order by event_id) - 1 as int) as i, value / 490e0 as rms, value / 245e0 as peak,
-    cast((event_id * 37) % 4000 as double) as centroid, cast((event_id * 13) % 101 as double) as flux, value from {events}"""
+    cast((event_id * 37) % 4000 as double) as centroid, cast((event_id * 13) % 101 as double) as flux, value
+    from (select cast(user_id as bigint) * 1000000 + cast(floor(event_id / 5000e0) as bigint) as user_id, event_id, value from {events})"""
 _FR = FRAMES.format(events="events")
 
 
@@ -52,21 +56,22 @@ def made_up(batches):
 
 def checkpoints(s, d):
     o = table(s, d, "orders")
-    folder = F.concat(F.lit("checkpoints/c"), (F.col("o_custkey") % 50).cast("string"))
+    folder = F.concat(F.lit("checkpoints/c"), F.col("o_custkey").cast("string"))
     files = o.select(F.concat(folder, F.lit("/f"), "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, ".safetensors").otherwise(".txt")).alias("path"), F.col("o_totalprice").cast("long").alias("length"), F.col("o_orderdate").alias("modified"))
     text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"model_type": "small", "hidden_size": '), "c_custkey", F.lit(', "num_hidden_layers": 4}'))).otherwise("{broken")
-    configs = table(s, d, "customer").where("c_custkey < 50").select(F.concat(F.lit("checkpoints/c"), "c_custkey", F.lit("/config.json")).alias("path"), text.alias("text"))
+    configs = table(s, d, "customer").select(F.concat(F.lit("checkpoints/c"), "c_custkey", F.lit("/config.json")).alias("path"), text.alias("text"))
     return st.checkpoint_registry(files, configs).select("name", "weight_files", "size_mb", "model_type", "n_params")
 
 
 def contexts(s, d):
     part = F.struct(F.col("section").alias("role"), F.lit(None).cast("string").alias("label"), F.coalesce("clap_score", F.lit(0.0)).alias("energy"))
-    by = evaluation(s, d).groupBy("checkpoint", "genre").agg(F.collect_list(part).alias("segments"), F.max("bpm_target").alias("bpm"))
+    song = F.floor(F.col("event_id") / 20).alias("song")
+    by = evaluation(s, d).groupBy(song).agg(F.collect_list(part).alias("segments"), F.max("bpm_target").alias("bpm"))  # 20 a song
     record = F.struct(F.struct("segments").alias("structure"), F.struct(F.when(F.col("bpm") > 100, F.col("bpm")).alias("tempo")).alias("beat_grid"), F.struct(F.lit(None).cast("string").alias("key")).alias("key"), F.struct(F.lit("swung").alias("feel")).alias("swing"))
     from corpusmill.functions.columns import rounded
 
-    rows = by.select("checkpoint", "genre", st.beat_context(record).alias("x"))
-    return rows.select("checkpoint", "genre", "x.bpm", "x.key", "x.swing", rounded("x.energy").alias("energy"), F.aggregate("x.structure", F.lit(0), lambda a, p: a + p["bars"]).alias("bars"))
+    rows = by.select("song", st.beat_context(record).alias("x"))
+    return rows.select("song", "x.bpm", "x.key", "x.swing", rounded("x.energy").alias("energy"), F.aggregate("x.structure", F.lit(0), lambda a, p: a + p["bars"]).alias("bars"))
 
 
 def sheets(s, d):
@@ -78,13 +83,22 @@ def sheets(s, d):
 
 
 def diffs(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = table(s, d, "documents").withColumn("before", F.lag("text").over(w)).withColumn("was", F.lag("doc_id").over(w))
+    """Each text against the one before it of its source; which one that is, is found on ids alone, by ranges of them."""
+    docs = table(s, d, "documents")
+    ids = ranged(docs.select("source", "doc_id"), "doc_id")
+    last = ids.groupBy("source", "cell").agg(F.max("doc_id").alias("last"))
+    earlier = last.select(F.col("source").alias("of"), F.col("cell").alias("at"), F.lag("last").over(Window.partitionBy("source").orderBy("cell")).alias("earlier"))  # a row a range
+    near = ids.withColumn("near", F.lag("doc_id").over(Window.partitionBy("source", "cell").orderBy("doc_id")))
+    both = near.join(earlier, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at")))
+    pairs = both.select("doc_id", F.coalesce("near", "earlier").alias("was"))
+    rows = docs.select("doc_id", "text").join(pairs, "doc_id").join(docs.select(F.col("doc_id").alias("was"), F.col("text").alias("before")), "was", "left")
     return rows.select("doc_id", F.size(st.text_diff("before", "text", F.col("was").cast("string"), F.col("doc_id").cast("string"))).alias("n_lines"))
 
 
+def magnitudes(s, d):
+    return table(s, d, "embeddings").select("label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("bands"))
+
+
 def kept_distance(s, d):
     rows = table(s, d, "embeddings")
     return st.distance_from_moments(st.reference_moments(rows.where("label < 5"), "embedding"), rows.where("label >= 5"), "embedding")
@@ -131,8 +145,8 @@ QUERIES = {
     ),
     "beat_contexts": (
         contexts,
-        f"""b as (select checkpoint, genre, max(bpm_target) as bpm, avg(coalesce(clap_score, 0)) as e, count(*) as n from ev group by 1, 2)
-        select checkpoint, genre, case when bpm > 100 then bpm else 140e0 end as bpm, 'A minor' as key, 'swung' as swing, {r('e')} as energy, cast(16 * n as int) as bars from b""",
+        f"""b as (select event_id // 20 as song, max(bpm_target) as bpm, avg(coalesce(clap_score, 0)) as e, count(*) as n from ev group by 1)
+        select song, case when bpm > 100 then bpm else 140e0 end as bpm, 'A minor' as key, 'swung' as swing, {r('e')} as energy, cast(16 * n as int) as bars from b""",
     ),
     "song_sheets": (sheets, None),
     "song_diffs": (diffs, None),
@@ -144,9 +158,9 @@ QUERIES = {
     "fold_segments": (lambda s, d: st.fold_summary(table(s, d, "conversations"), "conv_id", 5, 7), None),
     "checkpoint_registry": (
         checkpoints,
-        f"""f as (select o_custkey % 50 as c, count(*) filter (o_orderkey % 3 = 0) as weight_files, sum(case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) else 0 end) / 1e6 as mb from orders group by 1)
+        f"""f as (select o_custkey as c, count(*) filter (o_orderkey % 3 = 0) as weight_files, sum(case when o_orderkey % 3 = 0 then cast(floor(o_totalprice) as bigint) else 0 end) / 1e6 as mb from orders group by 1)
         select concat('c', c) as name, weight_files, {r('mb', 1)} as size_mb, case when c_custkey % 2 = 0 then 'small' end as model_type, case when c_custkey % 2 = 0 then c_custkey * c_custkey * 16 end as n_params
-        from f left join customer on c_custkey = c and c_custkey < 50""",
+        from f left join customer on c_custkey = c""",
     ),
     "run_table": (
         lambda s, d: st.run_table(table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("duration")), "o_orderkey"),
@@ -207,6 +221,23 @@ QUERIES = {
     ),
     "swing_feels": (swings, None),
     "chord_labels": (lambda s, d: table(s, d, "embeddings").select("vec_id", fr.chord(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))).alias("c")).select("vec_id", "c.chord", "c.confidence"), None),
+    "stereo_profiles": (
+        lambda s, d: table(s, d, "embeddings").select("vec_id", sg.stereo(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("x")).select("vec_id", "x.*"),
+        f"""a as (select vec_id, embedding[1:32]::double[] as l, embedding[33:64]::double[] as r from embeddings), b as (select vec_id, list_dot_product(l, l) / 32 as ll, list_dot_product(r, r) / 32 as rr, list_dot_product(l, r) / 32 as lr, list_avg(l) as ml, list_avg(r) as mr from a),
+        c as (select vec_id, (ll + rr - 2 * lr) / 4 as s, (ll + rr + 2 * lr) / 4 as m, (lr - ml * mr) / (sqrt(ll - ml * ml) * sqrt(rr - mr * mr) + 1e-12) as p from b)
+        select vec_id, {r('s / (m + s + 1e-12)')} as width, {r('p')} as phase_correlation, p > 0 as mono_compatible from c""",
+    ),
+    "sound_artifacts": (lambda s, d: table(s, d, "embeddings").select("vec_id", sg.artifacts(F.transform("embedding", lambda x: x.cast("double")), 4).alias("x")).select("vec_id", "x.*"), None),
+    "key_candidates": (lambda s, d: table(s, d, "embeddings").select("vec_id", sg.keys(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))).alias("k")).select("vec_id", F.posexplode("k").alias("nth", "c")).select("vec_id", "nth", "c.key", F.round("c.share", 4).alias("share")), None),
+    "spectral_divergence": (
+        lambda s, d: sg.spectral_divergence(magnitudes(s, d).where("label < 5"), magnitudes(s, d).where("label >= 5"), "bands"),
+        """a as (select label < 5 as one, vec_id, unnest(range(64)) as i, abs(unnest(embedding::double[])) as x from embeddings), t as (select *, x / sum(x) over (partition by vec_id) as sh from a),
+        b as (select i, avg(sh) filter (one) + 1e-12 as p, avg(sh) filter (not one) + 1e-12 as q from t group by i) select round(sum(p * ln(p / q) + q * ln(q / p)) / 2, 6) + 0e0 as divergence from b""",
+    ),
+    "chroma_fingerprints": (
+        lambda s, d: sg.mean_chroma(magnitudes(s, d).select("label", F.slice("bands", 1, 12).alias("c")), "label", "c").select("label", F.posexplode("fingerprint").alias("i", "x")).select("label", "i", F.round("x", 4).alias("x")),
+        f"""a as (select label, unnest(range(12)) as i, abs(unnest(embedding[1:12]::double[])) as x from embeddings) select label, cast(i as int) as i, {r('avg(x)')} as x from a group by 1, 2""",
+    ),
     "augmentation_plan": (lambda s, d: fr.variant_plan(tracks(s, d), "source_id", ["gain", "noise", "tilt"], 2, 5), None),
     "checked_clips": (
         lambda s, d: fr.once_a_clip(evaluation(s, d).withColumn("clip", F.when(F.col("event_id") % 9 > 0, F.concat(F.lit("c"), F.col("event_id") % 100))), "clip", "event_id").select("clip", "event_id"),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from corpusmill.functions.lineage import scratch
 from corpusmill.operators import text as tx
 from corpusmill.sources.views import evaluation, lines, table
 from corpusmill.streaming import logs
@@ -15,11 +14,11 @@ from .evaluation import r
 
 
 def rates(s, d):
-    return logs.drained(logs.rates(logs.read(s, f"{d}/events.parquet")), "rates_" + uuid.uuid4().hex)
+    return logs.drained(logs.rates(logs.read(s, f"{d}/events.parquet")), scratch(s, "rates"), "update", ["start", "event_type"])
 
 
 def sessions(s, d):
-    return logs.drained(logs.sessions(logs.read(s, f"{d}/events.parquet")), "sessions_" + uuid.uuid4().hex)
+    return logs.drained(logs.sessions(logs.read(s, f"{d}/events.parquet")), scratch(s, "sessions"))
 
 
 def runlog_tail(s, d):

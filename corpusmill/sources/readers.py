@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.columns import multi
+from corpusmill.functions.lineage import saved
 
 EVAL_SCHEMA = (
     "experiment_id string, checkpoint string, adapter string, prompt string, seed int, n_seeds int, ok_seeds int, section string, genre string, key string, bpm_target double, "
@@ -49,9 +50,13 @@ def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label rows keyed by id: blank ids dropped, the last of an id kept, lists split, energies as numbers or null."""
-    raw = spark.read.option("header", True).csv(path).withColumn("_at", F.monotonically_increasing_id())
-    key = raw.columns[0]
+    """Label rows keyed by id: blank ids dropped, the last of an id kept, lists split, energies as numbers or null.
+
+    Of several files the last one in the order of their names is the last.
+    """
+    read = spark.read.option("header", True).csv(path)
+    key = read.columns[0]
+    raw = read.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("i")).alias("_at"))
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at")))
     kept = raw.where(F.trim(F.coalesce(key, F.lit(""))) != "").withColumn("_n", nth).where("_n = 1").drop("_n", "_at")
     for c in ("mood", "instruments"):
@@ -88,12 +93,58 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
+#: Columns of exported runs: name, where it stands in the export, whether it is a number (fixed values).
+RUN_COLUMNS = (
+    ("name", "tags.mlflow.runName", False),
+    ("task", "tags.task", False),
+    ("verdict", "tags.status", False),
+    ("model", "params.model", False),
+    ("device", "tags.device", False),
+    ("seed", "params.seed", False),
+    ("target_bpm", "metrics.target_bpm", True),
+    ("detected_bpm", "metrics.detected_bpm", True),
+    ("deviation", "metrics.deviation", True),
+    ("duration_s", "metrics.duration_s", True),
+    ("clap_score", "metrics.clap_score", True),
+    ("n_tracks", "metrics.n_tracks", True),
+    ("bpm_mean", "metrics.bpm_mean", True),
+)
+
+
+def tracking_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Runs exported as CSV with a column a parameter, tag and metric: 14 columns, run ids cut to 8.
+
+    What is no number where one belongs is null, and so is a column that the
+    export lacks. A missing file is empty.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], "run_id string, " + ", ".join(f"{n} {'double' if number else 'string'}" for n, _, number in RUN_COLUMNS))
+    raw = spark.read.option("header", True).csv(path)
+
+    def column(name: str, source: str, number: bool):
+        held = F.col(f"`{source}`") if source in raw.columns else F.lit(None).cast("string")
+        return (held.try_cast("double") if number else held).alias(name)
+
+    return raw.select(F.left("run_id", F.lit(8)).alias("run_id"), *[column(*c) for c in RUN_COLUMNS])
+
+
+#: Of a WAV file, the bytes that are looked at first.
+WAV_HEAD = 4096
+_WAV = "path string, sample_rate int, channels int, bits int, frames long, duration double, error string"
+
+
 def wav_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sample_rate, channels, bits, frames, duration, error) of WAV files, from their first bytes."""
+    """(path, sample_rate, channels, bits, frames, duration, error) of WAV files.
+
+    The first WAV_HEAD bytes tell for most; files with longer chunks before
+    their samples are read again as a whole.
+    """
     import struct
 
     import pandas as pd
 
+    more = "goes on"
+
     def probe(batches):
         for pdf in batches:
             out = []
@@ -109,12 +160,15 @@ def wav_headers(spark: SparkSession, folder: str) -> DataFrame:
                         elif name == b"data":
                             frames = min(n, size - at - 8) // fmt[4]
                         at += 8 + n + n % 2
+                    if frames is None:
+                        raise ValueError(more if len(raw) < size else "no samples")
                     out.append((path, fmt[2], fmt[1], fmt[5], frames, frames / fmt[2], None))
                 except Exception as e:  # a broken file is a row with its error
                     out.append((path, None, None, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["path", "sample_rate", "channels", "bits", "frames", "duration", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.substring("content", 1, 4096).alias("head"), "length").mapInPandas(
-        probe, "path string, sample_rate int, channels int, bits int, frames long, duration double, error string"
-    )
+    first = saved(files.select("path", F.substring("content", 1, WAV_HEAD).alias("head"), "length").mapInPandas(probe, _WAV))
+    open_ = F.coalesce(F.col("error") == more, F.lit(False))
+    again = files.join(first.where(open_).select("path"), "path").select("path", F.col("content").alias("head"), "length").mapInPandas(probe, _WAV)
+    return first.where(~open_).unionByName(again)

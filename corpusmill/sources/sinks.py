@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,3 +47,23 @@ def upsert(new: DataFrame, path: str, key: str, partition: str) -> None:
 def checksums(files: DataFrame, path: str) -> None:
     """Lines of 'hash  path'."""
     files.select(F.concat_ws("  ", "sha256", "path").alias("value")).write.mode("overwrite").text(path)
+
+
+#: A template of three labelled tracks (fixed values).
+LABEL_COLUMNS = ("source_id", "genre", "mood", "instruments", "energy", "section")
+LABEL_EXAMPLES = (
+    ("track_001", "melodic trap", "dark|emotional", "piano|808 bass", "0.7", "verse"),
+    ("track_002", "drill", "aggressive", "808 bass|trap hi-hats", "0.9", "chorus"),
+    ("track_003", "ambient", "calm|dreamy", "pads", "0.2", "intro"),
+)
+
+
+def label_template(spark: SparkSession, path: str) -> None:
+    """A label CSV with example rows; an existing one is an error and stays as it is."""
+    spark.createDataFrame(LABEL_EXAMPLES, list(LABEL_COLUMNS)).coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def record(spark: SparkSession, values: dict, path: str, append: bool = False) -> None:
+    """One record (a sweep, a version list, a configuration) as a line of JSON."""
+    row = spark.range(1).select(*[F.lit(v).alias(k) if not isinstance(v, (list, tuple)) else F.array(*[F.lit(x) for x in v]).alias(k) for k, v in values.items()])
+    json_lines(row, path, append)

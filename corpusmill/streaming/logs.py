@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -45,8 +46,26 @@ def early_stop(scores: DataFrame, key: str, value: str, order: str, patience: in
     )
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is, and return its result as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, path: str, mode: str = "complete", keys: list[str] = ()) -> DataFrame:
+    """Run a stream over what there is; its results are files below ``path``, by batch, and no task or driver holds them all.
+
+    complete: what the last batch wrote. update: what all batches wrote, or
+    with ``keys`` the last row of each.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/rows")
+    if mode == "complete":
+        last = rows.select(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == last).drop("batch")
+    if keys:
+        others = [c for c in stream.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("row"))
+        return newest.select(*[F.col(c) if c in keys else F.col(f"row.{c}") for c in stream.columns])
+    return rows.drop("batch")

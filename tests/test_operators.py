@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as c
 from corpusmill.functions import tails
-from corpusmill.operators import corpus, datasets, evaluation, signals, statistics, text, vectors
+from corpusmill.operators import corpus, datasets, evaluation, extras, signals, statistics, text, vectors
 from corpusmill.sources import readers, sinks
 from corpusmill.streaming import logs
 
@@ -213,11 +213,108 @@ def test_category_psi(spark, ref, cur, low, high):
 
 
 def test_bootstrap_holds_the_mean(spark):
-    rows = spark.createDataFrame([("a", float(i % 7)) for i in range(80)] + [("b", 1.0)], "g string, v double")
-    got = {r.g: r for r in statistics.bootstrap(rows, "g", "v", 200).collect()}
-    assert got["a"].low < got["a"].mean < got["a"].high and got["b"].low is None
-    wide = {r.g: r for r in statistics.bootstrap(rows, "g", "v", 200, most=10).collect()}
-    assert wide["a"].low == pytest.approx(got["a"].low, abs=0.1)
+    rows = spark.createDataFrame([(i, "a", float(i % 7)) for i in range(600)] + [(600, "b", 1.0), (601, None, 2.0)], "i long, g string, v double")
+    got = {r.g: r for r in statistics.bootstrap(rows, "g", "i", "v").collect()}
+    assert got["a"].low < got["a"].mean < got["a"].high and got["b"].low is None and got[None].n == 1
+    again = {r.g: r for r in statistics.bootstrap(rows.repartition(7), "g", "i", "v").collect()}
+    assert again == got  # draws depend on rows, not on partitions
+    v, rng = np.arange(600) % 7, np.random.default_rng(1)
+    means = [rng.choice(v, 600).mean() for _ in range(2000)]
+    assert (got["a"].low, got["a"].high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=0.02)
+
+
+def test_difference_interval(spark):
+    """The columns are resampled by themselves, as two samples are, not as pairs."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 1, 500), rng.normal(0.5, 2, 500)
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i long, a double, b double")
+    got = statistics.difference_interval(rows, "i", "a", "b").first()
+    gaps = [rng.choice(y, 500).mean() - rng.choice(x, 500).mean() for _ in range(2000)]
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])), abs=0.03)
+    assert got.middle == pytest.approx(y.mean() - x.mean(), abs=0.01)
+    few = statistics.difference_interval(rows.limit(2), "i", "a", "b").first()
+    assert (few.low, few.high, few.middle) == (None, None, None)
+
+
+def test_score_interval(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    ok, clap, dev = rng.random(n) < 0.6, rng.random(n), rng.normal(0, 0.1, n)
+    rows = [(i, "c", "ok" if ok[i] else "bad", None if i % 9 == 0 else float(clap[i]), None if i % 11 == 0 else float(dev[i])) for i in range(n)]
+    got = statistics.score_interval(spark.createDataFrame(rows, "i long, ck string, status string, clap_score double, deviation double"), "ck", "i").first()
+
+    def score(at):
+        c, d = [rows[i][3] for i in at if rows[i][3] is not None], [abs(rows[i][4]) for i in at if rows[i][4] is not None]
+        return 0.4 * np.mean([rows[i][2] == "ok" for i in at]) + 0.3 * np.mean(c) + 0.3 * max(0.0, 1 - np.mean(d) / 0.2)
+
+    assert got.score == pytest.approx(score(range(n)), abs=1e-4)
+    scores = [score(rng.integers(0, n, n)) for _ in range(1000)]
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(scores, [2.5, 97.5])), abs=0.01)
+
+
+def test_equal_differences(spark):
+    same = spark.createDataFrame([(0.1,)] * 6, "d double")
+    got = statistics.bayesian_ab(same).first()
+    assert (got.posterior_mean, got.p_better) == (0.1, 1.0) and got.posterior_sd < 1e-5
+    assert tuple(statistics.bayesian_ab(same.limit(1)).first()) == (1, None, None, None)
+    assert statistics.wilcoxon(spark.createDataFrame([(0.0,)] * 9, "d double")).first().p == 1.0
+    assert statistics.wilcoxon(spark.createDataFrame([], "d double")).first().p == 1.0
+
+
+def test_kernel_width_is_the_median_distance(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, (37, 3)), rng.normal(1, 1, (40, 3))
+    table = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    far = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    assert extras.median_distance(vectors.blocks(table(x), "id", "v", size=10), vectors.blocks(table(y), "id", "v", size=15)) == pytest.approx(np.median(far), rel=1e-9)
+    k = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1) / (2 * np.median(far) ** 2)).mean()
+    assert extras.kernel_discrepancy(table(x), table(y), "id", "v").first().mmd == pytest.approx(k(x, x) + k(y, y) - 2 * k(x, y), abs=1e-6)
+    assert extras.kernel_discrepancy(table(x[:1]), table(x[:1]), "id", "v").first().mmd == 0.0
+
+
+def test_one_nn_of_twins(spark):
+    rows = [(0, [0.0, 1.0], 0), (1, [0.0, 1.1], 0), (2, [5.0, 1.0], 1), (3, [5.0, 1.1], 1)]
+    make = lambda r: spark.createDataFrame(r, "id long, v array<double>, side long")
+    assert extras.one_nn_accuracy(make(rows), "id", "v", "side").first().accuracy == 1.0
+    assert extras.one_nn_accuracy(make([*rows, (4, [0.0, 1.0], 1)]), "id", "v", "side").first().accuracy == 0.5
+    assert extras.one_nn_accuracy(make(rows[:1]), "id", "v", "side").first().accuracy == 0.5
+
+
+def test_artifacts():
+    t = np.sin(np.arange(8000) / 9) * 0.5
+    assert signals.artifacts_of(t, 16)[3:] == (0, True)
+    gap = t.copy()
+    gap[3000:3160] = 0
+    assert signals.artifacts_of(gap, 16)[3] == 1 and not signals.artifacts_of(gap, 16)[4]
+    assert signals.artifacts_of(np.ones(3)) == (0, 0.0, 0.0, 0, True)
+    click = np.zeros(100) + np.arange(100) * 1e-4
+    click[50] = 1.0
+    assert signals.artifacts_of(click, 16)[0] == 2
+
+
+def test_wav_header_behind_a_long_chunk(spark, tmp_path):
+    body = b"\0" * 400
+    fmt = struct.pack("<HHIIHH", 1, 2, 44100, 176400, 4, 16)
+    long = b"LIST" + struct.pack("<I", 20_000) + b"x" * 20_000
+    chunks = b"fmt " + struct.pack("<I", 16) + fmt + long + b"data" + struct.pack("<I", len(body)) + body
+    (tmp_path / "a.wav").write_bytes(b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks)
+    (tmp_path / "b.wav").write_bytes(b"RIFF" + struct.pack("<I", 24) + b"WAVE" + b"fmt " + struct.pack("<I", 16) + fmt)
+    good, bad = readers.wav_headers(spark, str(tmp_path)).orderBy("path").collect()
+    assert (good.sample_rate, good.channels, good.frames, good.error) == (44100, 2, 100, None) and bad.error == "no samples"
+
+
+def test_tracking_runs_of_nothing(spark, tmp_path):
+    found = readers.tracking_runs(spark, f"{tmp_path}/none.csv")
+    assert found.count() == 0 and len(found.columns) == 14
+
+
+def test_label_template(spark, tmp_path):
+    sinks.label_template(spark, f"{tmp_path}/labels")
+    assert readers.labels(spark, f"{tmp_path}/labels").count() == 3
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.label_template(spark, f"{tmp_path}/labels")
+    sinks.record(spark, {"name": "sweep", "rates": [1.0, 2.0]}, f"{tmp_path}/sweep")
+    assert spark.read.json(f"{tmp_path}/sweep").first().asDict() == {"name": "sweep", "rates": [1.0, 2.0]}
 
 
 def test_page_lines(spark):
@@ -274,25 +371,33 @@ def test_signals(spark):
     rows = spark.createDataFrame([(np.sin(440 * 2 * np.pi * t).tolist(),), ([],), (None,)], "y array<double>")
     got = [r.m for r in rows.select(signals.measured("y").alias("m")).collect()]
     assert got[0].rms == pytest.approx(2**-0.5, abs=0.01) and got[0].silence_ratio == 0 and got[1].peak is None and got[2].peak is None
-    assert signals.key_candidates(np.array(signals.MAJOR))[0][0] == "C major"
-    assert signals.stereo(t, t) == (0.0, pytest.approx(1.0))
-    assert signals.spectral_kl(np.ones(4), np.ones(4)) == pytest.approx(0.0)
+    chromas = spark.createDataFrame([(list(signals.MAJOR),), (np.roll(signals.MINOR, 9).tolist(),), ([1.0] * 12,), (None,), ([1.0],)], "c array<double>")
+    one, two, flat, none, short = (r.k for r in chromas.select(signals.keys("c").alias("k")).collect())
+    assert (one[0].key, two[0].key, none, short) == ("C major", "A minor", [], []) and flat[0].share == pytest.approx(1 / 24)
+    x = [float(v) for v in t[:50]]
+    pairs = spark.createDataFrame([(x, x), (x, [-v for v in x]), (x, [v * 0.5 + 3.0 for v in x])], "l array<double>, r array<double>")
+    same, against, offset = (r.s for r in pairs.select(signals.stereo("l", "r").alias("s")).collect())
+    assert tuple(same) == (0.0, 1.0, True) and tuple(against) == (1.0, -1.0, False) and offset.phase_correlation == 1.0
+    bands = spark.createDataFrame([([1.0, 1.0, 2.0],), ([0.0, 0.0, 0.0],)], "bands array<double>")
+    assert signals.spectral_divergence(bands, bands, "bands").first().divergence == 0.0
 
 
 def test_early_stop_keeps_state(spark, tmp_path):
     spark.createDataFrame([("a", i, v) for i, v in enumerate((0.1, 0.5, 0.4, 0.3, 0.2))] + [("b", 0, 0.1)], "k string, at long, v double").write.parquet(f"{tmp_path}/x")
     stream = spark.readStream.schema("k string, at long, v double").parquet(f"{tmp_path}/x")
-    got = {r.k: r for r in logs.drained(logs.early_stop(stream, "k", "v", "at"), "early_stop_test", "update").collect()}
+    got = {r.k: r for r in logs.drained(logs.early_stop(stream, "k", "v", "at"), f"{tmp_path}/out", "update").collect()}
     assert (got["a"].best, got["a"].since_best, got["a"].stop) == (0.5, 3, True) and not got["b"].stop
 
 
 def test_comparison_verdicts(spark):
     rows = [(0.40 + 0.001 * i, 0.60 + 0.0011 * i, 0.05 + 0.0001 * i, -0.02) for i in range(12)]
-    both = spark.createDataFrame(rows, "clap_a double, clap_b double, dev_a double, dev_b double")
-    got = {r.metric: r for r in statistics.comparison(both, {"clap": True, "dev": False}).collect()}
+    both = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, clap_a double, clap_b double, dev_a double, dev_b double")
+    got = {r.metric: r for r in statistics.comparison(both, "i", {"clap": True, "dev": False}, draws=200).collect()}
     assert all(r.verdict == "improved" and r.p < 0.05 and r.n == 12 and r.p_better > 0.99 for r in got.values())
-    same = spark.createDataFrame([(0.5, 0.5)] * 10, "clap_a double, clap_b double")
-    assert statistics.comparison(same, {"clap": True}).first().verdict == "no significant difference"
+    assert all(r.low < r.delta < r.high and r.n_paired == 12 for r in got.values())
+    same = spark.createDataFrame([(i, 0.5, 0.5) for i in range(10)], "i long, clap_a double, clap_b double")
+    found = statistics.comparison(same, "i", {"clap": True}, draws=50).first()
+    assert (found.verdict, found.p, found.low, found.high) == ("no significant difference", 1.0, 0.0, 0.0)
 
 
 def test_principal_axes(spark):

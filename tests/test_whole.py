@@ -1,45 +1,11 @@
-"""Queries over whole tables: their rows are those of their namesakes' SQL without its range of ids."""
+"""Queries that once covered a part of their tables cover all rows and whole texts."""
 
-import pytest
 from pyspark.sql import functions as F
-from test_queries import SF, canonical, sql  # noqa: F401
+from test_queries import SF
 
 from corpusmill.operators import corpus
 from corpusmill.plans import registry
 
-#: What is left out of the SQL, and what stands for it.
-RANGES = {
-    "boundary_windows": [("least(cast(floor(duration / 2) as int), 40)", "cast(floor(duration / 2) as int)")],
-    "fixed_windows": [("track_id % 50 = 3 and ", "")],
-    "section_filter": [(" and event_id < 500", "")],
-    "energy_costs": [(" where event_id < 300", "")],
-    "kernel_discrepancy": [(" where vec_id < 500", "")],
-    "one_nn_accuracy": [(" where vec_id < 500", "")],
-    "vocabulary_tags": [(" and e.vec_id < 200", "")],
-    "nearest_tracks": [(" where q.vec_id < 50", "")],
-    "merged_weights": [("range(8)", "range(64)"), ("[1:8]", ""), (" where vec_id < 30)", " where vec_id < 3 * ((select count(*) from embeddings) // 3))")],
-}
-
-
-@pytest.mark.parametrize("name", RANGES)
-def test_whole_tables(spark, sql, name):  # noqa: F811
-    text = registry.oracle_sql()[name]
-    for old, new in RANGES[name]:
-        assert old in text
-        text = text.replace(old, new)
-    assert canonical(registry.queries()[name + "_all"](spark, SF).toPandas()) == canonical(sql.execute(text).df())
-
-
-def test_whole_run_manifests(spark, sql):  # noqa: F811
-    views = registry.oracle_sql()["section_filter"].rsplit("select event_id", 1)[0]
-    want = sql.execute(
-        views
-        + """,
-        r as (select *, event_id // 200 as run from ev), p as (select concat(n.run, '/', n.prompt) as "at", o.status as s, n.status as t, o.section as x, n.section as y from r o join r n on n.run = o.run + 1 and n.prompt = o.prompt)
-        select "at", 'status' as field, s as a, t as b from p where s is distinct from t union all select "at", 'section', x, y from p where x is distinct from y"""
-    ).df()
-    assert canonical(registry.queries()["run_manifest_diff_all"](spark, SF).toPandas()) == canonical(want)
-
 
 def test_shift_similarity_covers_all_vectors(spark):
     assert registry.queries()["shift_similarity"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()

@@ -72,15 +72,17 @@ def any_separator(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), "[|;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+_CONSONANT = "[b-df-hj-np-tv-xz]"
+#: A word without vowels but a final e; or a vowel group that is not the final e of a longer word.
+_SYLLABLE = rf"(?<![a-z]){_CONSONANT}++(?:(?<={_CONSONANT}{{2}})e)?+(?![a-z])|[aeiouy]++(?<![a-z]{_CONSONANT}e(?![a-z]))"
+
+
 def syllables(c: Column | str) -> Column:
     """Syllables of a line: vowel groups of each word, one at least; a final e of words over two letters does not count.
 
-    Words are counted on the whole line at once: final e's are cut, then
-    vowel groups and words without any vowel are added up.
+    All words are counted in one pass over the line; apostrophes are no letters.
     """
-    plain = F.replace(F.regexp_replace(F.lower(col(c)), "[^a-z' ]", " "), F.lit("'"), F.lit(""))
-    cut = F.regexp_replace(plain, r"\b([a-z]{2,})e\b", "$1")
-    return F.regexp_count(cut, F.lit("[aeiouy]+")) + F.regexp_count(cut, F.lit(r"\b[b-df-hj-np-tv-xz]+\b"))
+    return F.regexp_count(F.replace(F.lower(col(c)), F.lit("'"), F.lit("")), F.lit(_SYLLABLE))
 
 
 #: Lines that are no lyrics (fixed values).

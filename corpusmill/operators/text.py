@@ -32,8 +32,7 @@ def song_chunks(lines: DataFrame, size: int = 8, least: int = 4) -> DataFrame:
 
 def rhyme_key(line: Column) -> Column:
     """The last vowel group and what follows it in a line's last word."""
-    word = F.regexp_extract(F.lower(line), r"(?<![a-z])([a-z]++)[^a-z]*+$", 1)
-    return F.nullif(F.regexp_extract(word, r"([aeiouy]+[^aeiouy]*)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(line), r"([aeiouy]++[b-df-hj-np-tv-xz]*+)[^a-z]*+$", 1), F.lit(""))
 
 
 def line_metrics(lines: DataFrame) -> DataFrame:

@@ -160,6 +160,39 @@ def beat_context(analysis: Column) -> Column:
     )
 
 
+def verses(requests: DataFrame, key: str, templates: DataFrame, banks: DataFrame, spread: int = 2, seed: int = 0) -> DataFrame:
+    """Lines of sections: (key, i, bank, template, line, syllables).
+
+    requests: key, bars, target (syllables a line), scheme (AABB, ABAB or
+    INTERNAL; any other rhymes throughout) and opener, which starts the first
+    line. templates: template, with {R} where rhyme words go, the last one at
+    the end; banks: bank, words. All are drawn by hashes of seed and key: a
+    bank for each rhyme group, its words in turn, and templates within
+    ``spread`` of the target (all, if none is) in turn, so that four of them
+    never repeat within three lines. The catalogs are made by hand and small.
+    """
+    sorted_all = lambda df: F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("all")))  # noqa: E731  hand-made catalogs
+    every = requests.join(sorted_all(templates.select("template", syllables(F.replace("template", F.lit("{R}"), F.lit("line"))).alias("n"))).withColumnRenamed("all", "t"))
+    every = every.join(sorted_all(banks.select("bank", "words")).withColumnRenamed("all", "b"))
+    mixed = lambda xs, of, *by: F.transform(F.array_sort(F.transform(xs, lambda x: F.named_struct(F.lit("h"), F.xxhash64(F.lit(seed), key, *by, of(x)), F.lit("x"), x))), lambda s: s["x"])
+    near = F.filter("t", lambda t: F.abs(t["n"] - F.col("target")) <= spread)
+    turns = mixed(F.when(F.size(near) > 0, near).otherwise(F.col("t")), lambda t: t["template"])
+    lines = every.select(key, "scheme", "opener", "b", turns.alias("turns"), F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("i"))
+    scheme = F.upper("scheme")
+    crossed = scheme.isin("ABAB", "INTERNAL")
+    group = F.when(scheme == "AABB", F.floor(F.col("i") / 2)).when(crossed, F.col("i") % 2).otherwise(0).cast("int")
+    nth = F.when(scheme == "AABB", F.col("i") % 2).when(crossed, F.floor(F.col("i") / 2)).otherwise(F.col("i")).cast("int")
+    lines = lines.withColumn("g", group).withColumn("nth", nth)
+    lines = lines.withColumn("bank", F.get("b", F.pmod(F.xxhash64(F.lit(seed), key, "g"), F.size("b")).cast("int")))
+    lines = lines.withColumn("words", mixed(F.col("bank.words"), lambda w: w, F.col("g"))).withColumn("template", F.get("turns", F.col("i") % F.size("turns"))["template"])
+    word = lambda ahead: F.get("words", (F.col("nth") + ahead) % F.size("words"))
+    ended = F.regexp_replace("template", r"\{R\}(?=[^{]*$)", "{E}")
+    said = F.replace(F.replace(ended, F.lit("{R}"), word(2)), F.lit("{E}"), word(0))
+    said = F.when((F.col("i") == 0) & (F.coalesce("opener", F.lit("")) != ""), F.concat_ws(" ", "opener", said)).otherwise(said)
+    line = F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, 2, 10_000))
+    return lines.select(key, "i", F.col("bank.bank").alias("bank"), "template", line.alias("line")).withColumn("syllables", syllables("line"))
+
+
 def annotated(section: Column) -> Column:
     """A section's lines with their syllables and rhyme scheme."""
     rhyme = F.coalesce(section["rhyme"], F.lit("free"))

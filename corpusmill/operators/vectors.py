@@ -18,19 +18,24 @@ from corpusmill.functions import tails
 from corpusmill.functions.columns import dot, norm, rounded
 from corpusmill.functions.lineage import saved
 
-#: Vectors of one block.
-BLOCK = 2_000
+#: Vectors of one block: the larger, the less often a block is copied for another one.
+BLOCK = 8_000
+#: Vectors of a block that are compared with another block at a time.
+SLICE = 1_000
+#: Smaller tables are cut into a few blocks as well, of so many vectors at least, for tasks to share.
+SPREAD, LEAST = 4, 500
 
 
 def blocks(rows: DataFrame, key: str, vector: str, extra: list[str] = (), size: int = BLOCK) -> DataFrame:
     """(block, rows): structs of key, vector and extra columns, by a hash of the key."""
-    n = max(1, -(-rows.count() // size))
+    total = rows.count()
+    n = max(1, -(-total // size), min(SPREAD, total // LEAST))
     one = F.struct(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), *extra)
     return rows.where(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(one).alias("rows"))  # of bounded size
 
 
 def matched(left: DataFrame, right: DataFrame, take: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, ordered: bool = False) -> DataFrame:
-    """take(left rows, right rows, cosine matrix) for each pair of blocks."""
+    """take(left rows, right rows, cosine matrix) for each slice of a block and each block of the other table."""
     n = right.select(F.max("block")).first()[0]
     if n is None:
         return left.sparkSession.createDataFrame([], schema)
@@ -43,9 +48,11 @@ def matched(left: DataFrame, right: DataFrame, take: Callable[[pd.DataFrame, pd.
                 a, b = pd.DataFrame(list(a)), pd.DataFrame(list(b))
                 x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
                 nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-                out = take(a, b, (x @ y.T) / np.outer(np.where(nx == 0, 1, nx), np.where(ny == 0, 1, ny)))
-                if len(out):
-                    yield out
+                x, y = x / np.where(nx == 0, 1, nx)[:, None], y / np.where(ny == 0, 1, ny)[:, None]
+                for at in range(0, len(a), SLICE):
+                    out = take(a.iloc[at : at + SLICE].reset_index(drop=True), b, x[at : at + SLICE] @ y.T)
+                    if len(out):
+                        yield out
 
     return both.mapInPandas(run, schema)
 

@@ -74,6 +74,15 @@ def contexts(s, d):
     return rows.select("song", "x.bpm", "x.key", "x.swing", rounded("x.energy").alias("energy"), F.aggregate("x.structure", F.lit(0), lambda a, p: a + p["bars"]).alias("bars"))
 
 
+def verses(s, d):
+    """Sixteen bars for each customer, from a few templates and rhymes."""
+    templates = s.createDataFrame([(x,) for x in ("we keep the {R}", "nobody told me about the {R}", "over the water and under the {R}", "the {R} is gone but it was never the {R}", "count every morning from here to the {R}", "slow down, it is only the {R}")], "template string")
+    banks = s.createDataFrame([("ight", ["night", "light", "fight", "sight", "height"]), ("ay", ["day", "way", "grey", "bay"]), ("own", ["town", "crown", "ground", "sound", "down"])], "bank string, words array<string>")
+    schemes = F.element_at(F.array(*[F.lit(x) for x in ("AABB", "ABAB", "AAAA")]), (F.col("c_custkey") % 3 + 1).cast("int"))
+    asked = table(s, d, "customer").select("c_custkey", F.lit(16).alias("bars"), (F.lit(6) + F.col("c_custkey") % 6).alias("target"), schemes.alias("scheme"), F.when(F.col("c_custkey") % 2 == 0, "listen,").alias("opener"))
+    return st.verses(asked, "c_custkey", templates, banks)
+
+
 def sheets(s, d):
     lines = F.split("text", r"\n")
     none = F.lit(None).cast("string")
@@ -149,6 +158,7 @@ QUERIES = {
         select song, case when bpm > 100 then bpm else 140e0 end as bpm, 'A minor' as key, 'swung' as swing, {r('e')} as energy, cast(16 * n as int) as bars from b""",
     ),
     "song_sheets": (sheets, None),
+    "section_lines": (verses, None),
     "song_diffs": (diffs, None),
     "song_split": (
         lambda s, d: st.split_summary(table(s, d, "conversations"), "conv_id", (0.8, 0.1, 0.1), 7).select("split", "songs"),

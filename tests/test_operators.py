@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import columns as c
 from corpusmill.functions import tails
-from corpusmill.operators import corpus, datasets, evaluation, extras, signals, statistics, text, vectors
+from corpusmill.operators import catalog, corpus, datasets, evaluation, extras, signals, statistics, studio, text, vectors
 from corpusmill.sources import readers, sinks
 from corpusmill.streaming import logs
 
@@ -404,3 +404,54 @@ def test_principal_axes(spark):
     v = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.1 * (i % 2)]) for i in range(20)], "id long, v array<double>")
     got = {r.id: r for r in vectors.principal_axes(v, "id", "v").collect()}
     assert got[19].x1 - got[0].x1 == pytest.approx(19 * 5**0.5, abs=0.01) and abs(got[5].x2) < 0.1
+
+
+def test_shift_similarity_is_the_best_rotation(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 12).tolist(), rng.normal(0, 1, 12).tolist()) for i in range(5)]
+    rows += [(9, rows[0][1], np.roll(rows[0][1], 5).tolist()), (10, [0.0] * 12, rows[0][1])]
+    df = spark.createDataFrame(rows, "id long, a array<double>, b array<double>")
+    got = {r.id: r.s for r in df.select("id", vectors.shift_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    for i, a, b in rows[:6]:
+        a, b = np.array(a), np.array(b)
+        assert got[i] == pytest.approx(max(a @ np.roll(b, k) for k in range(12)) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    assert got[9] == pytest.approx(1.0) and got[10] is None
+
+
+def test_routes_and_perturbed_prompts(spark):
+    keys = spark.range(4000).withColumn("prompt", F.concat(F.lit("slow trap and trap "), "id"))
+    routes = [r.route for r in catalog.routed(keys, "id", 0.3).collect()]
+    assert routes.count("champion") / 4000 == pytest.approx(0.3, abs=0.03)
+    assert {r.route for r in catalog.routed(keys, "id", 7.0).collect()} == {"champion"}
+    assert [r.route for r in catalog.routed(keys.repartition(5), "id", 0.3).orderBy("id").collect()] == [r.route for r in catalog.routed(keys, "id", 0.3).orderBy("id").collect()]
+    said = [r.p for r in keys.select(catalog.perturbed(F.col("prompt"), F.col("id"), 3, "trap", "house").alias("p"), "id").orderBy("id").collect()]
+    changed = [p.startswith("slow house and trap ") for p in said]
+    assert 0.4 < sum(changed) / 4000 < 0.6 and all(c or p.startswith("slow trap and trap ") for c, p in zip(changed, said, strict=True))
+
+
+def test_drift_report(spark):
+    rng = np.random.default_rng(9)
+    rows = [(bool(i % 2), float(rng.normal(0, 1)), float(rng.normal(2.0 * (i % 2), 1)), "ab"[i % 2], "xyz"[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "cur boolean, same double, moved double, kind string, even string")
+    got = {r.feature: r for r in catalog.drift_report(df, F.col("cur"), ["same", "moved"], ["kind", "even"]).collect()}
+    assert {k: r.drifted for k, r in got.items()} == {"same": False, "moved": True, "kind": True, "even": False}
+    a, b = (np.sort([r[2] for r in rows if r[0] == x]) for x in (True, False))
+    at = np.concatenate([a, b])
+    far = np.abs(np.searchsorted(a, at, side="right") / 300 - np.searchsorted(b, at, side="right") / 300).max()
+    assert got["moved"].ks_pvalue == round(tails.ks_p(round(float(far), 6), 300, 300), 6) and got["even"].psi == 0.0
+
+
+def test_labelling_priority(spark):
+    """Split neighbourhoods and far vectors come first."""
+    known = [(i, [1.0, 0.01 * i], 0) for i in range(5)] + [(10 + i, [0.01 * i, 1.0], 1) for i in range(5)]
+    asked = [(100, [1.0, 0.02], -1), (101, [1.0, 1.0], -1), (102, [-1.0, -0.9], -1)]
+    make = lambda rows: spark.createDataFrame(rows, "id long, v array<double>, label int")
+    got = [r.id for r in vectors.labelling_priority(make(asked), make(known), "id", "v", "label", 3).collect()]
+    assert got[-1] == 100 and set(got) == {100, 101, 102}
+
+
+def test_fold_summary(spark):
+    segments = spark.createDataFrame([(f"s{i % 11}",) for i in range(100)], "song string")
+    got = studio.fold_summary(segments, "song", 4, 7).orderBy("fold").collect()
+    assert [r.val_songs for r in got] in ([3, 3, 3, 2], [2, 3, 3, 3], [3, 2, 3, 3], [3, 3, 2, 3])
+    assert all(r.val_songs + r.train_songs == 11 and r.val_segments + r.train_segments == 100 for r in got) and sum(r.val_segments for r in got) == 100

@@ -156,3 +156,27 @@ def test_one_bad_row_stops_nothing(spark):
 def test_clips_are_checked_once(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 1), ("", 3), (None, 4)], "clip string, n int")
     assert [tuple(r) for r in fr.once_a_clip(rows, "clip", "n").collect()] == [("a", 1)]
+
+
+def test_section_lines(spark):
+    """Rhymes by scheme, templates near the target and not repeated within three lines, the same on every run."""
+    from corpusmill.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    rows = registry.queries()["section_lines"](spark, folder).collect()
+    songs = {}
+    for r in sorted(rows, key=lambda r: r.i):
+        songs.setdefault(r.c_custkey, []).append(r)
+    for k, song in songs.items():
+        assert [r.i for r in song] == list(range(16))
+        group = {0: lambda i: i // 2, 1: lambda i: i % 2, 2: lambda i: 0}[k % 3]
+        banks = {}
+        for r in song:
+            assert banks.setdefault(group(r.i), r.bank) == r.bank
+            assert "{" not in r.line and r.line[0].isupper() and r.line.startswith("Listen, ") == (k % 2 == 0 and r.i == 0)
+        ends = [r.line.split(" ")[-1] for r in song]
+        assert all(a != b for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if group(i) == group(i + 1))
+        if len({r.template for r in song}) >= 4:
+            assert all(len({x.template for x in song[i : i + 4]}) == 4 for i in range(12))
+    again = registry.queries()["section_lines"](spark, folder).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows)) and len({tuple(r.line for r in s) for s in songs.values()}) > len(songs) / 3

@@ -102,7 +102,13 @@ QUERIES = {
         f as (select sum(c) over (order by v) / sum(c) over () as fc, sum(q) over (order by v) / sum(q) over () as fr from c)
         select (select count(*) from ev where checkpoint = 'ck0') as n, (select count(*) from ev where checkpoint <> 'ck0') as m, round(max(abs(fc - fr)), 6) + 0e0 as distance from f""",
     ),
-    "ks_test": (lambda s, d: st.ks(evaluation(s, d), "value", F.col("checkpoint") == "ck0").withColumn("p", rounded(st.ks_p("distance", "n", "m"), 6)), None),
+    "ks_test": (
+        lambda s, d: st.ks(evaluation(s, d), "value", F.col("checkpoint") == "ck0").withColumn("p", rounded(st.ks_p("distance", "n", "m"), 6)),
+        """c as (select value as v, count(*) filter (checkpoint = 'ck0') as c, count(*) filter (checkpoint <> 'ck0') as q from ev group by value),
+        f as (select sum(c) over (order by v) / sum(c) over () as fc, sum(q) over (order by v) / sum(q) over () as fr from c),
+        k as (select (select count(*) from ev where checkpoint = 'ck0') as n, (select count(*) from ev where checkpoint <> 'ck0') as m, round(max(abs(fc - fr)), 6) + 0e0 as distance from f), x as (select *, distance * sqrt(n * m / (n + m)) as x from k)
+        select n, m, distance, round(case when x < 0.2 then 1e0 else greatest(0e0, least(1e0, 2 * list_sum(list_transform(range(1, 101), lambda i: case when i % 2 = 1 then 1e0 else -1e0 end * exp(-2e0 * i * i * x * x))))) end, 6) + 0e0 as p from x""",
+    ),
     "bootstrap_intervals": (lambda s, d: st.bootstrap(evaluation(s, d), "checkpoint", "event_id", "clap_score"), None),
     "difference_interval": (lambda s, d: st.difference_interval(paired(s, d, "event_id"), "event_id", "clap_score_a", "clap_score_b"), None),
     "score_intervals": (lambda s, d: st.score_interval(evaluation(s, d), "checkpoint", "event_id"), None),
@@ -128,7 +134,15 @@ QUERIES = {
         lambda s, d: ve.pairs_above(vectors(s, d).withColumn("split", F.col("vec_id") % 3), "vec_id", "embedding", 0.35, ["split"], "split").select("a", "b"),
         f"select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.vec_id < y.vec_id and x.vec_id % 3 <> y.vec_id % 3 where round({_COS.format(a='x.embedding', b='y.embedding')}, 6) >= 0.35",
     ),
-    "greedy_dedup": (dedup, None),
+    "greedy_dedup": (
+        dedup,
+        f"""e as (select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.vec_id < y.vec_id where round({_COS.format(a='x.embedding', b='y.embedding')}, 6) >= 0.4),
+        n as (select id, row_number() over (order by id) as k from (select a as id from e union select b from e)), s as (select k, id, list(a) filter (a is not null) as small from n left join e on b = id group by k, id)
+        select * from (with recursive g as (select cast(0 as bigint) as k, cast([] as bigint[]) as reps union all
+            select s.k, case when list_has_any(coalesce(small, []), reps) then reps else list_append(reps, cast(id as bigint)) end from g join s on s.k = g.k + 1),
+        c as (select unnest(reps) as rep from g where k = (select max(k) from g))
+        select min(a) as representative, b as member from e join c on a = rep where b not in (select rep from c) group by b)""",
+    ),
     "embedding_centroid": (
         lambda s, d: ve.centroid(vectors(s, d), "embedding").select("i", rounded("c").alias("c")),
         f"""u as (select vec_id, unnest(range(64)) as i, unnest(embedding::double[]) as x, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings),
@@ -153,5 +167,10 @@ QUERIES = {
         b as (select *, sum(w) over (partition by id) as t, row_number() over (partition by id order by w desc, label) as i from v)
         select id, label, {r('w / t')} as confidence from b where i = 1 and t > 0 and round(w / t, 4) >= 0.3""",
     ),
-    "shift_similarity": (shifted, None),
+    "shift_similarity": (
+        shifted,
+        f"""v as (select vec_id, embedding[1:12]::double[] as v from embeddings), w as (select v as w from v where vec_id = 0),
+        s as (select vec_id, list_max(list_transform(range(12), lambda i: list_dot_product(v, list_concat(w[i + 1:12], w[1:i])))) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)), 0) as x from v, w)
+        select vec_id, {r('x')} as similarity from s""",
+    ),
 }

@@ -12,6 +12,7 @@ from corpusmill.operators import signals as sg
 from corpusmill.operators import studio as st
 from corpusmill.sources.views import evaluation, table, tracks
 
+from .corpus import SYLLABLES
 from .evaluation import r
 
 #: Events as frames of sounds: each user's of 5,000 events in a row are one, so that no sound grows with the table.
@@ -157,7 +158,12 @@ QUERIES = {
         f"""b as (select event_id // 20 as song, max(bpm_target) as bpm, avg(coalesce(clap_score, 0)) as e, count(*) as n from ev group by 1)
         select song, case when bpm > 100 then bpm else 140e0 end as bpm, 'A minor' as key, 'swung' as swing, {r('e')} as energy, cast(16 * n as int) as bars from b""",
     ),
-    "song_sheets": (sheets, None),
+    "song_sheets": (
+        sheets,
+        f"""b as (select doc_id, string_agg(concat('- ', line, '  _(', {SYLLABLES}, ' syll · rhyme AABB)_'), chr(10) order by line_no) as body from lines group by doc_id)
+        select track_id, concat('# ', coalesce(song_id, '?'), ' — dark / roads', chr(10), '**', coalesce(cast(cast(round_even(bpm, 0) as bigint) as varchar), '0'), ' BPM · ', coalesce(musical_key, '?'), ' · swing straight · seed ', track_id, '**', chr(10), chr(10),
+        '## [', upper(coalesce(section, 'verse')), '] 8 bars · steady @ medium · ', coalesce(song_id, ''), chr(10), body, chr(10), '> ad-libs: (yeah)') as sheet from tracks join b on doc_id = track_id where text is not null""",
+    ),
     "section_lines": (verses, None),
     "song_diffs": (diffs, None),
     "song_split": (
@@ -230,7 +236,13 @@ QUERIES = {
         select user_id, {', '.join(f"{r(n + ' / total')} as {n}" for n in fr.BANDS)} from t""",
     ),
     "swing_feels": (swings, None),
-    "chord_labels": (lambda s, d: table(s, d, "embeddings").select("vec_id", fr.chord(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))).alias("c")).select("vec_id", "c.chord", "c.confidence"), None),
+    "chord_labels": (
+        lambda s, d: table(s, d, "embeddings").select("vec_id", fr.chord(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))).alias("c")).select("vec_id", "c.chord", "c.confidence"),
+        f"""a as (select vec_id, list_transform(embedding[1:12]::double[], lambda x: abs(x)) as c from embeddings),
+        b as (select vec_id, list_transform(range(24), lambda n: (c[n // 2 + 1] + c[(n // 2 + case when n % 2 = 0 then 4 else 3 end) % 12 + 1] + c[(n // 2 + 7) % 12 + 1]) / sqrt(3e0) / sqrt(list_dot_product(c, c))) as s from a where list_dot_product(c, c) > 0),
+        m as (select vec_id, list_max(s) as x, list_position(s, list_max(s)) - 1 as n from b)
+        select vec_id, concat(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][n // 2 + 1], case when n % 2 = 1 then 'm' else '' end) as chord, {r('x')} as confidence from m""",
+    ),
     "stereo_profiles": (
         lambda s, d: table(s, d, "embeddings").select("vec_id", sg.stereo(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("x")).select("vec_id", "x.*"),
         f"""a as (select vec_id, embedding[1:32]::double[] as l, embedding[33:64]::double[] as r from embeddings), b as (select vec_id, list_dot_product(l, l) / 32 as ll, list_dot_product(r, r) / 32 as rr, list_dot_product(l, r) / 32 as lr, list_avg(l) as ml, list_avg(r) as mr from a),

@@ -29,6 +29,21 @@ def chords(s, d):
     return evaluation(s, d).select("event_id", op.chord_mood(F.array(*one)).alias("mood"))
 
 
+def _drift(continuous, discrete):
+    """The SQL of the drift report: a row a feature, each by itself."""
+    psi = "b as (select {bin} as bin, count(*) filter (split = 'train') as cc, count(*) filter (split <> 'train') as rr from tracks{more} group by 1), z as (select greatest(cc / sum(cc) over (), 1e-6) as c, greatest(rr / sum(rr) over (), 1e-6) as q from b), y as (select round(sum((c - q) * ln(c / q)), 6) + 0e0 as psi from z)"
+    rows = [
+        f"""select * from (with e as (select quantile_cont({x}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as edges from tracks where split <> 'train' and {x} is not null), {psi.format(bin=f'len(list_filter(edges, lambda x: x <= {x}))', more=f', e where {x} is not null')},
+        g as (select {x} as v, count(*) filter (split = 'train') as c, count(*) filter (split <> 'train') as q from tracks where {x} is not null group by 1), f as (select sum(c) over (order by v) / sum(c) over () as fc, sum(q) over (order by v) / sum(q) over () as fr from g),
+        k as (select (select sum(c) from g) as n, (select sum(q) from g) as m, round(max(abs(fc - fr)), 6) as d from f), x as (select d * sqrt(n * m / (n + m)) as x from k),
+        p as (select round(case when x < 0.2 then 1e0 else greatest(0e0, least(1e0, 2 * list_sum(list_transform(range(1, 101), lambda i: case when i % 2 = 1 then 1e0 else -1e0 end * exp(-2e0 * i * i * x * x))))) end, 6) + 0e0 as p from x)
+        select '{x}' as feature, 'continuous' as kind, p as ks_pvalue, psi, p < 0.05 as drifted from y, p)"""
+        for x in continuous
+    ]
+    rows += [f"select * from (with {psi.format(bin=x, more='')} select '{x}' as feature, 'discrete' as kind, cast(null as double) as ks_pvalue, psi, psi > 0.25 as drifted from y)" for x in discrete]
+    return " union all ".join(rows)
+
+
 QUERIES = {
     "lines_without_banned_terms": (
         lambda s, d: op.without_banned(lines(s, d), "line", ["THE", " la ", ""]).groupBy("doc_id").agg(F.count("*").alias("n")),
@@ -82,7 +97,7 @@ QUERIES = {
         f"""p as (select cast(e.vec_id as bigint) as id, cast(v.vec_id as bigint) as term, round({_COS.format(a='e.embedding', b='v.embedding')}, 6) as sim from embeddings e, embeddings v where e.vec_id >= 20 and v.vec_id < 20),
         k as (select *, row_number() over (partition by id order by sim desc, term) as i from p) select id, term from k where i <= 3 and sim >= 0.1""",
     ),
-    "drift_report": (lambda s, d: op.drift_report(tracks(s, d), F.col("split") == "train", ["bpm", "duration", "lufs"], ["genre", "mood", "section"]), None),
+    "drift_report": (lambda s, d: op.drift_report(tracks(s, d), F.col("split") == "train", ["bpm", "duration", "lufs"], ["genre", "mood", "section"]), _drift(("bpm", "duration", "lufs"), ("genre", "mood", "section"))),
     "deviation_heatmap": (
         lambda s, d: evaluation(s, d).where("deviation is not null").groupBy(F.left("prompt", F.lit(26)).alias("prompt"), "checkpoint").agg(rounded(F.avg(F.abs("deviation"))).alias("deviation")),
         f"select left(prompt, 26) as prompt, checkpoint, {r('avg(abs(deviation))')} as deviation from ev where deviation is not null group by 1, 2",
@@ -138,6 +153,13 @@ QUERIES |= {
         "select event_id, cast(round_even(69 + 12 * log2((value + 27.5e0) / 440e0), 0) as int) as note from ev",
     ),
     "comparison_report": (compared, None),
-    "labelling_priority": (labelling, None),
+    "labelling_priority": (
+        labelling,
+        f"""p as (select q.vec_id as id, e.label, round({_COS.format(a='q.embedding', b='e.embedding')}, 6) as sim, e.vec_id as nid from embeddings q join embeddings e on e.vec_id % 5 <> 0 where q.vec_id % 5 = 0),
+        k as (select *, row_number() over (partition by id order by sim desc, nid) as i from p), t as (select * from k where i <= 5), v as (select id, label, count(*) as n from t group by 1, 2),
+        u as (select id, 1e0 - max(n) / sum(n) as u from v group by id), f as (select id, 1e0 - max(sim) as f from t group by id), b as (select * from u join f using (id)),
+        z as (select id, case when stddev_pop(u) over () < 1e-12 then 0 else (u - avg(u) over ()) / stddev_pop(u) over () end + case when stddev_pop(f) over () < 1e-12 then 0 else (f - avg(f) over ()) / stddev_pop(f) over () end as x from b)
+        select id, {r('x')} as priority from z order by priority desc, id limit 20""",
+    ),
     "principal_axes": (axes, None),
 }

@@ -235,7 +235,13 @@ QUERIES = {
         b as (select user_id, {', '.join(f"coalesce(avg(v) filter (hz >= {a} and hz < {b}), 0) as {n}" for n, (a, b) in fr.BANDS.items())} from m group by 1), t as (select *, {' + '.join(fr.BANDS)} + 1e-9 as total from b)
         select user_id, {', '.join(f"{r(n + ' / total')} as {n}" for n in fr.BANDS)} from t""",
     ),
-    "swing_feels": (swings, None),
+    "swing_feels": (
+        swings,
+        f"""f as ({_FR}), o as (select user_id, list(flux order by i) as s, count(*) as n from f group by 1), b as (select user_id, s, n, range(0, greatest(1, n - 1) + 1, 4) as k from o),
+        x as (select user_id, len(k) as m, list_sum(list_transform(k[1:len(k) - 1], lambda i: s[i + 1])) as a, list_sum(list_transform(k[1:len(k) - 1], lambda i: s[least(i + 2, n - 1) + 1])) as b from b),
+        q as (select user_id, case when m > 1 and a / (m - 1) > 1e-9 then b / a end as q from x)
+        select user_id, {r('q')} as ratio, case when q is null then 'unknown' when q < 0.5 then 'straight' when q < 0.9 then 'moderate' else 'swung' end as feel from q""",
+    ),
     "chord_labels": (
         lambda s, d: table(s, d, "embeddings").select("vec_id", fr.chord(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))).alias("c")).select("vec_id", "c.chord", "c.confidence"),
         f"""a as (select vec_id, list_transform(embedding[1:12]::double[], lambda x: abs(x)) as c from embeddings),

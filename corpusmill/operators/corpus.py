@@ -173,7 +173,7 @@ def renamed_terms(cell: Column, names: dict[str, str]) -> Column:
 def split_leaks(files: DataFrame, order: list[str]) -> DataFrame:
     """Files whose content is also in an earlier split; files have path, split, sha256."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("split"))
-    first = files.withColumn("place", place).groupBy("sha256").agg(F.min("place").alias("first"), F.count_distinct("place").alias("k")).where("k > 1")
+    first = files.withColumn("place", place).groupBy("sha256").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
     return files.withColumn("place", place).join(first, "sha256").where("place > first").select("path", "split")
 
 

@@ -24,7 +24,7 @@ TERM = r"\p{L}{3,}"
 SLOTS = 1 << 17
 #: Most common terms that are broadcast; any other is in under 1 / HOT of all pairs of a document and a term.
 HOT = 1024
-#: A term must be seen with an entity in so many documents, or in all that the entity has.
+#: A term must be seen with an entity in so many documents; with an entity of fewer, it must be seen nowhere else.
 SUPPORT = 2
 #: What a count is lowered by before it is taken for evidence.
 DISCOUNT = 0.5
@@ -137,10 +137,12 @@ def disclosing(rows: DataFrame, spans: DataFrame, n: int, support: int, generali
     in t documents that is with it in c of them discloses log2(c N / (d t))
     bits, their pointwise mutual information, with c lowered by ``DISCOUNT``:
     having been seen together once is little evidence, so that terms of an
-    entity's only document are generalised if rare, and never removed. All
-    documents are counted, and c must be ``support`` or d. As c is d at most,
-    a term in more than d (N / d)^(1 - share) documents stays below the share
-    and need not be paired with the entity.
+    entity's only document are generalised, and never removed. All documents
+    are counted. c must be ``support`` at least; of entities in fewer
+    documents, terms that are in no others count, so that no document without
+    such an entity is changed for it. As c is d at most, a term in more than
+    d (N / d)^(1 - share) documents stays below the share and need not be
+    paired with the entity.
     """
     value = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
     of = stored(spans.select("row", F.concat_ws(":", "kind", value).alias("entity")).distinct(), "entities")
@@ -153,7 +155,7 @@ def disclosing(rows: DataFrame, spans: DataFrame, n: int, support: int, generali
     holders = of.groupBy("row").agg(F.collect_list(F.struct("entity", "d")).alias("entities"))  # a document's own
     words = _maybe_among(rows.select("row", "text"), of, "row").join(holders, "row").select("entities", F.explode(_words()).alias("term"))
     pairs = _by_term(_maybe_among(words, t, "term"), t).select("term", "t", F.explode("entities").alias("e")).where(F.col("t") <= most(F.col("e.d")))
-    c = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e.d").alias("d")).where(F.col("c") >= F.least(F.lit(support), F.col("d")))
+    c = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e.d").alias("d")).where((F.col("c") >= support) | ((F.col("d") < support) & (F.col("c") == F.col("t"))))
     share = F.log2((F.col("c") - DISCOUNT) * float(n) / (F.col("d") * F.col("t"))) / F.log2(float(n) / F.col("d"))
     return c.select("term", "t", share.alias("share")).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"), F.first("t").alias("t"))
 
@@ -190,8 +192,8 @@ def find_personal(
     Takes ``doc_id`` and ``text``; other columns are ignored. Spans of the
     base kinds are leftmost, do not overlap within their kind, and count only
     if address parts, check digits and lengths are right. Words that occur in
-    at least ``support`` of an entity's documents, or in its only one, wherever
-    in them but not in an address, are scored by the share of the entity's information that they
+    at least ``support`` of an entity's documents (if it has fewer: in no
+    others), wherever in them but not in an address, are scored by the share of the entity's information that they
     disclose over all documents; from ``generalise_at`` on, all their
     occurrences in all documents become ``generalise`` spans, from
     ``remove_at`` on ``remove`` spans. Null and empty texts have no spans;
@@ -285,7 +287,7 @@ def brute_force_terms(texts: list[str | None], support: int = SUPPORT, generalis
         d = len(docs)
         for term, held in terms.items():
             c = len(docs & held)
-            if d < n and c >= min(support, d) and c:
+            if d < n and c and (c >= support or d < support and c == len(held)):
                 share = math.log2((c - DISCOUNT) * n / (d * len(held))) / math.log2(n / d)
                 if share >= generalise_at:
                     found[term] = max(found.get(term, 0.0), share)

@@ -196,7 +196,10 @@ def joined_hot(many: DataFrame, one: DataFrame, key: str, wide: bool = False, ho
     columns. All other keys are joined as usual. ``many`` is read several
     times and should be a stored table.
     """
-    least = max(FEW, many.count() / MOST_HOT)
+    total = many.count()
+    if total <= FEW:  # no key has more
+        return many.join(one, key, how)
+    least = max(FEW, total / MOST_HOT)
     found = many.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).alias("_shares"))
     held = found.collect()  # MOST_HOT keys at most
     if not held:

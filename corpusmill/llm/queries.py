@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, exact_dedup, language_id, mixing, ngram_join, packing, pii, secrets, sharding, suffixes
+from . import bit_sliced, exact_dedup, hard_negatives, language_id, mixing, ngram_join, packing, pii, secrets, sharding, suffixes, toxicity, whitening
 
 
 def _joined(spans: Column) -> Column:
@@ -74,6 +74,22 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *_span_columns("assign", "access", "hex"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.score_documents(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond 63 bits
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_disclosure": op1_pii_disclosure,
@@ -86,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_ngram_join": op9_ngram_join,
         "op10_secret_scan": op10_secret_scan,
+        "op11_toxicity": op11_toxicity,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 

@@ -107,6 +107,17 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def finite_vector(name: str) -> Column:
+    """Whether an array is there, not empty, and all its entries are finite numbers."""
+    bad = F.exists(name, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.col(name).isNotNull() & (F.size(name) > 0) & ~bad
+
+
+def floored(name: str, scale: int) -> Column:
+    """floor(scale * x) of each entry x, as double, of an array."""
+    return F.transform(name, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+
+
 def cells_for(rows: int, per_cell: int, least: int = 1) -> int:
     """How many cells hold ``rows`` rows at about ``per_cell`` each."""
     return max(least, -(-rows // per_cell))

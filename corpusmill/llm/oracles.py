@@ -20,6 +20,24 @@ s as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 20
+""",
+    "op12_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+         cast(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from s where same),
+r as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as n
+  from p join s on p.anchor_id = s.anchor_id
+  where p.n <= 5 and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, cast(n as integer) as rank, negative_id, positive_score, negative_score from r where n <= 10
 """,
     "op9_ngram_join": r"""
 with recursive words as (

@@ -63,7 +63,8 @@ _CLASS = np.fromiter((_class_of(chr(i)) for i in range(0x110000)), dtype=np.uint
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Counts of the class trigrams of a text, boundaries in a row being one."""
+    """Counts of the class trigrams of a text but its suspicious words, boundaries in a row being one."""
+    text = SUSPECT.sub(" ", SPACED.sub(" ", text))
     points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     seen = _CLASS[points]
     keep = np.ones(len(seen), dtype=bool)
@@ -74,14 +75,25 @@ def trigrams(text: str) -> np.ndarray:
     return np.bincount((a[:-2] * CLASSES + a[1:-1]) * CLASSES + a[2:], minlength=CLASSES**3)
 
 
+#: Chance of a digit after a letter, at the start of a word, after a digit.
+_SIGN, _FIRST_SIGN, _NEXT_SIGN = 0.01, 0.05, 0.5
+
+
 def log_chances(counts: np.ndarray) -> np.ndarray:
-    """Log chance of each class after two others: trigram counts, smoothed by bigrams, by single classes."""
+    """Log chance of each class after two others: trigram counts, smoothed by bigrams, by single classes.
+
+    Words with digits are not counted, since a disguise cannot be told from
+    them; digits have fixed chances.
+    """
     three = counts.reshape(CLASSES, CLASSES, CLASSES).astype(np.float64)
     two = three.sum(axis=0)
     one = two.sum(axis=0)
     single = (one + 1) / (one.sum() + CLASSES)
     pair = (two + 5 * single) / (two.sum(axis=1, keepdims=True) + 5)
-    return np.log((three + 5 * pair) / (three.sum(axis=2, keepdims=True) + 5)).reshape(-1)
+    chances = (three + 5 * pair) / (three.sum(axis=2, keepdims=True) + 5)
+    chances[:, :, SIGN] = _SIGN
+    chances[:, EDGE, SIGN], chances[:, SIGN, SIGN] = _FIRST_SIGN, _NEXT_SIGN
+    return np.log(chances).reshape(-1)
 
 
 # The channel: chances of what a writer does to a letter or sign, as logs.
@@ -94,8 +106,7 @@ _PAIR, _MORE = (np.log(0.1), np.log(0.9)), (np.log(0.5), np.log(0.5))
 def _options(char: str, run: int, inside: bool) -> list[tuple[str, tuple[int, ...], float]]:
     """What ``run`` equal characters may stand for: (text, classes, log chance).
 
-    ``inside``: with a letter on either side, where a sign that is no letter
-    is rare.
+    ``inside``: within a word, where a sign that is no letter is rare.
     """
     if char in GAPS:
         return [("", (), _CLOSED), (" ", (EDGE,), _OPEN)]
@@ -123,7 +134,7 @@ def decode(seen: str, chances: list[float]) -> str:
     """
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
     for m in re.finditer(r"(.)\1*", seen, re.S):
-        inside = 0 < m.start() and m.end() < len(seen) and seen[m.start() - 1].isalpha() and seen[m.end()].isalpha()
+        inside = 0 < m.start() and m.end() < len(seen) and seen[m.start() - 1] not in GAPS and seen[m.end()] not in GAPS
         options = _options(m[1], len(m[0]), inside)
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, way) in best.items():

@@ -21,6 +21,8 @@ from .shared import finite_vector, floored, scoped, stored
 SCALE, SHIFT = 1024, 100_000
 #: Whitened components at most.
 COMPONENTS = 8
+#: Singular values below this share of the largest are rounding: their components have no variance.
+RANK = 1e-6
 #: Exact sums are decimals of so many digits.
 EXACT = "decimal(38,0)"
 #: Products and sums of int64 below this do not overflow.
@@ -104,7 +106,7 @@ def fit(vectors: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     centre = F.lit(mean.tolist()).cast("array<double>")
     centred = vectors.select(array_to_vector(F.zip_with("x", centre, lambda x, m: x.cast("double") - m)).alias("row"))
     rows = RowMatrix(MLUtils.convertVectorColumnsFromML(centred, "row"), n, len(sums))
-    found = rows.computeSVD(len(sums), computeU=False)
+    found = rows.computeSVD(len(sums), computeU=False, rCond=RANK)
     values = np.asarray(found.s.toArray()) ** 2 / n
     by = np.argsort(-values, kind="stable")[:components]
     return Whitening(n, sums, np.asarray(found.V.toArray()).T[by], values[by], trace)

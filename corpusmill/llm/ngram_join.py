@@ -14,7 +14,7 @@ from .components import components
 from .exact_dedup import groups
 from .heavy import frequent
 from .shared import MOST_HOT, joined_few, joined_hot, keyed, scoped, stored, without_few
-from .shingles import mixed, shingle_set
+from .shingles import classed, mixed, shingle_set, word_shingles
 from .utf8 import rows
 
 #: Rounds that test each signature's documents against one of them.
@@ -101,12 +101,6 @@ def signatures(sets: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def _class(sets: np.ndarray) -> bytes:
-    """128 bits that equal sets share."""
-    one, two = mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64), mixed(sets * np.uint64(3)).sum(dtype=np.uint64)
-    return int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big")
-
-
 def _profile(n: int, percent: int, counters: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each document's set size and class; behind them, in rows without a class, a Misra-Gries summary of the task's signatures and how many there were."""
 
@@ -117,8 +111,8 @@ def _profile(n: int, percent: int, counters: int) -> Callable[[Iterator[pa.Recor
             kind = batch.schema.field(0).type
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
-                sets = [shingle_set(raw, n) for raw in rows(part.column(1))]
-                classes, sizes = [_class(s) for s in sets], [len(s) for s in sets]
+                sets, classes = zip(*(classed(raw, n) for raw in rows(part.column(1))), strict=True)
+                sizes = [len(s) for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), none, none], names)
                 signed = [signatures(s, percent) for s in dict(zip(classes, sets, strict=True)).values()]  # copies get one representative
@@ -142,12 +136,12 @@ def _signed(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
-                sets = [shingle_set(raw, n) for raw in rows(part.column(1))]
+                sets, classes = zip(*(classed(raw, n) for raw in rows(part.column(1))), strict=True)
                 signed = [signatures(s, percent) for s in sets]
                 at = np.cumsum([0, *(len(x) for x in signed)]).astype(np.int32)
                 flat = np.concatenate([*signed, np.zeros(0, np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([_class(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(at, pa.array(flat))],
+                    [part.column(0), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(at, pa.array(flat))],
                     ["doc_id", "digest", "signatures"],
                 )
 
@@ -228,12 +222,17 @@ def _sketched(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _linked(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (a, b, x, y), the pairs that link: their words are compared, not hashes."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
+            last, a = None, set()
             for x, y in zip(rows(batch.column(2)), rows(batch.column(3)), strict=True):
-                a, b = shingle_set(x, n), shingle_set(y, n)
-                common = len(np.intersect1d(a, b, assume_unique=True))
+                x = x.tobytes()
+                last, a = (last, a) if x == last else (x, word_shingles(x, n))  # a hub's pairs lie together
+                b = word_shingles(y.tobytes(), n)
+                common = len(a & b)
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import scoped, stored, whole_text
+from .shared import joined_hot, keyed, scoped, stored, whole_text
 
 #: The base patterns, without backtracking (fixed values). An e-mail address
 #: starts where its run of local characters does, or where the last one ended.
@@ -24,10 +24,10 @@ TERM = r"\p{L}{3,}"
 SLOTS = 1 << 17
 #: Most common terms that are broadcast; any other is in under 1 / HOT of all pairs of a document and a term.
 HOT = 1024
-#: A term must be seen with an entity in so many documents; with an entity of fewer, it must be seen nowhere else.
+#: A term must be seen with an entity in so many documents; with an entity of fewer, it must be seen nowhere else, and is never removed.
 SUPPORT = 2
-#: What a count is lowered by before it is taken for evidence.
-DISCOUNT = 0.5
+#: Stands between the words and the gaps of a marked text, where it is a blank itself.
+MARK = "\x01"
 #: Share of an entity's information that a term discloses, from which on it is
 #: generalised, and from which on it is removed.
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
@@ -130,57 +130,64 @@ def _by_term(df: DataFrame, terms: DataFrame) -> DataFrame:
     return once.unionByName(df.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare, "term"))
 
 
-def disclosing(rows: DataFrame, spans: DataFrame, n: int, support: int, generalise_at: float) -> DataFrame:
-    """(term, share, t): terms that disclose at least ``generalise_at`` of an entity's information, and the most they disclose.
+def disclosing(rows: DataFrame, words: DataFrame, spans: DataFrame, n: int, support: int, generalise_at: float) -> DataFrame:
+    """(term, share, sure, t): terms that disclose at least ``generalise_at`` of an entity's information.
 
     With N documents, an entity in d of them carries log2(N / d) bits; a term
     in t documents that is with it in c of them discloses log2(c N / (d t))
-    bits, their pointwise mutual information, with c lowered by ``DISCOUNT``:
-    having been seen together once is little evidence, so that terms of an
-    entity's only document are generalised, and never removed. All documents
-    are counted. c must be ``support`` at least; of entities in fewer
-    documents, terms that are in no others count, so that no document without
-    such an entity is changed for it. As c is d at most, a term in more than
-    d (N / d)^(1 - share) documents stays below the share and need not be
-    paired with the entity.
+    bits, their pointwise mutual information. ``share`` is the largest share of
+    an entity's bits that a term discloses, ``sure`` the largest one that
+    ``support`` documents or more bear out. All documents are counted. Of
+    entities in fewer documents, terms that are in no others count, so that no
+    document without such an entity is changed for it; however many documents
+    there are, one alone makes no term ``sure``. As c is d at most, a term in
+    more than d (N / d)^(1 - share) documents stays below the share and need
+    not be paired with the entity. Entities of the same documents disclose the
+    same and are counted once.
     """
     value = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
     of = stored(spans.select("row", F.concat_ws(":", "kind", value).alias("entity")).distinct(), "entities")
-    d = of.groupBy("entity").agg(F.count("*").alias("d")).where(F.col("d") < n)
-    of = stored(of.join(d, "entity"), "entities")
+    d = of.groupBy("entity").agg(F.count("*").alias("d"), F.bit_xor(F.xxhash64("row")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("g"))
+    d = stored(d.where(F.col("d") < n).groupBy("d", "h", "g").agg(F.min("entity").alias("entity")).select("entity", "d"), "differing")
+    of = stored(joined_hot(of, d, "entity"), "entities")
     most = lambda d: d * F.pow(float(n) / d, F.lit(1.0 - generalise_at)) * (1 + 1e-9)
-    t = rows.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
+    t = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("t"))
     bound = of.agg(F.coalesce(F.max(most(F.col("d"))), F.lit(0.0))).first()[0]
     t = stored(t.where(F.col("t") <= bound), "terms")
     holders = of.groupBy("row").agg(F.collect_list(F.struct("entity", "d")).alias("entities"))  # a document's own
-    words = _maybe_among(rows.select("row", "text"), of, "row").join(holders, "row").select("entities", F.explode(_words()).alias("term"))
-    pairs = _by_term(_maybe_among(words, t, "term"), t).select("term", "t", F.explode("entities").alias("e")).where(F.col("t") <= most(F.col("e.d")))
-    c = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e.d").alias("d")).where((F.col("c") >= support) | ((F.col("d") < support) & (F.col("c") == F.col("t"))))
-    share = F.log2((F.col("c") - DISCOUNT) * float(n) / (F.col("d") * F.col("t"))) / F.log2(float(n) / F.col("d"))
-    return c.select("term", "t", share.alias("share")).where(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"), F.first("t").alias("t"))
-
-
-def occurrences(rows: DataFrame, telling: DataFrame) -> DataFrame:
-    """(row, kind, start, end) wherever (term, kind, t) occurs outside of entities."""
-    words = rows.select("row", F.explode(_words()).alias("term"))
-    met = _by_term(_maybe_among(words, telling, "term"), telling)
+    held = _maybe_among(words, of, "row").join(holders, "row").select("entities", F.explode("terms").alias("term"))
+    pairs = _by_term(_maybe_among(held, t, "term"), t).select("term", "t", F.explode("entities").alias("e")).where(F.col("t") <= most(F.col("e.d")))
+    c = pairs.groupBy(F.col("e.entity").alias("entity"), "term").agg(F.count("*").alias("c"), F.first("t").alias("t"), F.first("e.d").alias("d"))
+    c = c.where((F.col("c") >= support) | ((F.col("d") < support) & (F.col("c") == F.col("t"))))
+    share = F.log2(F.col("c") * float(n) / (F.col("d") * F.col("t"))) / F.log2(float(n) / F.col("d"))
+    told = c.select("term", "t", "c", share.alias("share")).where(F.col("share") >= generalise_at - 1e-12)
+    sure = F.max(F.when(F.col("c") >= support, F.col("share")))
+    return told.groupBy("term").agg(F.max("share").alias("share"), F.coalesce(sure, F.lit(0.0)).alias("sure"), F.first("t").alias("t"))
+
+
+def occurrences(rows: DataFrame, words: DataFrame, telling: DataFrame) -> DataFrame:
+    """(row, kind, start, end) wherever (term, kind, t) occurs outside of entities.
+
+    Telling words are set off by marks, at which the text is cut; the places
+    are running sums of the pieces' lengths, so that the time is in proportion
+    to the text.
+    """
+    met = _by_term(_maybe_among(words.select("row", F.explode("terms").alias("term")), telling, "term"), telling)
     of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("term")))
     held = stored(met.groupBy("row").agg(of("generalise").alias("some"), of("remove").alias("gone")), "held")  # a document's own terms
+    bare = F.translate(_bare(), MARK, " ")
+    texts = _maybe_among(rows.select("row", "text"), held, "row").join(held, "row").select("row", "some", "gone", bare.alias("bare"))
     found = F.regexp_extract_all("bare", F.lit(TERM), F.lit(0))
-
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["word"])
-        kind = F.when(F.array_contains(F.col("gone"), x["term"]), "remove").when(F.array_contains(F.col("some"), x["term"]), "generalise")
-        span = F.struct(kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct(end.alias("at"), F.when(kind.isNotNull(), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
-
-    texts = _maybe_among(rows.select("row", "text"), held, "row").join(held, "row").select("row", "some", "gone", _bare().alias("bare"))
     each = texts.select("row", "some", "gone", found.alias("words"), F.split("bare", TERM).alias("gaps"))
-    zipped = F.arrays_zip(F.col("words").alias("word"), _lowered(F.col("words")).alias("term"), F.slice("gaps", F.lit(1), F.size("words")).alias("gap"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"])
-    return each.select("row", F.explode(spans).alias("s")).select("row", "s.*")
+    zipped = F.arrays_zip(F.col("gaps").alias("gap"), F.col("words").alias("word"), _lowered(F.col("words")).alias("term"))
+    kind = lambda term: F.when(F.array_contains("gone", term), "remove").when(F.array_contains("some", term), "generalise")
+    word = lambda x: F.coalesce(F.concat(F.lit(MARK), kind(x["term"]), F.lit(MARK), x["word"], F.lit(MARK)), x["word"], F.lit(""))
+    marked = F.array_join(F.transform(zipped, lambda x: F.concat(x["gap"], word(x))), "")
+    pieces = each.select("row", F.posexplode(F.split(marked, MARK)).alias("i", "piece"))  # text, kind, word, text, ...
+    along = Window.partitionBy("row").orderBy("i")  # a document's own pieces
+    shown = F.when(F.col("i") % 3 != 1, F.length("piece")).otherwise(0).cast("long")
+    placed = pieces.select("row", "i", shown.alias("length"), F.sum(shown).over(along).alias("end"), F.lag("piece").over(along).alias("kind"))
+    return placed.where(F.col("i") % 3 == 2).select("row", "kind", (F.col("end") - F.col("length")).alias("start"), "end")
 
 
 @scoped
@@ -195,15 +202,19 @@ def find_personal(
     at least ``support`` of an entity's documents (if it has fewer: in no
     others), wherever in them but not in an address, are scored by the share of the entity's information that they
     disclose over all documents; from ``generalise_at`` on, all their
-    occurrences in all documents become ``generalise`` spans, from
-    ``remove_at`` on ``remove`` spans. Null and empty texts have no spans;
+    occurrences in all documents become ``generalise`` spans; from
+    ``remove_at`` on ``remove`` spans, if ``support`` documents bear it out,
+    which those of an entity of fewer never do, at any number of documents. Null and empty texts have no spans;
     repeated rows are rows. An empty table gives an empty result.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text().alias("text")), "rows", keep=True)
+    named, key = keyed(docs)
+    rows = named.select(F.col(key).alias("row"), "doc_id", whole_text().alias("text"))
     spans = stored(base_spans(rows.select("row", "text")), "spans", keep=True)
-    told = disclosing(rows, spans, rows.count(), support, generalise_at)
-    kind = F.when(F.col("share") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    added = stored(occurrences(rows, stored(told.select("term", kind.alias("kind"), "t"), "telling")), "added", keep=True)
+    words = stored(rows.select("row", _words().alias("terms")), "words")
+    told = disclosing(rows, words, spans, words.count(), support, generalise_at)
+    kind = F.when(F.col("sure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
+    telling = stored(told.select("term", kind.alias("kind"), "t"), "telling")
+    added = stored(occurrences(rows, words, telling), "added", keep=True)
     every = (
         rows.select("row", "doc_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
         .unionByName(spans.select("row", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "kind", "start", "end"))
@@ -264,8 +275,8 @@ def brute_force(text: str | None) -> list[tuple[str, int, int]]:
     return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
 
 
-def brute_force_terms(texts: list[str | None], support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> dict[str, float]:
-    """term -> the largest share of an entity's information that it discloses, by counting all pairs, for tests."""
+def brute_force_terms(texts: list[str | None], support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> dict[str, tuple[float, float]]:
+    """term -> (the largest share of an entity's information that it discloses, the largest that ``support`` documents bear out), by counting all pairs, for tests."""
     import math
     import re
 
@@ -282,13 +293,14 @@ def brute_force_terms(texts: list[str | None], support: int = SUPPORT, generalis
                 bare[a:b] = " " * (b - a)
         for term in re.findall(r"[^\W\d_]{3,}", "".join(bare)):
             terms.setdefault(term.lower(), set()).add(i)
-    found: dict[str, float] = {}
+    found: dict[str, tuple[float, float]] = {}
     for docs in entities.values():
         d = len(docs)
         for term, held in terms.items():
             c = len(docs & held)
             if d < n and c and (c >= support or d < support and c == len(held)):
-                share = math.log2((c - DISCOUNT) * n / (d * len(held))) / math.log2(n / d)
-                if share >= generalise_at:
-                    found[term] = max(found.get(term, 0.0), share)
+                share = math.log2(c * n / (d * len(held))) / math.log2(n / d)
+                if share >= generalise_at - 1e-12:
+                    old = found.get(term, (0.0, 0.0))
+                    found[term] = max(old[0], share), max(old[1], share if c >= support else 0.0)
     return found

@@ -566,12 +566,40 @@ def test_disclosure_scores_against_brute_force(spark):
     texts_ += [None, "", "+49 30 9018 2011 lonely"]
     docs = table(spark, [(i, t, "s") for i, t in enumerate(texts_)])
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    found = pii.disclosing(rows, pii.base_spans(rows), len(texts_), pii.SUPPORT, pii.GENERALISE_AT)
+    words = rows.select("row", pii._words().alias("terms"))
+    found = pii.disclosing(rows, words, pii.base_spans(rows), len(texts_), pii.SUPPORT, pii.GENERALISE_AT).collect()
     want = pii.brute_force_terms(texts_)
-    assert {r.term: r.share for r in found.collect()} == pytest.approx(want) and len(want) > 5
+    assert len(want) > 5
+    for k, column in enumerate(("share", "sure")):
+        assert {r.term: r[column] for r in found} == pytest.approx({t: v[k] for t, v in want.items()})
     marked = {texts_[r.doc_id][x.start : x.end].lower() for r in pii.find_personal(docs).collect() for x in r.spans if x.kind in ("generalise", "remove")}
     assert marked == set(want)
-    assert "lonely" in want and want["lonely"] < pii.REMOVE_AT  # an entity of one document
+    assert want["lonely"][0] == pytest.approx(1.0) and want["lonely"][1] == 0.0  # an entity of one document
+    for n in (2**20, 2**30, 2**40):  # as many documents, these among them: no more is sure
+        many = {r.term: r.sure for r in pii.disclosing(rows, words, pii.base_spans(rows), n, pii.SUPPORT, pii.GENERALISE_AT).collect()}
+        assert many["lonely"] == 0.0 and all(sure >= pii.REMOVE_AT for t, sure in many.items() if t in want and want[t][1] >= pii.REMOVE_AT)
+
+
+def test_entities_of_the_same_documents_count_once(spark):
+    """A list of addresses with as many words: no row for each pair."""
+    mails = " ".join(f"m{i}@corp.org" for i in range(3_000))
+    words = " ".join("".join(chr(97 + int(c)) for c in f"{i:05d}") for i in range(3_000))
+    rows = [(0, f"{mails} {words} unique", "s"), (1, "other text", "s"), (2, None, None), (3, "x@y.org other", "s")]
+    found = {r.doc_id: r.spans for r in pii.find_personal(table(spark, rows)).collect()}
+    assert sum(s.kind == "email" for s in found[0]) == 3_000 and sum(s.kind == "generalise" for s in found[0]) == 3_001
+    assert not any(s.kind == "remove" for r in found.values() for s in r) and [s.kind for s in found[3]] == ["email"]
+
+
+def test_marked_words_among_odd_signs(spark):
+    text = f"zed@corp.org {pii.MARK}Zanzibar{pii.MARK} a\u0301 é𝒳 remove generalise zanzibar\n"
+    rows = [(i, text, "s") for i in range(3)] + [(9, "other zed words", "s"), (10, "remove generalise", "s")] + [(20 + i, "remove generalise", "s") for i in range(50)]
+    found = {r.doc_id: r.spans for r in pii.find_personal(table(spark, rows)).collect()}
+    assert [text[s.start : s.end] for s in found[0]] == ["zed@corp.org", "Zanzibar", "zanzibar"] and found[9] == [] and found[10] == []
+
+
+def test_sanitised_rows_of_no_text(spark):
+    rows = [(0, None, "s"), (1, "", "s"), (2, "a@b.org", "s")]
+    assert {r.doc_id: r.text for r in pii.sanitised(table(spark, rows)).collect()} == {0: None, 1: "", 2: "[email]"}
 
 
 def test_disclosing_terms_far_from_the_entity(spark):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,14 +61,43 @@ def _class_of(char: str) -> int:
     return OTHER if char.isalpha() else SIGN if char.isdigit() else EDGE
 
 
-_CLASS = np.fromiter((_class_of(chr(i)) for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+def _traits(char: str) -> int:
+    """The class; whether a letter, a stand-in, part of a word."""
+    leet = char in LEET
+    return _class_of(char) | char.isalpha() << 5 | leet << 6 | (leet or char.isalnum()) << 7
+
+
+_TRAITS = np.fromiter((_traits(chr(i)) for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+
+
+def _marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(traits of each character, where there is something that ``SUSPECT`` looks for)."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    traits = _TRAITS[points]
+    letter, leet = (traits & 32).astype(bool), (traits & 64).astype(bool)
+    odd = np.zeros(len(points), dtype=bool)
+    odd[1:] = (letter[:-1] & leet[1:]) | (leet[:-1] & letter[1:])
+    same = points[1:] == points[:-1]
+    odd[2:] |= letter[2:] & same[1:] & same[:-1]
+    return traits, odd
+
+
+def _alone(traits: np.ndarray) -> bool:
+    """Whether three single characters follow each other at one place's distance: without, ``SPACED`` finds nothing."""
+    part = np.concatenate([[False], traits >= 128, [False]])
+    single = part[1:-1] & ~part[:-2] & ~part[2:]
+    return bool((single[:-4] & single[2:-2] & single[4:]).any())
 
 
 def trigrams(text: str) -> np.ndarray:
     """Counts of the class trigrams of a text but its suspicious words, boundaries in a row being one."""
-    text = SUSPECT.sub(" ", SPACED.sub(" ", text))
-    points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    seen = _CLASS[points]
+    traits, odd = _marks(f" {text.lower()} ")
+    seen = traits & 31
+    if odd.any():
+        run = np.cumsum(traits < 128)  # of characters that are parts of words
+        bad = np.zeros(run[-1] + 1, dtype=bool)
+        bad[run[odd]] = True
+        seen = np.where(bad[run], EDGE, seen)
     keep = np.ones(len(seen), dtype=bool)
     keep[1:] = (seen[1:] != EDGE) | (seen[:-1] != EDGE)
     a = seen[keep].astype(np.int32)
@@ -169,7 +200,9 @@ class Channel:
         found = self.known.get(seen)
         if found is None:
             found = decode(seen, self.chances)
-            if len(self.known) < self.room and len(seen) < 64:
+            if len(seen) < 64:
+                if len(self.known) >= self.room:
+                    self.known.clear()
                 self.known[seen] = found
         return found
 
@@ -184,9 +217,19 @@ class Channel:
         return self._decoded(m[0]) if sum(c.isalpha() for c in m[0]) > 1 else m[0]
 
     def restore(self, text: str) -> str:
-        """The text in lower case, its disguised words restored."""
-        text = text.lower().translate(UNSEEN) if not text.isascii() else text.lower()
-        return SUSPECT.sub(self._word, SPACED.sub(self._spaced, text))
+        """The text in lower case, without unseen characters, its disguised words restored."""
+        text = text.lower()
+        if not text.isascii() and any(map(text.__contains__, map(chr, UNSEEN))):
+            text = text.translate(UNSEEN)
+        traits, odd = _marks(text)
+        if _alone(traits):
+            text = SPACED.sub(self._spaced, text)
+            odd = _marks(text)[1]
+        return SUSPECT.sub(self._word, text) if odd.any() else text
+
+    def words(self, text: str) -> Counter[str]:
+        """How often each word of the restored text occurs."""
+        return Counter(WORD.findall(self.restore(text)))
 
 
 def terms_of(word: str) -> list[str]:
@@ -194,9 +237,12 @@ def terms_of(word: str) -> list[str]:
     return [f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def said(text: str, channel: Channel) -> dict[str, float]:
-    """Weight of each word of the restored text: 1 + ln(times it occurs), so that repetition tells little."""
-    return {word: 1 + float(np.log(n)) for word, n in Counter(WORD.findall(channel.restore(text))).items()}
+_WEIGHTS = [0.0, *(1 + math.log(n) for n in range(1, 1_000))]
+
+
+def weight(n: int) -> float:
+    """Of a word that occurs n times: 1 + ln n, so that repetition tells little."""
+    return _WEIGHTS[n] if n < 1_000 else 1 + math.log(n)
 
 
 @dataclass(frozen=True)
@@ -207,15 +253,18 @@ class Model:
     terms: dict[str, float]
     coefficients: np.ndarray
 
-    def strength(self, word: str) -> float:
-        """Of the word's most telling term; 0 if it has none."""
-        return max(map(self.terms.get, terms_of(word), [0.0] * 9))
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        """How words with a telling term begin."""
+        return frozenset(t.removesuffix("$")[: min(PREFIXES)] for t in self.terms)
 
-    def measures(self, words: dict[str, float]) -> tuple[float, float]:
-        """Strength of a text's telling words: per hundred words, and in all."""
-        total = sum(words.values())
-        strength = sum(n * self.strength(word) for word, n in words.items()) if self.terms else 0.0
-        return float(np.log1p(100 * strength / total)) if total else 0.0, float(np.log1p(strength))
+    def measures(self, words: dict[str, int]) -> tuple[float, float]:
+        """Strength of a text's telling words: per hundred words, and in all. A word counts by its most telling term."""
+        total, strength, n, heads = sum(map(weight, words.values())), 0.0, min(PREFIXES), self.heads
+        for word in words:
+            if word[:n] in heads:
+                strength += weight(words[word]) * max(map(self.terms.get, terms_of(word), [0.0] * 9))
+        return math.log1p(100 * strength / total) if total else 0.0, math.log1p(strength)
 
     def chance(self, measured: np.ndarray) -> np.ndarray:
         """Chance of label 1 of rows of measures."""
@@ -264,7 +313,7 @@ def _rates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         held: dict[str, list] = {}
         for batch in batches:
             for text, toxic in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = said(text, channel)
+                words = {word: weight(n) for word, n in channel.words(text).items()}
                 mine = Counter({"": sum(words.values())})  # the empty term counts all
                 for word, n in words.items():
                     for term in terms_of(word):
@@ -286,7 +335,7 @@ def _measured(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         model = shared.value
         channel = Channel(model.chances.tolist())
         for batch in batches:
-            found = np.array([model.measures(said(text, channel)) for text in _texts(batch.column(1))]).reshape(-1, 2)
+            found = np.array([model.measures(channel.words(text)) for text in _texts(batch.column(1))]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (found[:, 0], found[:, 1], model.chance(found)))], ["key", "rate", "strength", "score"])
 
     return measure

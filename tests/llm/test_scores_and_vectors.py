@@ -237,3 +237,19 @@ def test_restored_texts(spark):
     model = toxicity.train(table, labels(spark, list(enumerate(truth))))
     found = {r["doc_id"]: r["text"] for r in toxicity.restored(table, model).collect()}
     assert found[77] == "" and found[78] == "moron idiot" and found[0] == texts[0]
+
+
+def test_prefilters_skip_nothing():
+    """What the character traits rule out, the patterns would not have found."""
+    rng = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice("abßé  .-_1@$!|+*A\n٣ª") for _ in range(rng.randint(0, 9)))
+        low = text.lower()
+        traits, odd = toxicity._marks(low)
+        assert odd.any() or not toxicity.SUSPECT.search(low), text
+        assert toxicity._alone(traits) or not toxicity.SPACED.search(low), text
+
+
+def test_strength_is_that_of_the_best_term():
+    model = toxicity.Model(np.zeros(1), {"tras": 3.0, "trash$": 5.0, "ab$": 4.0, "clown": 3.5}, np.zeros(3))
+    assert model.measures({"trash": 1, "trashy": 1, "ab": 1, "abc": 1, "clow": 1, "clowns": 1})[1] == pytest.approx(np.log1p(5 + 3 + 4 + 3.5))

@@ -63,16 +63,16 @@ def _key(seed: int):
 
 
 def _placed(docs: DataFrame, cycle: tuple[int, ...], seed: int, per_cell: int) -> DataFrame:
-    """Rows with their source's figures, whole epochs, and what is left of the budget before them."""
-    cells = cells_for(docs.count(), per_cell, 256)
-    facts = stored(
-        docs.select("doc_id", "source", words().alias("size"), _key(seed).alias("key")).withColumn(
-            "cell", (F.shiftright("key", 32) * cells / F.lit(float(2**31))).cast("int")
-        ),
-        "mixing",
-        keep=True,
-    )
-    by_cell = stored(facts.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "mixing-cells", keep=True)
+    """Rows with their source's figures, whole epochs, and what is left of the budget before them.
+
+    Rows that repeat doc_id, source and text are one row here, with their
+    number in ``copies``: added up before they move, they are no large group.
+    """
+    facts = docs.select("doc_id", "source", words().alias("size"), _key(seed).alias("key"))
+    facts = stored(facts.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")), "mixing-rows", keep=True)
+    cells = cells_for(facts.count(), per_cell, 256)
+    facts = facts.withColumn("cell", (F.shiftright("key", 32) * cells / F.lit(float(2**31))).cast("int")).withColumn("whole_size", F.col("size") * F.col("copies"))
+    by_cell = stored(facts.groupBy("source", "cell").agg(F.sum("whole_size").alias("cell_size")), "mixing-cells", keep=True)
     plan = targets(by_cell.groupBy("source").agg(F.sum("cell_size").alias("n")), cycle)
     plan = plan.select(
         F.col("source").alias("of"), "source_size", "target", F.least(F.rint("target").cast("long"), MOST_EPOCHS * F.col("source_size")).alias("budget")
@@ -83,12 +83,22 @@ def _placed(docs: DataFrame, cycle: tuple[int, ...], seed: int, per_cell: int) -
         F.col("source").alias("of"), F.col("cell").alias("at"), "offset", "source_size", "target", "budget"
     )
     inside = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = facts.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = facts.withColumn("run", F.coalesce(F.sum("whole_size").over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at"))).withColumn("epochs", whole)
     return joined.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("run"))
 
 
+def _each_copy(placed: DataFrame, per_cell: int) -> DataFrame:
+    """A row for each copy, with what is left of the budget before it; many copies are dealt out in lots."""
+    lots = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(per_cell).cast("long"))
+    lot = placed.withColumn("lot", F.explode(lots))
+    if not placed.where(F.col("copies") > per_cell).isEmpty():
+        lot = lot.repartition("key", "lot")
+    nth = lot.withColumn("nth", F.explode(F.sequence("lot", F.least(F.col("lot") + per_cell, "copies") - 1)))
+    return nth.withColumn("rest", F.col("rest") - F.col("nth") * F.col("size"))
+
+
 @scoped
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_cell: int = PER_CELL) -> DataFrame:
     """How many words of each document the mix takes.
@@ -101,11 +111,12 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 7, per_
     the exact budget, the row at the cut in part.
 
     A null source is a source of its own; null and empty texts have no words
-    and give none. Rows that repeat a doc_id are rows like others. Reruns
+    and give none. Rows that repeat a doc_id are rows like others; those that
+    repeat the text and the source as well stand together. Reruns
     agree. An empty table gives an empty result.
     """
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest")))
-    return _placed(docs, cycle, seed, per_cell).select(
+    return _each_copy(_placed(docs, cycle, seed, per_cell), per_cell).select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
     )
 

@@ -62,7 +62,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def _pack(capacity: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "cluster", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["doc_id", "cluster", "piece", "row"], kind="stable", ignore_index=True)
         source, _ = pd.factorize(pdf["source"], use_na_sentinel=False)
         cluster, _ = pd.factorize(pdf["cluster"])
         placed = best_fit(pdf["n_words"].tolist(), source.tolist(), cluster.tolist(), capacity)
@@ -82,9 +82,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_block: int = PER_BLOCK)
     and no two of one duplicate cluster (equal texts); null is a source too.
     So there are at least as many bins as the largest source has pieces: where
     one source dominates, most bins hold a piece of it and what fits beside it.
-    Pieces are dealt to blocks by a hash of doc_id, text and piece, so that a
-    source or a cluster of many documents, however large, spreads over all
-    blocks, and each block is packed best-fit by itself; the blocks' last bins
+    Pieces are dealt to blocks by a hash of the row's number and the piece, so
+    that a source, a cluster or one row repeated, however often, spreads over
+    all blocks, and each block is packed best-fit by itself; the blocks' last bins
     are all that this costs.
 
     Columns: doc_id, piece (from 0), first_word, n_words, bin, offset. A text
@@ -93,10 +93,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_block: int = PER_BLOCK)
     table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sized = stored(docs.select("doc_id", "source", words().alias("size"), F.xxhash64(whole_text()).alias("cluster")), "packing", keep=True)
+    sized = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words().alias("size"), F.xxhash64(whole_text()).alias("cluster")), "packing", keep=True)
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int")
     n_pieces = sized.agg(F.sum(last + 1)).first()[0] or 0
     pieces = sized.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
+        "row",
         "doc_id",
         "source",
         "cluster",
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_block: int = PER_BLOCK)
     blocks = cells_for(n_pieces, per_block)
     placed = (
         pieces.where(F.col("n_words") > 0)
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc_id", "cluster", "piece"), F.lit(blocks)))
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(5), "row", "piece"), F.lit(blocks)))
         .groupBy("block")
         .applyInPandas(_pack(capacity), f"doc_id {kind}, piece int, first_word long, n_words long, bin string, offset long")
     )

@@ -114,11 +114,13 @@ def _assign(units: DataFrame, shards: int, per_cell: int, fan_in: int) -> DataFr
 def numbered(rows: DataFrame, group: str, by: list[Column | str], per_run: int = PER_RUN) -> DataFrame:
     """``rows`` with a gapless ``slot`` from 0 in each ``group``.
 
-    Each group is cut into runs by a hash of doc_id; counts per run give the
-    run's first slot, and rows are numbered inside their run only.
+    Each group is cut into runs by a hash of ``row``, which tells each row from
+    all others, so that rows that share a doc_id, or have none, spread as well;
+    counts per run give the run's first slot, and rows are numbered inside
+    their run only.
     """
     runs = cells_for(rows.count(), per_run, 64)
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)))
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)))
     before = Window.partitionBy(group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row a run
     firsts = rows.groupBy(group, "run").agg(F.count("*").alias("n"))
     firsts = firsts.select(group, "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -135,14 +137,16 @@ def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: in
     the UTF-8 bytes of its text plus 1 (null: 1, as an empty text). Equal texts
     form one indivisible group and share a shard. With ``cut_large``, a group
     with more bytes than one shard's fair share, of which there are fewer than
-    ``shards``, is cut into pieces by a hash of doc_id, since no balance exists
-    otherwise; ``group_cut`` marks its rows. Without, no group is ever cut.
-    Rows that repeat a doc_id and a text stay together. Slots run from 0
-    without gaps in each shard. An empty table gives an empty result.
+    ``shards``, is cut into pieces by a hash of the row's number, since no
+    balance exists otherwise; ``group_cut`` marks its rows. Without, no group
+    is ever cut. Rows that repeat a doc_id or have none are rows like others.
+    Slots run from 0 without gaps in each shard. An empty table gives an empty
+    result.
     """
     text = whole_text()
     facts = stored(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -155,7 +159,7 @@ def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: in
     by_text = facts.groupBy("digest").agg(F.sum("size").alias("weight"))
     large = by_text.where(F.col("weight") > fair).select("digest", F.ceil(F.col("weight") * 8 / fair).alias("pieces"))
     facts = facts.join(F.broadcast(large), "digest", "left")
-    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1)))
+    piece = F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1)))
     facts = stored(
         facts.withColumn("unit", F.concat("digest", F.when(F.col("pieces").isNotNull(), F.encode(piece.cast("string"), "UTF-8")).otherwise(F.lit(b"")))).withColumn("group_cut", F.col("pieces").isNotNull()).drop("pieces", "digest"),
         "sharding-units",
@@ -167,7 +171,7 @@ def shard(docs: DataFrame, shards: int = 8, per_cell: int = PER_CELL, fan_in: in
     rows = facts.join(F.broadcast(settled), "unit").unionByName(
         facts.join(F.broadcast(settled.select("unit")), "unit", "left_anti").join(assigned, "unit")
     )
-    rows = stored(rows.select("doc_id", "size", "text_crc32", "shard", "group_cut"), "sharded", keep=True)
+    rows = stored(rows.select("row", "doc_id", "size", "text_crc32", "shard", "group_cut"), "sharded", keep=True)
     return numbered(rows, "shard", ["doc_id", "text_crc32"]).select(
         "doc_id",
         "size",

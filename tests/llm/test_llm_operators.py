@@ -649,3 +649,46 @@ def test_rows_equal_sql(spark, name):
     columns = [c[0] for c in want.description]
     got = queries.queries()[name](spark, folder).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """20,000 rows that are all the same, 20,000 without a doc_id, and 500 others."""
+    rows = spark.range(40_500).select(
+        F.when(F.col("id") < 20_000, 7).when(F.col("id") >= 40_000, F.col("id")).cast("long").alias("doc_id"),
+        F.when(F.col("id") < 20_000, "same words here").when(F.col("id") < 40_000, "no id").otherwise(F.concat(F.lit("text "), "id")).alias("text"),
+        F.when(F.col("id") < 40_000, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("source"),
+    )
+    return rows.repartition(8)
+
+
+def test_shards_of_repeated_rows(spark, repeated):
+    rows = repeated.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.lit(0))
+    runs = sharding.numbered(rows, "shard", ["doc_id"], per_run=500).groupBy("run").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert runs[0] < 1_000 and runs[1] == 81
+    found = sharding.shard(repeated).toPandas()
+    by = found.groupby("shard")
+    assert len(found) == 40_500 and all(sorted(g["slot"]) == list(range(len(g))) for _, g in by)
+    assert by["size"].sum().max() < 1.15 * by["size"].sum().min()
+
+
+def test_mix_of_repeated_rows(spark, repeated):
+    placed = mixing._placed(repeated, (1, 2, 3), 7, 500)
+    assert placed.count() == 502
+    found = mixing.mix(repeated, per_cell=500).toPandas()
+    again = mixing.mix(repeated.repartition(3), per_cell=20_000).toPandas()
+    order = ["doc_id", "size", "taken"]
+    assert found[order].fillna(-1).sort_values(order).to_numpy().tolist() == again[order].fillna(-1).sort_values(order).to_numpy().tolist()
+    assert len(found) == 40_500 and (found["taken"] <= 3 * found["size"]).all()
+    for (size, target), g in found.groupby(["source_size", "target"]):
+        if size > 10_000:
+            assert g["taken"].sum() == round(target) and len(g) == 40_000
+    assert (found[(found["taken"] % found["size"]) > 0]["taken"].count()) <= 4  # a cut row a source
+
+
+def test_packing_of_repeated_rows(spark, repeated):
+    found = packing.pack(repeated, capacity=64, per_block=1_000).toPandas()
+    assert len(found) == 40_500
+    blocks = found["bin"].str.split("-").str[0].value_counts()
+    assert len(blocks) == 41 and blocks.max() < 1_250
+    assert found.groupby("bin")["doc_id"].apply(lambda x: (x == 7).sum()).max() <= 1  # no two copies in one bin

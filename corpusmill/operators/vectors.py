@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import tails
 from corpusmill.functions.columns import dot, norm, rounded
 from corpusmill.functions.lineage import saved
+from corpusmill.operators import similarity
 
 #: Vectors of one block: the larger, the less often a block is copied for another one.
 BLOCK = 8_000
@@ -59,34 +60,12 @@ def matched(left: DataFrame, right: DataFrame, take: Callable[[pd.DataFrame, pd.
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """Each query's k most similar other rows: (query, rank, id, similarity)."""
+    return similarity.nearest(queries, rows, key, vector, k)
 
-    def top(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        ids = b["id"].to_numpy()
-        out = []
-        for i, q in enumerate(a["id"]):
-            s = np.where(ids == q, -2.0, np.round(sims[i], 6) + 0.0)
-            by = np.lexsort((ids, -s))[:k]
-            out += [(q, ids[j], s[j]) for j in by if s[j] > -2]
-        return pd.DataFrame(out, columns=["query", "id", "similarity"])
 
-    met = matched(blocks(queries, key, vector), blocks(rows, key, vector), top, "query long, id long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
-
-
-def pairs_above(rows: DataFrame, key: str, vector: str, least: float, extra: list[str] = (), differ: str | None = None) -> DataFrame:
+def pairs_above(rows: DataFrame, key: str, vector: str, least: float, differ: str | None = None) -> DataFrame:
     """(a, b, similarity) of all pairs with at least this similarity; only across ``differ`` if given."""
-
-    def take(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(np.round(sims, 6) >= least)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        ok = x != y
-        if differ:
-            ok &= a[differ].to_numpy()[i] != b[differ].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(x, y)[ok], "b": np.maximum(x, y)[ok], "similarity": np.round(sims[i, j], 6)[ok]})
-
-    own = blocks(rows, key, vector, list(extra))
-    return matched(own, own, take, "a long, b long, similarity double", ordered=True).dropDuplicates(["a", "b"])
+    return similarity.pairs_above(rows, key, vector, least, differ)
 
 
 def greedy_clusters(edges: DataFrame, key: str = "id") -> DataFrame:
@@ -162,13 +141,7 @@ def leakage(reference: DataFrame, generated: DataFrame, key: str, vector: str, l
 
 def nearest_across(queries: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(query, id, similarity): the most similar row of another table."""
-
-    def top(a: pd.DataFrame, b: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        j = sims.argmax(axis=1)
-        return pd.DataFrame({"query": a["id"], "id": b["id"].to_numpy()[j], "similarity": np.round(sims[np.arange(len(a)), j], 6)})
-
-    met = matched(blocks(queries, key, vector), blocks(rows, key, vector), top, "query long, id long, similarity double")
-    return met.groupBy("query").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("id"), F.max("similarity").alias("similarity"))
+    return similarity.nearest(queries, rows, key, vector, 1, own=True).select("query", "id", "similarity")
 
 
 def propagated(unlabelled: DataFrame, labelled: DataFrame, key: str, vector: str, label: str, k: int, least: float) -> DataFrame:

@@ -131,7 +131,7 @@ QUERIES = {
         f"select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.vec_id < y.vec_id where round({_COS.format(a='x.embedding', b='y.embedding')}, 6) >= 0.35",
     ),
     "cross_split_pairs": (
-        lambda s, d: ve.pairs_above(vectors(s, d).withColumn("split", F.col("vec_id") % 3), "vec_id", "embedding", 0.35, ["split"], "split").select("a", "b"),
+        lambda s, d: ve.pairs_above(vectors(s, d).withColumn("split", F.col("vec_id") % 3), "vec_id", "embedding", 0.35, "split").select("a", "b"),
         f"select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.vec_id < y.vec_id and x.vec_id % 3 <> y.vec_id % 3 where round({_COS.format(a='x.embedding', b='y.embedding')}, 6) >= 0.35",
     ),
     "greedy_dedup": (

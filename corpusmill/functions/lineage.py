@@ -27,14 +27,14 @@ def saved(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def ranged(rows: DataFrame, value: str, n: int = 256) -> DataFrame:
-    """``rows`` with ``cell``, up to n about equally full ranges of ``value`` in its order.
+def ranged(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``cell``, as many about equally full ranges of ``value``, in its order, as the session has shuffle partitions.
 
     What is numbered or summed in order is then so within a cell, behind the
     sums of the cells before; no single task orders all values. Equal values
     share a cell, nulls are in the first one.
     """
-    parts = min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return saved(rows.repartitionByRange(parts, value).withColumn("cell", F.spark_partition_id()))
 
 
@@ -43,3 +43,32 @@ def behind(sums: DataFrame, *columns: str) -> DataFrame:
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     so_far: list[Column] = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in columns]
     return sums.select("cell", *so_far)
+
+
+#: Parts that a group is dealt to before its first rows are told.
+PARTS = 64
+
+
+def first_of(rows: DataFrame, by: str, order: list[Column | str], k: int, key: str) -> DataFrame:
+    """The first k rows of each group with ``nth``, from 1 on: first those of parts of it, by hash of the key, then those of the whole."""
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS))
+    some = rows.withColumn("_part", part).withColumn("nth", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).where(F.col("nth") <= k)
+    return some.drop("_part").withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= k)
+
+
+def with_runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """``rows`` with ``run``: the number, in its group, of the run of equal values in a row that it is in; null equals null.
+
+    Ranges of the order go each by itself; of the ranges before, only the last
+    value and the number of changes are needed.
+    """
+    cells, inside = ranged(rows, order), Window.partitionBy(by, "cell").orderBy(order)
+    along = Window.partitionBy(by).orderBy("cell")  # a row a range
+    last = cells.groupBy(by, "cell").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("end"))
+    last = last.select(by, "cell", F.lag("end").over(along).alias("before"))
+    was = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(inside), F.col("before"))
+    changed = cells.join(last, [by, "cell"]).withColumn("_change", F.when(was.isNotNull() & was["v"].eqNullSafe(F.col(value)), 0).otherwise(1))
+    sums = changed.groupBy(by, "cell").agg(F.sum("_change").alias("c"))
+    sums = sums.select(by, "cell", F.coalesce(F.sum("c").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_runs"))
+    run = F.col("_runs") + F.sum("_change").over(inside)
+    return changed.join(sums, [by, "cell"]).withColumn("run", run).drop("_change", "_runs", "before", "cell")

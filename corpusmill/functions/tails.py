@@ -68,6 +68,6 @@ def frechet(mu1: np.ndarray, cov1: np.ndarray, mu2: np.ndarray, cov2: np.ndarray
 
 
 def gaussian_kl(mu1: np.ndarray, cov1: np.ndarray, mu2: np.ndarray, cov2: np.ndarray) -> float:
-    """Symmetric divergence of two Gaussians."""
+    """Symmetric divergence of two Gaussians: the mean of the two directions, each counted twice over (without the factor of a half)."""
     i1, i2, d = np.linalg.pinv(cov1), np.linalg.pinv(cov2), mu1 - mu2
-    return float(0.25 * (np.trace(i2 @ cov1) + np.trace(i1 @ cov2) - 2 * len(d) + d @ (i1 + i2) @ d))
+    return float(0.5 * (np.trace(i2 @ cov1) + np.trace(i1 @ cov2) - 2 * len(d) + d @ (i1 + i2) @ d))

@@ -121,13 +121,17 @@ def tags_for(rows: DataFrame, vocabulary: DataFrame, key: str, vector: str, k: i
 
 
 def drift_report(rows: DataFrame, current: Column, continuous: list[str], discrete: list[str], p: float = 0.05, limit: float = 0.25) -> DataFrame:
-    """One row a feature: distance and its p for numbers, stability index for both, and whether it drifted."""
+    """One row a feature: for numbers the means and their difference, the distance's p; the stability index; whether it drifted."""
     out = None
     for name in continuous:
         far = st.ks(rows, name, current).withColumn("ks_pvalue", rounded(st.ks_p("distance", "n", "m"), 6))
-        one = far.join(st.psi(rows, name, current).select("psi")).select(F.lit(name).alias("feature"), F.lit("continuous").alias("kind"), "ks_pvalue", "psi", (F.col("ks_pvalue") < p).alias("drifted"))  # one row each
+        was, now = F.avg(F.when(~current, F.col(name))), F.avg(F.when(current, F.col(name)))
+        means = rows.agg(rounded(was).alias("reference_mean"), rounded(now).alias("current_mean"), rounded(now - was).alias("delta"))
+        one = far.join(st.psi(rows, name, current).select("psi")).join(means)  # one row each
+        one = one.select(F.lit(name).alias("feature"), F.lit("continuous").alias("kind"), "reference_mean", "current_mean", "delta", "ks_pvalue", "psi", (F.col("ks_pvalue") < p).alias("drifted"))
         out = one if out is None else out.unionByName(one)
+    none = [F.lit(None).cast("double").alias(c) for c in ("reference_mean", "current_mean", "delta", "ks_pvalue")]
     for name in discrete:
-        one = st.category_psi(rows, name, current).select(F.lit(name).alias("feature"), F.lit("discrete").alias("kind"), F.lit(None).cast("double").alias("ks_pvalue"), "psi", (F.col("psi") > limit).alias("drifted"))
+        one = st.category_psi(rows, name, current).select(F.lit(name).alias("feature"), F.lit("discrete").alias("kind"), *none, "psi", (F.col("psi") > limit).alias("drifted"))
         out = one if out is None else out.unionByName(one)
     return out

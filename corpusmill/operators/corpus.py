@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.columns import multi, or_else, reasons, rounded
+from corpusmill.functions.lineage import with_runs
 
 #: Controlled vocabulary, and narrower terms (fixed values).
 VOCABULARY = {"mood": ("bright", "calm", "dark"), "section": ("chorus", "intro", "outro", "verse")}
@@ -184,10 +185,10 @@ def exact_duplicates(files: DataFrame, content: Column, key: str) -> DataFrame:
 
 
 def penalties(files: DataFrame, content: Column, key: str, penalty: float = 0.25) -> DataFrame:
-    """0 for the canonical copy, the penalty for others."""
-    nth = F.row_number().over(Window.partitionBy(F.sha2(content, 256)).orderBy(key))
-    n = F.count("*").over(Window.partitionBy(F.sha2(content, 256)))
-    return files.select(key, n.alias("n"), F.when(nth == 1, 0.0).otherwise(penalty).alias("penalty")).where("n > 1").drop("n")
+    """0 for the canonical copy, the penalty for others; counts are added up before they are joined, so that many copies are no large group."""
+    hashed = files.select(key, F.sha2(content, 256).alias("hash"))
+    groups = hashed.groupBy("hash").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return hashed.join(groups, "hash").select(key, F.when(F.col(key) == F.col("first"), 0.0).otherwise(penalty).alias("penalty"))
 
 
 def interval_role(points: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
@@ -216,11 +217,9 @@ def bar_length(bpm: Column, target: float, beats: int, least: float) -> Column:
 
 def runs_of(rows: DataFrame, by: str, order: str, flag: Column, low: int, high: int) -> DataFrame:
     """Runs of rows with the flag set, of low to high rows: (by, first, last, n)."""
-    w = Window.partitionBy(by).orderBy(order)
-    marked = rows.withColumn("flag", flag).withColumn("i", F.row_number().over(w))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(by, "flag").orderBy(order))
-    found = marked.withColumn("island", island).where("flag").groupBy(by, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
-    return found.where(F.col("n").between(low, high)).drop("island")
+    marked = with_runs(rows.withColumn("flag", flag), by, order, "flag")
+    found = marked.where("flag").groupBy(by, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    return found.where(F.col("n").between(low, high)).drop("run")
 
 
 # splits and samples: order by hash instead of a random stream
@@ -236,29 +235,31 @@ def ratio_split(groups: DataFrame, key: str, ratios: tuple[float, float, float],
         rows = _numbered(groups, key, seed).withColumn("stratum", F.lit(1))
         n, nth = F.col("_all"), F.col("_nth") - 1
     else:
-        w = Window.partitionBy("stratum")
-        rows = groups.withColumn("stratum", stratum)
-        n = F.count("*").over(w)
-        nth = F.row_number().over(w.orderBy(by_hash(seed, key), key)) - 1
+        rows = _numbered(groups.withColumn("stratum", stratum), key, seed, "stratum")
+        n, nth = F.col("_all"), F.col("_nth") - 1
     val = F.when(n < 3, 0).otherwise(F.greatest(F.lit(1), F.bround(n * ratios[1])))
     test = F.when(n < 3, 0).otherwise(F.greatest(F.lit(1), F.bround(n * ratios[2])))
     which = F.when(nth < val, "val").when(nth < val + test, "test").otherwise("train")
     return rows.withColumn("split", which).drop("_nth", "_all")
 
 
-def _numbered(groups: DataFrame, key: str, seed: int) -> DataFrame:
-    """Rows with _nth, from 1 on in hash order, and _all.
+def _numbered(groups: DataFrame, key: str, seed: int, stratum: str | None = None) -> DataFrame:
+    """Rows with _nth, from 1 on in hash order, and _all; of each stratum if given.
 
     Ranges of the hash are numbered each by itself, behind the counts of the
     1,023 others at most.
     """
     h = by_hash(seed, key)
+    whole = stratum or "_whole"
     rows = groups.withColumn("_cell", F.shiftright(h, 54))
-    counts = rows.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.select("_cell", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_cell").orderBy(h, key))
-    return rows.join(F.broadcast(placed), "_cell").withColumn("_nth", nth).drop("_cell", "_before")
+    rows = rows if stratum else rows.withColumn(whole, F.lit(0))
+    counts = rows.groupBy(whole, "_cell").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(whole)
+    before = F.sum("_n").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.select(F.col(whole).alias("_of"), F.col("_cell").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(own).alias("_all"))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy(whole, "_cell").orderBy(h, key))
+    joined = rows.join(placed, F.col(whole).eqNullSafe(F.col("_of")) & (F.col("_cell") == F.col("_at"))).withColumn("_nth", nth)
+    return joined.drop("_cell", "_before", "_of", "_at", *([] if stratum else [whole]))
 
 
 def folds(groups: DataFrame, key: str, k: int, seed: int) -> DataFrame:
@@ -268,9 +269,8 @@ def folds(groups: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 def balanced(rows: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows spread over the labels; small classes are topped up from large ones, round by round."""
-    nth = F.row_number().over(Window.partitionBy(label).orderBy(by_hash(seed, key), key))
-    size = F.count("*").over(Window.partitionBy(label))
-    return rows.withColumn("round", nth).withColumn("class_size", size).orderBy("round", F.desc("class_size"), label).limit(n)
+    placed = _numbered(rows, key, seed, label).withColumnsRenamed({"_nth": "round", "_all": "class_size"})
+    return placed.orderBy("round", F.desc("class_size"), label).limit(n)
 
 
 #: Sections of the evaluation grid with what their prompts say (fixed values).

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.columns import adherence_score, clamp, or_else, reasons, rounded, share
+from corpusmill.functions.lineage import first_of, ranged
+from corpusmill.functions.quantiles import quantiles
 
 
 
@@ -203,12 +205,24 @@ def global_z(rows: DataFrame, value: str) -> DataFrame:
 
 
 def running_best(rows: DataFrame, by: str, order: str, value: str, patience: int = 3) -> DataFrame:
-    """Best value so far, steps since it was set, and whether to stop."""
-    w = Window.partitionBy(by).orderBy(order)
-    seen = rows.withColumn("step", F.row_number().over(w)).withColumn("best", F.max(value).over(w))
-    at = seen.withColumn("best_step", F.max(F.when(F.col(value) > F.coalesce(F.lag("best").over(w), F.lit(float("-inf"))), F.col("step"))).over(w))
-    since = F.col("step") - F.col("best_step")
-    return at.select(by, "step", rounded(value).alias(value), rounded("best").alias("best"), since.alias("since_best"), (since >= patience).alias("stop"))
+    """Best value so far, steps since it was set, and whether to stop.
+
+    Ranges of the order go each by itself, behind what the ranges before them
+    come to: how many steps, the best, and the step that set it.
+    """
+    cells, inside = ranged(rows, order), Window.partitionBy(by, "cell").orderBy(order)
+    earlier = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    none = F.lit(float("-inf"))
+    sums = cells.groupBy(by, "cell").agg(F.count("*").alias("n"), F.max(value).alias("top"))
+    sums = sums.select(by, "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("steps"), F.max("top").over(earlier).alias("was"))
+    seen = cells.join(sums, [by, "cell"]).withColumn("step", F.col("steps") + F.row_number().over(inside))
+    seen = seen.withColumn("best", F.greatest("was", F.max(value).over(inside)))
+    raised = F.col(value) > F.coalesce(F.lag("best").over(inside), F.col("was"), none)
+    seen = seen.withColumn("set", F.when(raised, F.col("step")))
+    carried = seen.groupBy(by, "cell").agg(F.max("set").alias("last")).select(by, "cell", F.max("last").over(earlier).alias("held"))
+    at = seen.join(carried, [by, "cell"]).withColumn("best_step", F.coalesce(F.max("set").over(inside), F.col("held")))
+    since = (F.col("step") - F.col("best_step")).cast("int")
+    return at.select(by, F.col("step").cast("int").alias("step"), rounded(value).alias(value), rounded("best").alias("best"), since.alias("since_best"), (since >= patience).alias("stop"))
 
 
 def difficulty(rows: DataFrame) -> DataFrame:
@@ -221,8 +235,8 @@ def negatives(rows: DataFrame, k: int = 10) -> DataFrame:
     """The weakest of each section, k over all sections, one each at least."""
     rows = rows.where(F.col("clap_score").isNotNull()).withColumn("section", or_else("section", "?"))
     each = rows.select("section").distinct().agg(F.greatest(F.floor(F.lit(k) / F.count("*")), F.lit(1)).alias("each"))
-    nth = F.row_number().over(Window.partitionBy("section").orderBy("clap_score", "event_id"))
-    return rows.withColumn("nth", nth).join(F.broadcast(each)).where(F.col("nth") <= F.col("each")).select("section", "clap_score", "audio_path", "prompt")  # one row
+    first = first_of(rows, "section", ["clap_score", "event_id"], k, "event_id")
+    return first.join(F.broadcast(each)).where(F.col("nth") <= F.col("each")).select("section", "clap_score", "audio_path", "prompt")  # one row
 
 
 def best_candidate(rows: DataFrame, by: str) -> DataFrame:
@@ -257,9 +271,10 @@ def reliability_curve(rows: DataFrame, bins: int = 4) -> DataFrame:
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """90th percentile of deviation and 10th of clap over ok rows, and how many rows they reject."""
-    ok = rows.where(_ok()).agg(F.count("*").alias("n_prompts"), rounded(F.percentile(_off(), 0.9)).alias("dev"), rounded(F.percentile("clap_score", 0.1)).alias("clap"))
-    cut = rows.join(F.broadcast(ok)).groupBy("n_prompts", "dev", "clap")  # one row
-    out = cut.agg(F.count_if(_off() > F.col("dev")).alias("would_reject_dev"), F.count_if(F.col("clap_score") < F.col("clap")).alias("would_reject_clap"))
+    ok = rows.where(_ok())
+    dev, clap = (F.lit(quantiles(ok, c, [s])[0]).cast("double") for c, s in ((_off(), 0.9), ("clap_score", 0.1)))
+    cut = rows.withColumns({"dev": rounded(dev), "clap": rounded(clap)}).groupBy("dev", "clap")
+    out = cut.agg(F.count_if(_ok()).alias("n_prompts"), F.count_if(_off() > F.col("dev")).alias("would_reject_dev"), F.count_if(F.col("clap_score") < F.col("clap")).alias("would_reject_clap"))
     return out.withColumnsRenamed({"dev": "suggested_max_abs_deviation", "clap": "suggested_min_clap_score"})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.columns import clamp, rounded
+from corpusmill.functions.lineage import first_of, with_runs
 from corpusmill.operators.vectors import blocks, matched
 
 #: Model parameters by the first name part that matches (fixed values).
@@ -60,9 +61,9 @@ def provenance(rows: DataFrame, **defaults: str) -> DataFrame:
 
 def removable(files: DataFrame, keep: int, oldest: Column) -> DataFrame:
     """Backups beyond the newest ``keep`` of their kind, and temporary files older than the cut."""
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("mtime"), "path"))
-    out = files.withColumn("nth", nth)
-    why = F.when((F.col("kind") == "backup") & (F.col("nth") > keep), "old backup").when((F.col("kind") == "temp") & (F.col("mtime") < oldest), "stale")
+    kept = first_of(files.where("kind = 'backup'"), "kind", [F.desc("mtime"), "path"], keep, "path").select(F.col("path").alias("_path"), F.col("mtime").alias("_mtime")).distinct()
+    out = files.join(kept, (F.col("path") == F.col("_path")) & F.col("mtime").eqNullSafe(F.col("_mtime")), "left")
+    why = F.when((F.col("kind") == "backup") & F.col("_path").isNull(), "old backup").when((F.col("kind") == "temp") & (F.col("mtime") < oldest), "stale")
     return out.withColumn("why", why).where("why is not null").groupBy("path").agg(F.max("size").alias("size"), F.min("why").alias("why"))
 
 
@@ -88,10 +89,8 @@ def headed_sections(lines: DataFrame) -> DataFrame:
 
 def merged_notes(frames: DataFrame, by: str, order: str, pitch: str) -> DataFrame:
     """Runs of equal pitch as notes: (by, start, n, pitch); null pitch is a gap."""
-    w = Window.partitionBy(by).orderBy(order)
-    change = F.when(F.col(pitch).eqNullSafe(F.lag(pitch).over(w)), 0).otherwise(1)
-    runs = frames.withColumn("c", change).withColumn("run", F.sum("c").over(w))
-    return runs.where(F.col(pitch).isNotNull()).groupBy(by, "run").agg(F.min(order).alias("start"), F.count("*").alias("n"), F.first(pitch).alias("pitch")).drop("run")
+    runs = with_runs(frames, by, order, pitch).where(F.col(pitch).isNotNull())
+    return runs.groupBy(by, "run").agg(F.min(order).alias("start"), F.count("*").alias("n"), F.first(pitch).alias("pitch")).drop("run")
 
 
 def _squared(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:

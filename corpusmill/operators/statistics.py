@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from corpusmill.functions import tails
 from corpusmill.functions.columns import rounded
 from corpusmill.functions.lineage import behind, ranged
+from corpusmill.functions.quantiles import quantiles
 
 
 def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -116,9 +117,9 @@ def multiple_comparison(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
 def psi(rows: DataFrame, value: str, current: Column, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability of current rows against the others, by the others' quantile bins."""
     real = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), current.alias("cur"))
-    edges = real.where(~F.col("cur")).agg(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
-    at = F.size(F.filter("edges", lambda e: e <= F.col("v")))
-    by = real.join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count_if("cur").alias("c"), F.count_if(~F.col("cur")).alias("r"))  # one row
+    edges = F.array(*[F.lit(e).cast("double") for e in quantiles(real.where(~F.col("cur")), "v", [i / bins for i in range(1, bins)])])
+    at = F.size(F.filter(edges, lambda e: e <= F.col("v")))
+    by = real.groupBy(at.alias("bin")).agg(F.count_if("cur").alias("c"), F.count_if(~F.col("cur")).alias("r"))
     return _stability(by, bins, floor)
 
 

@@ -129,7 +129,7 @@ def two_sample(one: DataFrame, two: DataFrame, vector: str, eps: float = 1e-6) -
     """Fréchet distance and symmetric Gaussian divergence of two sets of vectors."""
     (n, m1, c1), (m, m2, c2) = moments(one, vector), moments(two, vector)
     eye = eps * np.eye(len(m1))
-    row = (n, m, round(tails.frechet(m1, c1 + eye, m2, c2 + eye), 4), round(tails.gaussian_kl(m1, c1 + eye, m2, c2 + eye), 4))
+    row = (n, m, round(tails.frechet(m1, c1 + eye, m2, c2 + eye), 4), round(tails.gaussian_kl(m1, c1 + eye, m2, c2 + eye), 6))
     return one.sparkSession.createDataFrame([row], "n_reference long, n_generated long, frechet double, kl double")
 
 

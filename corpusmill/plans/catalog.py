@@ -36,11 +36,12 @@ def _drift(continuous, discrete):
         f"""select * from (with e as (select quantile_cont({x}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as edges from tracks where split <> 'train' and {x} is not null), {psi.format(bin=f'len(list_filter(edges, lambda x: x <= {x}))', more=f', e where {x} is not null')},
         g as (select {x} as v, count(*) filter (split = 'train') as c, count(*) filter (split <> 'train') as q from tracks where {x} is not null group by 1), f as (select sum(c) over (order by v) / sum(c) over () as fc, sum(q) over (order by v) / sum(q) over () as fr from g),
         k as (select (select sum(c) from g) as n, (select sum(q) from g) as m, round(max(abs(fc - fr)), 6) as d from f), x as (select d * sqrt(n * m / (n + m)) as x from k),
-        p as (select round(case when x < 0.2 then 1e0 else greatest(0e0, least(1e0, 2 * list_sum(list_transform(range(1, 101), lambda i: case when i % 2 = 1 then 1e0 else -1e0 end * exp(-2e0 * i * i * x * x))))) end, 6) + 0e0 as p from x)
-        select '{x}' as feature, 'continuous' as kind, p as ks_pvalue, psi, p < 0.05 as drifted from y, p)"""
+        p as (select round(case when x < 0.2 then 1e0 else greatest(0e0, least(1e0, 2 * list_sum(list_transform(range(1, 101), lambda i: case when i % 2 = 1 then 1e0 else -1e0 end * exp(-2e0 * i * i * x * x))))) end, 6) + 0e0 as p from x),
+        u as (select avg({x}) filter (split <> 'train') as was, avg({x}) filter (split = 'train') as now from tracks)
+        select '{x}' as feature, 'continuous' as kind, {r('was')} as reference_mean, {r('now')} as current_mean, {r('now - was')} as delta, p as ks_pvalue, psi, p < 0.05 as drifted from y, p, u)"""
         for x in continuous
     ]
-    rows += [f"select * from (with {psi.format(bin=x, more='')} select '{x}' as feature, 'discrete' as kind, cast(null as double) as ks_pvalue, psi, psi > 0.25 as drifted from y)" for x in discrete]
+    rows += [f"select * from (with {psi.format(bin=x, more='')} select '{x}' as feature, 'discrete' as kind, cast(null as double) as reference_mean, cast(null as double) as current_mean, cast(null as double) as delta, cast(null as double) as ks_pvalue, psi, psi > 0.25 as drifted from y)" for x in discrete]
     return " union all ".join(rows)
 
 

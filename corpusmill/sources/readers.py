@@ -31,22 +31,25 @@ def eval_results(spark: SparkSession, path: str, schema: str = EVAL_SCHEMA) -> D
 
 
 def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON object, a JSON array or JSON lines; bad lines are skipped."""
+    """Rows of a JSON object, a JSON array or JSON lines; bad lines are skipped.
+
+    A file that is one value as a whole, however it is laid out, is that value:
+    an object is a row, an array its objects. Only else its lines are read.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     kind = T._parse_datatype_string(schema)
-    text = spark.read.text(path, wholetext=True).select("value", F.ltrim("value").alias("t"))
-    # an array stands as a whole; lines that are objects are rows; else the file is one object
-    whole = F.from_json("t", T.ArrayType(kind), {"mode": "PERMISSIVE"})
-    objects = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\{.*\}$") & F.try_parse_json(x).isNotNull())
-    text = text.withColumn("objects", objects)
-    row = text.select(
-        F.when(F.startswith("t", F.lit("[")), whole)
-        .when(F.size("objects") > 0, F.transform("objects", lambda x: F.from_json(x, kind)))
-        .when(F.try_parse_json("t").isNotNull(), F.array(F.from_json("t", kind)))
-        .alias("rows")
-    )
-    return row.select(F.explode("rows").alias("r")).where("r is not null").select("r.*")
+    text = spark.read.text(path, wholetext=True).select("value", F.trim(F.translate("value", "\ufeff\r\n\t", "    ")).alias("t"))
+    # between brackets nothing may follow a value but another one
+    listed = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    alone = lambda x: listed(x).isNotNull() & F.try_variant_get(listed(x), "$[1]", "string").isNull()
+    whole = alone(F.col("value"))
+    is_object = lambda x: x.rlike(r"^\s*\{")
+    items = F.filter(F.from_json("value", "array<string>"), is_object)
+    lines = F.filter(F.split("value", "\r\n|\r|\n"), lambda x: is_object(x) & alone(x))
+    found = F.when(whole & F.startswith("t", F.lit("[")), items).when(whole & F.startswith("t", F.lit("{")), F.array("value")).when(~whole, lines)
+    row = text.select(F.explode(F.transform(found, lambda x: F.from_json(x, kind))).alias("r"))
+    return row.where("r is not null").select("r.*")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:

@@ -131,12 +131,18 @@ def _profile(n: int, percent: int, counters: int) -> Callable[[Iterator[pa.Recor
     return profile
 
 
-def _signed(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signed(n: int, percent: int, sizes: frozenset[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's signatures, and its class if its set has one of the sizes."""
+
+    def one(raw: np.ndarray) -> tuple[np.ndarray, bytes | None]:
+        sets = shingle_set(raw, n)
+        return classed(raw, n) if len(sets) in sizes else (sets, None)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
-                sets, classes = zip(*(classed(raw, n) for raw in rows(part.column(1))), strict=True)
+                sets, classes = zip(*(one(raw) for raw in rows(part.column(1))), strict=True)
                 signed = [signatures(s, percent) for s in sets]
                 at = np.cumsum([0, *(len(x) for x in signed)]).astype(np.int32)
                 flat = np.concatenate([*signed, np.zeros(0, np.int64)])
@@ -351,8 +357,12 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     frequent_sigs = F.broadcast(stored(frequent_sigs, "frequent"))  # HOT_SIGNATURES rows at most
     nodes = stored(groups(facts), "classes", keep=True)
     hot = F.broadcast(frequent(facts, "digest", facts.count()))
-    winners = stored(nodes.join(hot, "digest").groupBy("digest").agg(F.min("doc_id").alias("keeper")), "winners")  # as bounded as hot
-    signed = read.mapInArrow(_signed(n, percent), f"doc_id {kind}, digest binary, signatures array<long>")
+    won = F.min(F.struct("doc_id", "n_shingles"))
+    winners = nodes.join(hot, "digest").groupBy("digest").agg(won.alias("won")).select("digest", F.col("won.doc_id").alias("keeper"), F.col("won.n_shingles").alias("of"))
+    winners = stored(winners, "winners")  # as bounded as hot
+    sizes = frozenset(r["of"] for r in winners.select("of").distinct().collect())
+    winners = winners.drop("of")
+    signed = read.mapInArrow(_signed(n, percent, sizes), f"doc_id {kind}, digest binary, signatures array<long>")
     signed = signed.join(F.broadcast(winners), "digest", "left").where(F.col("keeper").isNull() | (F.col("keeper") == F.col("doc_id")))
     signed = signed.select("doc_id", F.explode("signatures").alias("sig"))
     signed = signed.join(frequent_sigs.withColumn("often", F.lit(True)), "sig", "left")

@@ -34,32 +34,35 @@ def _grown(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def words(raw: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of each word; A-Z count as a-z.
+def words(raw: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """For each seed (by default 0), a hash of each word; A-Z count as a-z.
 
     A word goes in by chunks of eight bytes, each scrambled with all before
     it, so that no pattern of bytes cancels out; the few long ones are hashed
     by BLAKE2.
     """
+    seeds = seeds or (0,)
     if not len(raw):
-        return np.zeros(0, dtype=np.uint64)
+        return [np.zeros(0, dtype=np.uint64) for _ in seeds]
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
     starts, ends = edge[0::2], edge[1::2]
     low = np.concatenate([np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw), np.zeros(8, np.uint8)])
     every = np.lib.stride_tricks.sliding_window_view(low, 8)
     sizes = ends - starts
-    h = mixed(sizes.astype(np.uint64) + (np.uint64(seed) << np.uint64(32)))
+    found = [mixed(sizes.astype(np.uint64) + (np.uint64(seed) << np.uint64(32))) for seed in seeds]
     on = np.flatnonzero(sizes < LONG)
     for k in range(0, LONG, 8):
         on = on[sizes[on] > k]
         if not len(on):
             break
         chunk = every[starts[on] + k].view(np.uint64)[:, 0] & _MASKS[np.minimum(sizes[on] - k, 8)]
-        h[on] = mixed((h[on] ^ chunk) * _CHAIN + np.uint64(k + 1))
+        for h in found:
+            h[on] = mixed((h[on] ^ chunk) * _CHAIN + np.uint64(k + 1))
     for i in np.flatnonzero(sizes >= LONG):
-        h[i] = int.from_bytes(blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "big")).digest(), "big")
-    return h
+        for seed, h in zip(seeds, found, strict=True):
+            h[i] = int.from_bytes(blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "big")).digest(), "big")
+    return found
 
 
 def _shingles(w: np.ndarray, n: int) -> np.ndarray:
@@ -72,14 +75,14 @@ def _shingles(w: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_set(raw: np.ndarray, n: int) -> np.ndarray:
     """The distinct n-word shingles, sorted; with fewer words, all of them as one."""
-    return np.unique(_shingles(words(raw), n))
+    return np.unique(_shingles(words(raw)[0], n))
 
 
 def classed(raw: np.ndarray, n: int) -> tuple[np.ndarray, bytes]:
     """The shingle set, and 128 bits that equal sets share: a digest of two hashes of every shingle."""
-    sets, at = np.unique(_shingles(words(raw), n), return_index=True)
-    again = _shingles(words(raw, 1), n)[at]
-    return sets, blake2b(sets.tobytes() + again.tobytes(), digest_size=16).digest()
+    one, two = words(raw, 0, 1)
+    sets, at = np.unique(_shingles(one, n), return_index=True)
+    return sets, blake2b(sets.tobytes() + _shingles(two, n)[at].tobytes(), digest_size=16).digest()
 
 
 def word_shingles(raw: bytes, n: int) -> set[tuple[bytes, ...]]:

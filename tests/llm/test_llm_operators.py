@@ -82,7 +82,7 @@ def test_words_of_patterns_do_not_collide(spark):
     short = [w * k for w in ("ab", "ba", "a", "b") for k in (1, 2, 8, 16, 31, 32, 33)]
     every = " ".join([one, two, *short]).encode()
     for seed in (0, 1):
-        assert len(set(shingles.words(np.frombuffer(every, np.uint8), seed).tolist())) == len({one, two, *short})
+        assert len(set(shingles.words(np.frombuffer(every, np.uint8), seed)[0].tolist())) == len({one, two, *short})
     texts = {1: one, 2: two, 3: f"{one} x y z", 4: f"{two} x y z", 5: one.upper()}
     found = ngram_join.similar(table(spark, [(i, t, "s") for i, t in texts.items()]), n=3, percent=90).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == ngram_join.brute_force(texts, 3, 90)
@@ -96,7 +96,7 @@ def test_links_are_checked_on_words(spark, monkeypatch):
 
     from corpusmill.llm import shingles
 
-    monkeypatch.setattr(shingles, "words", lambda raw, seed=0: np.zeros(len(raw.tobytes().split()), np.uint64))
+    monkeypatch.setattr(shingles, "words", lambda raw, *seeds: [np.zeros(len(raw.tobytes().split()), np.uint64)] * max(1, len(seeds)))
     pairs = [("a b c", "d e f"), ("a b c", "A  b\nc"), ("x y z w", "x y z v")]
     batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([10, 11, 12]), pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs])], ["a", "b", "x", "y"])
     (found,) = ngram_join._linked(3, 90)([batch])

@@ -15,16 +15,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def saved(rows: DataFrame) -> DataFrame:
-    """``rows`` as a checkpoint in the shared folder."""
+    """``rows`` written to the shared folder and read back: computed once, and recomputed from files only."""
     spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return rows.checkpoint()
+    path = scratch(spark, "saved")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def ranged(rows: DataFrame, value: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 
@@ -169,6 +169,37 @@ def _search_step(net: _Net, now: tuple[int, ...], b: int) -> tuple[int, ...]:
     return net.closure(net.step(now, b) + [net.first])
 
 
+def _subsets(net: _Net, sample: list[int], bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(subset x kind of byte: the next subset, ``bit`` where one matches) of a rule, subset 0 being the start."""
+    first = net.closure([net.first])
+    number, queue, moves = {first: 0}, [first], []
+    for state in queue:
+        row = []
+        for b in sample:
+            then = _search_step(net, state, b)
+            if then not in number:
+                number[then] = len(queue)
+                queue.append(then)
+            row.append(number[then])
+        moves.append(row)
+    return np.array(moves), np.array([bit * (net.last in s) for s in queue], dtype=np.int64)
+
+
+def _product(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The automaton of both: pairs of states that the start reaches, found wave by wave."""
+    (moves, mask), (other, its) = one, two
+    known, waves, then = np.zeros(1, dtype=np.int64), [np.zeros(1, dtype=np.int64)], []
+    while len(waves[-1]):
+        a, b = np.divmod(waves[-1], len(other))
+        then.append(moves[a].astype(np.int64) * len(other) + other[b])
+        waves.append(np.setdiff1d(then[-1], known))
+        known = np.union1d(known, waves[-1])
+    codes = np.concatenate(waves)
+    by = np.argsort(codes)
+    a, b = np.divmod(codes, len(other))
+    return by[np.searchsorted(codes[by], np.concatenate(then))], mask[a] | its[b]
+
+
 class Automaton:
     """All rules in one pass over the bytes.
 
@@ -184,32 +215,15 @@ class Automaton:
         kinds: dict[tuple[bool, ...], int] = {}  # bytes that no rule tells apart move alike
         kind = [kinds.setdefault(tuple(b in m for m in sets), len(kinds)) for b in range(256)]
         sample = [kind.index(k) for k in range(len(kinds))]
-        first = tuple(n.closure([n.first]) for n in nets)
-        number, queue, moves = {first: 0}, [first], []
-        steps: list[dict] = [{} for _ in nets]
-        for state in queue:
-            row = []
-            for b in sample:
-                then = []
-                for n, s, memo in zip(nets, state, steps, strict=True):
-                    if (s, b) not in memo:
-                        memo[s, b] = _search_step(n, s, b)
-                    then.append(memo[s, b])
-                key = tuple(then)
-                if key not in number:
-                    number[key] = len(queue)
-                    queue.append(key)
-                row.append(number[key])
-            moves.append(row)
-        table = np.array(moves)  # state x kind of byte
-        mask = np.array([sum(1 << k for k, (n, s) in enumerate(zip(nets, x, strict=True)) if n.last in s) for x in queue])
-        self.subsets = len(queue)
+        table, mask = reduce(_product, (_subsets(n, sample, 1 << k) for k, n in enumerate(nets)))
+        self.subsets = len(table)
         _, block = np.unique(mask, return_inverse=True)
         while True:  # refine until no block has members that move to different blocks
-            _, finer = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
-            if finer.max() == block.max():
+            before = block.max()
+            for moved in table.T:
+                _, block = np.unique(block.astype(np.int64) * len(table) + block[moved], return_inverse=True)
+            if block.max() == before:
                 break
-            block = finer
         _, member = np.unique(block, return_index=True)
         rank = np.argsort(mask[member] > 0, kind="stable")  # matching states last
         place = np.empty_like(rank)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .loser_tree import front_code, merge
-from .shared import cells_for, scoped, scratch_dir, stored, written
+from .shared import cells_for, joined_hot, scoped, scratch_dir, stored, written
 from .shingles import _grown, mixed
 from .utf8 import utf8
 
@@ -131,8 +131,8 @@ class Run:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of the hash's top 24 bits."""
-    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    """Ranges of the hash's top 32 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(run_bytes: int):
@@ -486,7 +486,9 @@ def _without_repeats(runs: DataFrame, size: int, parts: int, texts: bool, per_me
     told = spark.createDataFrame([], "run long, passages array<struct<nth: long, least: long>>")
     if not repeated.where("hot is not null").isEmpty():
         each = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull())).mapInArrow(_passages, "run long, nth long, passage binary, owner long")
-        least = each.withColumn("least", F.min("owner").over(Window.partitionBy("passage"))).where("least < owner")  # one row a run
+        each = stored(each, "passages-by-run")
+        owners = each.groupBy("passage").agg(F.min("owner").alias("least"))  # added up before they move
+        least = joined_hot(each, stored(owners, "owners"), "passage").where("least < owner")
         told = stored(least.repartition(parts, "run").groupBy("run").agg(F.collect_list(F.struct("nth", "least")).alias("passages")), "passages")  # a run's own passages
     return stored(
         marked.join(found, "run", "left").join(told, "run", "left").mapInArrow(

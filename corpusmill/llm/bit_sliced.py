@@ -192,17 +192,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, per_block: int =
 
     once = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     index, asked = blocks(vectors, per_block, "index"), blocks(once, per_batch, "asked")
-    upto = F.sum(F.length("ids") + F.length("body")).over(Window.orderBy("dims", "part"))  # a row a batch
-    turns = stored(asked.select("dims", "part", F.floor(upto / per_turn).alias("turn")), "turns")
+    size, last = asked.agg(F.max(F.length("ids") + F.length("body")), F.max("part")).first()
+    schema = "query_id long, vec_id long, score long"
+    if size is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = scratch_dir(vectors.sparkSession) + f"/found-{uuid.uuid4().hex}"
     written(found, keep=True)
-    schema = "query_id long, vec_id long, score long"
-    for (turn,) in turns.select("turn").distinct().orderBy("turn").toLocalIterator():
-        now = asked.join(turns.where(F.col("turn") == turn), ["dims", "part"])
-        now = F.broadcast(now.select("dims", F.col("ids").alias("q_ids"), F.col("body").alias("q_body")))  # per_turn bytes and one batch
+    step = max(1, per_turn // size)  # batches of a turn; vectors of several lengths are as many batches of each
+    for turn in range(last // step + 1):
+        now = asked.where(F.col("part").between(turn * step, turn * step + step - 1))
+        now = F.broadcast(now.select("dims", F.col("ids").alias("q_ids"), F.col("body").alias("q_body")))  # per_turn bytes of each length
         index.select("dims", "ids", "body").join(now, "dims").mapInArrow(_search(k), schema).write.parquet(f"{found}/turn={turn}")
-    if turns.isEmpty():
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     met = vectors.sparkSession.read.schema(schema).parquet(f"{found}/turn=*")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -95,11 +95,12 @@ def flow(bpm: Column, energy: Column) -> Column:
     return F.when(bpm >= 140, "triplet").when((bpm >= 110) & (energy > 0.5), "staccato").when(bpm < 80, "laid-back").otherwise("steady")
 
 
-def cycled_prompts(spark, n: int, genres: list[str], moods: list[str], seed: int = 42) -> DataFrame:
-    """n prompts over the genres and moods in turn, with tempos by hash."""
-    at = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("i") % len(xs) + 1).cast("int"))
-    bpm = 60 + F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(120))
-    return spark.range(n).withColumnRenamed("id", "i").select("i", at(genres).alias("genre"), at(moods).alias("mood"), bpm.alias("bpm"), (F.col("i") + seed).alias("seed"))
+def cycled_prompts(rows: DataFrame, key: str, genre: str, mood: str, seed: int = 42) -> DataFrame:
+    """A prompt for each row: the rows' genres and moods in turn, by the key, with tempos by hash. The terms are a vocabulary, so few."""
+    terms = rows.agg(*[F.array_sort(F.collect_set(c)).alias(f"_{c}") for c in (genre, mood)])  # one row
+    at = lambda c: F.element_at(f"_{c}", (F.col(key) % F.size(f"_{c}") + 1).cast("int"))
+    bpm = 60 + F.pmod(F.xxhash64(F.lit(seed), key), F.lit(120))
+    return rows.select(key).join(F.broadcast(terms)).select(F.col(key).alias("i"), at(genre).alias("genre"), at(mood).alias("mood"), bpm.alias("bpm"), (F.col(key) + seed).alias("seed"))
 
 
 def tags_for(rows: DataFrame, vocabulary: DataFrame, key: str, vector: str, k: int, least: float) -> DataFrame:

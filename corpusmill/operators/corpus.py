@@ -292,6 +292,20 @@ OTHER_PROMPTS = (
 )
 
 
+def nearest_tempo(bpm: str) -> Column:
+    """The grid's tempo that is nearest, the lower of two."""
+    far = F.transform(F.array(*[F.lit(t) for t in GRID_TEMPOS]), lambda t: F.struct(F.abs(t - F.col(bpm)).alias("far"), t.alias("t")))
+    return F.array_min(far)["t"]
+
+
+def missing_prompts(rows: DataFrame, by: str, section: str, tempo: Column) -> DataFrame:
+    """(by, id, n): how often each checkpoint has been tried near each prompt of the grid, 0 for those that are still to do."""
+    grid = prompt_grid(rows.sparkSession)
+    tried = rows.groupBy(by, F.col(section).alias("section"), tempo.alias("bpm")).agg(F.count("*").alias("n"))
+    every = rows.select(by).distinct().join(F.broadcast(grid.select("id", "section", "bpm")))  # 44 prompts a checkpoint
+    return every.join(tried, [by, "section", "bpm"], "left").select(by, "id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def prompt_grid(spark: SparkSession, first_seed: int = 42) -> DataFrame:
     """The fixed evaluation prompts: every section at every tempo, keys cycling with the tempos, then the two outside of the domain."""
     sections = spark.createDataFrame([(i, *x) for i, x in enumerate(SECTION_PROMPTS)], "k int, section string, phrasing string, tail string")

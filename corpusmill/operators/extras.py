@@ -46,9 +46,9 @@ def syllable_target(bpm: Column, cadence: Column, density: Column) -> Column:
     return F.greatest(F.lit(6), F.least(F.lit(16), base + shift + (density - 3)))
 
 
-def grid(spark, **axes: list) -> DataFrame:
-    """All combinations of a few values each."""
-    df = spark.range(1).drop("id")
+def grid(rows: DataFrame, **axes: list) -> DataFrame:
+    """All combinations of a few values each, for each of the rows."""
+    df = rows
     for name, values in axes.items():
         df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return df

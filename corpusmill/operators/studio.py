@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,10 +62,9 @@ def paraphrases(groups: DataFrame, group: str, phrasings: str, start_seed: int)
     return rows.select(F.concat(intent, F.lit("_"), "nth").alias("id"), intent.alias("intent"), "description", (F.lit(start_seed) + F.col(group) * 10 + F.col("nth")).alias("seed"), F.lit(True).alias("paraphrase"))
 
 
-def sweep(spark: SparkSession, prompt: str, guidance: list[float], seeds: list[int], generator: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """What the generator makes of each guidance and seed; it gets Arrow batches of (prompt, guidance, seed)."""
-    points = extras.grid(spark, guidance=guidance, seed=seeds).select(F.lit(prompt).alias("prompt"), "guidance", "seed")
-    return points.mapInPandas(generator, schema)
+def sweep(rows: DataFrame, guidance: list[float], seeds: list[int], scorer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What a pluggable generator or scorer makes of each row at each guidance and seed; it gets Arrow batches of the rows' columns, guidance and seed."""
+    return extras.grid(rows, guidance=guidance, seed=seeds).mapInPandas(scorer, schema)
 
 
 # recipes

@@ -89,8 +89,9 @@ QUERIES = {
         "select source_id, case when bpm >= 140 then 'triplet' when bpm >= 110 and track_id % 10 > 5 then 'staccato' when bpm < 80 then 'laid-back' else 'steady' end as flow from tracks where bpm is not null",
     ),
     "cycled_prompts": (
-        lambda s, d: op.cycled_prompts(s, 200, ["trap", "drill", "ambient"], ["dark", "calm"]).select("i", "genre", "mood", "seed"),
-        "select i, ['trap', 'drill', 'ambient'][i % 3 + 1] as genre, ['dark', 'calm'][i % 2 + 1] as mood, i + 42 as seed from range(200) t(i)",
+        lambda s, d: op.cycled_prompts(tracks(s, d), "track_id", "genre", "section").select("i", "genre", "mood", "seed"),
+        """t as (select list(distinct genre order by genre) filter (genre is not null) as g, list(distinct section order by section) filter (section is not null) as m from tracks)
+        select track_id as i, g[track_id % len(g) + 1] as genre, m[track_id % len(m) + 1] as mood, track_id + 42 as seed from tracks, t""",
     ),
     "perturbed_prompts": (lambda s, d: evaluation(s, d).select("event_id", op.perturbed(F.col("genre"), F.col("event_id"), 3, "trap", "house").alias("p")), None),
     "vocabulary_tags": (

@@ -247,11 +247,13 @@ QUERIES = {
         concat(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][(pc + 3) % 12 + 1], ' ', regexp_extract(musical_key, ' (major|minor)$', 1)) as up3 from a""",
     ),
     "prompt_grid": (
-        lambda s, d: op.prompt_grid(s),
+        lambda s, d: op.missing_prompts(tracks(s, d).where("bpm is not null"), "genre", "section", op.nearest_tempo("bpm")),
         f"""p as (select * from (values {', '.join(f"({i}, '{x[0]}', '{x[1]}', '{x[2]}')" for i, x in enumerate(op.SECTION_PROMPTS))}) t(k, section, phrasing, tail)),
-        g as (select k * 7 + j as i, section, phrasing, tail, {list(op.GRID_TEMPOS)}[j + 1] as bpm, {list(op.GRID_KEYS)}[j % 5 + 1] as key from p, range(7) t(j))
-        select concat(section, '_', lpad(cast(bpm as varchar), 3, '0'), '_', replace(lower(key), ' ', '')) as id, section, 'melodic trap' as genre, bpm, key, cast(42 + i as int) as seed,
-        concat(section, ', ', bpm, ' BPM, ', key, ', ', phrasing, ', ', tail) as description from g
-        union all values {', '.join(repr((*x[:5], 84 + i, x[5])) for i, x in enumerate(op.OTHER_PROMPTS))}""",
+        g as (select k * 7 + j as i, section, phrasing, tail, {list(op.GRID_TEMPOS)}[j + 1] as bpm, {list(op.GRID_KEYS)}[j % 5 + 1] as key from p, range(7) t(j)),
+        a as (select concat(section, '_', lpad(cast(bpm as varchar), 3, '0'), '_', replace(lower(key), ' ', '')) as id, section, bpm from g
+        union all select id, section, bpm from (values {', '.join(repr((x[0], x[1], x[3])) for x in op.OTHER_PROMPTS)}) o(id, section, bpm)),
+        n as (select genre, section, list_sort(list_transform({list(op.GRID_TEMPOS)}, lambda x: [abs(x - bpm), x]))[1][2] as bpm, count(*) as n from tracks where bpm is not null group by 1, 2, 3),
+        w as (select distinct genre from tracks where bpm is not null)
+        select w.genre, a.id, coalesce(n.n, 0) as n from w cross join a left join n on n.genre = w.genre and n.section = a.section and n.bpm = a.bpm""",
     ),
 }

@@ -65,16 +65,16 @@ QUERIES = {
         select event_id, params, {r('params * 2e0 * 256 * n * 1e-12 / 3.6e6 * 1e9')} as nkwh from a""",
     ),
     "learning_rate_schedule": (
-        lambda s, d: s.range(100).select(F.col("id").alias("step"), rounded(op.learning_rate(F.col("id"), 1e-4, 10, 100) * 1e6, 4).alias("micro")),
-        f"""select step, {r('case when step < 10 then 1e-4 * (step + 1) / 10 else 1e-4 * 0.5 * (1 + cos(pi() * greatest(0, least(1, (step - 10) / 90e0)))) end * 1e6')} as micro from range(100) t(step)""",
+        lambda s, d: evaluation(s, d).select("event_id", (F.col("event_id") % 1_000).alias("step")).select("event_id", "step", rounded(op.learning_rate(F.col("step"), 1e-4, 100, 1_000) * 1e6, 4).alias("micro")),
+        f"""a as (select event_id, event_id % 1000 as step from ev) select event_id, step, {r('case when step < 100 then 1e-4 * (step + 1) / 100 else 1e-4 * 0.5 * (1 + cos(pi() * greatest(0, least(1, (step - 100) / 900e0)))) end * 1e6')} as micro from a""",
     ),
     "syllable_targets": (
         lambda s, d: tracks(s, d).where("bpm is not null").select("source_id", op.syllable_target(F.col("bpm"), F.when(F.col("track_id") % 3 == 0, "fast").when(F.col("track_id") % 3 == 1, "slow").otherwise("medium"), (F.col("track_id") % 6).cast("int")).alias("target")),
         """select source_id, cast(greatest(6, least(16, case when bpm >= 150 then 7 when bpm >= 120 then 9 when bpm >= 90 then 11 else 13 end + case track_id % 3 when 0 then 2 when 1 then -2 else 0 end + track_id % 6 - 3)) as int) as target from tracks where bpm is not null""",
     ),
     "search_grid": (
-        lambda s, d: op.grid(s, lr=[1, 3, 10], batch=[4, 8], rank=[8, 16, 32]),
-        "select lr, batch, rank from (select unnest([1, 3, 10]) as lr), (select unnest([4, 8]) as batch), (select unnest([8, 16, 32]) as rank)",
+        lambda s, d: op.grid(tracks(s, d).groupBy("genre").agg(F.count("*").alias("n")), lr=[1, 3, 10], batch=[4, 8], rank=[8, 16, 32]).select("genre", "lr", "batch", "rank", F.ceil(F.col("n") / F.col("batch")).alias("steps")),
+        """g as (select genre, count(*) as n from tracks group by genre) select genre, lr, batch, rank, cast(ceil(n / batch) as bigint) as steps from g, (select unnest([1, 3, 10]) as lr), (select unnest([4, 8]) as batch), (select unnest([8, 16, 32]) as rank)""",
     ),
     "provenance_defaults": (
         lambda s, d: op.provenance(tracks(s, d).select("source_id", "musical_key"), musical_key="unknown", license="unknown"),

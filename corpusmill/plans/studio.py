@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.columns import rounded
 from corpusmill.functions.lineage import ranged
 from corpusmill.operators import frames as fr
 from corpusmill.operators import signals as sg
@@ -49,10 +49,11 @@ def requests(s, d):
     return rows.select("c_custkey", artist.alias("artist"), F.when(k % 3 > 0, F.lower("r_name")).otherwise("none").alias("genre"), F.when(k % 5 == 0, " Calm ").alias("mood"), F.when(k % 7 == 0, "").when(k % 7 == 1, "Rain").alias("topic"))
 
 
-def made_up(batches):
-    """A stand-in for a generator: scores by guidance and seed."""
+def tried(batches):
+    """A pluggable scorer: what a checkpoint's mean score leaves at a guidance, every third seed being lucky."""
     for pdf in batches:
-        yield pd.DataFrame({"guidance": pdf["guidance"], "seed": pdf["seed"], "score": pdf["guidance"] * 10 + pdf["seed"] % 3})
+        score = pdf["clap"] * pdf["guidance"] / (pdf["guidance"] + 1) + 0.1 * (pdf["seed"] % 3 == 0)
+        yield pdf[["prompt", "checkpoint", "guidance", "seed"]].assign(score=score.round(6))
 
 
 def checkpoints(s, d):
@@ -132,8 +133,12 @@ QUERIES = {
         3000 + n_nationkey * 10 + k as seed, true as paraphrase from nation, (values (0), (1)) t(k)""",
     ),
     "guidance_sweep": (
-        lambda s, d: st.sweep(s, "dark trap", [1.0, 3.0, 5.0], [1, 2, 3, 4], made_up, "guidance double, seed int, score double"),
-        "select g as guidance, s as seed, g * 10 + s % 3 as score from (values (1e0), (3e0), (5e0)) a(g), (values (1), (2), (3), (4)) b(s)",
+        lambda s, d: st.sweep(
+            evaluation(s, d).where("clap_score is not null").groupBy("prompt", "checkpoint").agg(rounded(F.avg("clap_score")).alias("clap")),
+            [1.0, 3.0, 5.0], [1, 2, 3, 4], tried, "prompt string, checkpoint string, guidance double, seed int, score double",
+        ).select("prompt", "checkpoint", "guidance", "seed", rounded("score", 6).alias("score")),
+        f"""a as (select prompt, checkpoint, {r('avg(clap_score)')} as clap from ev where clap_score is not null group by 1, 2)
+        select prompt, checkpoint, g as guidance, s as seed, {r('clap * g / (g + 1) + case when s % 3 = 0 then 0.1e0 else 0e0 end', 6)} as score from a, (values (1e0), (3e0), (5e0)) b(g), (values (1), (2), (3), (4)) c(s)""",
     ),
     "normal_recipes": (
         lambda s, d: st.recipes(requests(s, d), singers(s, d), styles(s, d), "a0"),

@@ -49,6 +49,9 @@ p as (select o.prompt, o.bpm_target, o.clap_score as clap_score_a, o.deviation a
 _DIFFS = """g as (select intent, avg(clap_score) filter (checkpoint = 'ck0') as a, avg(clap_score) filter (checkpoint = 'ck1') as b from ev where clap_score is not null group by intent),
 x as (select intent, a, b, b - a as d from g where b - a is not null)"""
 _COS = "list_dot_product({a}::double[], {b}::double[]) / (sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])))"
+#: The share of a normal distribution below z, by a series of positive terms.
+_BELOW = "(0.5e0 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * case when abs({z}) < 1e-9 then abs({z}) else list_sum(list_transform(range(0, 400), lambda i: exp((2 * i + 1) * ln(greatest(abs({z}), 1e-9)) - ((i + 1) * ln(2e0) + lgamma(i + 1.5e0) - 0.5e0 * ln(pi()))))) end)"
+_RANKS = """, k as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2e0 as rk, count(*) over (partition by abs(d)) as t from x where abs(d) > 1e-12)"""
 _PSI = "round(sum((c - q) * ln(c / q)), 6) + 0e0"
 
 QUERIES = {
@@ -64,8 +67,21 @@ QUERIES = {
         _DIFFS + """, k as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2e0 as rk from x where abs(d) > 1e-12)
         select count(*) as n, round(coalesce(sum(case when d > 0 then rk end), 0), 2) + 0e0 as w_plus, round(coalesce(sum(case when d < 0 then rk end), 0), 2) + 0e0 as w_minus from k""",
     ),
-    "wilcoxon_test": (lambda s, d: st.wilcoxon(by_checkpoints(s, d)), None),
-    "bayesian_comparison": (lambda s, d: st.bayesian_ab(by_checkpoints(s, d)), None),
+    "wilcoxon_test": (
+        lambda s, d: st.wilcoxon(by_checkpoints(s, d)).select("n", rounded("w_plus", 2).alias("w_plus"), rounded("p", 6).alias("p")),
+        _DIFFS + _RANKS + f""", o as (select count(*) as n, coalesce(sum(case when d > 0 then rk end), 0) as w, coalesce(sum(t * t - 1), 0) as ties from k),
+        c as (select ways from (with recursive e as (select 0 as j, list_transform(range(0, cast(n * (n + 1) / 2 as int) + 1), lambda i: case when i = 0 then 1e0 else 0e0 end) as ways from o
+            union all select j + 1, list_transform(range(0, len(ways)), lambda i: ways[i + 1] + case when i >= j + 1 then ways[i - j] else 0e0 end) from e, o where j < least(n, 50)) select * from e) order by j desc limit 1),
+        z as (select *, abs(w - n * (n + 1) / 4e0) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48e0), 0) as z from o)
+        select n, round(w, 2) + 0e0 as w_plus, case when n = 0 then 1e0 when n < 5 then null when n <= 50 and ties = 0 then {r('least(1e0, 2 * list_sum(ways[1:cast(least(w, n * (n + 1) / 2 - w) as int) + 1]) / pow(2e0, n))', 6)}
+            when z is null then 1e0 else {r('2 * (1 - ' + _BELOW.format(z='z') + ')', 6)} end as p from z, c""",
+    ),
+    "bayesian_comparison": (
+        lambda s, d: st.bayesian_ab(by_checkpoints(s, d)),
+        _DIFFS + f""", o as (select count(d) as n, avg(d) as m, var_samp(d) as v from x), q as (select *, case when n > 1 then n / greatest(v, 1e-12) end as w from o),
+        p as (select n, w * m / (w + 1e-3) as mean, sqrt(1 / (w + 1e-3)) as sd from q), z as (select *, mean / sd as z from p)
+        select n, round(mean, 4) + 0e0 as posterior_mean, round(sd, 6) + 0e0 as posterior_sd, {r(_BELOW.format(z='z'))} as p_better from z""",
+    ),
     "bayesian_posterior": (
         lambda s, d: st.bayesian_ab(by_checkpoints(s, d)).select("n", "posterior_mean", "posterior_sd"),
         _DIFFS + """, o as (select count(d) as n, avg(d) as m, var_samp(d) as v from x), q as (select *, case when n > 1 then n / greatest(v, 1e-12) end as w from o)
@@ -116,7 +132,14 @@ QUERIES = {
         lambda s, d: st.score_interval(evaluation(s, d), "checkpoint", "event_id", draws=2).select("checkpoint", "n", "score"),
         """select checkpoint, count(*) as n, round(0.4e0 * avg(case when status = 'ok' then 1e0 else 0e0 end) + 0.3e0 * coalesce(avg(clap_score), 0) + 0.3e0 * greatest(0e0, 1e0 - coalesce(avg(abs(deviation)), 0) / 0.2e0), 4) + 0e0 as score from ev group by checkpoint""",
     ),
-    "sign_test": (lambda s, d: st.win_rate(paired(s, d), "clap_score_a", "clap_score_b").withColumn("p", st.sign_p("wins", "losses")), None),
+    "sign_test": (
+        lambda s, d: st.win_rate(paired(s, d), "clap_score_a", "clap_score_b").withColumn("p", rounded(st.sign_p("wins", "losses"), 6)),
+        _PAIRS + f""", w as (select count(*) filter (clap_score_b - clap_score_a > 1e-9) as wins, count(*) filter (abs(clap_score_b - clap_score_a) <= 1e-9) as ties,
+        count(*) filter (clap_score_b - clap_score_a < -1e-9) as losses from p where clap_score_a is not null and clap_score_b is not null),
+        nn as (select *, wins + losses as n, abs(wins - (wins + losses) / 2e0) as far from w), z as (select *, greatest(0, far - 0.5e0) / nullif(sqrt(n) / 2, 0) as z from nn)
+        select wins, ties, losses, {r('wins / nullif(wins + losses, 0)')} as win_rate, case when n = 0 then 1e0 when n > 1000 then {r('least(1e0, 2 * (1 - ' + _BELOW.format(z='z') + '))', 6)}
+            else {r('least(1e0, list_sum(list_transform(range(0, n + 1), lambda k: case when abs(k - n / 2e0) >= far then exp(lgamma(n + 1e0) - lgamma(k + 1e0) - lgamma(n - k + 1e0) - n * ln(2e0)) else 0e0 end)))', 6)} end as p from z""",
+    ),
     "cosine_to_first": (
         lambda s, d: vectors(s, d).join(F.broadcast(vectors(s, d).where("vec_id = 0").select(F.col("embedding").alias("first"))), how="cross").select("vec_id", rounded(cosine("embedding", "first")).alias("cosine")),
         f"select e.vec_id, {r(_COS.format(a='e.embedding', b='f.embedding'))} as cosine from embeddings e, embeddings f where f.vec_id = 0",

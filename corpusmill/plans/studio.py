@@ -121,6 +121,19 @@ def swings(s, d):
     return fr.swing(rows, "user_id", "onset", "beats", "bpm", 0.125)
 
 
+#: Keys and artifacts of vectors, in SQL.
+_KEYS = f"""a as (select vec_id, list_transform(embedding[1:12]::double[], lambda x: abs(x)) as c from embeddings), b as (select vec_id, c, list_avg(c) as m, sqrt(list_avg(list_transform(c, lambda x: (x - list_avg(c)) * (x - list_avg(c))))) as s from a),
+    u as (select vec_id, list_transform(c, lambda x: case when s > 0 then (x - m) / s else 0e0 end) as u from b), k as (select * from (values {', '.join(f"({i}, '{n} {mode}', {[float(x) for x in sg._PROFILES[i]]}::double[])" for i, (mode, n) in enumerate((mode, n) for mode in ('major', 'minor') for n in fr.NOTES))}) t(i, key, p)),
+    e as (select vec_id, i, key, exp(6 * (list_dot_product(u, p) / 12 - 1)) as e from u, k), n as (select vec_id, key, e / sum(e) over (partition by vec_id) as share, row_number() over (partition by vec_id order by round(e, 13) desc, i) as nth from e)
+    select vec_id, cast(nth - 1 as int) as nth, key, round(share, 4) as share from n where nth <= 3"""
+_ARTIFACTS = f"""a as (select vec_id, embedding::double[] as y from embeddings), d as (select *, list_transform(range(1, len(y)), lambda i: abs(y[i + 1] - y[i])) as step,
+    list_transform(range(0, 17), lambda j: sqrt(list_sum(list_transform(range(4 * j - 7, 4 * j + 9), lambda i: case when i >= 1 and i <= 64 then y[i] * y[i] else 0e0 end)) / 16)) as level from a),
+    q as (select vec_id, least(1000, len(list_filter(step, lambda x: x > 20 * (list_median(step) + 1e-12)))) as clicks, list_avg(list_transform(y, lambda x: case when abs(x) >= 0.999 then 1e0 else 0e0 end)) as clip, abs(list_avg(y)) as dc,
+        array_to_string(list_transform(level, lambda x: case when 20 * log10(greatest(x, 1e-5) / greatest(list_max(level), 1e-5)) < -50 then 's' else '-' end), '') as silent from d),
+    f as (select *, len(list_filter(string_split_regex(silent, '-+'), lambda x: length(x) between 2 and 20)) as dropouts from q)
+    select vec_id, cast(clicks as bigint) as clicks, {r('clip', 5)} as clipping_ratio, {r('dc', 5)} as dc_offset, cast(dropouts as bigint) as dropouts, clicks = 0 and clip < 0.001 and dc < 0.01 and dropouts = 0 as clean from f"""
+
+
 QUERIES = {
     "prompt_variants": (lambda s, d: evaluation(s, d).select("prompt", "genre").distinct().select("prompt", "genre", st.variants(F.concat_ws(", ", F.concat(F.lit("slow "), "genre"), F.concat(F.lit("drums and "), "prompt")), ["slow", "calm", "fast"]).alias("v")).select("prompt", "genre", F.array_join("v", " | ").alias("variants")), None),
     "trap_prompts": (
@@ -260,8 +273,8 @@ QUERIES = {
         c as (select vec_id, (ll + rr - 2 * lr) / 4 as s, (ll + rr + 2 * lr) / 4 as m, (lr - ml * mr) / (sqrt(ll - ml * ml) * sqrt(rr - mr * mr) + 1e-12) as p from b)
         select vec_id, {r('s / (m + s + 1e-12)')} as width, {r('p')} as phase_correlation, p > 0 as mono_compatible from c""",
     ),
-    "sound_artifacts": (lambda s, d: table(s, d, "embeddings").select("vec_id", sg.artifacts(F.transform("embedding", lambda x: x.cast("double")), 4).alias("x")).select("vec_id", "x.*"), None),
-    "key_candidates": (lambda s, d: table(s, d, "embeddings").select("vec_id", sg.keys(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))).alias("k")).select("vec_id", F.posexplode("k").alias("nth", "c")).select("vec_id", "nth", "c.key", F.round("c.share", 4).alias("share")), None),
+    "sound_artifacts": (lambda s, d: table(s, d, "embeddings").select("vec_id", sg.artifacts(F.transform("embedding", lambda x: x.cast("double")), 4).alias("x")).select("vec_id", "x.*"), _ARTIFACTS),
+    "key_candidates": (lambda s, d: table(s, d, "embeddings").select("vec_id", sg.keys(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double")))).alias("k")).select("vec_id", F.posexplode("k").alias("nth", "c")).select("vec_id", "nth", "c.key", F.round("c.share", 4).alias("share")), _KEYS),
     "spectral_divergence": (
         lambda s, d: sg.spectral_divergence(magnitudes(s, d).where("label < 5"), magnitudes(s, d).where("label >= 5"), "bands"),
         """a as (select label < 5 as one, vec_id, unnest(range(64)) as i, abs(unnest(embedding::double[])) as x from embeddings), t as (select *, x / sum(x) over (partition by vec_id) as sh from a),

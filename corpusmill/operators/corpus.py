@@ -262,6 +262,15 @@ def _numbered(groups: DataFrame, key: str, seed: int, stratum: str | None = None
     return joined.drop("_cell", "_before", "_of", "_at", *([] if stratum else [whole]))
 
 
+def artist_split(songs: DataFrame, by: str, key: str, val: float, test: float, seed: int) -> DataFrame:
+    """test, val or train for each song, by hash order among its artist's: with ten songs or more at least one each, else all train."""
+    rows = _numbered(songs, key, seed, by)
+    n, nth = F.col("_all"), F.col("_nth") - 1
+    share = lambda p: F.when(n < 10, 0).otherwise(F.greatest(F.lit(1), F.bround(n * p)))
+    which = F.when(nth < share(test), "test").when(nth < share(test) + share(val), "val").otherwise("train")
+    return rows.withColumn("split", which).drop("_nth", "_all")
+
+
 def folds(groups: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Contiguous slices of the hash order, sizes one apart at most."""
     return _numbered(groups, key, seed).withColumn("fold", F.floor((F.col("_nth") * k - 1) / F.col("_all")).cast("int")).drop("_nth", "_all")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources.views import duckdb_views
 
-from . import analysis, catalog, corpus, datasets, evaluation, extras, roundtrips, sounds, studio, texts
+from . import analysis, catalog, corpus, datasets, evaluation, extras, files, roundtrips, sounds, studio, texts
 
-MODULES = (evaluation, corpus, analysis, datasets, extras, catalog, texts, studio, sounds, roundtrips)
+MODULES = (evaluation, corpus, analysis, datasets, extras, catalog, texts, studio, sounds, files, roundtrips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,6 +30,19 @@ def eval_results(spark: SparkSession, path: str, schema: str = EVAL_SCHEMA) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def json_objects(value: str):
+    """The texts of the objects of a JSON text: itself, an array's, or else those of its lines."""
+    text = F.trim(F.translate(value, "\ufeff\r\n\t", "    "))
+    # between brackets nothing may follow a value but another one
+    listed = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    alone = lambda x: listed(x).isNotNull() & F.try_variant_get(listed(x), "$[1]", "string").isNull()
+    whole = alone(F.col(value))
+    is_object = lambda x: x.rlike(r"^\s*\{")
+    items = F.filter(F.from_json(value, "array<string>"), is_object)
+    lines = F.filter(F.split(value, "\r\n|\r|\n"), lambda x: is_object(x) & alone(x))
+    return F.when(whole & F.startswith(text, F.lit("[")), items).when(whole & F.startswith(text, F.lit("{")), F.array(value)).when(~whole, lines)
+
+
 def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON object, a JSON array or JSON lines; bad lines are skipped.
 
@@ -39,16 +52,8 @@ def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     kind = T._parse_datatype_string(schema)
-    text = spark.read.text(path, wholetext=True).select("value", F.trim(F.translate("value", "\ufeff\r\n\t", "    ")).alias("t"))
-    # between brackets nothing may follow a value but another one
-    listed = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
-    alone = lambda x: listed(x).isNotNull() & F.try_variant_get(listed(x), "$[1]", "string").isNull()
-    whole = alone(F.col("value"))
-    is_object = lambda x: x.rlike(r"^\s*\{")
-    items = F.filter(F.from_json("value", "array<string>"), is_object)
-    lines = F.filter(F.split("value", "\r\n|\r|\n"), lambda x: is_object(x) & alone(x))
-    found = F.when(whole & F.startswith("t", F.lit("[")), items).when(whole & F.startswith("t", F.lit("{")), F.array("value")).when(~whole, lines)
-    row = text.select(F.explode(F.transform(found, lambda x: F.from_json(x, kind))).alias("r"))
+    text = spark.read.text(path, wholetext=True).select("value")
+    row = text.select(F.explode(F.transform(json_objects("value"), lambda x: F.from_json(x, kind))).alias("r"))
     return row.where("r is not null").select("r.*")
 
 
@@ -68,13 +73,13 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return kept.withColumn("energy", F.col("energy").try_cast("double")) if "energy" in kept.columns else kept
 
 
-def rap_csv(spark: SparkSession, path: str) -> DataFrame:
+def rap_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(artist, title, pos, line) of a lyric file of one line a row."""
     rows = spark.read.option("header", True).option("multiLine", True).csv(path)
     return rows.select("artist", F.col("song").alias("title"), F.monotonically_increasing_id().alias("pos"), F.col("lyric").alias("line"))
 
 
-def song_texts(spark: SparkSession, path: str) -> DataFrame:
+def song_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(artist, title, lines) of text files named 'Artist - Title.txt'."""
     name = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"^(.*)\.[^.]*$", 1)
     rows = spark.read.text(path, wholetext=True).select(name.alias("name"), "value")
@@ -83,6 +88,58 @@ def song_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(artist.alias("artist"), title.alias("title"), F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"))
 
 
+#: Names under which song files call the same things (fixed values).
+ARTIST_NAMES, TITLE_NAMES, TEXT_NAMES = ("artist", "artist_name"), ("title", "song", "name", "track_name"), ("lyrics", "lyric", "text")
+
+
+def _first_of(names: tuple[str, ...], have: list[str]):
+    held = [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit("")) for n in names if n in have]
+    return F.coalesce(*held, F.lit(None).cast("string"))
+
+
+def _text_lines(text):
+    return F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """(artist, title, lines) of rows that have them under one of their names; rows without a text go."""
+    found = rows.select(_first_of(ARTIST_NAMES, rows.columns).alias("artist"), _first_of(TITLE_NAMES, rows.columns).alias("title"), _text_lines(_first_of(TEXT_NAMES, rows.columns)).alias("lines"))
+    return found.where(F.size("lines") > 0).select(F.coalesce("artist", F.lit("unknown")).alias("artist"), F.coalesce("title", F.lit("untitled")).alias("title"), "lines")
+
+
+def imported_songs(spark: SparkSession, folder: str) -> DataFrame:
+    """(artist, title, lines) of all song files below a folder, each read by what it is.
+
+    Names tell text files and JSON; the header of a CSV file tells whether its
+    rows are lines (``song`` and ``lyric``) or whole songs. Files of other
+    kinds are passed over. A CSV file's rows of one song are put together in
+    their order.
+    """
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).alias("kind"), F.split(F.substring("content", 1, 4_096).cast("string"), "\r?\n")[0].alias("head"))
+    header = F.transform(F.split(F.lower("head"), ","), lambda x: F.trim(F.translate(x, '"', "")))
+    by_line = F.array_contains(header, "song") & F.array_contains(header, "lyric")
+    kinds = seen.select("path", F.when(F.col("kind") == "csv", F.when(by_line, "lines").otherwise("csv")).when(F.col("kind").isin("json", "jsonl"), "json").when(F.col("kind") == "txt", "txt").alias("kind"))
+    paths: dict[str, list[str]] = {}
+    for r in kinds.where("kind is not null").collect():  # names of files, as the scans below list them
+        paths.setdefault(r["kind"], []).append(r["path"])
+    found = spark.createDataFrame([], "artist string, title string, lines array<string>")
+    if "txt" in paths:
+        found = found.unionByName(song_texts(spark, paths["txt"]))
+    if "json" in paths:
+        fields = ", ".join(f"`{n}` string" for n in dict.fromkeys((*ARTIST_NAMES, *TITLE_NAMES, *TEXT_NAMES)))
+        whole = spark.read.text(paths["json"], wholetext=True).select("value")
+        inner = whole.select(F.coalesce(F.get_json_object("value", "$.songs"), F.get_json_object("value", "$.data"), "value").alias("value"))  # a list may be wrapped
+        each = inner.select(F.explode(F.transform(json_objects("value"), lambda x: F.from_json(x, fields))).alias("r"))
+        found = found.unionByName(_records(each.where("r is not null").select("r.*")))
+    if "csv" in paths:
+        found = found.unionByName(_records(spark.read.option("header", True).option("multiLine", True).csv(paths["csv"])))
+    if "lines" in paths:
+        rows = rap_csv(spark, paths["lines"])
+        one = rows.groupBy("artist", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.trim(x["line"])).alias("lines"))  # a song's own lines
+        found = found.unionByName(one.select("artist", "title", F.filter("lines", lambda x: x != "").alias("lines")))
+    return found
+
+
 def run_log(spark: SparkSession, path: str, event: str | None = None, limit: int = 200) -> DataFrame:
     """The last rows of an event log, oldest first."""
     rows = spark.read.json(path).withColumn("_at", F.monotonically_increasing_id())

@@ -119,3 +119,20 @@ def test_gaussian_divergence(spark):
     d = x.mean(axis=0) - y.mean(axis=0)
     directed = lambda a, b: np.trace(np.linalg.inv(b) @ a) + d @ np.linalg.inv(b) @ d - 3
     assert found.kl == pytest.approx((directed(c1, c2) + directed(c2, c1)) / 2, abs=2e-6)
+
+
+def test_song_files_are_read_by_what_they_are(spark, tmp_path):
+    (tmp_path / "Ann - First.txt").write_text("one\n\n two \n")
+    (tmp_path / "list.json").write_text('{"data": [{"artist_name": "Bob", "track_name": "B", "text": "x\\ny"}, 3, {"title": "no text"}]}')
+    (tmp_path / "rows.jsonl").write_text('{"artist": "", "song": "C", "lyric": "z"}\nbroken\n')
+    (tmp_path / "songs.csv").write_text('title,artist,lyrics\nD,Dee,"a\nb"\n')
+    (tmp_path / "lines.csv").write_text("artist,song,lyric\nEve,E,l1\nEve,E,l2\nEve,F,m1\n")
+    (tmp_path / "note.pdf").write_bytes(b"%")
+    found = {(r.artist, r.title): r.lines for r in readers.imported_songs(spark, str(tmp_path)).collect()}
+    assert found == {("Ann", "First"): ["one", "two"], ("Bob", "B"): ["x", "y"], ("unknown", "C"): ["z"], ("Dee", "D"): ["a", "b"], ("Eve", "E"): ["l1", "l2"], ("Eve", "F"): ["m1"]}
+
+
+def test_artists_songs_are_split(spark):
+    songs = spark.createDataFrame([("big", i) for i in range(45)] + [("ten", i) for i in range(10)] + [("few", i) for i in range(9)], "artist string, song int")
+    found = corpus.artist_split(songs, "artist", "song", 0.1, 0.05, 3).groupBy("artist", "split").count().collect()
+    assert {(r.artist, r.split): r["count"] for r in found} == {("big", "test"): 2, ("big", "val"): 4, ("big", "train"): 39, ("ten", "test"): 1, ("ten", "val"): 1, ("ten", "train"): 8, ("few", "train"): 9}

@@ -92,13 +92,15 @@ def stereo(left: Column | str, right: Column | str) -> Column:
     return F.when(F.size(both) > 0, F.struct(rounded(side / (mid + side + 1e-12)).alias("width"), rounded(phase).alias("phase_correlation"), (phase > 0).alias("mono_compatible")))
 
 
+#: What a count of clicks ends at (fixed value).
+MOST_CLICKS = 1_000
 ARTIFACTS = T.StructType(
     [T.StructField("clicks", T.LongType()), T.StructField("clipping_ratio", T.DoubleType()), T.StructField("dc_offset", T.DoubleType()), T.StructField("dropouts", T.LongType()), T.StructField("clean", T.BooleanType())]
 )
 
 
-def artifacts_of(y: np.ndarray, hop: int = 512) -> tuple:
-    """Clicks (1,000 at most), clipping, offset, dropouts, and whether none of them is there.
+def artifacts_of(y: np.ndarray, hop: int = 512, most_clicks: int = MOST_CLICKS) -> tuple:
+    """Clicks (``most_clicks`` at most), clipping, offset, dropouts, and whether none of them is there.
 
     A dropout is a run of 2 to 20 frames, of four hops each around a hop's
     start, more than 50 dB below the loudest one. Under four samples there is
@@ -107,7 +109,7 @@ def artifacts_of(y: np.ndarray, hop: int = 512) -> tuple:
     if len(y) < 4:
         return 0, 0.0, 0.0, 0, True
     step = np.abs(np.diff(y))
-    clicks = min(1000, int((step > 20 * (np.median(step) + 1e-12)).sum()))
+    clicks = min(most_clicks, int((step > 20 * (np.median(step) + 1e-12)).sum()))
     clipping, offset = float((np.abs(y) >= 0.999).mean()), float(abs(y.mean()))
     padded = np.pad(y, 2 * hop)
     level = np.sqrt((np.lib.stride_tricks.sliding_window_view(padded, 4 * hop)[::hop] ** 2).mean(axis=1))

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import tails
 from corpusmill.functions.columns import rounded, syllables
+from corpusmill.functions.lineage import first_of
 from corpusmill.operators import corpus, extras, vectors
+from corpusmill.operators.text import rhyme_key
 
 #: Catalogs as tables.
 ARTISTS = "id string, name string, aliases array<string>, topics array<string>, bpm_low int, bpm_high int"
@@ -159,6 +161,27 @@ def beat_context(analysis: Column) -> Column:
     )
 
 
+def mined_banks(lines: DataFrame, line: str, banks: int = 24, words: int = 12, least: int = 4) -> DataFrame:
+    """(bank, words): the words that end lines, by rhyme; of the most frequent rhymes with ``least`` words or more, the most frequent words.
+
+    All lines are counted; only the catalog that is kept is small.
+    """
+    last = F.regexp_extract(F.lower(line), r"([a-z]{2,})[^a-z]*$", 1)
+    counted = lines.select(last.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).withColumn("bank", rhyme_key(F.col("word"))).where("bank is not null")
+    kept = first_of(counted, "bank", [F.desc("n"), "word"], words, "word")
+    by = kept.groupBy("bank").agg(F.sum("n").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "word"))), lambda x: x["word"]).alias("words"))  # ``words`` a rhyme
+    return by.where(F.size("words") >= least).orderBy(F.desc("total"), "bank").limit(banks).select("bank", "words")
+
+
+def mined_templates(lines: DataFrame, line: str, n: int = 200, shortest: int = 3, longest: int = 8) -> DataFrame:
+    """(template): the n most frequent lines of a few words, with {R} for their last one."""
+    text = F.trim(F.lower(F.translate(line, "{}", "")))
+    of = F.size(F.split(text, r"\s+"))
+    template = F.regexp_replace(text, r"[a-z]{2,}[^a-z]*$", "{R}")
+    found = lines.where(of.between(shortest, longest)).select(template.alias("template")).where(F.endswith("template", F.lit(" {R}")))
+    return found.groupBy("template").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "template").limit(n).select("template")
+
+
 def verses(requests: DataFrame, key: str, templates: DataFrame, banks: DataFrame, spread: int = 2, seed: int = 0) -> DataFrame:
     """Lines of sections: (key, i, bank, template, line, syllables).
 
@@ -168,9 +191,10 @@ def verses(requests: DataFrame, key: str, templates: DataFrame, banks: DataFrame
     the end; banks: bank, words. All are drawn by hashes of seed and key: a
     bank for each rhyme group, its words in turn, and templates within
     ``spread`` of the target (all, if none is) in turn, so that four of them
-    never repeat within three lines. The catalogs are made by hand and small.
+    never repeat within three lines. The catalogs are small: made by hand, or
+    mined from lines of a corpus (``mined_banks``, ``mined_templates``).
     """
-    sorted_all = lambda df: F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("all")))  # noqa: E731  hand-made catalogs
+    sorted_all = lambda df: F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("all")))  # noqa: E731  catalogs
     every = requests.join(sorted_all(templates.select("template", syllables(F.replace("template", F.lit("{R}"), F.lit("line"))).alias("n"))).withColumnRenamed("all", "t"))
     every = every.join(sorted_all(banks.select("bank", "words")).withColumnRenamed("all", "b"))
     mixed = lambda xs, of, *by: F.transform(F.array_sort(F.transform(xs, lambda x: F.named_struct(F.lit("h"), F.xxhash64(F.lit(seed), key, *by, of(x)), F.lit("x"), x))), lambda s: s["x"])
@@ -188,7 +212,7 @@ def verses(requests: DataFrame, key: str, templates: DataFrame, banks: DataFrame
     ended = F.regexp_replace("template", r"\{R\}(?=[^{]*$)", "{E}")
     said = F.replace(F.replace(ended, F.lit("{R}"), word(2)), F.lit("{E}"), word(0))
     said = F.when((F.col("i") == 0) & (F.coalesce("opener", F.lit("")) != ""), F.concat_ws(" ", "opener", said)).otherwise(said)
-    line = F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, 2, 10_000))
+    line = F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, F.lit(2), F.length(said)))
     return lines.select(key, "i", F.col("bank.bank").alias("bank"), "template", line.alias("line")).withColumn("syllables", syllables("line"))
 
 

@@ -10,7 +10,7 @@ from corpusmill.functions.lineage import ranged
 from corpusmill.operators import frames as fr
 from corpusmill.operators import signals as sg
 from corpusmill.operators import studio as st
-from corpusmill.sources.views import evaluation, table, tracks
+from corpusmill.sources.views import evaluation, lines, table, tracks
 
 from .corpus import SYLLABLES
 from .evaluation import r
@@ -77,12 +77,11 @@ def contexts(s, d):
 
 
 def verses(s, d):
-    """Sixteen bars for each customer, from a few templates and rhymes."""
-    templates = s.createDataFrame([(x,) for x in ("we keep the {R}", "nobody told me about the {R}", "over the water and under the {R}", "the {R} is gone but it was never the {R}", "count every morning from here to the {R}", "slow down, it is only the {R}")], "template string")
-    banks = s.createDataFrame([("ight", ["night", "light", "fight", "sight", "height"]), ("ay", ["day", "way", "grey", "bay"]), ("own", ["town", "crown", "ground", "sound", "down"])], "bank string, words array<string>")
+    """Sixteen bars for each customer, with the rhymes and turns of phrase of the documents' own lines."""
     schemes = F.element_at(F.array(*[F.lit(x) for x in ("AABB", "ABAB", "AAAA")]), (F.col("c_custkey") % 3 + 1).cast("int"))
     asked = table(s, d, "customer").select("c_custkey", F.lit(16).alias("bars"), (F.lit(6) + F.col("c_custkey") % 6).alias("target"), schemes.alias("scheme"), F.when(F.col("c_custkey") % 2 == 0, "listen,").alias("opener"))
-    return st.verses(asked, "c_custkey", templates, banks)
+    said = lines(s, d)
+    return st.verses(asked, "c_custkey", st.mined_templates(said, "line"), st.mined_banks(said, "line"))
 
 
 def sheets(s, d):

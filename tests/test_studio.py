@@ -180,3 +180,11 @@ def test_section_lines(spark):
             assert all(len({x.template for x in song[i : i + 4]}) == 4 for i in range(12))
     again = registry.queries()["section_lines"](spark, folder).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows)) and len({tuple(r.line for r in s) for s in songs.values()}) > len(songs) / 3
+
+
+def test_catalogs_are_mined_from_lines(spark):
+    lines = spark.createDataFrame([("Walk into the night",)] * 3 + [("a new light!",), ("we fight",), ("the sight",), ("all the way",), ("walk into the day",), ("too long a line to be a template for any verse of ours",), ("{odd} braces here",), (None,), ("",), ("42",)], "line string")
+    banks = {r.bank: r.words for r in st.mined_banks(lines, "line", least=4).collect()}
+    assert banks == {"ight": ["night", "fight", "light", "sight"]}
+    templates = [r.template for r in st.mined_templates(lines, "line", n=2).collect()]
+    assert templates == ["walk into the {R}", "a new {R}"]

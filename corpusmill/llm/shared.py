@@ -21,12 +21,15 @@ SPACE = r"\x20\x09-\x0D"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Where a session names none (tests, one machine), a folder in the
-    warehouse, which is shared as well, is set and used.
+    Where a session on one machine names none, as in tests, a folder in the
+    warehouse is set and used. On a cluster that is an error: its executors
+    might not see what others write there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/corpusmill-scratch"
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -253,3 +253,18 @@ def test_prefilters_skip_nothing():
 def test_strength_is_that_of_the_best_term():
     model = toxicity.Model(np.zeros(1), {"tras": 3.0, "trash$": 5.0, "ab$": 4.0, "clown": 3.5}, np.zeros(3))
     assert model.measures({"trash": 1, "trashy": 1, "ab": 1, "abc": 1, "clow": 1, "clowns": 1})[1] == pytest.approx(np.log1p(5 + 3 + 4 + 3.5))
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from corpusmill.llm.shared import scratch_dir
+
+    def session(master, **named):
+        conf = SimpleNamespace(get=lambda k, d=None: {"spark.sql.warehouse.dir": "file:/w", **named}.get(k, d), set=lambda k, v: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+
+    assert scratch_dir(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert scratch_dir(session("local[4]")) == "file:/w/corpusmill-scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session("spark://host:7077"))

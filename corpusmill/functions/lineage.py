@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, else one in the warehouse: all executors see both."""
+    """The folder that ``spark.checkpoint.dir`` names; on one machine else one in the warehouse, on a cluster else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
 
 

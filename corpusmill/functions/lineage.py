@@ -32,15 +32,28 @@ def saved(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Rows of one range, about.
+PER_RANGE = 1_000_000
+
+
+def few(rows: DataFrame) -> bool:
+    """Whether the rows are one range."""
+    return rows.count() <= PER_RANGE
+
+
 def ranged(rows: DataFrame, value: str) -> DataFrame:
-    """``rows`` with ``cell``, as many about equally full ranges of ``value``, in its order, as the session has shuffle partitions.
+    """``rows`` with ``cell``: about equally full ranges of ``value`` in its order, of ``PER_RANGE`` rows, but no more than the session has shuffle partitions.
 
     What is numbered or summed in order is then so within a cell, behind the
     sums of the cells before; no single task orders all values. Equal values
-    share a cell, nulls are in the first one.
+    share a cell, nulls are in the first one. The rows are computed once; what
+    the ranges are is told from the written table.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return saved(rows.repartitionByRange(parts, value).withColumn("cell", F.spark_partition_id()))
+    kept = saved(rows)
+    parts = min(-(-kept.count() // PER_RANGE), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts <= 1:
+        return kept.withColumn("cell", F.lit(0))
+    return saved(kept.repartitionByRange(parts, value).withColumn("cell", F.spark_partition_id()))
 
 
 def behind(sums: DataFrame, *columns: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.columns import adherence_score, clamp, or_else, reasons, rounded, share
-from corpusmill.functions.lineage import first_of, ranged
+from corpusmill.functions.lineage import few, first_of, ranged
 from corpusmill.functions.quantiles import quantiles
 
 
@@ -210,6 +210,12 @@ def running_best(rows: DataFrame, by: str, order: str, value: str, patience: int
     Ranges of the order go each by itself, behind what the ranges before them
     come to: how many steps, the best, and the step that set it.
     """
+    if few(rows):  # one range: nothing is before it
+        w = Window.partitionBy(by).orderBy(order)
+        seen = rows.select(by, order, value, F.row_number().over(w).alias("step"), F.max(value).over(w).alias("best"))
+        raised = F.col(value) > F.coalesce(F.lag("best").over(w), F.lit(float("-inf")))
+        at = seen.withColumn("best_step", F.max(F.when(raised, F.col("step"))).over(w))
+        return _stopping(at, by, value, patience)
     cells, inside = ranged(rows, order), Window.partitionBy(by, "cell").orderBy(order)
     earlier = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     none = F.lit(float("-inf"))
@@ -221,6 +227,10 @@ def running_best(rows: DataFrame, by: str, order: str, value: str, patience: int
     seen = seen.withColumn("set", F.when(raised, F.col("step")))
     carried = seen.groupBy(by, "cell").agg(F.max("set").alias("last")).select(by, "cell", F.max("last").over(earlier).alias("held"))
     at = seen.join(carried, [by, "cell"]).withColumn("best_step", F.coalesce(F.max("set").over(inside), F.col("held")))
+    return _stopping(at, by, value, patience)
+
+
+def _stopping(at: DataFrame, by: str, value: str, patience: int) -> DataFrame:
     since = (F.col("step") - F.col("best_step")).cast("int")
     return at.select(by, F.col("step").cast("int").alias("step"), rounded(value).alias(value), rounded("best").alias("best"), since.alias("since_best"), (since >= patience).alias("stop"))
 

@@ -12,6 +12,12 @@ from corpusmill.sources import pcm
 from corpusmill.streaming import upserts
 
 
+@pytest.fixture(autouse=True)
+def small_ranges(monkeypatch):
+    """Several ranges also of the small tables here."""
+    monkeypatch.setattr("corpusmill.functions.lineage.PER_RANGE", 150)
+
+
 @pytest.mark.parametrize("how", ["backward", "forward", "nearest"])
 @pytest.mark.parametrize("equal_too", [True, False])
 def test_asof_join(spark, how, equal_too):

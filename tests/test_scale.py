@@ -12,6 +12,12 @@ from corpusmill.operators import corpus, evaluation, extras, vectors
 from corpusmill.sources import readers
 
 
+@pytest.fixture(autouse=True)
+def small_ranges(monkeypatch):
+    """Several ranges also of the small tables here."""
+    monkeypatch.setattr("corpusmill.functions.lineage.PER_RANGE", 150)
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     rng = random.Random(6)

@@ -124,7 +124,7 @@ QUERIES = {
     "tape_chroma": (lambda s, d: fingerprints(s, d).select("tape", F.posexplode("chroma").alias("i", "x")).select("tape", "i", rounded("x").alias("x")), None),
     "tape_keys": (tape_keys, None),
     "tape_beats": (beat_grids, None),
-    "tape_structure": (lambda s, d: so.structure(chromas(s, d), "tape", "chroma", 256 / RATE, seconds=0.25), None),
+    "tape_structure": (lambda s, d: so.structure(so.chroma(tapes(s, d), "tape", "y", RATE, 512, 64), "tape", "chroma", 64 / RATE, seconds=0.25), None),
     "tape_lengths": (changed, f"s as ({_S}), n as (select tape, count(*) as n from s group by tape) select tape, cast(n as int) as n, cast(round_even(n / 1.25e0, 0) as int) as n_fast, cast(n as int) as n_high from n"),
     "tape_files": (files, f"s as ({_S}) select tape, count(*) as n, cast(sum(abs(y * 32768)) as bigint) as total, {RATE} as rate from s group by tape"),
     "last_view_before": (last_views, f"{_NEAR} select p.user_id, p.event_id, v.view_id from p asof left join v on p.user_id = v.user_id and p.event_id >= v.view_id"),

@@ -80,6 +80,10 @@ def with_runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     Ranges of the order go each by itself; of the ranges before, only the last
     value and the number of changes are needed.
     """
+    if few(rows):  # one range: nothing is before it
+        w = Window.partitionBy(by).orderBy(order)
+        same = (F.row_number().over(w) > 1) & F.col(value).eqNullSafe(F.lag(value).over(w))
+        return rows.withColumn("_change", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("_change").over(w)).drop("_change")
     cells, inside = ranged(rows, order), Window.partitionBy(by, "cell").orderBy(order)
     along = Window.partitionBy(by).orderBy("cell")  # a row a range
     last = cells.groupBy(by, "cell").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("end"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.columns import adherence_score, clamp, or_else, reasons, rounded, share
 from corpusmill.functions.lineage import few, first_of, ranged
-from corpusmill.functions.quantiles import quantiles
+from corpusmill.functions.quantiles import FEW, quantiles
 
 
 
@@ -282,8 +282,12 @@ def reliability_curve(rows: DataFrame, bins: int = 4) -> DataFrame:
 def thresholds(rows: DataFrame) -> DataFrame:
     """90th percentile of deviation and 10th of clap over ok rows, and how many rows they reject."""
     ok = rows.where(_ok())
-    dev, clap = (F.lit(quantiles(ok, c, [s])[0]).cast("double") for c, s in ((_off(), 0.9), ("clap_score", 0.1)))
-    cut = rows.withColumns({"dev": rounded(dev), "clap": rounded(clap)}).groupBy("dev", "clap")
+    if ok.count() <= FEW:
+        both = ok.agg(rounded(F.percentile(_off(), 0.9)).alias("dev"), rounded(F.percentile("clap_score", 0.1)).alias("clap"))
+        cut = rows.join(F.broadcast(both)).groupBy("dev", "clap")  # one row
+    else:
+        dev, clap = (F.lit(quantiles(ok, c, [s])[0]).cast("double") for c, s in ((_off(), 0.9), ("clap_score", 0.1)))
+        cut = rows.withColumns({"dev": rounded(dev), "clap": rounded(clap)}).groupBy("dev", "clap")
     out = cut.agg(F.count_if(_ok()).alias("n_prompts"), F.count_if(_off() > F.col("dev")).alias("would_reject_dev"), F.count_if(F.col("clap_score") < F.col("clap")).alias("would_reject_clap"))
     return out.withColumnsRenamed({"dev": "suggested_max_abs_deviation", "clap": "suggested_min_clap_score"})
 

@@ -69,23 +69,21 @@ class Code:
 SAMPLE = 1_000
 
 
-def code_for(rows: DataFrame, vector: str, least: float, x: np.ndarray) -> Code:
+def code_for(x: np.ndarray, least: float) -> Code:
     """The shortest code that leaves few pairs open at this similarity.
 
-    Tried on pairs of a sample ``x`` are a byte each for the half of the principal
-    coordinates that vary most, a byte for all, two bytes for all: 40, 72 and
-    136 bytes at 64 dimensions, where the vector has 512. A code leaves few
-    open if that is at most four times the pairs that are similar, or one in
-    2,000.
+    Tried on pairs of a sample ``x`` of unit vectors are a byte each for the
+    half of its principal coordinates that vary most, a byte for all, two
+    bytes for all: 40, 72 and 136 bytes at 64 dimensions, where the vector has
+    512. A code leaves few open if that is at most four times the pairs that
+    are similar, or one in 2,000. Bounds hold on any axes, so that the sample
+    decides about the time only.
     """
-    from corpusmill.operators.vectors import moments
-
-    n, mean, covariance = moments(rows, vector)
-    _, axes = np.linalg.eigh(covariance * (n - 1) / max(1, n) + np.outer(mean, mean))
+    _, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, ::-1]
     dims = len(axes)
     cosines = x @ x.T
-    most = max(4 * (cosines >= least).mean(), 1 / len(x) + 1 / 2_000) if len(x) else 1.0
+    most = max(4 * (cosines >= least).mean(), 1 / len(x) + 1 / 2_000)
     codes = [Code(axes, -(-dims // 2), "int8"), Code(axes, dims, "int8"), Code(axes, dims, "int16")]
     for code in codes[:-1]:
         own = code.of(x)
@@ -151,8 +149,8 @@ def _packed(code: Code, pivots: np.ndarray, block: str, extra: bool) -> Callable
     return pack
 
 
-def blocks(rows: DataFrame, key: str, vector: str, code: Code, pivots: np.ndarray, extra: str | None = None, size: int = BLOCK) -> DataFrame:
-    """Codes of the vectors by block: a cell is the vectors of one nearest pivot, a large one is several blocks by hash of the key."""
+def blocks(rows: DataFrame, key: str, vector: str, code: Code, pivots: np.ndarray, extra: str | None = None, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """Codes of the vectors by block, and how many blocks there are at most: a cell is the vectors of one nearest pivot, a large one is several blocks by hash of the key."""
     ready = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), (F.col(extra).cast("long") if extra else F.lit(None).cast("long")).alias("extra"))
 
     @F.pandas_udf("int")
@@ -162,27 +160,26 @@ def blocks(rows: DataFrame, key: str, vector: str, code: Code, pivots: np.ndarra
         return pd.Series(_angles(unit, pivots).argmin(axis=1).astype("int32"))
 
     total = ready.count()
-    kept = saved if total > size else lambda df: df  # one block is packed as fast as it is read
-    if total < SPREAD * LEAST or not len(pivots):
-        placed = ready.withColumn("cell", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, min(SPREAD, total // LEAST)))).cast("int"))
+    if total <= size or not len(pivots):
+        n = max(-(-total // size), min(SPREAD, total // LEAST), 1)
+        placed = ready.withColumn("cell", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     else:
-        placed = kept(ready.withColumn("cell", closest("v")))
+        placed = saved(ready.withColumn("cell", closest("v")))
         held = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a pivot
         ways = [max(1, -(-held.get(c, 0) // size)) for c in range(len(pivots))]
         first = [sum(ways[:c]) for c in range(len(pivots))]
+        n = sum(ways)
         of = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
         placed = placed.withColumn("block", (of(first) + F.pmod(F.xxhash64("id"), of(ways))).cast("int"))
-    return kept(placed.groupBy("block").applyInArrow(_packed(code, pivots, "block", bool(extra)), BLOCKS))
+    packed = placed.groupBy("block").applyInArrow(_packed(code, pivots, "block", bool(extra)), BLOCKS)
+    return (saved(packed) if total > size else packed), n  # a table of one block is packed as fast as it is read
 
 
-def meeting(left: DataFrame, right: DataFrame, angle: float | None, ordered: bool = False) -> DataFrame:
-    """(a, b): the pairs of blocks that may hold vectors within this angle of each other, from the summaries alone."""
+def meeting(left: DataFrame, right: DataFrame, n: int, angle: float | None, ordered: bool = False) -> DataFrame:
+    """(a, b): the pairs of blocks that may hold vectors within this angle of each other, from the summaries alone; the right table has ``n``."""
     one = left.select(F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
     two = right.select(F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    n = right.select(F.max("block")).first()[0]
-    if n is None:
-        return left.sparkSession.createDataFrame([], "a int, b int")
-    both = one.withColumn("b", F.explode(F.sequence(F.col("a") if ordered else F.lit(0), F.lit(n)))).join(two, "b")  # summaries only
+    both = one.withColumn("b", F.explode(F.sequence(F.col("a") if ordered else F.lit(0), F.lit(n - 1)))).join(two, "b")  # summaries only
     if angle is not None:
         apart = F.zip_with(F.arrays_zip("la", "ha"), F.arrays_zip("lb", "hb"), lambda x, y: F.greatest(x["la"] - y["hb"], y["lb"] - x["ha"]))
         both = both.where(~F.exists(apart, lambda x: x > angle + 1e-7))
@@ -250,8 +247,8 @@ def pairs_above(rows: DataFrame, key: str, vector: str, least: float, differ: st
     sample = sampled(some, key, vector, SAMPLE)
     if not len(sample):  # zero vectors are similar to nothing
         return rows.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    code, pivots = code_for(some, vector, least, sample), spread_out(sample)
-    own = blocks(some, key, vector, code, pivots, differ, size)
+    code, pivots = code_for(sample, least), spread_out(sample)
+    own, n = blocks(some, key, vector, code, pivots, differ, size)
 
     def take(x: Held, y: Held, middle: np.ndarray, half: np.ndarray) -> pa.Table:
         i, j = np.nonzero(middle + half >= least - 1e-6)
@@ -262,7 +259,7 @@ def pairs_above(rows: DataFrame, key: str, vector: str, least: float, differ: st
         return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
     angle = float(np.arccos(np.clip(least - 1e-6, -1.0, 1.0)))
-    found = candidates(own, own, meeting(own, own, angle, ordered=True), code, take, "a long, b long")
+    found = candidates(own, own, meeting(own, own, n, angle, ordered=True), code, take, "a long, b long")
     met = _cosine(found, _vectors(some, key, vector, "a", "x"), _vectors(some, key, vector, "b", "y"), "a", "b")
     return met.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
@@ -278,7 +275,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
     if first is None:
         return rows.sparkSession.createDataFrame([], "query long, rank int, id long, similarity double")
     code, none = full_code(first["n"]), np.zeros((0, 0))
-    asked, held = (blocks(t, key, vector, code, none, size=size) for t in (queries, rows))
+    (asked, _), (held, n) = (blocks(t, key, vector, code, none, size=size) for t in (queries, rows))
 
     def take(x: Held, y: Held, middle: np.ndarray, half: np.ndarray) -> pa.Table:
         middle = middle if own else np.where(x.ids[:, None] == y.ids[None, :], -3.0, middle)
@@ -287,7 +284,7 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
         i, j = np.nonzero((middle + half >= kth[:, None] - 2e-6) & (middle > -2))
         return pa.table({"query": x.ids[i], "id": y.ids[j], "low": (middle - half)[i, j], "high": (middle + half)[i, j]})
 
-    met = candidates(asked, held, meeting(asked, held, None), code, take, "query long, id long, low double, high double")
+    met = candidates(asked, held, meeting(asked, held, n, None), code, take, "query long, id long, low double, high double")
     own_rows = Window.partitionBy("query")  # k and a few of each block
     ranked = met.withColumn("nth", F.row_number().over(own_rows.orderBy(F.desc("low"))))
     kth = F.max(F.when(F.col("nth") == k, F.col("low"))).over(own_rows)

@@ -49,10 +49,10 @@ def test_few_block_pairs_meet_in_clusters(spark):
     """Of a clustered table under a tenth of the block pairs are shipped at 0.9; none that holds a match is left out."""
     rows = table(spark, clustered(3_000, 16, 40, 0.05))
     sample = similarity.sampled(rows, "id", "v", similarity.SAMPLE)
-    code = similarity.code_for(rows, "v", 0.9, sample)
-    own = similarity.blocks(rows, "id", "v", code, similarity.spread_out(sample), size=1_000)
+    code = similarity.code_for(sample, 0.9)
+    own, most = similarity.blocks(rows, "id", "v", code, similarity.spread_out(sample), size=1_000)
     n = own.count()
-    met = similarity.meeting(own, own, float(np.arccos(0.9)), ordered=True).count()
+    met = similarity.meeting(own, own, most, float(np.arccos(0.9)), ordered=True).count()
     assert n >= 20 and met < 0.1 * n * (n + 1) / 2
     assert code.kept == 8  # a byte for half of the coordinates is enough
 

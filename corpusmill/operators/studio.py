@@ -166,7 +166,7 @@ def mined_banks(lines: DataFrame, line: str, banks: int = 24, words: int = 12, l
 
     All lines are counted; only the catalog that is kept is small.
     """
-    last = F.regexp_extract(F.lower(line), r"([a-z]{2,})[^a-z]*$", 1)
+    last = F.reverse(F.regexp_extract(F.reverse(F.lower(line)), r"^[^a-z]*([a-z]{2,})", 1))  # from its end: lines may be long
     counted = lines.select(last.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).withColumn("bank", rhyme_key(F.col("word"))).where("bank is not null")
     kept = first_of(counted, "bank", [F.desc("n"), "word"], words, "word")
     by = kept.groupBy("bank").agg(F.sum("n").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("nth", "word"))), lambda x: x["word"]).alias("words"))  # ``words`` a rhyme
@@ -176,7 +176,7 @@ def mined_banks(lines: DataFrame, line: str, banks: int = 24, words: int = 12, l
 def mined_templates(lines: DataFrame, line: str, n: int = 200, shortest: int = 3, longest: int = 8) -> DataFrame:
     """(template): the n most frequent lines of a few words, with {R} for their last one."""
     text = F.trim(F.lower(F.translate(line, "{}", "")))
-    of = F.size(F.split(text, r"\s+"))
+    of = F.size(F.split(text, r"\s+", longest + 1))  # no further than tells
     template = F.regexp_replace(text, r"[a-z]{2,}[^a-z]*$", "{R}")
     found = lines.where(of.between(shortest, longest)).select(template.alias("template")).where(F.endswith("template", F.lit(" {R}")))
     return found.groupBy("template").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "template").limit(n).select("template")
@@ -195,19 +195,25 @@ def verses(requests: DataFrame, key: str, templates: DataFrame, banks: DataFrame
     mined from lines of a corpus (``mined_banks``, ``mined_templates``).
     """
     sorted_all = lambda df: F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("all")))  # noqa: E731  catalogs
-    every = requests.join(sorted_all(templates.select("template", syllables(F.replace("template", F.lit("{R}"), F.lit("line"))).alias("n"))).withColumnRenamed("all", "t"))
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a table of few bytes is one task's file, but of many lines
+    every = requests.repartition(parts, key).join(sorted_all(templates.select("template", syllables(F.replace("template", F.lit("{R}"), F.lit("line"))).alias("n"))).withColumnRenamed("all", "t"))
     every = every.join(sorted_all(banks.select("bank", "words")).withColumnRenamed("all", "b"))
-    mixed = lambda xs, of, *by: F.transform(F.array_sort(F.transform(xs, lambda x: F.named_struct(F.lit("h"), F.xxhash64(F.lit(seed), key, *by, of(x)), F.lit("x"), x))), lambda s: s["x"])
+    mixed = lambda xs, of, *by: F.transform(F.sort_array(F.transform(xs, lambda x: F.named_struct(F.lit("h"), F.xxhash64(F.lit(seed), key, *by, of(x)), F.lit("x"), x))), lambda s: s["x"])
     near = F.filter("t", lambda t: F.abs(t["n"] - F.col("target")) <= spread)
-    turns = mixed(F.when(F.size(near) > 0, near).otherwise(F.col("t")), lambda t: t["template"])
-    lines = every.select(key, "scheme", "opener", "b", turns.alias("turns"), F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("i"))
+    every = every.withColumn("near", near).withColumn("turns", F.slice(mixed(F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("t")), lambda t: t["template"]), F.lit(1), F.greatest(F.lit(1), "bars")))
     scheme = F.upper("scheme")
     crossed = scheme.isin("ABAB", "INTERNAL")
-    group = F.when(scheme == "AABB", F.floor(F.col("i") / 2)).when(crossed, F.col("i") % 2).otherwise(0).cast("int")
-    nth = F.when(scheme == "AABB", F.col("i") % 2).when(crossed, F.floor(F.col("i") / 2)).otherwise(F.col("i")).cast("int")
-    lines = lines.withColumn("g", group).withColumn("nth", nth)
-    lines = lines.withColumn("bank", F.get("b", F.pmod(F.xxhash64(F.lit(seed), key, "g"), F.size("b")).cast("int")))
-    lines = lines.withColumn("words", mixed(F.col("bank.words"), lambda w: w, F.col("g"))).withColumn("template", F.get("turns", F.col("i") % F.size("turns"))["template"])
+
+    def bar(i: Column) -> Column:
+        """All that a line needs, so that neither catalogs nor turns are carried to every line or made for it again."""
+        group = F.when(scheme == "AABB", F.floor(i / 2)).when(crossed, i % 2).otherwise(0).cast("int")
+        nth = F.when(scheme == "AABB", i % 2).when(crossed, F.floor(i / 2)).otherwise(i).cast("int")
+        bank = F.get("b", F.pmod(F.xxhash64(F.lit(seed), key, group), F.size("b")).cast("int"))
+        return F.struct(i.alias("i"), group.alias("g"), nth.alias("nth"), bank.alias("bank"), F.get("turns", i % F.size("turns"))["template"].alias("template"))
+
+    made = every.select(key, "opener", F.transform(F.sequence(F.lit(0), F.col("bars") - 1), bar).alias("lines"))
+    lines = made.select(key, "opener", F.explode_outer("lines").alias("l")).where("l is not null").select(key, "opener", "l.*")  # a plain explode has the lines made once more below, to tell whether there are any
+    lines = lines.withColumn("words", mixed(F.col("bank.words"), lambda w: w, F.col("g")))
     word = lambda ahead: F.get("words", (F.col("nth") + ahead) % F.size("words"))
     ended = F.regexp_replace("template", r"\{R\}(?=[^{]*$)", "{E}")
     said = F.replace(F.replace(ended, F.lit("{R}"), word(2)), F.lit("{E}"), word(0))

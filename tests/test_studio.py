@@ -182,6 +182,18 @@ def test_section_lines(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows)) and len({tuple(r.line for r in s) for s in songs.values()}) > len(songs) / 3
 
 
+def test_lines_of_a_song_share_its_turns(spark):
+    """Templates are drawn once a song, not once a line, and songs of one file are dealt to all tasks."""
+    asked = spark.createDataFrame([(k, 16, 8, "AABB", None) for k in range(40)], "k int, bars int, target int, scheme string, opener string").coalesce(1)
+    templates = spark.createDataFrame([(f"a {w} to the {{R}}",) for w in ("way", "day", "play", "stay", "say")], "template string")
+    banks = spark.createDataFrame([("ight", ["night", "light", "fight", "sight"])], "bank string, words array<string>")
+    made = st.verses(asked, "k", templates, banks)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert sum(line.count("sort_array(") for line in plan[at:]) == 1
+    assert made.rdd.getNumPartitions() > 1 and made.count() == 640
+
+
 def test_catalogs_are_mined_from_lines(spark):
     lines = spark.createDataFrame([("Walk into the night",)] * 3 + [("a new light!",), ("we fight",), ("the sight",), ("all the way",), ("walk into the day",), ("too long a line to be a template for any verse of ours",), ("{odd} braces here",), (None,), ("",), ("42",)], "line string")
     banks = {r.bank: r.words for r in st.mined_banks(lines, "line", least=4).collect()}

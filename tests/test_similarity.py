@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corpusmill.operators import similarity
+from corpusmill.operators import similarity, vectors
 
 
 def table(spark, x, groups=None):
@@ -101,3 +101,46 @@ def test_nearest_reads_no_vectors_in_pairs(spark):
     rows = table(spark, clustered(100, 8, 5, 0.5))
     plan = similarity.nearest(rows, rows, "id", "v", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_edges_are_computed_once(spark):
+    """A greedy pass of many rounds reads its edges from what the first one wrote."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 7)], "a long, b long").mapInArrow(counted, "a long, b long")
+    assert {tuple(r) for r in vectors.greedy_clusters(edges).collect()} == {(1, 2), (3, 4), (5, 6)}
+    assert computed.value == 6
+
+
+@pytest.mark.parametrize("least", [0.35, 0.999])
+def test_pairs_with_many_similar_are_told_in_blocks(spark, least):
+    """No pair of a dense join is joined with its vectors; of a sparse one, those left open are. Both by cells and across groups."""
+    x = np.random.default_rng(3).normal(size=(1_500, 24))
+    x[5], x[9] = 0, x[8]
+    x[1_001:1_006] = x[:5] * 1.0001
+    groups = np.arange(1_500) % 2
+    made = similarity.pairs_above(table(spark, x, groups), "id", "v", least, "g", size=300)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert ("n_x" not in plan) == (least == 0.35)
+    i, j = np.nonzero(np.triu(cosines(x) >= least, 1))
+    want = {(int(a), int(b)) for a, b in zip(i, j, strict=True) if groups[a] != groups[b]}
+    assert {(r.a, r.b) for r in made.collect()} == want and (len(want) > 1_000) == (least == 0.35)
+
+
+def test_tasks_hold_bounded_matrices(spark, monkeypatch):
+    """However large blocks are, so many cosines at a time."""
+    monkeypatch.setattr(similarity, "CELLS", 1_000)
+    rows = table(spark, clustered(400, 8, 5, 0.5))
+
+    def take(x, y, middle, half):
+        return similarity.pa.table({"n": [middle.size]})
+
+    code = similarity.full_code(8)
+    own, n = similarity.blocks(rows, "id", "v", code, np.zeros((0, 0)))
+    sizes = [r.n for r in similarity.candidates(own, own, similarity.meeting(own, own, n, None), code, take, "n long").collect()]
+    assert max(sizes) <= 1_000 and sum(sizes) == 160_000

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.columns import clamp, rounded
 from corpusmill.functions.lineage import first_of, with_runs
-from corpusmill.operators.vectors import blocks, matched
+from corpusmill.operators.vectors import Part, blocks, matched
 
 #: Model parameters by the first name part that matches (fixed values).
 SIZES = (("large", 3.3e9), ("medium", 1.5e9), ("small", 3e8))
@@ -93,41 +94,70 @@ def merged_notes(frames: DataFrame, by: str, order: str, pitch: str) -> DataFram
     return runs.groupBy(by, "run").agg(F.min(order).alias("start"), F.count("*").alias("n"), F.first(pitch).alias("pitch")).drop("run")
 
 
-def _squared(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-    return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T
+#: Vectors of each table that tell about where the median distance is: that choice alters the time, not the median.
+SAMPLE = 1_000
 
 
-def median_distance(one: DataFrame, two: DataFrame, bins: int = 4096) -> float:
-    """The median distance of a vector of one table and one of the other; both tables are blocks.
+def _some(table: DataFrame, most: int) -> tuple[int, float, np.ndarray]:
+    """(number of vectors, the longest one's length, a few vectors of each block) of a table of blocks."""
+    per = max(1, most // max(1, table.count()))
 
-    All distances are counted in equal ranges, and the ranges that hold the
-    two middle ones again, until they are as narrow as numbers tell. What
-    reaches the driver is at most ``bins`` counts a pass.
-    """
-    span = matched(one, two, lambda a, b, _: pd.DataFrame({"n": [len(a) * len(b)], "hi": [float(np.sqrt(np.maximum(_squared(a, b), 0).max()))]}), "n long, hi double")
-    n, high = span.agg(F.sum("n"), F.max("hi")).first()
-    if not n:
-        return 0.0
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_struct_array():
+                part = Part.of(row)
+                yield pa.RecordBatch.from_pylist([{"n": len(part.ids), "longest": float(np.linalg.norm(part.x, axis=1).max()), "few": part.x[part.ids.argsort()[:per]].tolist()}])
 
-    def nth(k: int) -> float:
-        low, width, before = 0.0, (high or 1.0) * (1 + 1e-9), 0
-        while width > 1e-10 * max(high, 1e-300):
-            step = width / bins
+    held = table.mapInArrow(run, "n long, longest double, few array<array<double>>").collect()  # a row a block
+    few = [v for r in held for v in r["few"]]
+    return sum(r["n"] for r in held), max((r["longest"] for r in held), default=0.0), np.array(few[: 2 * most])
 
-            def count(a: pd.DataFrame, b: pd.DataFrame, _, low=low, step=step) -> pd.DataFrame:
-                at = np.floor((np.sqrt(np.maximum(_squared(a, b), 0)) - low) / step)
-                found, times = np.unique(at[(at >= 0) & (at < bins)].astype(np.int64), return_counts=True)
-                return pd.DataFrame({"bin": found, "n": times})
 
-            held = matched(one, two, count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
-            upto = before + held["n"].cumsum()
-            i = min(int((upto <= k).sum()), len(held) - 1)
-            before = int(upto.iloc[i] - held["n"].iloc[i])
-            low, width = low + float(held["bin"].iloc[i]) * step, step
-        return low + width / 2
+def median_distance(one: DataFrame, two: DataFrame, bins: int = 65_536) -> float:
+    """The median distance of a vector of one table and one of the other; both tables are blocks.
 
-    return nth(n // 2) if n % 2 else (nth(n // 2 - 1) + nth(n // 2)) / 2
+    A sample tells a range that is likely to hold it. All distances below the
+    range are counted, those inside in equal ranges, and the range that holds
+    a middle one again, until it is as narrow as numbers tell; if none of them
+    was in the range, from the whole span. What reaches the driver is at most
+    ``bins`` counts a pass and middle distance.
+    """
+    (n, far, x), (m, wide, y) = _some(one, SAMPLE), _some(two, SAMPLE)
+    high = (far + wide) * (1 + 1e-9)
+    if not n * m or not high:
+        return 0.0
+    near = np.sqrt(np.maximum(Part(0, np.arange(len(x)), x, np.arange(0)).squared(Part(0, np.arange(len(y)), y, np.arange(0))), 0))
+    low, up = np.quantile(near, [0.47, 0.53])
+    middle = {n * m // 2, (n * m - 1) // 2}
+    found, held_in, spans = {}, set(), {k: (float(low), max(float(up - low), 1e-9 * high)) for k in middle}
+    while spans:
+        ranges = sorted(set(spans.values()))
+
+        def count(a: Part, b: Part, ranges=ranges) -> pd.DataFrame:
+            inside, below = np.zeros((len(ranges), bins), np.int64), np.zeros(len(ranges), np.int64)
+            for d in a.tiles(b):
+                for i, (low, width) in enumerate(ranges):
+                    under = d < low * low * (1 - 1e-12) if low > 0 else np.zeros(d.shape, bool)
+                    at = np.floor((np.sqrt(d[~under & (d <= (low + width) ** 2 * (1 + 1e-12))]) - low) / (width / bins))
+                    below[i] += np.count_nonzero(under) + np.count_nonzero(at < 0)
+                    inside[i] += np.bincount(at[(at >= 0) & (at < bins)].astype(np.int64), minlength=bins)
+            i, j = np.nonzero(inside)
+            at = np.arange(len(ranges))
+            return pd.DataFrame({"i": np.append(at, i), "bin": np.append(np.full(len(ranges), -1), j), "n": np.append(below, inside[i, j])})
+
+        held = matched(one, two, count, "i long, bin long, n long").groupBy("i", "bin").agg(F.sum("n").alias("n")).orderBy("i", "bin").toPandas()
+        for k, (low, width) in list(spans.items()):
+            mine = held[held["i"] == ranges.index((low, width))]
+            at = int((mine["n"].cumsum() <= k).sum())
+            if 0 < at < len(mine):
+                spans[k] = (low + float(mine["bin"].iloc[at]) * (width / bins), width / bins)
+            else:  # beyond the sample's range; of one that was counted, on its edge but for rounding
+                spans[k] = (low if at == 0 else low + width, 0.0) if k in held_in else (0.0, high)
+            held_in.add(k)
+            if spans[k][1] <= 1e-10 * high:
+                low, width = spans.pop(k)
+                found[k] = low + width / 2
+    return sum(found[k] for k in middle) / len(middle)
 
 
 def kernel_discrepancy(one: DataFrame, two: DataFrame, key: str, vector: str, sigma: float | None = None) -> DataFrame:
@@ -138,38 +168,65 @@ def kernel_discrepancy(one: DataFrame, two: DataFrame, key: str, vector: str, si
     a, b = blocks(one, key, vector), blocks(two, key, vector)
     sigma = sigma or median_distance(a, b) or 1.0
 
-    def sums(a: pd.DataFrame, b: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
-        d = _squared(a, b)
-        return pd.DataFrame({"s": [float(np.exp(-np.maximum(d, 0) / (2 * sigma * sigma)).sum())], "n": [d.size]})
+    def sums(a: Part, b: Part, twice: bool) -> pd.DataFrame:
+        s, times = 0.0, 2 if twice and a.block != b.block else 1
+        for d in a.tiles(b):
+            d /= -2 * sigma * sigma
+            s += float(np.exp(d, out=d).sum())
+        return pd.DataFrame({"s": [s * times], "n": [len(a.ids) * len(b.ids) * times]})
 
     def mean(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        return matched(a, b, sums, "s double, n long").agg((F.sum("s") / F.sum("n")).alias(name))
+        own = a is b  # each pair of blocks is as good as its reverse
+        return matched(a, b, lambda x, y: sums(x, y, own), "s double, n long", ordered=own).agg((F.sum("s") / F.sum("n")).alias(name))
 
     return mean(a, a, "xx").join(mean(b, b, "yy")).join(mean(a, b, "xy")).select(rounded(F.col("xx") + F.col("yy") - 2 * F.col("xy"), 6).alias("mmd"))  # one row each
 
 
+def _closest(d: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row of distances, where the least one is; of those that are equal to six places, the one of the smallest id."""
+    i, j = np.nonzero(d <= d.min(axis=1)[:, None] + 1.1e-6)
+    order = np.lexsort((ids[j], np.round(d[i, j], 6), i))
+    i, j = i[order], j[order]
+    return j[np.append(True, i[1:] != i[:-1])]
+
+
+def _closer(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    """Of two tables of the same vectors' nearest ones, the nearer of each; a twin in either is one."""
+    other = ((two["d"] < one["d"]) | ((two["d"] == one["d"]) & (two["other"] < one["other"]))).to_numpy()
+    kept = {c: np.where(other, two[c], one[c]) for c in one.columns}
+    return pd.DataFrame(kept | {"twin": one["twin"] | two["twin"]})
+
+
 def one_nn_accuracy(rows: DataFrame, key: str, vector: str, side: str) -> DataFrame:
     """Share of vectors whose nearest other vector, by distance, is of their own side.
 
     0.5 under two vectors, and where a vector of one side equals one of the other: such sets cannot be told apart.
     """
 
-    def near(a: pd.DataFrame, b: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
-        exact = _squared(a, b)
-        size = np.maximum(1.0, np.array([v @ v for v in a["v"]])[:, None] + np.array([v @ v for v in b["v"]])[None])
-        across = a[side].to_numpy()[:, None] != b[side].to_numpy()[None]
-        twin = (across & (exact < 1e-12 * size)).any(axis=1)
-        d = np.round(exact, 6)
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None]] = np.inf
-        by = np.lexsort((np.broadcast_to(b["id"].to_numpy(), d.shape), d), axis=1)[:, 0]
-        at = np.arange(len(a))
-        return pd.DataFrame({"id": a["id"], "mine": a[side], "d": d[at, by], "other": b["id"].to_numpy()[by], "its": b[side].to_numpy()[by], "twin": twin})
-
-    own = blocks(rows, key, vector, [side])
-    met = matched(own, own, near, "id long, mine long, d double, other long, its long, twin boolean")
-    best = met.groupBy("id", "mine").agg(F.min_by("its", F.struct("d", "other")).alias("its"), F.bool_or("twin").alias("twin"))
+    def best(d: np.ndarray, a: Part, b: Part) -> pd.DataFrame:
+        at, row = _closest(d, b.ids), np.arange(len(a.ids))
+        most, twin = b.norms.max(), np.zeros(len(a.ids), bool)
+        for i in np.nonzero(d[row, at] < 1e-12 * np.maximum(1.0, a.norms + most) + 1.1e-6)[0]:
+            twin[i] = ((a.extra[i] != b.extra) & (d[i] < 1e-12 * np.maximum(1.0, a.norms[i] + b.norms))).any()
+        return pd.DataFrame({"id": a.ids, "mine": a.extra, "d": np.round(d[row, at], 6), "other": b.ids[at], "its": b.extra[at], "twin": twin})
+
+    def near(a: Part, b: Part) -> pd.DataFrame:
+        found, theirs = [], None
+        for some in a.slices(b):
+            d = some.squared(b)
+            if a.block == b.block:
+                d[some.ids[:, None] == b.ids[None]] = np.inf
+            found.append(best(d, some, b))
+            if a.block != b.block:
+                now = best(d.T, b, some)
+                theirs = now if theirs is None else _closer(theirs, now)
+        return pd.concat(found if theirs is None else [*found, theirs])
+
+    own = blocks(rows, key, vector, side)
+    met = matched(own, own, near, "id long, mine long, d double, other long, its long, twin boolean", ordered=True)
+    best_of = met.groupBy("id", "mine").agg(F.min_by("its", F.struct("d", "other")).alias("its"), F.bool_or("twin").alias("twin"))
     accuracy = rounded(F.avg((F.col("mine") == F.col("its")).cast("double")))
-    return best.agg(F.count("*").alias("n"), F.when((F.count("*") < 2) | F.bool_or("twin"), 0.5).otherwise(accuracy).alias("accuracy"))
+    return best_of.agg(F.count("*").alias("n"), F.when((F.count("*") < 2) | F.bool_or("twin"), 0.5).otherwise(accuracy).alias("accuracy"))
 
 
 #: What a listening campaign shows of a result (fixed values).

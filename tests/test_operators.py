@@ -272,6 +272,40 @@ def test_kernel_width_is_the_median_distance(spark):
     assert extras.kernel_discrepancy(table(x[:1]), table(x[:1]), "id", "v").first().mmd == 0.0
 
 
+def test_median_distance_beyond_the_sample(spark, monkeypatch):
+    """A sample that tells a wrong range costs a pass; equal vectors have no distance; block pairs hold bounded matrices."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(0, 1, (300, 4)), rng.normal(0, 1, (200, 4))
+    x[200:] += 50
+    packed = lambda m, order: vectors.blocks(spark.createDataFrame([(order(i), v.tolist()) for i, v in enumerate(m)], "id long, v array<double>"), "id", "v", size=60)
+    far = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    monkeypatch.setattr(extras, "SAMPLE", 5)
+    monkeypatch.setattr(vectors, "TILE", 16)
+    for order in (lambda i: i, lambda i: -i):  # the sample takes the first ids: near ones, or far ones
+        assert extras.median_distance(packed(x, order), packed(y, order)) == pytest.approx(np.median(far), rel=1e-9)
+    assert extras.median_distance(packed(np.zeros((3, 4)), abs), packed(np.zeros((2, 4)), abs)) == 0.0
+
+
+def test_one_nn_across_blocks_and_slices(spark, monkeypatch):
+    """Each pair of blocks is computed once, for both of its sides, some vectors at a time; ties go to smaller ids."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    side = (np.arange(300) % 2).tolist()
+    for i in range(300):  # no twins across sides
+        x[i, 2] += 0.05 * side[i]
+    d = np.round(((x[:, None] - x[None]) ** 2).sum(-1), 6)
+    np.fill_diagonal(d, np.inf)
+    want = np.mean([side[int(np.lexsort((np.arange(300), d[i]))[0])] == side[i] for i in range(300)])
+    calls = []
+    real = vectors.matched
+    monkeypatch.setattr(extras, "matched", lambda *a, **k: calls.append(k.get("ordered")) or real(*a, **k))
+    monkeypatch.setattr(extras, "blocks", lambda *a: vectors.blocks(*a, size=60))
+    monkeypatch.setattr("corpusmill.operators.similarity.CELLS", 500)
+    rows = spark.createDataFrame([(i, x[i].tolist(), side[i]) for i in range(300)], "id long, v array<double>, side long")
+    got = extras.one_nn_accuracy(rows, "id", "v", "side").first()
+    assert (got.n, got.accuracy) == (300, pytest.approx(want, abs=5e-5)) and calls == [True]
+
+
 def test_one_nn_of_twins(spark):
     rows = [(0, [0.0, 1.0], 0), (1, [0.0, 1.1], 0), (2, [5.0, 1.0], 1), (3, [5.0, 1.1], 1)]
     make = lambda r: spark.createDataFrame(r, "id long, v array<double>, side long")

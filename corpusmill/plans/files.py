@@ -64,7 +64,7 @@ def line_songs(s, d):
     """Lines as a CSV of one line a row, read back as songs."""
     path = scratch(s, "line-songs")
     rows = lines(s, d).select(F.concat(F.lit("The "), "source").alias("artist"), F.concat(F.lit("Song #"), F.col("doc_id").cast("string")).alias("song"), F.col("line").alias("lyric"), "doc_id", "line_no")
-    rows.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "line_no").select("artist", "song", "lyric").write.option("header", True).csv(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "line_no").select("artist", "song", "lyric").write.option("header", True).csv(path)
     return da.songs_from_lines(readers.rap_csv(s, path)).select("artist_id", "song_key", "title", "n_lines", F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
 
 

@@ -142,3 +142,20 @@ def test_artists_songs_are_split(spark):
     songs = spark.createDataFrame([("big", i) for i in range(45)] + [("ten", i) for i in range(10)] + [("few", i) for i in range(9)], "artist string, song int")
     found = corpus.artist_split(songs, "artist", "song", 0.1, 0.05, 3).groupBy("artist", "split").count().collect()
     assert {(r.artist, r.split): r["count"] for r in found} == {("big", "test"): 2, ("big", "val"): 4, ("big", "train"): 39, ("ten", "test"): 1, ("ten", "val"): 1, ("ten", "train"): 8, ("few", "train"): 9}
+
+
+def test_line_files_grow_in_number(spark, monkeypatch):
+    """A CSV file of lines is read by one task, so that their number goes with the session's partitions."""
+    from corpusmill.plans import files
+
+    paths, real = [], readers.rap_csv
+    monkeypatch.setattr("corpusmill.sources.readers.rap_csv", lambda s, path: paths.append(path) or real(s, path))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        files.line_songs(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(spark.read.text(paths[0]).inputFiles()) > 8

@@ -1,5 +1,7 @@
 """Similarity joins by codes and balls against all pairs."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -144,3 +146,15 @@ def test_tasks_hold_bounded_matrices(spark, monkeypatch):
     own, n = similarity.blocks(rows, "id", "v", code, np.zeros((0, 0)))
     sizes = [r.n for r in similarity.candidates(own, own, similarity.meeting(own, own, n, None), code, take, "n long").collect()]
     assert max(sizes) <= 1_000 and sum(sizes) == 160_000
+
+
+def test_search_deals_pairs_of_blocks_to_tasks(spark):
+    """Few blocks are many pairs: each is met once, and tasks get them by pair, not by block."""
+    rows = table(spark, clustered(600, 8, 5, 0.5))
+    code, none = similarity.full_code(8), np.zeros((0, 0))
+    (asked, m), (held, n) = (similarity.blocks(t, "id", "v", code, none, size=size) for t, size in ((rows.where("id % 5 = 0"), 40), (rows, 100)))
+    met = similarity.every_pair(asked, m, held, n).selectExpr("a", "b", "one.block as one", "two.block as two").collect()
+    assert sorted((r.a, r.b) for r in met) == [(a, b) for a in range(m) for b in range(n)] and m == 3 and n == 6
+    assert all((r.a, r.b) == (r.one, r.two) for r in met)
+    plan = similarity.nearest(rows.where("id % 5 = 0"), rows, "id", "v", 3, size=100)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(a#\d+, b#\d+", plan)

@@ -158,3 +158,21 @@ def test_search_deals_pairs_of_blocks_to_tasks(spark):
     assert all((r.a, r.b) == (r.one, r.two) for r in met)
     plan = similarity.nearest(rows.where("id % 5 = 0"), rows, "id", "v", 3, size=100)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"hashpartitioning\(a#\d+, b#\d+", plan)
+
+
+def test_labelling_of_many_blocks_equals_all_pairs(spark, monkeypatch):
+    """What to label next over several blocks on either side, dealt by pair, as by all cosines."""
+    monkeypatch.setattr(similarity, "LEAST", 40)
+    x, kind = clustered(600, 8, 12, 0.8), np.arange(600) % 3
+    rows = table(spark, x, kind)
+    made = vectors.labelling_priority(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), "id", "v", "g", 20)
+    assert re.search(r"hashpartitioning\(a#\d+, b#\d+", made._jdf.queryExecution().executedPlan().toString())
+    s, known = cosines(x), np.flatnonzero(np.arange(600) % 5)
+    near = {q: sorted(known, key=lambda j: (-s[q, j], j))[:5] for q in range(0, 600, 5)}
+    split = np.array([1 - np.bincount(kind[n]).max() / 5 for n in near.values()])
+    far = np.array([1 - s[q, n[0]] for q, n in near.items()])
+    priority = (split - split.mean()) / split.std() + (far - far.mean()) / far.std()
+    best = sorted(zip(-priority, near, strict=True))[:20]
+    got = [(r.id, r.priority) for r in made.collect()]
+    assert [g[0] for g in got] == [b[1] for b in best]
+    assert np.allclose([g[1] for g in got], [-b[0] for b in best], atol=1e-4)

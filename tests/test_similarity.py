@@ -176,3 +176,28 @@ def test_labelling_of_many_blocks_equals_all_pairs(spark, monkeypatch):
     got = [(r.id, r.priority) for r in made.collect()]
     assert [g[0] for g in got] == [b[1] for b in best]
     assert np.allclose([g[1] for g in got], [-b[0] for b in best], atol=1e-4)
+
+
+def test_labelling_holds_bounded_matrices_however_many_rows(spark, monkeypatch):
+    """In tables of one block and of several, no task computes more cosines at a time than it may; the rows are those of larger matrices."""
+    monkeypatch.setattr(similarity, "CELLS", 10**9, raising=False)
+
+    def bounded(dims):
+        class Bounded(similarity.Code):
+            def bounds(self, one, two):
+                if len(one[0]) * len(two[0]) > 2_000:
+                    raise ValueError(f"{len(one[0])} x {len(two[0])} cosines at a time")
+                return super().bounds(one, two)
+
+        return Bounded(np.eye(dims), dims, "int16")
+
+    for n in (300, 1_500):
+        rows = table(spark, clustered(n, 8, 12, 0.8), np.arange(n) % 3)
+        made = lambda: [tuple(r) for r in vectors.labelling_priority(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), "id", "v", "g", 20).collect()]  # noqa: B023, E731
+        want = made()
+        with monkeypatch.context() as m:
+            m.setattr(similarity, "full_code", bounded)
+            with pytest.raises(Exception, match="cosines at a time"):
+                made()
+            m.setattr(similarity, "CELLS", 2_000, raising=False)
+            assert made() == want and len(want) == 20
